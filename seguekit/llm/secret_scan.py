@@ -69,11 +69,12 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
 
 def base_spans(text: Column) -> Column:
     """array<struct<start,rank,end>> of the rules, by start and then kind."""
-    per_kind = []
-    for rank, (pattern, group, least) in enumerate(RULES.values()):
-        good = F.filter(matches(text, pattern, group), lambda m, least=least: F.length(m["value"]) >= least)
-        per_kind.append(F.transform(good, lambda m, rank=rank: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"))))
-    return F.array_sort(F.concat(*per_kind))
+    return F.array_sort(F.concat(*(_rule_spans(text, rank, *rule) for rank, rule in enumerate(RULES.values()))))
+
+
+def _rule_spans(text: Column, rank: int, pattern: str, group: int, least: int) -> Column:
+    good = F.filter(matches(text, pattern, group), lambda m: F.length(m["value"]) >= least)
+    return F.transform(good, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end")))
 
 
 def alphabet_size(token: Column) -> Column:
