@@ -7,7 +7,8 @@ Rules give the base spans (kinds assign, access, hex). The battery looks at ever
    serial correlation give three standard scores; their squares add up to one statistic, small for random strings;
 3. runs that are words by their form (letters, at most the first a capital) are the reference of text. For each
    class of length (powers of two) the share of the reference at or below a value estimates how often text looks as
-   random, and the largest value is taken at which the expected share of false finds stays within ``fdr``.
+   random, and the largest value is taken at which the expected share of false finds stays within ``fdr`` and which
+   uniformly random strings do not exceed but in one of a thousand cases (``accept``).
 
 The statistic is binned, so step 3 needs one small aggregate over all documents: at most a few hundred bins for each of
 some 30 length classes. Only the thresholds, one per length class, come to the driver.
@@ -19,6 +20,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -47,6 +49,7 @@ ALPHABETS = {
 @dataclass(frozen=True)
 class Battery:
     fdr: float = 0.05
+    accept: float = 16.27  #: the statistic of uniformly random strings stays below this in 999 of 1000 cases (chi-squared, 3 degrees)
     bins_per_unit: int = 20  #: of ln(1 + statistic)
 
 
@@ -124,7 +127,8 @@ def thresholds(docs: DataFrame, battery: Battery = Battery()) -> dict[int, int]:
     whole = Window.partitionBy("class")
     p = (1 + F.sum("words").over(upto)) / (1 + F.sum("words").over(whole))
     expected = F.try_divide(p * F.sum("tests").over(whole), F.sum("tests").over(upto))
-    good = bins.withColumn("rate", expected).where((F.col("rate") <= battery.fdr) & (F.col("tests") > 0))
+    most = int(math.log1p(battery.accept) * battery.bins_per_unit)
+    good = bins.withColumn("rate", expected).where((F.col("rate") <= battery.fdr) & (F.col("tests") > 0) & (F.col("bin") <= most))
     return {r["class"]: r["bin"] for r in good.groupBy("class").agg(F.max("bin").alias("bin")).collect()}  # a row per length class
 
 
