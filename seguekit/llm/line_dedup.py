@@ -55,7 +55,7 @@ def html_text(html: Column) -> Column:
     x = F.regexp_replace(text_or_empty(html), r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", "")
     x = F.regexp_replace(x, r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|nav|article|section|header|footer|title|body|head|html)(?:\s[^>]*)?/?>", "\n")
     x = F.regexp_replace(x, r"<[^>]*>", "")
-    return F.trim(F.regexp_replace(x, r"[ \t\r]*\n[\s]*", "\n"))
+    return F.btrim(F.regexp_replace(x, r"[ \t\r]*\n[\s]*", "\n"), F.lit(" \n\t\r"))
 
 
 def url_host(url: Column) -> Column:
