@@ -5,7 +5,7 @@ usual byte table, and every way to split a token in two known tokens is a merge,
 merges happen exactly where their result is the lowest rank, as with plain ranks. Texts are cut by the vocabulary's
 pattern. Each piece between two single spaces is cut and encoded once per worker and then looked up: a single space
 between two characters that aren't white space is always a boundary of the pattern, so pieces do not depend on their
-neighbours. The table of seen pieces is bounded and starts anew when full; it only saves time.
+neighbours. The table of seen pieces is bounded, starts anew when full and goes with the task; it only saves time.
 
 Decoding turns ids to token characters, those to bytes by the reversed table, and bytes to text at the end, so
 characters split over tokens come back whole. Offsets are code points in the text; a token that ends inside a
@@ -33,7 +33,7 @@ from tokenizers import Tokenizer, models
 #: White space that touches a space: there the spaces are no safe boundary by themselves.
 _TOUCHING = re.compile(r"\s | \s")
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
-SEEN_PIECES = 1_000_000
+SEEN_PIECES = 400_000
 
 
 def byte_table() -> list[str]:
@@ -83,7 +83,7 @@ class ByteBpe:
         of = {w: raw[a:b] for w, a, b in zip(words, [0, *ends], ends, strict=False)}
         self._seen.update((p, of[own[0]] if len(own) == 1 else b"".join([of[w] for w in own])) for p, own in zip(pieces, cut, strict=True))
 
-    def encode_batch(self, texts: list[str], at_once: int = 100_000) -> Iterator[bytes]:
+    def encode_batch(self, texts: list[str], at_once: int = 50_000) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; pieces are learnt ``at_once`` at most."""
         parts, ends = [], []
         for text in texts:
@@ -94,6 +94,9 @@ class ByteBpe:
                 parts, ends = [], []
         yield from self._ids(parts, ends, at_once)
 
+    def forget(self) -> None:
+        self._seen.clear()
+
     def _ids(self, parts: list[str], ends: list[int], at_once: int) -> Iterator[bytes]:
         seen, found = self._seen, []
         for i in range(0, len(parts), at_once):
@@ -167,6 +170,7 @@ def encode(docs: DataFrame, path: str, pattern: str, offsets: bool = False) -> D
             if offsets:
                 cols.append(pa.array([[{"start": s, "end": e} for s, e in bpe.offsets(x.tolist())] for x in ids], spans))
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "offsets"][: len(cols)])
+        bpe.forget()  # workers live on and serve other tasks
 
     kind = "doc_id long, ids array<int>" + ", offsets array<struct<start:bigint,end:bigint>>" * offsets
     return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, kind)
@@ -184,5 +188,6 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 rows.append((len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded).hexdigest()))
             n, a, d = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

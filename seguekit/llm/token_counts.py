@@ -5,7 +5,8 @@ sums are exact. The best segmentation of a pre-token has the highest sum, and am
 
 The forward score at a byte depends only on the bytes before it. The distinct pre-tokens of a batch are taken in sorted
 order, which is a depth-first walk through their trie: what two neighbours share is worked out once, and the state at
-each terminal is stored as the count of its pre-token. Counts of pieces already seen are kept in a bounded table.
+each terminal is stored as the count of its pre-token. Counts of pieces already seen are kept in a bounded table
+that goes with the task.
 
 Defined results: null texts are empty and have no token; texts of any length are counted whole; repeated rows are
 counted each; other columns are ignored.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from seguekit.llm.byte_bpe import read_ranks, safe_pieces
 
-SEEN_PIECES = 1_000_000
+SEEN_PIECES = 400_000
 UNIT = 1_000_000
 
 
@@ -88,6 +89,9 @@ class TrieCounter:
                 new = set()
         self._learn(new)
 
+    def forget(self) -> None:
+        self._seen.clear()
+
     def _learn(self, pieces: Iterable[str]) -> None:
         seen = self._seen
         new = [p for p in set(pieces) if p not in seen]
@@ -121,5 +125,6 @@ def token_counts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 counter.learn_batch(texts)
                 rows = list(counter.count_batch(texts))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] / UNIT for r in rows], pa.float64())], names=["doc_id", "n_pretokens", "n_tokens", "score"])
+        counter.forget()  # workers live on and serve other tasks
 
     return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long, score double")
