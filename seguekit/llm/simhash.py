@@ -124,35 +124,48 @@ def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
 
 
+def _long_runs(key: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(start, end) of the runs of two or more, and of the first and the last, which neighbouring batches may continue."""
+    starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
+    keep = ends - starts > 1
+    keep[0] = keep[-1] = True
+    return zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)
+
+
 def _edges_in_variants(variants: DataFrame, radius: int, dense: int) -> DataFrame:
     """(a, b, dense): links found in the variants; for a variant over ``dense`` only its members, as a = b rows."""
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        """The fingerprints of each key that two or more hold; a run may go on into the next batch."""
-        open_key, held = None, []
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, bool]]:
+        """The fingerprints of each key that two or more hold, and whether the key is dense.
+
+        A run may go on into the next batch. It is held up to ``dense`` fingerprints; beyond that its rows stream out.
+        """
+        open_key, held, n = None, [], 0
         for b in batches:
             key, fp = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp"))
             if not len(key):
                 continue
             cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-            starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
-            if open_key is not None and key[0] == open_key:
-                held.append(fp[: ends[0]])
-                if len(starts) == 1:
-                    continue
-                starts, ends = starts[1:], ends[1:]
-            if held and (sum(map(len, held))) > 1:
-                yield np.concatenate(held)
-            for i in np.flatnonzero(ends[:-1] - starts[:-1] > 1):
-                yield fp[starts[i] : ends[i]]
-            open_key, held = key[-1], [fp[starts[-1] : ends[-1]].copy()]
-        if held and sum(map(len, held)) > 1:
-            yield np.concatenate(held)
+            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True) if len(cuts) < 64 else _long_runs(key, cuts):
+                if key[start] != open_key:
+                    if 1 < n <= dense:
+                        yield np.concatenate(held), False
+                    open_key, held, n = key[start], [], 0
+                if n <= dense:
+                    held.append(fp[start:end].copy())
+                    n += end - start
+                    if n > dense:
+                        yield np.concatenate(held), True
+                        held = []
+                else:
+                    yield fp[start:end], True
+        if 1 < n <= dense:
+            yield np.concatenate(held), False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # variants repeat each other's edges; cleared when full
-        for g in groups(batches):
-            a, b, flag = (*forest(g, radius), False) if len(g) <= dense else (g, g, True)
+        for g, flag in groups(batches):
+            a, b = (g, g) if flag else forest(g, radius)
             pairs = [p for p in zip(a.tolist(), b.tolist(), strict=True) if p not in seen]
             if len(seen) > 200_000:
                 seen.clear()
