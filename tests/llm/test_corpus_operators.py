@@ -321,12 +321,12 @@ def test_wand_skips_but_stays_exact():
     rng = np.random.default_rng(3)
     terms = [f"w{i}" for i in range(6)]
     post = [(t, int(d), int(rng.integers(1, 1000))) for n, t in enumerate(terms) for d in rng.choice(2000, 30 * 4**min(n, 3), replace=False)]
-    index = topk_search.ShardIndex(np.array([p[0] for p in post], object), np.array([p[1] for p in post]), np.array([p[2] for p in post]), 16)
+    index = topk_search.ShardIndex(np.array([int(p[0][1:]) for p in post]), np.array([p[1] for p in post]), np.array([p[2] for p in post]), 16)
     for k in (1, 5, 50):
         total = Counter()
         for _, d, s in post:
             total[d] += s
-        assert index.top(terms, k) == sorted(total.items(), key=lambda x: (-x[1], x[0]))[:k]
+        assert index.top([int(t[1:]) for t in terms], k) == sorted(total.items(), key=lambda x: (-x[1], x[0]))[:k]
 
 
 def test_search_empty(spark):
