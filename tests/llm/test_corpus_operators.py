@@ -352,3 +352,10 @@ def test_pipeline_stages(spark):
     assert mixed.columns == columns and {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in once.collect()}
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
+
+
+def test_pipeline_drops_a_sources_header(spark):
+    rows = [(i, f"site header\nbody {i} text" if i % 5 == 0 else f"body {i} text", "en", "s", 0) for i in range(100)]
+    out = dict(corpus_pipeline.STAGES)["line dedup"](spark, spark.createDataFrame(rows, DOCS), "")
+    assert {r.text for r in out.collect()} == {f"body {i} text" for i in range(100)}
+    assert all(r.n_chars in (0, len(r.text)) for r in out.collect())
