@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +18,12 @@ SAMPLE_SCHEMA = (
 )
 
 
-def read_samples(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_samples(spark: SparkSession, paths: str | list[str], multi_line: bool = True) -> DataFrame:
     """Rows of JSON files that hold a list of samples, with the ``source`` (file stem without _analysis, 40 characters).
 
-    Unreadable files and files that hold no list of samples give no row.
+    Unreadable files and files that hold no list of samples give no row. ``multi_line``: a file is one JSON document; otherwise every line is a sample, and files can be split.
     """
-    raw = spark.read.schema(SAMPLE_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").json(paths)
+    raw = spark.read.schema(SAMPLE_SCHEMA).option("multiLine", multi_line).option("mode", "PERMISSIVE").json(paths)
     stem = F.regexp_replace(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.json)?$", 1), "_analysis$", "")
     good = F.col("_corrupt_record").isNull() & (F.col("from_track").isNotNull() | F.col("crossfade_type").isNotNull())
     return raw.withColumn("source", F.substring(stem, 1, 40)).where(good).drop("_corrupt_record")
@@ -65,3 +68,14 @@ def write_events_csv(df: DataFrame, path: str) -> None:
 def write_splits(df: DataFrame, path: str) -> None:
     """One folder per value of ``split``."""
     df.write.mode("error").partitionBy("split").parquet(path)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of ``spark.checkpoint.dir``; in a folder of our own only where none is set."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not sc._jsc.sc().getCheckpointDir().isDefined():
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="seguekit-checkpoint-"))
+        root = sc._jsc.sc().getCheckpointDir().get()
+    return f"{root}/{name}-{uuid.uuid4().hex}"
