@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from seguekit.llm.byte_bpe import read_ranks, safe_pieces
 
-SEEN_PIECES = 400_000
+SEEN_PIECES = 700_000
 UNIT = 1_000_000
+BITS = 40
+FIELD = (1 << BITS) - 1
 
 
 def zipf_scores(ranks: dict[bytes, int]) -> dict[bytes, int]:
@@ -39,7 +41,7 @@ class TrieCounter:
         self.scores = scores
         self.endings = {t[i:] for t in scores for i in range(len(t))}  # a look back stops where no token ends so
         self._findall = regex.compile(pattern).findall
-        self._seen: dict[str, tuple[int, int, int]] = {}
+        self._seen: dict[str, int] = {}  # pre-tokens, tokens and -score of a piece side by side in one number, so that a text is one sum
 
     def terminals(self, words: Iterable[bytes]) -> dict[bytes, tuple[int, int]]:
         """(tokens, score) of each word. ``best`` and ``count`` hold the states of the trie path to the last word."""
@@ -65,29 +67,28 @@ class TrieCounter:
             last = w
         return out
 
-    def count_batch(self, texts: list[str], at_once: int = 100_000) -> Iterator[tuple[int, int, int]]:
-        """(pre-tokens, tokens, score) of each text."""
+    def count_batch(self, texts: list[str], at_once: int = 200_000) -> Iterator[tuple[int, int, int]]:
+        """(pre-tokens, tokens, score) of each text. Pieces of many texts are learnt together, so that the trie shares more."""
+        parts, ends = [], []
         for text in texts:
-            pre = tokens = score = 0
-            parts = safe_pieces(text)
-            for i in range(0, len(parts), at_once):
-                some = parts[i : i + at_once]
-                self._learn(some)
-                for a, b, c in map(self._seen.__getitem__, some):
-                    pre += a
-                    tokens += b
-                    score += c
-            yield pre, tokens, score
-
-    def learn_batch(self, texts: list[str], most: int = 200_000) -> None:
-        """Take the pieces of the texts together, so that the trie shares more."""
-        new: set[str] = set()
-        for text in texts:
-            new.update(p for p in safe_pieces(text) if p not in self._seen)
-            if len(new) >= most:
-                self._learn(new)
-                new = set()
-        self._learn(new)
+            parts += safe_pieces(text)
+            ends.append(len(parts))
+            if len(parts) >= at_once:
+                yield from self._sums(parts, ends, at_once)
+                parts, ends = [], []
+        yield from self._sums(parts, ends, at_once)
+
+    def _sums(self, parts: list[str], ends: list[int], at_once: int) -> Iterator[tuple[int, int, int]]:
+        packed: list[int] = []
+        for i in range(0, len(parts), at_once):
+            some = parts[i : i + at_once]
+            self._learn(some)
+            packed += map(self._seen.__getitem__, some)
+        start = 0
+        for end in ends:
+            total = sum(packed[start:end])
+            yield total & FIELD, total >> BITS & FIELD, -(total >> 2 * BITS)
+            start = end
 
     def forget(self) -> None:
         self._seen.clear()
@@ -100,11 +101,11 @@ class TrieCounter:
         if len(seen) > SEEN_PIECES:
             seen.clear()
             new = list(set(pieces))
-        cut = [[w.encode("utf-8") for w in self._findall(p)] for p in new]
+        cut = [[p.encode("utf-8")] if p[0] == " " and p[1:].isalpha() else [w.encode("utf-8") for w in self._findall(p)] for p in new]
         of = self.terminals({w for own in cut for w in own})
         for p, own in zip(new, cut, strict=True):
-            ends = [of[w] for w in own]
-            seen[p] = (len(own), sum(e[0] for e in ends), sum(e[1] for e in ends))
+            tokens, score = of[own[0]] if len(own) == 1 else map(sum, zip(*(of[w] for w in own), strict=True))
+            seen[p] = len(own) | tokens << BITS | -score << 2 * BITS
 
 
 @lru_cache(maxsize=2)
@@ -119,11 +120,9 @@ def token_counts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = load(path, pattern)
         for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
-                texts = part.column("text").to_pylist()
-                counter.learn_batch(texts)
-                rows = list(counter.count_batch(texts))
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                rows = list(counter.count_batch(part.column("text").to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] / UNIT for r in rows], pa.float64())], names=["doc_id", "n_pretokens", "n_tokens", "score"])
         counter.forget()  # workers live on and serve other tasks
 
