@@ -1,19 +1,20 @@
 """Exact BM25 top-k search: an inverted index per shard, block-max WAND, and an exact merge by global statistics.
 
-Statistics (documents, mean length, document frequencies) are global. A query is the ``query_terms`` rarest terms that
-its whole text shares with at least one other document (ties by term), or all of them if ``query_terms`` is None. Only
+Statistics (documents, mean length, document frequencies) are global. A query is all terms of its whole text that at
+least ``least_df`` documents hold, or the ``query_terms`` rarest of them (ties by term) if that is a number. Only
 postings of terms that some query holds are kept. Impacts, the contributions of a term to a document, are rounded to
 millionths, so that sums don't depend on their order and ties are exact.
 
-Postings are dealt to shards by document. Each shard indexes its own and knows each term's largest impact; a query
-visits only shards that hold one of its terms. There block-max WAND walks the query's lists: documents whose bound by
-list, and then by block, does not beat the k-th best so far are skipped. The k best of all shards are the k best.
+Documents are dealt to shards by id. Each shard indexes its own and answers with its k best; the k best of all shards
+are the k best. Queries of up to ``wand_terms`` terms walk their lists by block-max WAND: documents whose bound by list,
+and then by block, does not beat the k-th best so far are skipped. A longer query's bounds beat the bar nearly
+everywhere, so its scores are summed for all documents of the shard, many queries at a time.
 
-Queries of equal terms are asked once. Shards hold about ``shard_postings`` postings, so their number grows with the
-data; the terms of queries are sent to the tasks only up to ``broadcast_terms``, beyond that postings are joined to
-them by shuffle. Terms are numbered once they are known, so postings are three numbers.
+Queries of equal terms are asked once. Shards hold about ``shard_postings`` postings and a pass over them takes queries of
+about ``broadcast_terms`` terms, so a task holds a bounded block of queries and a bounded shard; shards and passes
+grow with the data. The work is the product of queries and documents, as every document may share a term.
 
-Defined results: rows with null ids neither ask nor answer; null texts are empty; a query without shared terms has no
+Defined results: rows with null ids neither ask nor answer; null texts are empty; a query without such terms has no
 row; rows of one id count as one document with its largest impacts; equal scores are ranked by id; a document finds
 itself; other columns are ignored.
 """
@@ -27,15 +28,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seguekit.llm.common import cut, unaligned
+from seguekit.llm.common import cut
 
 _TERM = re.compile(r"[^\W_]+")
 UNIT = 1_000_000
+CELLS = 1 << 22  # scores that are summed at a time
 
 
 @dataclass(frozen=True)
@@ -45,8 +46,14 @@ class Bm25:
     b: float = 0.75
     query_terms: int | None = 8
     block: int = 64
-    shard_postings: int = 1_000_000
-    broadcast_terms: int = 1_000_000
+    shard_postings: int = 4_000_000
+    broadcast_terms: int = 4_000_000
+    least_df: int = 2  #: 1 takes a query's terms that no other document holds, too
+    wand_terms: int = 8
+
+
+#: A query is its whole text.
+WHOLE = Bm25(query_terms=None, least_df=1)
 
 
 def terms_of(text: str | None) -> list[str]:
@@ -76,59 +83,106 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def _postings(docs: DataFrame, only: frozenset | None) -> DataFrame:
-    """(doc_id, term, tf, size) of all terms, or of those in ``only``; terms once a document."""
+def _held(docs: DataFrame) -> DataFrame:
+    """(doc_id, term): terms once a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, terms, tfs, sizes = [], [], [], []
+            ids, terms = [], []
 
             def out():
-                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.string()), pa.array(tfs, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "term", "tf", "size"])  # noqa: B023
+                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.string())], names=["doc_id", "term"])  # noqa: B023
 
             for i, x in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                words = terms_of(x.as_py())
-                tf = Counter(words if only is None else [w for w in words if w in only])
-                ids += [i] * len(tf)
-                terms += tf.keys()
-                tfs += tf.values()
-                sizes += [len(words)] * len(tf)
+                own = set(terms_of(x.as_py()))
+                ids += [i] * len(own)
+                terms += own
                 if len(ids) > 50_000:
                     yield out()
-                    ids, terms, tfs, sizes = [], [], [], []
+                    ids, terms = [], []
             yield out()
 
-    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, term string, tf long, size long")
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, term string")
 
 
-def impact(tf: Column, size: Column, df: Column, docs: int, mean: float, p: Bm25) -> Column:
-    idf = F.log1p((docs - df + 0.5) / (df + 0.5))
-    return F.floor(idf * (tf * (p.k1 + 1)) / (tf + p.k1 * (1 - p.b + p.b * size / mean)) * UNIT + 0.5).cast("long")
+def impact(tf: np.ndarray, size: np.ndarray, df: np.ndarray, docs: int, mean: float, p: Bm25) -> np.ndarray:
+    idf = np.log1p((docs - df + 0.5) / (df + 0.5))
+    return np.floor(idf * (tf * (p.k1 + 1)) / (tf + p.k1 * (1 - p.b + p.b * size / mean)) * UNIT + 0.5).astype(np.int64)
 
 
 class ShardIndex:
     """Postings of one shard, by term and document, with the largest impact of each list and block."""
 
     def __init__(self, terms: np.ndarray, docs: np.ndarray, impacts: np.ndarray, block: int):
-        names, of = np.unique(terms, return_inverse=True)
+        self.names, of = np.unique(terms, return_inverse=True)
+        self.ids, docs = np.unique(docs, return_inverse=True)
         order = np.lexsort((docs, of))
         of, docs, impacts = of[order], docs[order], impacts[order]
         first = np.ones(len(docs), bool)
         first[1:] = (of[1:] != of[:-1]) | (docs[1:] != docs[:-1])
         if len(docs):
             impacts = np.maximum.reduceat(impacts, np.flatnonzero(first))
-        of, docs = of[first], docs[first]
-        ends = np.searchsorted(of, np.arange(len(names)), side="right")
-        self.block, self.lists, start = block, {}, 0
-        for name, end in zip(names.tolist(), ends.tolist(), strict=True):
-            own = impacts[start:end]
-            tops = np.maximum.reduceat(own, np.arange(0, len(own), block))
-            self.lists[name] = (docs[start:end].tolist(), own.tolist(), tops.tolist(), int(own.max()))
-            start = end
+        of, self.docs, self.impacts = of[first], docs[first].astype(np.int32), impacts
+        self.bounds = np.searchsorted(of, np.arange(len(self.names) + 1))
+        self.block = block
+
+    def _list(self, term):
+        """Documents, impacts, largest impact of each block and of all; None for a term that the shard doesn't hold."""
+        n = np.searchsorted(self.names, term)
+        if n == len(self.names) or self.names[n] != term:
+            return None
+        own = slice(self.bounds[n], self.bounds[n + 1])
+        impacts = self.impacts[own]
+        tops = np.maximum.reduceat(impacts, np.arange(0, len(impacts), self.block))
+        return self.ids[self.docs[own]].tolist(), impacts.tolist(), tops.tolist(), int(impacts.max())
+
+    def top_many(self, queries: np.ndarray, terms: np.ndarray, count: int, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, documents, scores) of the k best by score, then id, of queries 0 to ``count``; pairs of a query and a term, by query.
+
+        Scores are sums over all postings: by a matrix product for terms that over an eighth of the documents hold,
+        a list at a time for other long lists, and the short ones of all queries together. Whole numbers below
+        2 ** 53 are exact as doubles.
+        """
+        n_docs = len(self.ids)
+        at = np.minimum(np.searchsorted(self.names, terms), max(len(self.names) - 1, 0))
+        found = self.names[at] == terms if len(self.names) else np.zeros(len(terms), bool)
+        queries, at = queries[found], at[found]
+        sizes = np.diff(self.bounds)
+        common = np.flatnonzero(sizes * 8 > n_docs)
+        place = np.full(len(sizes), -1)
+        place[common] = np.arange(len(common))
+        matrix = np.zeros((len(common), n_docs))
+        for row, n in enumerate(common):
+            own = slice(self.bounds[n], self.bounds[n + 1])
+            matrix[row, self.docs[own]] = self.impacts[own]
+        step = max(1, CELLS // max(n_docs, 1))
+        for low in range(0, count, step):
+            high = min(count, low + step)
+            own = slice(*np.searchsorted(queries, (low, high)))
+            q, t = queries[own] - low, at[own]
+            dense, long = place[t] >= 0, sizes[t] > 256
+            picks = np.zeros((high - low, len(common)))
+            picks[q[dense], place[t[dense]]] = 1
+            scores = picks @ matrix
+            mid = np.flatnonzero(~dense & long)
+            for i in mid[np.argsort(t[mid], kind="stable")].tolist():
+                held = slice(self.bounds[t[i]], self.bounds[t[i] + 1])
+                scores[q[i]][self.docs[held]] += self.impacts[held]
+            few = np.flatnonzero(~dense & ~long)
+            for part in np.split(few, np.searchsorted(np.cumsum(sizes[t[few]]), np.arange(CELLS, sizes[t[few]].sum(), CELLS))):
+                n = sizes[t[part]]
+                ends = np.cumsum(n)
+                from_ = np.repeat(self.bounds[t[part]] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+                np.add.at(scores.reshape(-1), np.repeat(q[part] * n_docs, n) + self.docs[from_], self.impacts[from_].astype(float))
+            bars = np.partition(scores, n_docs - k, axis=1)[:, n_docs - k] if n_docs > k else np.zeros(high - low)
+            for row, bar in enumerate(bars):
+                hits = np.flatnonzero(scores[row] >= max(bar, 1))
+                best = hits[np.lexsort((hits, -scores[row, hits]))[:k]]
+                yield low + row, self.ids[best], scores[row, best].astype(np.int64)
 
     def top(self, terms: list, k: int) -> list[tuple[int, int]]:
         """(document, score) of the k best by score, then id."""
-        lists = [self.lists[t] for t in terms if t in self.lists]
+        lists = [x for x in map(self._list, terms) if x is not None]
         at = [0] * len(lists)
         heap: list[tuple[int, int]] = []  # (score, -doc); documents come in ascending order, so equals never replace
         bar = 0
@@ -194,8 +248,8 @@ class ShardIndex:
 
 def _query_terms(docs: DataFrame, asks: Column, stats: DataFrame, p: Bm25) -> DataFrame:
     """(query_id, term, n): the terms of each query."""
-    held = _postings(docs.where(asks), None).select("doc_id", "term").distinct()
-    known = held.join(stats.where("n >= 2").withColumnRenamed("term", "__t"), F.col("term") == F.col("__t")).select(F.col("doc_id").alias("query_id"), "term", "n")
+    held = _held(docs.where(asks)).distinct()
+    known = held.join(stats.where(F.col("n") >= p.least_df).withColumnRenamed("term", "__t"), F.col("term") == F.col("__t")).select(F.col("doc_id").alias("query_id"), "term", "n")
     if p.query_terms is None:
         return known
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("n", "term"))
@@ -210,29 +264,86 @@ def search(docs: DataFrame, asks: Column, p: Bm25 = Bm25()) -> DataFrame:
     asked = cut(_query_terms(docs, asks, stats.where(~F.col("term").isin("", " ")), p))
 
     # Queries of equal terms are asked once, by the smallest id.
-    of_query = asked.groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    same = F.sha2(F.array_join("terms", " "), 256)
-    of_query = cut(of_query.select("query_id", same.alias("same"), "terms"))
-    reps = of_query.groupBy("same").agg(F.min("query_id").alias("rep"), F.first("terms").alias("terms"))
-
-    wanted = cut(asked.select("term", "n").distinct().withColumn("tid", F.monotonically_increasing_id()))
-    if wanted.count() <= p.broadcast_terms:
-        held = _postings(docs, frozenset(r["term"] for r in wanted.select("term").toLocalIterator())).join(F.broadcast(wanted), "term")
-    else:
-        held = _postings(docs, None).join(wanted, "term")
-    postings = cut(held.select("tid", "doc_id", impact(F.col("tf"), F.col("size"), F.col("n"), n_docs, mean, p).alias("impact")))
-    shards = max(1, -(-postings.count() // p.shard_postings))
-    dealt = postings.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-    routes = dealt.select(unaligned(F.col("tid")).alias("__t"), F.col("shard").alias("visited")).distinct()
-    asks_of = reps.select("same", F.explode("terms").alias("term")).join(wanted.select(F.col("term").alias("__term"), F.col("tid").alias("wants")), F.col("term") == F.col("__term"))
-    visits = asks_of.join(routes, F.col("wants") == F.col("__t")).select("visited", "same", "wants")
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        index = ShardIndex(left["tid"].to_numpy(), left["doc_id"].to_numpy(), left["impact"].to_numpy(), p.block)
-        rows = [(q, d, s) for q, terms in right.groupby("same")["wants"] for d, s in index.top(terms.tolist(), p.k)]
-        return pd.DataFrame(rows, columns=["same", "doc_id", "score"])
-
-    best = dealt.groupBy("shard").cogroup(visits.groupBy("visited")).applyInPandas(run, "same string, doc_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("same").orderBy(F.desc("score"), "doc_id"))
+    of_query = asked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "n"))).alias("terms"))
+    of_query = cut(of_query.select("query_id", F.sha2(F.array_join("terms.term", " "), 256).alias("same"), "terms"))
+    reps = cut(of_query.groupBy("same").agg(F.min("query_id").alias("rep"), F.first("terms").alias("terms")))
+
+    total, pairs, queries = (x or 0 for x in (*stats.where(~F.col("term").isin("", " ")).agg(F.sum("n")).first(), *reps.agg(F.sum(F.size("terms")), F.count("*")).first()))
+    shards = max(1, -(-total // p.shard_postings))
+    passes = max(1, min(queries, -(-pairs // max(p.broadcast_terms, 1))))
+    dealt = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartition(shards, "doc_id")
+    best = None
+    for i in range(passes):
+        block = reps.where(F.pmod(F.xxhash64("rep"), F.lit(passes)) == i).select("rep", "terms").toArrow()  # of bounded size
+        sent = docs.sparkSession.sparkContext.broadcast(_packed(block))
+        found = cut(dealt.mapInArrow(_answers(sent, n_docs, mean, p), "rep long, doc_id long, score long"))
+        sent.unpersist()
+        best = found if best is None else best.unionByName(found)
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("score"), "doc_id"))
     top = best.withColumn("rank", rank).where(F.col("rank") <= p.k)
-    return of_query.select("query_id", "same").join(top, "same").select("query_id", "rank", "doc_id", (F.col("score") / UNIT).alias("score"))
+    asked_by = of_query.select("query_id", "same").join(reps.select("same", F.col("rep").alias("__rep")), "same")
+    return asked_by.join(top, F.col("__rep") == F.col("rep")).select("query_id", "rank", "doc_id", (F.col("score") / UNIT).alias("score"))
+
+
+def _packed(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, str, np.ndarray]:
+    """Ids of the queries, their (query, term) pairs by number, and the words and document frequencies of the terms."""
+    lists = block.column("terms").combine_chunks()
+    flat = lists.flatten()
+    words = flat.field("term").dictionary_encode()
+    numbers = words.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+    df = np.zeros(len(words.dictionary), np.int64)
+    df[numbers] = flat.field("n").to_numpy(zero_copy_only=False)
+    lengths = np.diff(lists.offsets.to_numpy())
+    queries = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    return block.column("rep").to_numpy(), queries, numbers, " ".join(words.dictionary.to_pylist()), df
+
+
+def _answers(sent, n_docs: int, mean: float, p: Bm25):
+    """A map of one shard's documents to the k best of each query that was sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reps, queries, terms, words, df = sent.value
+        number = {w: i for i, w in enumerate(words.split(" "))} if words else {}
+        ids, sizes, counts, tids, tfs = [], [], [], [], []
+        for b in batches:
+            for i, x in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+                own = terms_of(x.as_py())
+                tf = Counter(own)
+                known = [w for w in tf if w in number]
+                ids.append(i)
+                sizes.append(len(own))
+                counts.append(len(known))
+                tids.append(np.array([number[w] for w in known], np.int32))
+                tfs.append(np.array([tf[w] for w in known], np.int32))
+        del number
+        if not sum(counts):
+            return
+        tid, tf = np.concatenate(tids), np.concatenate(tfs)
+        del tids, tfs
+        index = ShardIndex(tid, np.repeat(np.array(ids, np.int64), counts), impact(tf, np.repeat(np.array(sizes, np.int64), counts), df[tid], n_docs, mean, p), p.block)
+        del tid, tf
+        short = np.bincount(queries, minlength=len(reps)) <= p.wand_terms
+        walked = short[queries]
+        ends = np.cumsum(np.bincount(queries[walked], minlength=len(reps)))
+        walks = terms[walked]
+
+        def answers():
+            for q in np.flatnonzero(short).tolist():
+                got = index.top(walks[ends[q - 1] if q else 0 : ends[q]].tolist(), p.k)
+                yield q, [d for d, _ in got], [s for _, s in got]
+            numbers = np.cumsum(~short) - 1  # of the long queries among themselves
+            names = np.flatnonzero(~short)
+            for q, docs, scores in index.top_many(numbers[queries[~walked]], terms[~walked], len(names), p.k):
+                yield names[q], docs.tolist(), scores.tolist()
+
+        out: list[list[int]] = [[], [], []]
+        for q, docs, scores in answers():
+            out[0] += [int(reps[q])] * len(docs)
+            out[1] += docs
+            out[2] += scores
+            if len(out[0]) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["rep", "doc_id", "score"])
+                out = [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["rep", "doc_id", "score"])
+
+    return run

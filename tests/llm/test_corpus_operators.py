@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seguekit.llm import byte_bpe, media, mixing, simhash, token_counts, topk_search
+from seguekit.llm import byte_bpe, media, mixing, queries, simhash, token_counts, topk_search
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 PATH, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -329,6 +329,39 @@ def test_wand_skips_but_stays_exact():
         assert index.top([int(t[1:]) for t in terms], k) == sorted(total.items(), key=lambda x: (-x[1], x[0]))[:k]
 
 
+def test_registered_search_asks_with_the_whole_text(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"t{rng.randint(0, 60)}" for _ in range(rng.randint(1, 60))), "s") for i in range(160)] + [(180, "held by no other text", "s")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in queries.op10_topk_search(spark, str(tmp_path)).collect())
+    tf = {i: Counter(t.split()) for i, t, _ in rows}
+    df = Counter(w for c in tf.values() for w in c)
+    mean = sum(sum(c.values()) for c in tf.values()) / len(tf)
+    want = []
+    for q in (i for i in tf if i % 20 == 0):
+        score = Counter()
+        for w in tf[q]:
+            idf = math.log1p((len(tf) - df[w] + 0.5) / (df[w] + 0.5))
+            for i, c in tf.items():
+                if w in c:
+                    score[i] += math.floor(idf * (c[w] * 2.2) / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) * 1e6 + 0.5)
+        want += [(q, n + 1, i, s / 1e6) for n, (i, s) in enumerate(sorted(score.items(), key=lambda x: (-x[1], x[0]))[:10])]
+    assert got == sorted(want)
+
+
+def test_sums_of_long_queries_equal_the_walk(monkeypatch):
+    monkeypatch.setattr(topk_search, "CELLS", 4000)
+    rng = np.random.default_rng(5)
+    n = [2, 40, 280, 290, 700, 1500]
+    post = [(t, int(d), int(rng.integers(1, 50))) for t, size in enumerate(n) for d in rng.choice(2400, size, replace=False)] + [(0, 1, 60), (0, 1, 7)]
+    index = topk_search.ShardIndex(*(np.array(x) for x in zip(*post, strict=True)), 16)
+    asked = [sorted(rng.choice(8, int(rng.integers(1, 8)), replace=False).tolist()) for _ in range(30)] + [[7]]
+    q, t = np.repeat(np.arange(31), [len(x) for x in asked]), np.concatenate([np.array(x) for x in asked])
+    for k in (1, 10, 3000):
+        got = {i: list(zip(d.tolist(), s.tolist(), strict=True)) for i, d, s in index.top_many(q, t, 31, k)}
+        assert got == {i: index.top(x, k) for i, x in enumerate(asked)}
+
+
 def test_search_empty(spark):
     assert topk_search.search(docs(spark, []), F.col("doc_id") % 20 == 0).collect() == []
 
