@@ -28,7 +28,8 @@ def boilerplate_lines(pages: DataFrame, host: Column, text: Column, max_ratio: f
     """host, lines: the 64-bit hashes of each host's boilerplate lines (hosts with none are absent)."""
     hashes = F.array_distinct(F.transform(F.filter(F.transform(page_lines(text), F.trim), lambda x: x != ""), lambda x: F.xxhash64(x)))
     seen = pages.select(host.alias("__host"), F.coalesce(hashes, F.array().cast("array<bigint>")).alias("__hashes")).where(F.col("__host").isNotNull() & (F.col("__host") != ""))
-    counted = seen.select("__host", F.explode("__hashes").alias("__line")).groupBy("__host", "__line").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_pages)
+    lines = seen.select("__host", F.explode_outer("__hashes").alias("__line")).where(F.col("__line").isNotNull())  # a plain explode filters by size first and takes the lines twice
+    counted = lines.groupBy("__host", "__line").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_pages)
     totals = seen.groupBy("__host").agg(F.count("*").alias("__pages")).select(F.col("__host").alias("__site"), "__pages", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__s"))
     same = (F.col("__host") == F.col("__site")) & (F.pmod(F.col("__line"), F.lit(salts)).cast("int") == F.col("__s"))
     over = counted.join(totals, same).where(F.col("__n") > F.lit(max_ratio) * F.col("__pages"))

@@ -33,7 +33,7 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", line_dedup.url_host(F.col("url")).alias("host"), line_dedup.html_text(F.col("html")).alias("text"))
-    kept = line_dedup.drop_boilerplate(pages, F.col("host"))
+    kept = line_dedup.drop_boilerplate(pages, F.col("host"), min_pages=2)  # the ratio decides; a line of one page is no repeat
     return kept.select("page_id", "host", "lines_total", "lines_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -8,7 +8,7 @@ import string
 import pytest
 from pyspark.sql import functions as F
 
-from seguekit.llm import chat, line_dedup, secret_scan, toxicity
+from seguekit.llm import chat, line_dedup, queries, secret_scan, toxicity
 
 TURNS = "conv_id long, turn long, role string, text string"
 DOCS = "doc_id long, text string, source string, size int, score string"  # the last two clash with columns of operators
@@ -111,6 +111,14 @@ def test_line_dedup_needs_pages_and_more_than_the_ratio(spark):
     assert line_dedup.drop_boilerplate(spark.createDataFrame([], DOCS), F.col("source")).collect() == []
 
 
+def test_registered_line_dedup_drops_lines_of_small_hosts(spark, tmp_path):
+    pages = [(i, f"https://{'small' if i < 4 else 'large'}.example/{i}", f"<p>menu</p><p>body {i}</p>" if i < 3 or i >= 25 else f"<p>body {i}</p>") for i in range(30)]
+    pages.append((30, "https://lone.example/", "<p>menu</p><p>only page</p>"))
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    dropped = {r.page_id: r.lines_dropped for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert dropped == {i: int(i < 3) for i in range(31)}  # 3 of 4 pages are over the ratio, 5 of 26 below
+
+
 def test_html_text_and_host(spark):
     df = spark.createDataFrame([("<p>a<b>b</b></p><script>x<p></script><!-- c --><div class='q'>d</div>", "HTTPS://User.Example.com:80/x?y"), (None, None)], "html string, url string")
     got = df.select(line_dedup.html_text(F.col("html")).alias("t"), line_dedup.url_host(F.col("url")).alias("h")).collect()
