@@ -5,13 +5,14 @@ Rules give the base spans (kinds assign, access, hex). The battery looks at ever
 1. its encoding is inferred (hex, base32, alphanumeric, base64) and gives the alphabet;
 2. chi-squared uniformity over that alphabet, a runs test (lower against upper half of the alphabet) and lag-1
    serial correlation give three standard scores; their squares add up to one statistic, small for random strings;
-3. runs that are words by their form (letters, at most the first a capital) are the reference of text. For each
-   class of length (powers of two) the share of the reference at or below a value estimates how often text looks as
+3. runs that are words by their form (letters, at most the first a capital) are the reference of text, and so are the
+   shorter words at the start of each document, joined to the least length of every class: text of that length exists
+   whether or not the language has such words. For each class of length (powers of two) the share of the reference at or below a value estimates how often text looks as
    random, and the largest value is taken at which the expected share of false finds stays within ``fdr`` and which
    uniformly random strings do not exceed but in one of a thousand cases (``accept``).
 
 The statistic is binned, so step 3 needs one small aggregate over all documents: at most a few hundred bins for each of
-some 30 length classes. Only the thresholds, one per length class, come to the driver.
+the length classes; lengths from 128 on are one class. Only the thresholds, one per length class, come to the driver.
 
 Offsets count code points, ends are exclusive. Defined results: null texts are empty and have no span; added spans
 that overlap a base span are left out; a class without reference words adds nothing; repeated rows are scanned each;
@@ -38,6 +39,7 @@ KINDS = (*RULES, "random")
 SPAN = "struct<start:bigint,rank:int,end:bigint>"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WORDLIKE = r"^[A-Za-z][a-z]*$|^[A-Z]+$"
+REFERENCE_LENGTHS = (20, 32, 64, 128)  # the least length of each class
 ALPHABETS = {
     16: "0123456789abcdef",
     32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
@@ -111,17 +113,27 @@ def _statistic(token: Column, size: int, letters: str) -> Column:
 
 def candidates(text: Column, battery: Battery) -> Column:
     """array<struct<start,end,class,bin,word>> of the long runs of encoding characters."""
+    return F.transform(matches(text, CANDIDATE), lambda m: _judged(m, battery, m["value"].rlike(WORDLIKE)))
 
-    def judge(m: Column) -> Column:
-        bin_ = F.floor(F.log1p(statistic(m["value"])) * battery.bins_per_unit).cast("int")
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.floor(F.log2(F.length(m["value"]))).cast("int").alias("class"), bin_.alias("bin"), m["value"].rlike(WORDLIKE).alias("word"))
 
-    return F.transform(matches(text, CANDIDATE), judge)
+def _judged(m: Column, battery: Battery, word: Column) -> Column:
+    bin_ = F.floor(F.log1p(statistic(m["value"])) * battery.bins_per_unit).cast("int")
+    class_ = F.least(F.floor(F.log2(F.length(m["value"]))), F.floor(F.log2(F.lit(REFERENCE_LENGTHS[-1])))).cast("int")
+    return F.struct(m["start"].alias("start"), m["end"].alias("end"), class_.alias("class"), bin_.alias("bin"), word.alias("word"))
+
+
+def joined_words(text: Column, battery: Battery) -> Column:
+    """Like ``candidates``: the words in the first 2,000 characters, joined and taken at each of the reference lengths."""
+    words = F.filter(F.split(F.substring(text, 1, 2000), r"\s+"), lambda w: w.rlike(WORDLIKE) & (F.length(w) < 20))
+    sizes = F.array(*(F.lit(n).cast("long") for n in REFERENCE_LENGTHS))
+    runs = F.transform(F.array(F.array_join(words, "")), lambda j: F.transform(F.filter(sizes, lambda n: F.length(j) >= n), lambda n: F.struct(F.lit(0).cast("long").alias("start"), n.alias("end"), j.substr(F.lit(1), n.cast("int")).alias("value"))))
+    return F.transform(F.flatten(runs), lambda m: _judged(m, battery, F.lit(True)))
 
 
 def thresholds(docs: DataFrame, battery: Battery = Battery()) -> dict[int, int]:
     """Length class -> largest bin that is flagged, from all documents."""
-    each = docs.select(F.explode(candidates(text_or_empty(), battery)).alias("c")).select("c.class", "c.bin", "c.word")
+    text = text_or_empty()
+    each = docs.select(F.explode_outer(F.concat(candidates(text, battery), joined_words(text, battery))).alias("c")).where(F.col("c").isNotNull()).select("c.class", "c.bin", "c.word")
     bins = each.groupBy("class", "bin").agg(F.count_if("word").alias("words"), F.count_if(~F.col("word")).alias("tests"))
     upto = Window.partitionBy("class").orderBy("bin")
     whole = Window.partitionBy("class")

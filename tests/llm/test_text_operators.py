@@ -83,6 +83,19 @@ def test_secret_battery_flags_random_strings_and_spares_words(spark):
     assert sum(bool(got[i]) for i in range(720, 780)) <= 10
 
 
+def test_secret_battery_finds_bare_keys_among_ordinary_words(spark):
+    rng = random.Random(11)
+    words = "the river ran past an old stone tree and we walked along its bank until evening came with wind from north over sand".split()
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    prose = lambda: " ".join(rng.choice(words) for _ in range(60))
+    keys = {i: "".join(rng.choice(letters) for _ in range(44)) for i in range(20)}
+    rows = [(i, f"{prose()} {keys[i]} {prose()}" if i in keys else prose(), "en", 1, "x") for i in range(300)]
+    rows.append((300, f"{prose()} theRiverRanPastTheOldStoneTreeAndWeWalkedAlong", "en", 1, "x"))
+    got = {r.doc_id: [(s.start, s.end) for s in r.added] for r in secret_scan.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    found = sum(got[i] == [(rows[i][1].index(k), rows[i][1].index(k) + 44)] for i, k in keys.items())
+    assert found >= 18 and not any(got[i] for i in range(20, 301))
+
+
 def test_secret_empty_table(spark):
     assert secret_scan.scan(spark.createDataFrame([], DOCS)).collect() == []
 
