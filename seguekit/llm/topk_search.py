@@ -7,8 +7,8 @@ millionths, so that sums don't depend on their order and ties are exact.
 
 Documents are dealt to shards by id. Each shard indexes its own and answers with its k best; the k best of all shards
 are the k best. Queries of up to ``wand_terms`` terms walk their lists by block-max WAND: documents whose bound by list,
-and then by block, does not beat the k-th best so far are skipped. A longer query's bounds beat the bar nearly
-everywhere, so its scores are summed for all documents of the shard, many queries at a time.
+and then by block, does not beat the k-th best so far are skipped. A longer query's bounds should skip little (not
+measured), so its scores are summed for all documents of the shard, many queries at a time.
 
 Queries of equal terms are asked once. Shards hold about ``shard_postings`` postings and a pass over them takes queries of
 about ``broadcast_terms`` terms, so a task holds a bounded block of queries and a bounded shard; shards and passes
