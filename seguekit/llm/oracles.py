@@ -18,7 +18,7 @@ c AS (SELECT page_id, host, trim(regexp_replace(regexp_replace(x, '<[^>]*>', '',
 l AS (SELECT page_id, host, string_split(text, chr(10)) AS lines, text FROM c),
 s AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct([trim(y) for y in lines if trim(y) <> ''])) AS line FROM l WHERE host <> '') GROUP BY ALL),
 h AS (SELECT host, count(*) AS pages FROM l WHERE host <> '' GROUP BY host),
-d AS (SELECT host, list(line) AS cut FROM s JOIN h USING (host) WHERE n >= 10 AND n > 0.3 * pages GROUP BY host),
+d AS (SELECT host, list(line) AS cut FROM s JOIN h USING (host) WHERE n >= 2 AND n > 0.3 * pages GROUP BY host),
 k AS (SELECT page_id, l.host, lines, text, CASE WHEN cut IS NULL THEN lines ELSE [y for y in lines if trim(y) = '' OR NOT list_contains(cut, trim(y))] END AS kept FROM l LEFT JOIN d ON d.host = l.host)
 SELECT page_id, host, len(lines) AS lines_total, len(lines) - len(kept) AS lines_dropped, sha256(CASE WHEN len(kept) < len(lines) THEN array_to_string(kept, chr(10)) ELSE text END) AS text_sha256 FROM k"""
 
@@ -27,7 +27,7 @@ size AS (SELECT doc_id, len(words) AS size FROM w),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(words) AS term FROM w) GROUP BY ALL),
 n AS (SELECT count(*) AS docs, sum(size) / count(*) AS mean FROM size),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-q AS (SELECT * FROM (SELECT doc_id AS query_id, term, df, row_number() OVER (PARTITION BY doc_id ORDER BY df, term) AS r FROM tf JOIN df USING (term) WHERE doc_id % 20 = 0 AND df >= 2) WHERE r <= 8),
+q AS (SELECT doc_id AS query_id, term, df FROM tf JOIN df USING (term) WHERE doc_id % 20 = 0),
 hit AS (SELECT query_id, tf.doc_id, sum(CAST(floor(ln(1 + (docs - df + 0.5) / (df + 0.5)) * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * size / mean)) * 1000000 + 0.5) AS BIGINT)) AS s
     FROM q JOIN tf USING (term) JOIN size ON size.doc_id = tf.doc_id, n GROUP BY ALL)
 SELECT query_id, rank, doc_id, s / 1000000 AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM hit) WHERE rank <= 10"""

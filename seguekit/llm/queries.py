@@ -70,7 +70,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id") % 20 == 0, topk_search.WHOLE)
+    return topk_search.search(table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0, alike=F.col("lang"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,31 +1,34 @@
 """Exact BM25 top-k search: an inverted index per shard, block-max WAND, and an exact merge by global statistics.
 
-Statistics (documents, mean length, document frequencies) are global. A query is all terms of its whole text that at
-least ``least_df`` documents hold, or the ``query_terms`` rarest of them (ties by term) if that is a number. Only
-postings of terms that some query holds are kept. Impacts, the contributions of a term to a document, are rounded to
-millionths, so that sums don't depend on their order and ties are exact.
-
-Documents are dealt to shards by id. Each shard indexes its own and answers with its k best; the k best of all shards
-are the k best. Queries of up to ``wand_terms`` terms walk their lists by block-max WAND: documents whose bound by list,
-and then by block, does not beat the k-th best so far are skipped. A longer query's bounds should skip little (not
-measured), so its scores are summed for all documents of the shard, many queries at a time.
-
-Queries of equal terms are asked once. Shards hold about ``shard_postings`` postings and a pass over them takes queries of
-about ``broadcast_terms`` terms, so a task holds a bounded block of queries and a bounded shard; shards and passes
-grow with the data. The work is the product of queries and documents, as every document may share a term.
-
-Defined results: rows with null ids neither ask nor answer; null texts are empty; a query without such terms has no
-row; rows of one id count as one document with its largest impacts; equal scores are ranked by id; a document finds
-itself; other columns are ignored.
+A query is all terms of its whole text. Statistics (documents, mean length, document frequencies) are global. Impacts,
+the contributions of a term to a document, are rounded to millionths, so sums don't depend on their order and ties are
+exact.
+
+Texts are split into terms once; the index is written, dealt to ``shards`` parts by hash. A part is read as a stream of
+blocks of ``block`` documents, in an order that puts like documents (``alike``, then length) together. Blocks are those
+of a document-oriented block-max index: they cut all lists at the same documents, so WAND's test for a pivot is one for
+all lists of a query: if the largest impacts that its terms have in the block do not add up to the k-th best score so
+far, the query skips the block. For the queries that stay, scores are summed over the block's postings, many queries
+at a time. A sixteenth of each shard, chosen by hash, stands at its beginning, so that every query has a bar early.
+
+Each shard answers with its k best for each query; the k best of all shards are the k best. Queries of equal terms are
+asked once. A pass over the index takes queries of about ``pass_terms`` terms, so a task holds a bounded block of queries
+and one block of documents; passes grow with the data, and the number of shards is a setting (a few for each core of
+the cluster). The work is the product of queries and documents, as every document may share a term: skipping lowers
+its factor, not its order.
+
+Defined results: rows with null ids neither ask nor answer; null texts are empty; a query without terms has no row; rows
+of one id are documents of their own, and ask together with the terms of all; texts of any length are taken whole; equal
+scores are ranked by id; a document finds itself; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,6 @@ from seguekit.llm.common import cut
 
 _TERM = re.compile(r"[^\W_]+")
 UNIT = 1_000_000
-CELLS = 1 << 22  # scores that are summed at a time
 
 
 @dataclass(frozen=True)
@@ -44,24 +46,42 @@ class Bm25:
     k: int = 10
     k1: float = 1.2
     b: float = 0.75
-    query_terms: int | None = 8
-    block: int = 64
-    shard_postings: int = 4_000_000
-    broadcast_terms: int = 4_000_000
-    least_df: int = 2  #: 1 takes a query's terms that no other document holds, too
-    wand_terms: int = 8
-
-
-#: A query is its whole text.
-WHOLE = Bm25(query_terms=None, least_df=1)
+    block: int = 512
+    shards: int = 48
+    pass_terms: int = 4_000_000
+    queries_at_once: int = 512
+    dense: float = 0.002  #: share of (query, document) pairs of a block from which a term is summed by a matrix product
 
 
 def terms_of(text: str | None) -> list[str]:
     return _TERM.findall((text or "").lower())
 
 
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """(term, n): n documents hold the term. The row with an empty term counts the documents, that with a blank the terms of all texts."""
+def term_index(docs: DataFrame, asks: Column, alike: Column | None = None, p: Bm25 = Bm25()) -> DataFrame:
+    """(doc_id, asks, size, terms, counts) of the documents, written in shards: different terms, space-joined, and their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                sizes, terms, counts = [], [], []
+                for x in b.column("text"):
+                    own = terms_of(x.as_py())
+                    tf = Counter(own)
+                    sizes.append(len(own))
+                    terms.append(" ".join(tf))
+                    counts.append(np.fromiter(tf.values(), np.int32, len(tf)).tobytes())
+                made = [pa.array(sizes, pa.int64()), pa.array(terms, pa.string()), pa.array(counts, pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("asks"), b.column("alike"), *made], names=["doc_id", "asks", "alike", "size", "terms", "counts"])
+
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(asks, F.lit(False)).alias("asks"), (F.lit(None) if alike is None else alike).cast("string").alias("alike"), "text")
+    split = rows.mapInArrow(run, "doc_id long, asks boolean, alike string, size long, terms string, counts binary")
+    late = F.pmod(F.xxhash64("doc_id", "size"), F.lit(16)) > 0
+    return cut(split.repartition(p.shards, "doc_id", "terms").sortWithinPartitions(late, "alike", "size"))
+
+
+def document_frequencies(index: DataFrame) -> DataFrame:
+    """(term, n): n documents hold the term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
@@ -70,218 +90,151 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
 
         for b in batches:
-            for x in b.column("text"):
-                words = terms_of(x.as_py())
-                n.update(set(words))
-                n[""] += 1
-                n[" "] += len(words)
+            for x in b.column("terms"):
+                n.update(x.as_py().split())
                 if len(n) > 300_000:
                     yield out()
                     n = Counter()
         yield out()
 
-    return docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return index.select("terms").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def _held(docs: DataFrame) -> DataFrame:
-    """(doc_id, term): terms once a row."""
+def impact(tf: np.ndarray, size: np.ndarray, df: np.ndarray, docs: int, mean: float, p: Bm25) -> np.ndarray:
+    """In millionths, as doubles: whole numbers and their sums are exact below 2 ** 53."""
+    idf = np.log1p((docs - df + 0.5) / (df + 0.5))
+    return np.floor(idf * (tf * (p.k1 + 1)) / (tf + p.k1 * (1 - p.b + p.b * size / mean)) * UNIT + 0.5)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, terms = [], []
 
-            def out():
-                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.string())], names=["doc_id", "term"])  # noqa: B023
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start and size, one after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
-            for i, x in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                own = set(terms_of(x.as_py()))
-                ids += [i] * len(own)
-                terms += own
-                if len(ids) > 50_000:
-                    yield out()
-                    ids, terms = [], []
-            yield out()
 
-    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, term string")
+class Block:
+    """Postings of a block of documents by term, and the largest impact of each term."""
 
+    def __init__(self, ids: np.ndarray, terms: np.ndarray, docs: np.ndarray, impacts: np.ndarray):
+        order = np.argsort(terms, kind="stable")
+        self.ids, self.docs, self.impacts = ids, docs[order], impacts[order]
+        self.terms, self.starts, self.sizes = np.unique(terms[order], return_index=True, return_counts=True)
+        self.tops = np.maximum.reduceat(self.impacts, self.starts) if len(self.terms) else np.empty(0)
 
-def impact(tf: np.ndarray, size: np.ndarray, df: np.ndarray, docs: int, mean: float, p: Bm25) -> np.ndarray:
-    idf = np.log1p((docs - df + 0.5) / (df + 0.5))
-    return np.floor(idf * (tf * (p.k1 + 1)) / (tf + p.k1 * (1 - p.b + p.b * size / mean)) * UNIT + 0.5).astype(np.int64)
-
-
-class ShardIndex:
-    """Postings of one shard, by term and document, with the largest impact of each list and block."""
-
-    def __init__(self, terms: np.ndarray, docs: np.ndarray, impacts: np.ndarray, block: int):
-        self.names, of = np.unique(terms, return_inverse=True)
-        self.ids, docs = np.unique(docs, return_inverse=True)
-        order = np.lexsort((docs, of))
-        of, docs, impacts = of[order], docs[order], impacts[order]
-        first = np.ones(len(docs), bool)
-        first[1:] = (of[1:] != of[:-1]) | (docs[1:] != docs[:-1])
-        if len(docs):
-            impacts = np.maximum.reduceat(impacts, np.flatnonzero(first))
-        of, self.docs, self.impacts = of[first], docs[first].astype(np.int32), impacts
-        self.bounds = np.searchsorted(of, np.arange(len(self.names) + 1))
-        self.block = block
-
-    def _list(self, term):
-        """Documents, impacts, largest impact of each block and of all; None for a term that the shard doesn't hold."""
-        n = np.searchsorted(self.names, term)
-        if n == len(self.names) or self.names[n] != term:
-            return None
-        own = slice(self.bounds[n], self.bounds[n + 1])
-        impacts = self.impacts[own]
-        tops = np.maximum.reduceat(impacts, np.arange(0, len(impacts), self.block))
-        return self.ids[self.docs[own]].tolist(), impacts.tolist(), tops.tolist(), int(impacts.max())
-
-    def top_many(self, queries: np.ndarray, terms: np.ndarray, count: int, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query, documents, scores) of the k best by score, then id, of queries 0 to ``count``; pairs of a query and a term, by query.
-
-        Scores are sums over all postings: by a matrix product for terms that over an eighth of the documents hold,
-        a list at a time for other long lists, and the short ones of all queries together. Whole numbers below
-        2 ** 53 are exact as doubles.
+    def scores(self, queries: np.ndarray, slots: np.ndarray, count: int, dense: float) -> np.ndarray:
+        """(queries, documents) from pairs of a query below ``count`` and a place in ``terms``.
+
+        Terms that many of the queries and documents hold go by a matrix product, the others posting by posting.
         """
-        n_docs = len(self.ids)
-        at = np.minimum(np.searchsorted(self.names, terms), max(len(self.names) - 1, 0))
-        found = self.names[at] == terms if len(self.names) else np.zeros(len(terms), bool)
-        queries, at = queries[found], at[found]
-        sizes = np.diff(self.bounds)
-        common = np.flatnonzero(sizes * 8 > n_docs)
-        place = np.full(len(sizes), -1)
+        n = len(self.ids)
+        asked = np.bincount(slots, minlength=len(self.terms))
+        common = np.flatnonzero(asked * self.sizes > dense * count * n)
+        place = np.full(len(self.terms), -1)
         place[common] = np.arange(len(common))
-        matrix = np.zeros((len(common), n_docs))
-        for row, n in enumerate(common):
-            own = slice(self.bounds[n], self.bounds[n + 1])
-            matrix[row, self.docs[own]] = self.impacts[own]
-        step = max(1, CELLS // max(n_docs, 1))
-        for low in range(0, count, step):
-            high = min(count, low + step)
-            own = slice(*np.searchsorted(queries, (low, high)))
-            q, t = queries[own] - low, at[own]
-            dense, long = place[t] >= 0, sizes[t] > 256
-            picks = np.zeros((high - low, len(common)))
-            picks[q[dense], place[t[dense]]] = 1
-            scores = picks @ matrix
-            mid = np.flatnonzero(~dense & long)
-            for i in mid[np.argsort(t[mid], kind="stable")].tolist():
-                held = slice(self.bounds[t[i]], self.bounds[t[i] + 1])
-                scores[q[i]][self.docs[held]] += self.impacts[held]
-            few = np.flatnonzero(~dense & ~long)
-            for part in np.split(few, np.searchsorted(np.cumsum(sizes[t[few]]), np.arange(CELLS, sizes[t[few]].sum(), CELLS))):
-                n = sizes[t[part]]
-                ends = np.cumsum(n)
-                from_ = np.repeat(self.bounds[t[part]] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-                np.add.at(scores.reshape(-1), np.repeat(q[part] * n_docs, n) + self.docs[from_], self.impacts[from_].astype(float))
-            bars = np.partition(scores, n_docs - k, axis=1)[:, n_docs - k] if n_docs > k else np.zeros(high - low)
-            for row, bar in enumerate(bars):
-                hits = np.flatnonzero(scores[row] >= max(bar, 1))
-                best = hits[np.lexsort((hits, -scores[row, hits]))[:k]]
-                yield low + row, self.ids[best], scores[row, best].astype(np.int64)
-
-    def top(self, terms: list, k: int) -> list[tuple[int, int]]:
-        """(document, score) of the k best by score, then id."""
-        lists = [x for x in map(self._list, terms) if x is not None]
-        at = [0] * len(lists)
-        heap: list[tuple[int, int]] = []  # (score, -doc); documents come in ascending order, so equals never replace
-        bar = 0
-        while True:
-            live = sorted((lists[i][0][at[i]], i) for i in range(len(lists)) if at[i] < len(lists[i][0]))
-            total, pivot = 0, None
-            for n, (doc, i) in enumerate(live):
-                total += lists[i][3]
-                if total > bar:
-                    pivot, upto = doc, n
-                    break
-            if pivot is None:
-                break
-            while upto + 1 < len(live) and live[upto + 1][0] == pivot:
-                upto += 1
-            own = [i for _, i in live[: upto + 1]]
-            blocks = [self._block(lists[i], at[i], pivot) for i in own]
-            bound = sum(lists[i][2][b] for i, b in zip(own, blocks, strict=True) if b is not None)
-            if bound <= bar:  # no document before the end of one of these blocks, or before the next list, beats the bar
-                ends = [lists[i][0][min(len(lists[i][0]), (b + 1) * self.block) - 1] + 1 for i, b in zip(own, blocks, strict=True) if b is not None]
-                later = live[upto + 1][0] if upto + 1 < len(live) else None
-                to = min([*ends, *([] if later is None else [later])], default=pivot + 1)
-                to = max(to, pivot + 1)
-                for i in own:
-                    at[i] = self._seek(lists[i][0], at[i], to)
-            elif live[0][0] == pivot:
-                score = 0
-                for i in own:
-                    score += lists[i][1][at[i]]
-                    at[i] += 1
-                if score > bar or len(heap) < k:
-                    (heapq.heappush if len(heap) < k else heapq.heapreplace)(heap, (score, -pivot))
-                    bar = heap[0][0] if len(heap) == k else 0
-            else:
-                for _, i in live[:upto]:
-                    if lists[i][0][at[i]] < pivot:
-                        at[i] = self._seek(lists[i][0], at[i], pivot)
-        return [(-d, s) for s, d in sorted(heap, reverse=True)]
-
-    def _block(self, held, at: int, doc: int) -> int | None:
-        """The block of a list in which ``doc`` would stand; None past the list's end."""
-        i = self._seek(held[0], at, doc)
-        return i // self.block if i < len(held[0]) else None
-
-    @staticmethod
-    def _seek(docs: list[int], at: int, doc: int) -> int:
-        """First place from ``at`` with a document of at least ``doc``, by doubling steps and bisection."""
-        if at < len(docs) and docs[at] >= doc:
-            return at
-        step, low = 1, at
-        while low + step < len(docs) and docs[low + step] < doc:
-            low += step
-            step *= 2
-        high = min(low + step, len(docs))
-        while low < high:
-            mid = (low + high) // 2
-            if docs[mid] < doc:
-                low = mid + 1
-            else:
-                high = mid
-        return low
-
-
-def _query_terms(docs: DataFrame, asks: Column, stats: DataFrame, p: Bm25) -> DataFrame:
-    """(query_id, term, n): the terms of each query."""
-    held = _held(docs.where(asks)).distinct()
-    known = held.join(stats.where(F.col("n") >= p.least_df).withColumnRenamed("term", "__t"), F.col("term") == F.col("__t")).select(F.col("doc_id").alias("query_id"), "term", "n")
-    if p.query_terms is None:
-        return known
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("n", "term"))
-    return known.withColumn("__r", rank).where(F.col("__r") <= p.query_terms).drop("__r")
-
-
-def search(docs: DataFrame, asks: Column, p: Bm25 = Bm25()) -> DataFrame:
-    """(query_id, rank, doc_id, score): the k best documents of each row of ``docs`` for which ``asks`` holds."""
-    stats = cut(document_frequencies(docs))
-    sums = {r["term"]: r["n"] for r in stats.where(F.col("term").isin("", " ")).collect()}  # two rows
-    n_docs, mean = sums.get("", 0), max(sums.get(" ", 0), 1) / max(sums.get("", 0), 1)
-    asked = cut(_query_terms(docs, asks, stats.where(~F.col("term").isin("", " ")), p))
-
-    # Queries of equal terms are asked once, by the smallest id.
-    of_query = asked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "n"))).alias("terms"))
+        matrix = np.zeros((len(common), n))
+        own = _ranges(self.starts[common], self.sizes[common])
+        matrix[np.repeat(np.arange(len(common)), self.sizes[common]), self.docs[own]] = self.impacts[own]
+        at = place[slots]
+        picks = np.zeros((count, len(common)))
+        picks[queries[at >= 0], at[at >= 0]] = 1
+        out = picks @ matrix
+        queries, slots = queries[at < 0], slots[at < 0]
+        sizes = self.sizes[slots]
+        own = _ranges(self.starts[slots], sizes)
+        np.add.at(out.reshape(-1), np.repeat(queries * n, sizes) + self.docs[own], self.impacts[own])
+        return out
+
+
+class Best:
+    """The k best (score, id) of each query so far; a query's bar is its k-th best score, 0 as long as it has fewer."""
+
+    def __init__(self, queries: int, k: int):
+        self.scores, self.ids, self.k = np.zeros((queries, k)), np.zeros((queries, k), np.int64), k
+
+    @property
+    def bars(self) -> np.ndarray:
+        return self.scores[:, -1]
+
+    def take(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Merge the scores (queries, documents) of different queries."""
+        low = np.maximum(self.bars[queries], 1)
+        fresh = np.flatnonzero(self.bars[queries] == 0)
+        if scores.shape[1] > self.k and len(fresh):
+            low[fresh] = np.maximum(low[fresh], np.partition(scores[fresh], -self.k, axis=1)[:, -self.k])
+        row, col = np.nonzero(scores >= low[:, None])
+        if not len(row):
+            return
+        own = np.unique(row)
+        q = np.concatenate((np.repeat(queries[own], self.k), queries[row]))
+        s = np.concatenate((self.scores[queries[own]].ravel(), scores[row, col]))
+        d = np.concatenate((self.ids[queries[own]].ravel(), ids[col]))
+        order = np.lexsort((d, -s, q))
+        q, s, d = q[order], s[order], d[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        kept = rank < self.k
+        self.scores[q[kept], rank[kept]], self.ids[q[kept], rank[kept]] = s[kept], d[kept]
+
+
+class Queries:
+    """(query, term) pairs by query, in batches, and a table of the places that terms have in a block."""
+
+    def __init__(self, count: int, queries: np.ndarray, terms: np.ndarray, n_terms: int, p: Bm25):
+        self.queries, self.terms, self.p, self.count = queries, terms, p, count
+        self.starts = np.searchsorted(queries, np.arange(count + 1))
+        self.slot = np.full(n_terms, -1, np.int32)
+        self.best = Best(count, p.k)
+        self.skipped = self.seen = 0
+
+    def read(self, block: Block) -> None:
+        """Take a block's documents into the best of all queries, but for queries that cannot find a better one there."""
+        self.slot[block.terms] = np.arange(len(block.terms), dtype=np.int32)
+        for low in range(0, self.count, self.p.queries_at_once):
+            high = min(self.count, low + self.p.queries_at_once)
+            own = slice(self.starts[low], self.starts[high])
+            slots = self.slot[self.terms[own]]
+            held = slots >= 0
+            queries, slots = self.queries[own][held] - low, slots[held]
+            bounds = np.bincount(queries, block.tops[slots], high - low)
+            live = (bounds >= self.best.bars[low:high]) & (bounds > 0)
+            self.seen, self.skipped = self.seen + high - low, self.skipped + high - low - int(live.sum())
+            if live.any():
+                names, stay = np.cumsum(live) - 1, live[queries]
+                scores = block.scores(names[queries[stay]], slots[stay], int(live.sum()), self.p.dense)
+                self.best.take(low + np.flatnonzero(live), scores, block.ids)
+        self.slot[block.terms] = -1
+
+
+def _asked(index: DataFrame, stats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id, same) of all queries, and (same, rep, terms) of those with different terms; ``terms`` have their document frequency."""
+    held = index.where("asks").select(F.col("doc_id").alias("query_id"), F.explode(F.split("terms", " ")).alias("term")).where("term <> ''").distinct()
+    known = held.join(stats.withColumnRenamed("term", "__t"), F.col("term") == F.col("__t")).select("query_id", "term", "n")
+    of_query = known.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "n"))).alias("terms"))
     of_query = cut(of_query.select("query_id", F.sha2(F.array_join("terms.term", " "), 256).alias("same"), "terms"))
     reps = cut(of_query.groupBy("same").agg(F.min("query_id").alias("rep"), F.first("terms").alias("terms")))
+    return of_query.select("query_id", "same"), reps
+
+
+def search(docs: DataFrame, asks: Column, p: Bm25 = Bm25(), alike: Column | None = None) -> DataFrame:
+    """(query_id, rank, doc_id, score): the k best documents of each row of ``docs`` for which ``asks`` holds.
 
-    total, pairs, queries = (x or 0 for x in (*stats.where(~F.col("term").isin("", " ")).agg(F.sum("n")).first(), *reps.agg(F.sum(F.size("terms")), F.count("*")).first()))
-    shards = max(1, -(-total // p.shard_postings))
-    passes = max(1, min(queries, -(-pairs // max(p.broadcast_terms, 1))))
-    dealt = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartition(shards, "doc_id")
+    ``alike``: documents of equal value resemble each other; a hint that changes the speed only.
+    """
+    index = term_index(docs, asks, alike, p)
+    n_docs, words = index.agg(F.count("*"), F.sum("size")).first()
+    mean = max(words or 0, 1) / max(n_docs, 1)
+    of_query, reps = _asked(index, document_frequencies(index))
+    pairs, queries = reps.agg(F.sum(F.size("terms")), F.count("*")).first()
+    passes = max(1, min(queries, -(-(pairs or 0) // p.pass_terms)))
     best = None
     for i in range(passes):
         block = reps.where(F.pmod(F.xxhash64("rep"), F.lit(passes)) == i).select("rep", "terms").toArrow()  # of bounded size
         sent = docs.sparkSession.sparkContext.broadcast(_packed(block))
-        found = cut(dealt.mapInArrow(_answers(sent, n_docs, mean, p), "rep long, doc_id long, score long"))
+        found = cut(index.select("doc_id", "size", "terms", "counts").mapInArrow(_answers(sent, n_docs, mean, p), "rep long, doc_id long, score long"))
         sent.unpersist()
         best = found if best is None else best.unionByName(found)
     rank = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("score"), "doc_id"))
     top = best.withColumn("rank", rank).where(F.col("rank") <= p.k)
-    asked_by = of_query.select("query_id", "same").join(reps.select("same", F.col("rep").alias("__rep")), "same")
+    asked_by = of_query.join(reps.select("same", F.col("rep").alias("__rep")), "same")
     return asked_by.join(top, F.col("__rep") == F.col("rep")).select("query_id", "rank", "doc_id", (F.col("score") / UNIT).alias("score"))
 
 
@@ -298,52 +251,32 @@ def _packed(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, str, n
     return block.column("rep").to_numpy(), queries, numbers, " ".join(words.dictionary.to_pylist()), df
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], number: dict[str, int], df: np.ndarray, n_docs: int, mean: float, p: Bm25) -> Iterator[Block]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, p.block):
+            b = whole.slice(at, p.block)
+            words = [x.split() for x in b.column("terms").to_pylist()]
+            lengths = np.fromiter(map(len, words), np.int64, len(words))
+            terms = np.fromiter(map(number.get, chain.from_iterable(words), repeat(-1)), np.int32, lengths.sum())
+            known = terms >= 0
+            doc = np.repeat(np.arange(len(words)), lengths)[known]
+            tf = np.frombuffer(b"".join(b.column("counts").to_pylist()), np.int32)[known]
+            size = b.column("size").to_numpy(zero_copy_only=False)[doc]
+            yield Block(b.column("doc_id").to_numpy(zero_copy_only=False), terms[known], doc, impact(tf, size, df[terms[known]], n_docs, mean, p))
+
+
 def _answers(sent, n_docs: int, mean: float, p: Bm25):
     """A map of one shard's documents to the k best of each query that was sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reps, queries, terms, words, df = sent.value
         number = {w: i for i, w in enumerate(words.split(" "))} if words else {}
-        ids, sizes, counts, tids, tfs = [], [], [], [], []
-        for b in batches:
-            for i, x in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                own = terms_of(x.as_py())
-                tf = Counter(own)
-                known = [w for w in tf if w in number]
-                ids.append(i)
-                sizes.append(len(own))
-                counts.append(len(known))
-                tids.append(np.array([number[w] for w in known], np.int32))
-                tfs.append(np.array([tf[w] for w in known], np.int32))
-        del number
-        if not sum(counts):
-            return
-        tid, tf = np.concatenate(tids), np.concatenate(tfs)
-        del tids, tfs
-        index = ShardIndex(tid, np.repeat(np.array(ids, np.int64), counts), impact(tf, np.repeat(np.array(sizes, np.int64), counts), df[tid], n_docs, mean, p), p.block)
-        del tid, tf
-        short = np.bincount(queries, minlength=len(reps)) <= p.wand_terms
-        walked = short[queries]
-        ends = np.cumsum(np.bincount(queries[walked], minlength=len(reps)))
-        walks = terms[walked]
-
-        def answers():
-            for q in np.flatnonzero(short).tolist():
-                got = index.top(walks[ends[q - 1] if q else 0 : ends[q]].tolist(), p.k)
-                yield q, [d for d, _ in got], [s for _, s in got]
-            numbers = np.cumsum(~short) - 1  # of the long queries among themselves
-            names = np.flatnonzero(~short)
-            for q, docs, scores in index.top_many(numbers[queries[~walked]], terms[~walked], len(names), p.k):
-                yield names[q], docs.tolist(), scores.tolist()
-
-        out: list[list[int]] = [[], [], []]
-        for q, docs, scores in answers():
-            out[0] += [int(reps[q])] * len(docs)
-            out[1] += docs
-            out[2] += scores
-            if len(out[0]) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["rep", "doc_id", "score"])
-                out = [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["rep", "doc_id", "score"])
+        asked = Queries(len(reps), queries, terms, len(df), p)
+        for block in _blocks(batches, number, df, n_docs, mean, p):
+            asked.read(block)
+        for low in range(0, len(reps), 5_000):
+            scores, ids = asked.best.scores[low : low + 5_000], asked.best.ids[low : low + 5_000]
+            row, col = np.nonzero(scores > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(reps[low + row]), pa.array(ids[row, col]), pa.array(scores[row, col].astype(np.int64))], names=["rep", "doc_id", "score"])
 
     return run

@@ -286,84 +286,81 @@ def test_media_tables(spark):
 
 
 def brute_search(rows, asks, p):
-    tf = {}
-    for i, t, _ in rows:
-        if i is not None:
-            tf[i] = Counter(topk_search.terms_of(t))
-    df = Counter(w for c in tf.values() for w in c)
-    size = {i: sum(c.values()) for i, c in tf.items()}
-    mean = max(sum(size.values()), 1) / max(len(tf), 1)
+    """Rows are documents of their own; rows of one id ask together."""
+    held = [(i, Counter(topk_search.terms_of(t))) for i, t, _ in rows if i is not None]
+    df = Counter(w for _, c in held for w in c)
+    mean = max(sum(sum(c.values()) for _, c in held), 1) / max(len(held), 1)
+    asked = {}
+    for i, c in held:
+        if asks(i):
+            asked.setdefault(i, set()).update(c)
     out = []
-    for q in filter(asks, tf):
-        terms = sorted((w for w in tf[q] if df[w] >= 2), key=lambda w: (df[w], w.encode()))[: p.query_terms]
-        score = Counter()
-        for w in terms:
-            idf = math.log1p((len(tf) - df[w] + 0.5) / (df[w] + 0.5))
-            for i, c in tf.items():
-                if w in c:
-                    score[i] += math.floor(idf * (c[w] * (p.k1 + 1)) / (c[w] + p.k1 * (1 - p.b + p.b * size[i] / mean)) * 1e6 + 0.5)
-        best = sorted(score.items(), key=lambda x: (-x[1], x[0]))[: p.k]
-        out += [(q, n + 1, i, s / 1e6) for n, (i, s) in enumerate(best)]
+    for q, terms in asked.items():
+        found = []
+        for i, c in held:
+            s = 0
+            for w in terms & c.keys():
+                idf = math.log1p((len(held) - df[w] + 0.5) / (df[w] + 0.5))
+                s += math.floor(idf * (c[w] * (p.k1 + 1)) / (c[w] + p.k1 * (1 - p.b + p.b * sum(c.values()) / mean)) * 1e6 + 0.5)
+            found += [(-s, i)] * (s > 0)
+        out += [(q, n + 1, i, -s / 1e6) for n, (s, i) in enumerate(sorted(found)[: p.k])]
     return sorted(out)
 
 
-@pytest.mark.parametrize("plan", [topk_search.Bm25(k=3, block=2, shard_postings=200), topk_search.Bm25(k=5, query_terms=None, block=4, broadcast_terms=0)])
+def searched(df):
+    return sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in df.collect())
+
+
+PLANS = [topk_search.Bm25(k=3, block=2, shards=5), topk_search.Bm25(k=5, block=16, shards=2, pass_terms=400, queries_at_once=3), topk_search.Bm25(k=300, dense=0.0, shards=3), topk_search.Bm25(dense=2.0, block=64, shards=3)]
+
+
+@pytest.mark.parametrize("plan", PLANS)
 def test_search_equals_brute_force(spark, plan):
     rng = random.Random(6)
     pool = [f"t{int(rng.paretovariate(0.6))}" for _ in range(3000)]
     rows = [(i, " ".join(rng.choice(pool) for _ in range(rng.randint(0, 40))), "s") for i in range(200)]
-    rows += [(300 + i, "same words here t1", "s") for i in range(30)] + [(400, None, "s"), (401, "", "s"), (None, "t1 t2", "s"), (402, "only_here", "s")]
-    got = topk_search.search(docs(spark, rows), F.col("doc_id") % 10 == 0, plan).collect()
-    assert sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in got) == brute_search(rows, lambda i: i % 10 == 0, plan)
+    rows += [(300 + i, "same words here t1", "s") for i in range(30)] + [(400, None, "s"), (401, "", "s"), (None, "t1 t2", "s"), (402, "only_here", "s"), (410, "held by no other text", None)]
+    rows += [rows[10], (20, "a second text of one id t1 t2", "s"), (420, "long t3 " * 30_000, "s")]
+    got = topk_search.search(docs(spark, rows), F.col("doc_id") % 10 == 0, plan, alike=F.col("source"))
+    assert got.columns == ["query_id", "rank", "doc_id", "score"]
+    assert searched(got) == brute_search(rows, lambda i: i % 10 == 0, plan)
+
+
+def test_search_ignores_columns_of_its_own_names(spark):
+    rows = [(i, f"word{i % 7} all {'x' * (i % 3)}", "s") for i in range(60)]
+    df = docs(spark, rows).selectExpr("doc_id", "text", "'a' as terms", "1 as size", "true as asks", "2 as rank", "3.0 as score", "doc_id as query_id", "'z' as alike")
+    assert searched(topk_search.search(df, F.col("doc_id") % 20 == 0)) == brute_search(rows, lambda i: i % 20 == 0, topk_search.Bm25())
 
 
-def test_wand_skips_but_stays_exact():
+def test_search_skips_blocks_but_stays_exact():
     rng = np.random.default_rng(3)
-    terms = [f"w{i}" for i in range(6)]
-    post = [(t, int(d), int(rng.integers(1, 1000))) for n, t in enumerate(terms) for d in rng.choice(2000, 30 * 4**min(n, 3), replace=False)]
-    index = topk_search.ShardIndex(np.array([int(p[0][1:]) for p in post]), np.array([p[1] for p in post]), np.array([p[2] for p in post]), 16)
+    n_terms, n_docs = 40, 4000
+    held = [np.sort(rng.choice(n_terms // 2, 6, replace=False)) + (n_terms // 2) * (d >= n_docs // 2) for d in range(n_docs)]  # two vocabularies
+    impacts = [rng.integers(1, 1000, 6) for _ in held]
+    asked = [np.sort(rng.choice(n_terms // 2, 4, replace=False)) + (n_terms // 2) * (q % 2) for q in range(50)] + [np.array([0, n_terms - 1])]
+    q, t = np.repeat(np.arange(51), [len(x) for x in asked]), np.concatenate(asked)
     for k in (1, 5, 50):
-        total = Counter()
-        for _, d, s in post:
-            total[d] += s
-        assert index.top([int(t[1:]) for t in terms], k) == sorted(total.items(), key=lambda x: (-x[1], x[0]))[:k]
+        ours = topk_search.Queries(51, q, t, n_terms, topk_search.Bm25(k=k, queries_at_once=7))
+        for low in range(0, n_docs, 100):
+            own = range(low, low + 100)
+            ours.read(topk_search.Block(np.arange(low, low + 100), np.concatenate([held[d] for d in own]), np.repeat(np.arange(100), 6), np.concatenate([impacts[d] for d in own]).astype(float)))
+        assert ours.skipped > ours.seen / 3
+        for i, terms in enumerate(asked):
+            total = sorted((-int(impacts[d][np.isin(held[d], terms)].sum()), d) for d in range(n_docs))[:k]
+            got = [(-int(s), d) for s, d in zip(ours.best.scores[i], ours.best.ids[i].tolist(), strict=True) if s]
+            assert got == [x for x in total if x[0]]
 
 
 def test_registered_search_asks_with_the_whole_text(spark, tmp_path):
     rng = random.Random(7)
     rows = [(i, " ".join(f"t{rng.randint(0, 60)}" for _ in range(rng.randint(1, 60))), "s") for i in range(160)] + [(180, "held by no other text", "s")]
     docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in queries.op10_topk_search(spark, str(tmp_path)).collect())
-    tf = {i: Counter(t.split()) for i, t, _ in rows}
-    df = Counter(w for c in tf.values() for w in c)
-    mean = sum(sum(c.values()) for c in tf.values()) / len(tf)
-    want = []
-    for q in (i for i in tf if i % 20 == 0):
-        score = Counter()
-        for w in tf[q]:
-            idf = math.log1p((len(tf) - df[w] + 0.5) / (df[w] + 0.5))
-            for i, c in tf.items():
-                if w in c:
-                    score[i] += math.floor(idf * (c[w] * 2.2) / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) * 1e6 + 0.5)
-        want += [(q, n + 1, i, s / 1e6) for n, (i, s) in enumerate(sorted(score.items(), key=lambda x: (-x[1], x[0]))[:10])]
-    assert got == sorted(want)
-
-
-def test_sums_of_long_queries_equal_the_walk(monkeypatch):
-    monkeypatch.setattr(topk_search, "CELLS", 4000)
-    rng = np.random.default_rng(5)
-    n = [2, 40, 280, 290, 700, 1500]
-    post = [(t, int(d), int(rng.integers(1, 50))) for t, size in enumerate(n) for d in rng.choice(2400, size, replace=False)] + [(0, 1, 60), (0, 1, 7)]
-    index = topk_search.ShardIndex(*(np.array(x) for x in zip(*post, strict=True)), 16)
-    asked = [sorted(rng.choice(8, int(rng.integers(1, 8)), replace=False).tolist()) for _ in range(30)] + [[7]]
-    q, t = np.repeat(np.arange(31), [len(x) for x in asked]), np.concatenate([np.array(x) for x in asked])
-    for k in (1, 10, 3000):
-        got = {i: list(zip(d.tolist(), s.tolist(), strict=True)) for i, d, s in index.top_many(q, t, 31, k)}
-        assert got == {i: index.top(x, k) for i, x in enumerate(asked)}
+    assert searched(queries.op10_topk_search(spark, str(tmp_path))) == brute_search(rows, lambda i: i % 20 == 0, topk_search.Bm25())
 
 
 def test_search_empty(spark):
     assert topk_search.search(docs(spark, []), F.col("doc_id") % 20 == 0).collect() == []
+    assert topk_search.search(docs(spark, [(20, None, "s"), (None, "a", "s")]), F.col("doc_id") % 20 == 0).collect() == []
 
 
 # --- pipeline ----------------------------------------------------------------------------------------------------
