@@ -11,8 +11,9 @@ Decoding turns ids to token characters, those to bytes by the reversed table, an
 characters split over tokens come back whole. Offsets are code points in the text; a token that ends inside a
 character ends after it, and the token that continues it begins before it.
 
-Defined results: null texts are empty; empty texts have no ids; texts of any length are encoded whole; repeated rows
-are encoded each; other columns are ignored.
+Defined results: null texts are empty; empty texts have no ids; texts of any length are encoded whole; an empty table gives
+an empty result; repeated rows are encoded each; other columns are ignored, whatever their names. The vocabulary must hold
+every single byte.
 """
 
 from __future__ import annotations

@@ -11,9 +11,11 @@ Template, one turn after another::
 Control strings inside texts cannot occur in the output: in BODY and in roles ``\\`` becomes ``\\\\``, ``<`` becomes
 ``\\l`` and ``"`` becomes ``\\q``. The mapping is reversible, so ``read_back`` restores every turn.
 
-Defined results: null text, role or parts count as empty; turns are ordered by ``turn`` (nulls first), ties by role
-and then body, and repeated rows stay repeated; a null ``conv_id`` is a conversation of its own; an empty table gives
-an empty result; further columns are ignored. One conversation is one output value, so it must fit in a task.
+Defined results: null text, role, parts or part count as empty; a part of an unknown kind becomes an ``unknown``
+placeholder of no tokens, its attachment keeps the kind; sizes that are null, negative or not finite count as 0; turns
+are ordered by ``turn`` (nulls first), ties by role and then body, and repeated rows stay repeated; a null ``conv_id`` is a
+conversation of its own; an empty table gives an empty result; texts of any length are kept whole; further columns are
+ignored, whatever their names. One conversation is one output value, so it must fit in a task: at most 2 GB of text.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ _ESCAPE = re.compile(r'[\\<"]')
 _UNESCAPE = re.compile(r"\\([\\lq])")
 _BACK = {v[1]: k for k, v in ESCAPES.items()}
 _TURN = re.compile(r'<turn role="([^"<]*)">(.*?)</turn>\n', re.S)
-_PLACEHOLDER = re.compile(r'<(image|audio|document) id="(\d+)" tokens="(\d+)"/>')
+_PLACEHOLDER = re.compile(r'<(image|audio|document|unknown) id="(\d+)" tokens="(\d+)"/>')
 
 
 def escape(text: str) -> str:
@@ -61,25 +63,23 @@ class TokenRates:
 
 
 class PartVisitor:
-    """Flattens the parts of one turn; ``first`` is the position of its first attachment within the turn."""
+    """Flattens the parts of one turn: text to its escaped form, everything else to placeholders numbered from 0."""
 
     def __init__(self, rates: TokenRates):
         self.rates = rates
+        self.handlers = {"image": self.on_image, "audio": self.on_audio, "document": self.on_document}
 
     def visit(self, parts) -> tuple[str, list[dict], int]:
         body, attachments, tokens = [], [], 0
         for part in parts or ():
-            kind = (part or {}).get("kind") or "text"
-            handler = getattr(self, f"on_{kind}", None)
-            if handler is None:
-                raise ValueError(f"unknown content part {kind!r}")
+            part = part or {}
+            kind = part.get("kind") or "text"
             if kind == "text":
-                text = part.get("text") if part else None
-                body.append(escape(text or ""))
-                tokens += self.on_text(part or {})
+                body.append(escape(part.get("text") or ""))
+                tokens += self.on_text(part)
                 continue
-            n = handler(part)
-            body.append(f'<{kind} id="{len(attachments)}" tokens="{n}"/>')
+            n = self.handlers.get(kind, self.on_unknown)(part)
+            body.append(f'<{kind if kind in self.handlers else "unknown"} id="{len(attachments)}" tokens="{n}"/>')
             attachments.append({"position": len(attachments), "kind": kind, "ref": part.get("ref"), "tokens": n})
             tokens += n
         return "".join(body), attachments, tokens
@@ -88,14 +88,27 @@ class PartVisitor:
         return math.ceil(len((part.get("text") or "").encode("utf-8")) / self.rates.bytes_per_token)
 
     def on_image(self, part) -> int:
-        tiles = math.ceil((part.get("width") or 0) / self.rates.image_tile) * math.ceil((part.get("height") or 0) / self.rates.image_tile)
+        tiles = math.ceil(_amount(part, "width") / self.rates.image_tile) * math.ceil(_amount(part, "height") / self.rates.image_tile)
         return self.rates.tokens_per_image + self.rates.tokens_per_tile * tiles
 
     def on_audio(self, part) -> int:
-        return math.ceil((part.get("seconds") or 0.0) * self.rates.tokens_per_second)
+        return math.ceil(_amount(part, "seconds") * self.rates.tokens_per_second)
 
     def on_document(self, part) -> int:
-        return (part.get("pages") or 0) * self.rates.tokens_per_page
+        return _amount(part, "pages") * self.rates.tokens_per_page
+
+    def on_unknown(self, part) -> int:
+        return 0
+
+
+def _amount(part, name: str):
+    x = part.get(name) or 0
+    return x if math.isfinite(x) and 0 < x < 1e12 else 0
+
+
+def renumber(body: str, first: int) -> str:
+    """``body`` with its placeholders numbered from ``first``; control strings in texts are escaped, so only placeholders match."""
+    return _PLACEHOLDER.sub(lambda m: f'<{m[1]} id="{int(m[2]) + first}" tokens="{m[3]}"/>', body) if first else body
 
 
 def flatten_parts(turns: DataFrame, rates: TokenRates = TokenRates()) -> DataFrame:
@@ -121,7 +134,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 def format_conversations(turns: DataFrame, rates: TokenRates = TokenRates(), loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row per conversation: conv_id, formatted, loss_spans (code points, end exclusive), attachments, tokens.
 
-    Attachment positions count through the conversation. The only shuffle brings the turns of a conversation
+    Attachment positions and placeholder ids count through the conversation. The only shuffle brings the turns of a conversation
     together; bodies are flattened before it.
     """
     flat = flatten_parts(turns, rates)
@@ -133,10 +146,10 @@ def format_conversations(turns: DataFrame, rates: TokenRates = TokenRates(), los
             for turns_ in b.column("turns").to_pylist():
                 text, at, spans, found, tokens = [], 0, [], [], 0
                 for t in turns_:
-                    head = f'<turn role="{escape(t["role"])}">'
+                    head, body = f'<turn role="{escape(t["role"])}">', renumber(t["body"], len(found)) if t["attachments"] else t["body"]
                     if t["role"] in loss_roles:
-                        spans.append({"start": at + len(head), "end": at + len(head) + len(t["body"])})
-                    piece = f"{head}{t['body']}</turn>\n"
+                        spans.append({"start": at + len(head), "end": at + len(head) + len(body)})
+                    piece = f"{head}{body}</turn>\n"
                     text.append(piece)
                     at += len(piece)
                     found += [a | {"position": len(found) + i} for i, a in enumerate(t["attachments"] or ())]

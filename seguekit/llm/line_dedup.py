@@ -7,9 +7,12 @@ Counts: each page gives a distinct line once, so the hot host and the hot line a
 shuffle. A host has fewer than (mean distinct lines of its pages) / ``max_ratio`` boilerplate lines, so the list per
 host is short; it is joined back on (host, salt), which deals a hot host over ``salts`` tasks.
 
+A line of one page is no repeat, so ``min_pages`` is 2; from there on the ratio alone decides, at every size.
+
 Defined results: a null or empty host is no site, its pages keep all lines; null text counts as empty and stays null;
 lines are compared exactly but for blanks at their ends; empty lines stay; repeated rows count as pages of their own;
-a page of nothing but boilerplate keeps its row with an empty text; other columns pass through untouched.
+a page of nothing but boilerplate keeps its row with an empty text; texts of any length are cut whole; an empty table gives an
+empty result; other columns pass through untouched, but for ``lines_total`` and ``lines_dropped``, which are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ def page_lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def boilerplate_lines(pages: DataFrame, host: Column, text: Column, max_ratio: float = 0.3, min_pages: int = 10, salts: int = 32) -> DataFrame:
+def boilerplate_lines(pages: DataFrame, host: Column, text: Column, max_ratio: float = 0.3, min_pages: int = 2, salts: int = 32) -> DataFrame:
     """host, lines: the 64-bit hashes of each host's boilerplate lines (hosts with none are absent)."""
     hashes = F.array_distinct(F.transform(F.filter(F.transform(page_lines(text), F.trim), lambda x: x != ""), lambda x: F.xxhash64(x)))
     seen = pages.select(host.alias("__host"), F.coalesce(hashes, F.array().cast("array<bigint>")).alias("__hashes")).where(F.col("__host").isNotNull() & (F.col("__host") != ""))
@@ -36,7 +39,7 @@ def boilerplate_lines(pages: DataFrame, host: Column, text: Column, max_ratio: f
     return over.groupBy("__host").agg(F.collect_list("__line").alias("lines")).select(F.col("__host").alias("host"), "lines")
 
 
-def drop_boilerplate(pages: DataFrame, host: Column, text_col: str = "text", max_ratio: float = 0.3, min_pages: int = 10, salts: int = 32) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: Column, text_col: str = "text", max_ratio: float = 0.3, min_pages: int = 2, salts: int = 32) -> DataFrame:
     """``pages`` with the boilerplate lines cut out of ``text_col``, and ``lines_total`` and ``lines_dropped``."""
     text = text_or_empty(text_col)
     sites = boilerplate_lines(pages, host, text, max_ratio, min_pages, salts).select(

@@ -4,8 +4,10 @@ Decoders: PBM, PGM and PPM, plain and raw, 8 bits a sample, and uncompressed 8-
 over the exact source area of each target pixel by differences of an integral image. A tile is written in NPY format,
 and its difference hash compares neighbouring pixels.
 
-Defined results: null or undecodable media give nulls and the reason in ``error``; an empty payload is padded to one
-row; repeated rows are worked out each; other columns are ignored.
+Defined results: null or undecodable media (unknown formats, broken headers, sides that aren't positive, missing samples,
+samples or colours out of range) give nulls and the reason in ``error``; null texts are empty, and an empty payload is padded to
+one row; texts of any length are stored whole; an empty table gives an empty result; repeated rows are worked out each; other
+columns are ignored, whatever their names. One image is decoded in memory.
 """
 
 from __future__ import annotations
@@ -37,6 +39,13 @@ def encode_bmp(pixels: np.ndarray) -> bytes:
     return struct.pack("<2sIHHI", b"BM", 54 + rows.size, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, rows.size, 2835, 2835, 0, 0) + rows.tobytes()
 
 
+def _sides(width: int, height: int, held: int, needed: int) -> None:
+    if width < 1 or height < 1:
+        raise ValueError("sides must be positive")
+    if needed > held:
+        raise ValueError("too few samples")
+
+
 def decode_netpbm(data: bytes) -> np.ndarray:
     """(height, width, channels) of uint8."""
     kind, at, fields = data[:2], 2, []
@@ -54,21 +63,27 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         raise ValueError("only 8-bit samples")
     n = w * h * channels
     if kind == b"P4":
-        rows = np.frombuffer(data, np.uint8, h * ((w + 7) // 8), at + 1).reshape(h, -1)
-        x = 1 - np.unpackbits(rows, axis=1)[:, :w]
+        stride = (w + 7) // 8
+        _sides(w, h, len(data) - at - 1, stride * h)
+        x = 1 - np.unpackbits(np.frombuffer(data, np.uint8, h * stride, at + 1).reshape(h, -1), axis=1)[:, :w]
     elif kind in (b"P5", b"P6"):
+        _sides(w, h, len(data) - at - 1, n)
         x = np.frombuffer(data, np.uint8, n, at + 1)
     else:
+        _sides(w, h, len(data) - at, n)
         body = re.sub(rb"#[^\n]*", b"", data[at:])
-        x = np.array([int(v) for v in (re.findall(rb"[01]", body) if kind == b"P1" else body.split())][:n], np.int64)
-        x = 1 - x if kind == b"P1" else x
-    if x.size < n:
-        raise ValueError("too few samples")
+        found = list(b"".join(body.split())[:n]) if kind == b"P1" else body.split()[:n]
+        x = np.array([v - ord("0") for v in found] if kind == b"P1" else [int(v) for v in found], np.int64)
+        _sides(w, h, x.size, n)
+    if x.min() < 0 or x.max() > top:
+        raise ValueError("sample out of range")
+    x = 1 - x if kind == b"P1" else x
     x = x if top == 255 else np.round(x.astype(float) * 255 / top)
     return x.astype(np.uint8).reshape(h, w, channels)
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
+    """(height, width, 3) of uint8."""
     if data[:2] != b"BM":
         raise ValueError("not a BMP image")
     start, head = struct.unpack_from("<I", data, 10)[0], struct.unpack_from("<I", data, 14)[0]
@@ -76,11 +91,15 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if packed or bits not in (8, 24):
         raise ValueError("only plain 8- and 24-bit BMP")
     stride = (w * bits // 8 + 3) // 4 * 4
+    _sides(w, abs(h), len(data) - start, stride * abs(h))
     rows = np.frombuffer(data, np.uint8, stride * abs(h), start).reshape(abs(h), stride)
     rows = rows[::-1] if h > 0 else rows
     if bits == 24:
         return rows[:, : 3 * w].reshape(abs(h), w, 3)[:, :, ::-1]
-    colours = np.frombuffer(data, np.uint8, start - 14 - head, 14 + head).reshape(-1, 4)[:, 2::-1]
+    palette = data[14 + head : start]
+    colours = np.frombuffer(palette, np.uint8, len(palette) // 4 * 4).reshape(-1, 4)[:, 2::-1]
+    if rows[:, :w].max() >= len(colours):
+        raise ValueError("colour out of range")
     return colours[rows[:, :w]]
 
 
@@ -137,9 +156,9 @@ def tile_of(data: bytes | None, height: int, width: int) -> tuple:
         return None, None, None, None, "null"
     try:
         pixels = decode(data)
-    except (ValueError, struct.error, IndexError) as e:
-        return None, None, None, None, str(e)
-    tile = npy_tile(area_resize(grey(pixels), height, width))
+        tile = npy_tile(area_resize(grey(pixels), height, width))
+    except (ValueError, struct.error, OverflowError, MemoryError) as e:
+        return None, None, None, None, str(e) or type(e).__name__
     return pixels.shape[1], pixels.shape[0], tile, difference_hash(np.load(io.BytesIO(tile))), None
 
 

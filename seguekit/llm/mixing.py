@@ -13,8 +13,9 @@ Running sums are made in two steps, so that a hot source is no single task: sums
 order), a window over slices, and a window inside each slice. A slice's window sees only its own rows.
 
 Defined results: null text has size 0 and is taken 0 times; a null source is a source of its own and comes last in
-code-point order; sources of size 0 have target 0; repeated rows and repeated ids are documents of their own; an
-empty table gives an empty result.
+code-point order; sources of size 0 have target 0; repeated rows and repeated ids are documents of their own (in
+``mixed_documents`` rows equal in id and text share what the greatest of them takes); texts of any length count whole;
+an empty table gives an empty result; other columns are ignored by ``mix`` and passed on by ``mixed_documents``.
 """
 
 from __future__ import annotations

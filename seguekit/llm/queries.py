@@ -27,7 +27,7 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
     return found.select(
         "doc_id", *(count(i).alias(f"n_{kind}") for i, kind in enumerate(secret_scan.RULES)), F.sha2(secret_scan.written(F.col("base")), 256).alias("base_sha256"),
-        secret_scan.written(F.array_sort(F.concat("base", "added"))).alias("spans"),
+        secret_scan.written(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("random").cast("long").alias("n_random"), F.size("added").cast("long").alias("n_added"),
     )
 
 

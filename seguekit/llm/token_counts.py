@@ -8,8 +8,9 @@ order, which is a depth-first walk through their trie: what two neighbours share
 each terminal is stored as the count of its pre-token. Counts of pieces already seen are kept in a bounded table
 that goes with the task.
 
-Defined results: null texts are empty and have no token; texts of any length are counted whole; repeated rows are
-counted each; other columns are ignored.
+Defined results: null texts are empty and have no token; a byte that the vocabulary lacks is a token of its own, one unit
+below the lowest score; texts of any length are counted whole; an empty table gives an empty result; repeated rows are
+counted each; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ def zipf_scores(ranks: dict[bytes, int]) -> dict[bytes, int]:
 
 class TrieCounter:
     def __init__(self, scores: dict[bytes, int], pattern: str):
+        low = min(scores.values(), default=0) - UNIT
+        scores = {bytes([b]): low for b in range(256)} | scores
         self.scores = scores
         self.endings = {t[i:] for t in scores for i in range(len(t))}  # a look back stops where no token ends so
         self._findall = regex.compile(pattern).findall

@@ -5,13 +5,14 @@ Entries are whole words (``=idiot``) and word beginnings (``^idio``). A word sta
 entry; words inside an exception phrase do not count. The weight found is set against the length of the text, and a
 logistic curve turns weight and density into a score from 0 to 1.
 
-The lexicon and the curve are fitted on labelled rows: entries by how surely they tell the classes apart, in document
-frequencies summed by Spark. At most about ``max_fit_rows`` labelled rows, chosen by hash, are used, and at most
-``max_entries`` entries are kept and sent to the tasks; both are documented bounds. Scoring covers every row.
-
-Defined results: null and empty texts hold no word and get the score of zero weight; without usable labels every score
-is 0; null labels are left out; repeated rows count each; several labels for an id count each; other columns pass
-through untouched.
+The lexicon, the exception phrases and the curve are fitted on labelled rows: entries by how surely they tell the classes
+apart, exceptions as phrases of two words that hold an entry and yet are no more toxic than the rows at large, in document
+frequencies summed by Spark. At most about ``max_fit_rows`` labelled ids, chosen by hash, are used, a documented bound, and
+what they hold bounds the lexicon. Their marks are broadcast and their texts written once. Scoring covers every row.
+
+Defined results: null and empty texts hold no word and get the score of zero weight; texts of any length are scored whole;
+without usable labels every score is 0; an empty table gives an empty result; null labels are left out; repeated rows
+count each; several labels for an id count each; other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seguekit.llm.common import cut
+
 #: Look-alikes (Cyrillic, Greek, full-width by rule below), and digits and signs written for letters.
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһкмтвнαειοκνρτυχ", "aeopcyxijsdhkmtbhaeiokvptux", strict=True))
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
@@ -36,7 +39,7 @@ FOLDS = {**HOMOGLYPHS, **SUBSTITUTES, **FULL_WIDTH}
 _FOLD = re.compile("[" + "".join(map(re.escape, FOLDS)) + "]")
 _WORD = re.compile(r"[^\W\d_]+")
 
-#: Phrases in which a listed word is not meant as an insult.
+#: Phrases in which a listed word is not meant as an insult, besides those that are learnt.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown", "worthless check", "loser bracket", "stupid simple")
 
 PREFIXES = range(3, 9)
@@ -86,7 +89,14 @@ class Matcher:
                     excused.append((start, last))
                 elif (kind == "^" or kind == "=" and whole) and w > best.get(start, 0.0):
                     best[start] = w
-        return sum(w for at, w in best.items() if not any(a <= at <= b for a, b in excused)), words
+        excused.sort()
+        total, n, until = 0.0, 0, -1
+        for at in sorted(best):
+            while n < len(excused) and excused[n][0] <= at:
+                until, n = max(until, excused[n][1]), n + 1
+            if at > until:
+                total += best[at]
+        return total, words
 
     def score(self, text: str | None) -> float:
         bias, by_weight, by_density = self.model.curve
@@ -108,21 +118,24 @@ def features_of(text: str | None) -> set[str]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_fit_rows: int, hold_out=None) -> DataFrame:
-    """(text, toxic) of the labelled rows, by hash about ``max_fit_rows`` of them; ``hold_out``: a condition on doc_id to leave out."""
-    marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
+    """(text, n, toxic) of the labelled rows: n labels, of which so many say toxic; by hash about ``max_fit_rows`` ids.
+
+    ``hold_out``: a condition on doc_id to leave out.
+    """
+    marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), (F.col("toxic") != 0).alias("__toxic"))
     if hold_out is not None:
         marks = marks.where(~hold_out(F.col("__id")))
+    marks = marks.groupBy("__id").agg(F.count("*").alias("n"), F.count_if("__toxic").alias("toxic"))
     n = marks.count()
     if n > max_fit_rows:
         marks = marks.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(1e6 * max_fit_rows / n))
-    return docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("__id")).select("text", "toxic")
+    return docs.select("doc_id", "text").join(F.broadcast(marks), F.col("doc_id") == F.col("__id")).select("text", "n", "toxic")
 
 
-def fit(docs: DataFrame, labels: DataFrame, hold_out=None, max_fit_rows: int = 20_000, max_entries: int = 2_000, surety: float = 20.0) -> ToxicityModel:
-    """Lexicon and curve from labelled rows. An entry's surety is its likelihood-ratio statistic against the base rate, in nats."""
-    sample = labelled_sample(docs, labels, max_fit_rows, hold_out)
+def counted(sample: DataFrame, found_in) -> DataFrame:
+    """(entry, n, toxic): labels, and toxic ones, of the rows in whose text ``found_in`` finds an entry; "" counts rows."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, hits = Counter(), Counter()
 
         def out():
@@ -130,39 +143,58 @@ def fit(docs: DataFrame, labels: DataFrame, hold_out=None, max_fit_rows: int = 2
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[k] for k in keys], pa.int64()), pa.array([hits[k] for k in keys], pa.int64())], names=["entry", "n", "toxic"])
 
         for b in batches:
-            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                found = features_of(text) | {""}  # the empty entry counts rows
-                seen.update(found)
-                if toxic:
+            for text, n, toxic in zip(*(b.column(c).to_pylist() for c in ("text", "n", "toxic")), strict=True):
+                found = found_in(text) | {""}
+                for _ in range(n):
+                    seen.update(found)
+                for _ in range(toxic):
                     hits.update(found)
                 if len(seen) > 300_000:
                     yield out()
                     seen, hits = Counter(), Counter()
         yield out()
 
-    counts = sample.mapInArrow(count, "entry string, n long, toxic long").groupBy("entry").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    return sample.mapInArrow(run, "entry string, n long, toxic long").groupBy("entry").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, hold_out=None, max_fit_rows: int = 20_000, surety: float = 20.0, exceptions: tuple[str, ...] = EXCEPTIONS, least_rows: int = 5) -> ToxicityModel:
+    """Lexicon, exceptions and curve from labelled rows. An entry's surety is its likelihood-ratio statistic against the base rate, in nats."""
+    sample = cut(labelled_sample(docs, labels, max_fit_rows, hold_out))
+    counts = cut(counted(sample, features_of).where((F.col("entry") == "") | (F.col("toxic") >= least_rows)))
     rows = counts.where("entry = ''").first()
     if rows is None or not 0 < rows["toxic"] < rows["n"]:
-        return ToxicityModel()
+        return ToxicityModel(exceptions=exceptions)
     n, toxic = rows["n"], rows["toxic"]
     base, a, b = toxic / n, F.col("toxic"), F.col("n")
     share = (a + 0.01) / (b + 0.02)
     nats = b * (share * F.log(share / base) + (1 - share) * F.log((1 - share) / (1 - base)))
     odds = F.log((a + 0.5) / (toxic + 1)) - F.log((b - a + 0.5) / (n - toxic + 1))
-    best = counts.where("entry <> '' and toxic >= 5").withColumn("weight", odds).withColumn("nats", nats).where((F.col("nats") >= surety) & (F.col("weight") >= 2.0))
-    kept = best.orderBy(F.desc("nats"), "entry").limit(max_entries).collect()  # at most max_entries rows
-    entries = {r["entry"]: r["weight"] for r in kept}
-    return _fit_curve(sample, ToxicityModel(entries=prune(entries, {r["entry"]: r["toxic"] for r in kept})))
+    best = counts.where(F.col("entry") != "").withColumn("weight", odds).withColumn("nats", nats).where((F.col("nats") >= surety) & (F.col("weight") >= 2.0))
+    kept = best.collect()  # what sure entries at most max_fit_rows rows can hold
+    entries = prune({r["entry"]: r["weight"] for r in kept}, {r["entry"]: r["toxic"] for r in kept})
+    phrases = counted(sample, lambda text: phrases_of(text, entries)).where((F.col("entry") != "") & (b - a >= least_rows) & (a <= base * b))
+    learnt = sorted(r["entry"] for r in phrases.select("entry").collect())  # bounded likewise
+    return _fit_curve(sample, ToxicityModel(entries=entries, exceptions=(*exceptions, *learnt)))
+
+
+def phrases_of(text: str | None, entries: dict[str, float]) -> set[str]:
+    """Pairs of neighbouring words, one space apart, of which one matches an entry."""
+    x, found, last, last_held = fold(text or ""), set(), None, False
+    for m in _WORD.finditer(x):
+        held = "=" + m[0] in entries or any("^" + m[0][:n] in entries for n in PREFIXES if len(m[0]) >= n)
+        if last is not None and (held or last_held) and x[last.end() : m.start()] == " ":
+            found.add(f"{last[0]} {m[0]}")
+        last, last_held = m, held
+    return found
 
 
 def prune(entries: dict[str, float], hits: dict[str, int]) -> dict[str, float]:
     """Leave out beginnings that say no more than a longer one: nearly all of their hits come through it."""
-    out = {}
-    for e, w in entries.items():
-        longer = [k for k in entries if k[0] == "^" and len(k) == len(e) + 1 and k.startswith(e)] if e[0] == "^" else []
-        if not any(hits[k] >= 0.98 * hits[e] and entries[k] >= w - 1e-9 for k in longer):
-            out[e] = w
-    return out
+    longer: dict[str, list[str]] = {}
+    for e in entries:
+        if e[0] == "^":
+            longer.setdefault(e[:-1], []).append(e)
+    return {e: w for e, w in entries.items() if not any(hits[k] >= 0.98 * hits[e] and entries[k] >= w - 1e-9 for k in longer.get(e, ()))}
 
 
 def _fit_curve(sample: DataFrame, model: ToxicityModel, cell: float = 0.1) -> ToxicityModel:
@@ -171,9 +203,10 @@ def _fit_curve(sample: DataFrame, model: ToxicityModel, cell: float = 0.1) -> To
     def grid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, cells = Matcher(model), Counter()
         for b in batches:
-            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+            for text, n, toxic in zip(*(b.column(c).to_pylist() for c in ("text", "n", "toxic")), strict=True):
                 x, y = evidence(*m.weigh(text))
-                cells[round(x / cell), round(y / cell), int(bool(toxic))] += 1
+                cells[round(x / cell), round(y / cell), 0] += n - toxic
+                cells[round(x / cell), round(y / cell), 1] += toxic
         k = list(cells)
         yield pa.RecordBatch.from_arrays([pa.array([c[i] for c in k], pa.int64()) for i in range(3)] + [pa.array([cells[c] for c in k], pa.int64())], names=["x", "y", "toxic", "n"])
 

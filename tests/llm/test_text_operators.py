@@ -1,6 +1,7 @@
 """Chat formatting, secret scans, line dedup and toxicity on small tables."""
 
 import hashlib
+import math
 import random
 import re
 import string
@@ -37,11 +38,29 @@ def test_chat_parts_become_ordered_placeholders(spark):
     df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "user", None), (1, 2, "user", [parts[1]])], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
     r = chat.format_conversations(df).collect()[0]
     assert [(a.position, a.kind, a.ref, a.tokens) for a in r.attachments] == [(0, "image", "a.png", 85 + 170 * 4), (1, "audio", "b.wav", 63), (2, "document", "c.pdf", 2400), (3, "image", "a.png", 765)]
-    assert chat.placeholders(r.formatted)[:3] == [("image", 0, 765), ("audio", 1, 63), ("document", 2, 2400)]
+    assert chat.placeholders(r.formatted) == [("image", 0, 765), ("audio", 1, 63), ("document", 2, 2400), ("image", 3, 765)]
     assert r.tokens == 2 + 765 + 63 + 1 + 2400 + 765
-    bad = spark.createDataFrame([(1, 0, "user", [("video", None, "x", None, None, None, None)])], df.schema)
-    with pytest.raises(Exception, match="unknown content part"):
-        chat.format_conversations(bad).collect()
+    odd = [("video", None, "x", None, None, None, None), ("visit", None, "y", None, None, None, None), None, ("audio", None, "z", None, None, float("inf"), None), ("image", None, "w", -5, 600, None, None)]
+    r = chat.format_conversations(spark.createDataFrame([(1, 0, "assistant", odd), (1, 1, "user", [odd[0]])], df.schema)).collect()[0]
+    assert chat.placeholders(r.formatted) == [("unknown", 0, 0), ("unknown", 1, 0), ("audio", 2, 0), ("image", 3, 85), ("unknown", 4, 0)]
+    assert [(a.position, a.kind, a.ref, a.tokens) for a in r.attachments] == [(0, "video", "x", 0), (1, "visit", "y", 0), (2, "audio", "z", 0), (3, "image", "w", 85), (4, "video", "x", 0)]
+    assert r.formatted[r.loss_spans[0].start : r.loss_spans[0].end].count("<") == 4
+
+
+def test_chat_texts_that_look_like_placeholders_stay(spark):
+    fake = '<image id="0" tokens="5"/>'
+    part = lambda kind, text, ref: (kind, text, ref, None, None, None, None)
+    df = spark.createDataFrame([(1, i, "user", [part("image", None, "a"), part("text", fake, None)]) for i in range(3)], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    r = chat.format_conversations(df).collect()[0]
+    assert [p[1] for p in chat.placeholders(r.formatted)] == [0, 1, 2]
+    assert [t.count(fake) for _, t in chat.parse(r.formatted)] == [1, 1, 1]
+
+
+def test_chat_clashing_columns_and_long_turns(spark):
+    rows = [(1, i, "assistant", "long <turn> " * 20_000 if i == 1 else "x", "a", 1, 2.0) for i in range(3)] * 2
+    df = spark.createDataFrame(rows, TURNS + ", body string, tokens int, formatted double")
+    got = chat.digest_formatted(chat.format_conversations(chat.as_text_parts(df))).collect()
+    assert [(r.n_turns, r.loss_chars) for r in got] == [(6, 2 * (4 * 1 // 2 + 240_000))]
 
 
 def test_chat_empty(spark):
@@ -71,29 +90,90 @@ def test_secret_base_spans(spark):
         assert got[i] == brute_spans(t or "")
 
 
-def test_secret_battery_flags_random_strings_and_spares_words(spark):
+def brute_p(token):
+    """p-value of text of this length that looks as random, from the definitions."""
+    if token.isdigit():
+        return 1.0
+    size = 16 if re.fullmatch("[0-9a-f]+", token) else 32 if re.fullmatch("[A-Z2-7]+", token) else 62 if re.fullmatch("[A-Za-z0-9]+", token) else 64
+    t = token.replace("=", "").replace("-", "+").replace("_", "/") if size == 64 else token
+    n, letters = len(t), secret_scan.ALPHABETS[size]
+    if n < 20:
+        return 1.0
+    x = sum((t.count(c) - n / size) ** 2 / (n / size) for c in letters)
+    at = [letters.index(c) + 1 - (size + 1) / 2 for c in t]
+    serial = sum(a * b for a, b in zip(at, at[1:], strict=False)) / ((n - 1) ** 0.5 * (size * size - 1) / 12)
+    runs = (sum((a > 0) != (b > 0) for a, b in zip(at, at[1:], strict=False)) - (n - 1) / 2) / ((n - 1) ** 0.5 / 2)
+    if serial**2 + runs**2 > 13.82:
+        return 1.0
+    mean, wide = size - 1 + n * secret_scan.UNEVEN[size], size - 1 + 2 * n * secret_scan.UNEVEN[size]
+    f = mean**2 / wide
+    return 0.5 * math.erfc(-((x / mean) ** (1 / 3) - (1 - 2 / (9 * f))) / (2 / (9 * f)) ** 0.5 / 2**0.5)
+
+
+def brute_flags(texts, fdr=0.05):
+    """(text, start, end) by Benjamini and Hochberg over p-values rounded up to the bins of 1 / 20."""
+    runs = [(i, m.start(), m.end(), min(7, int(math.log2(len(m[0])))), int(-math.log(max(brute_p(m[0]), 1e-300)) * 20)) for i, t in enumerate(texts) for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", t or "")]
+    out = set()
+    for c in {r[3] for r in runs}:
+        own = [r for r in runs if r[3] == c]
+        good = [b for b in {r[4] for r in own} if math.exp(-b / 20) * len(own) <= fdr * sum(r[4] >= b for r in own)]
+        out |= {r[:3] for r in own if good and r[4] >= min(good)}
+    return out
+
+
+LETTERS = string.ascii_letters + string.digits + "+/"
+PROSE = "the river ran past an old stone tree and we walked along its bank until evening came with wind from north over sand".split()
+
+
+def test_secret_battery_equals_brute_force(spark):
     rng = random.Random(5)
-    random_ids = ["".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(44)) for _ in range(120)]
-    words = ["".join(rng.choice(["thing", "er", "tion", "an", "re", "in"]) for _ in range(12))[:44] for _ in range(600)]
-    camel = [w[:20].capitalize() + w[20:40].capitalize() + "1111" for w in words[:60]]
-    df = spark.createDataFrame(list(enumerate([f"see {x} ." for x in [*random_ids, *words, *camel]])), "doc_id long, text string")
-    got = {r.doc_id: [(s.start, s.end) for s in r.added] for r in secret_scan.scan(df).collect()}
-    assert sum(got[i] == [(4, 48)] for i in range(120)) > 100
-    assert sum(bool(got[i]) for i in range(120, 720)) == 0
-    assert sum(bool(got[i]) for i in range(720, 780)) <= 10
-
-
-def test_secret_battery_finds_bare_keys_among_ordinary_words(spark):
+    make = [
+        lambda: "".join(rng.choice(LETTERS) for _ in range(rng.choice([20, 27, 44, 64, 88, 300]))),
+        lambda: "".join(rng.choice(string.ascii_letters) for _ in range(40)),
+        lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([24, 40, 64]))),
+        lambda: "".join(rng.choice(string.ascii_uppercase + "234567") for _ in range(52)),
+        lambda: "".join(rng.choice(PROSE).capitalize() for _ in range(rng.randint(5, 30))),
+        lambda: "/".join(rng.choice(PROSE) for _ in range(9)),
+        lambda: "".join(rng.choice(PROSE) for _ in range(8)).upper(),
+        lambda: "-" * rng.randint(20, 90), lambda: "=" * 25, lambda: "ab" * 15, lambda: "0123456789" * 4, lambda: "".join(rng.choice(string.digits) for _ in range(30)),
+    ]
+    texts = [" ".join(rng.choice(PROSE) if rng.random() < 0.7 else rng.choice(make)() for _ in range(rng.randint(0, 40))) for _ in range(120)] + [None, "", rng.choice(LETTERS) * 30 + " x " * 9000]
+    df = spark.createDataFrame([(i, t, "s", 1, "x") for i, t in enumerate(texts)], DOCS)
+    rows = secret_scan.scan(df).collect()
+    got = {(r.doc_id, s.start, s.end) for r in rows for s in r.random}
+    want = brute_flags(texts)
+    assert got == want and len(want) > 100
+    base = {i: brute_spans(t or "") for i, t in enumerate(texts)}
+    assert {(r.doc_id, s.start, s.end) for r in rows for s in r.added} == {(i, a, b) for i, a, b in want if not any(x < b and a < y for x, _, y in base[i])}
+
+
+def test_secret_battery_finds_bare_keys_among_words(spark):
     rng = random.Random(11)
-    words = "the river ran past an old stone tree and we walked along its bank until evening came with wind from north over sand".split()
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    prose = lambda: " ".join(rng.choice(words) for _ in range(60))
-    keys = {i: "".join(rng.choice(letters) for _ in range(44)) for i in range(20)}
-    rows = [(i, f"{prose()} {keys[i]} {prose()}" if i in keys else prose(), "en", 1, "x") for i in range(300)]
-    rows.append((300, f"{prose()} theRiverRanPastTheOldStoneTreeAndWeWalkedAlong", "en", 1, "x"))
+    prose = lambda: " ".join(rng.choice(PROSE) for _ in range(60))
+    keys = {i: "".join(rng.choice(LETTERS) for _ in range(44)) for i in range(20)}
+    rows = [(i, f"{prose()} {keys[i]} {prose()}" if i in keys else f"{prose()} {''.join(rng.choice(PROSE).capitalize() for _ in range(10))}", "en", 1, "x") for i in range(300)]
     got = {r.doc_id: [(s.start, s.end) for s in r.added] for r in secret_scan.scan(spark.createDataFrame(rows, DOCS)).collect()}
     found = sum(got[i] == [(rows[i][1].index(k), rows[i][1].index(k) + 44)] for i, k in keys.items())
-    assert found >= 18 and not any(got[i] for i in range(20, 301))
+    assert found >= 18 and sum(bool(got[i]) for i in range(20, 300)) <= 1
+
+
+def test_secret_scan_of_many_matches_and_of_clashing_columns(spark):
+    many = "deadbeefdeadbeef token=abcdefghijkl " * 3000
+    df = spark.createDataFrame([(1, many)], "doc_id long, text string").selectExpr("doc_id", "text", "1 as base", "2 as found", "3 as random", "4 as added", "5 as spans")
+    r = secret_scan.scan(df).collect()[0]
+    assert [(s.start, s.rank, s.end) for s in r.base] == brute_spans(many)
+    none = secret_scan.scan(spark.createDataFrame([(None, None, None, None, None)] * 2, DOCS)).collect()
+    assert [(x.doc_id, x.base, x.random, x.added) for x in none] == [(None, [], [], [])] * 2
+
+
+def test_registered_secret_scan(spark, tmp_path):
+    key = "q7Zp/0xVb3RkT9Lw2YhN5sUc8JfG4aDe1MiQo6+WtBnE"
+    texts = {1: f"bare {key} key", 2: "token = abcdefghijklmnop", 3: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op2_secret_scans(spark, str(tmp_path)).collect()}
+    assert [(got[i].n_assign, got[i].n_access, got[i].n_hex, got[i].n_added) for i in (1, 2, 3)] == [(0, 0, 0, 1), (1, 0, 0, 0), (0, 0, 0, 0)]
+    assert got[1].spans == "random:5:49" and got[2].spans == "assign:0:24" and got[3].spans == ""
+    assert got[2].base_sha256 == hashlib.sha256(b"assign:0:24").hexdigest()
 
 
 def test_secret_empty_table(spark):
@@ -117,13 +197,20 @@ def test_line_dedup_by_site(spark):
 
 
 def test_line_dedup_needs_pages_and_more_than_the_ratio(spark):
-    few = spark.createDataFrame([(i, "menu", "a", 1, "x") for i in range(9)], DOCS)
-    assert {r.text for r in line_dedup.drop_boilerplate(few, F.col("source")).collect()} == {"menu"}
+    few = spark.createDataFrame([(1, "menu\nown", "one page", 1, "x"), (2, "menu\na", "b", 1, "x"), (3, "menu\nb", "b", 1, "x")], DOCS)
+    assert {r.text for r in line_dedup.drop_boilerplate(few, F.col("source")).collect()} == {"menu\nown", "a", "b"}
     ten = spark.createDataFrame([(i, "menu" if i < 10 else f"b{i}", "a", 1, "x") for i in range(20)], DOCS)
     assert sum(r.text == "menu" for r in line_dedup.drop_boilerplate(ten, F.col("source"), max_ratio=0.5).collect()) == 10
     assert line_dedup.drop_boilerplate(spark.createDataFrame([], DOCS), F.col("source")).collect() == []
 
 
+def test_line_dedup_replaces_its_own_columns_and_cuts_long_texts(spark):
+    long = "\n".join(f"own {i}" for i in range(50_000))
+    df = spark.createDataFrame([(i, f"menu\n{long}" if i == 0 else f"menu\n{i}", "a", 1, "x") for i in range(4)], DOCS).selectExpr("doc_id", "text", "source", "'z' as lines_total", "5 as lines_dropped", "'h' as host")
+    got = {r.doc_id: r for r in line_dedup.drop_boilerplate(df, F.col("source")).collect()}
+    assert got[0].text == long and (got[0].lines_total, got[0].lines_dropped, got[0].host) == (50_001, 1, "h")
+
+
 def test_registered_line_dedup_drops_lines_of_small_hosts(spark, tmp_path):
     pages = [(i, f"https://{'small' if i < 4 else 'large'}.example/{i}", f"<p>menu</p><p>body {i}</p>" if i < 3 or i >= 25 else f"<p>body {i}</p>") for i in range(30)]
     pages.append((30, "https://lone.example/", "<p>menu</p><p>only page</p>"))
@@ -171,6 +258,67 @@ def test_toxicity_learns_and_holds_out(spark):
     assert toxicity.drop_toxic(docs, model).columns == docs.columns
 
 
+def naive_weigh(text, model):
+    """At each word start the heaviest entry that stands there, but for starts inside an exception phrase."""
+    x, total = toxicity.fold(text or ""), 0.0
+    starts = [i for i in range(len(x)) if not (i and x[i - 1].isalpha())]
+    phrases = [toxicity.fold(p) for p in model.exceptions]
+    excused = [(i, i + len(p)) for i in starts for p in phrases if x.startswith(p, i) and not x[i + len(p) : i + len(p) + 1].isalpha()]
+    for i in starts:
+        found = [w for e, w in model.entries.items() if x.startswith(e[1:], i) and (e[0] == "^" or not x[i + len(e) - 1 : i + len(e)].isalpha())]
+        if not any(lo <= i < hi for lo, hi in excused):
+            total += max(found, default=0.0)
+    return total
+
+
+def test_toxicity_model_equals_brute_force(spark):
+    rows, labels = corpus()
+    rng = random.Random(9)
+    rows = [(i, t + (" zork bin" if i % 24 == 1 else "") + (" Zork! Fire" if i % 6 == 0 and rng.random() < 0.5 else ""), *r) for i, t, *r in rows]
+    labels += [(0, 1), (0, 0), (7, 0)]
+    docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks)
+    n, hits, phrases = {}, {}, {}
+    text = {r[0]: r[1] for r in rows}
+    for i, y in labels:
+        words = re.findall(r"[^\W\d_]+", toxicity.fold(text[i]))
+        for e in {""} | {"=" + w for w in words} | {"^" + w[:k] for w in words for k in range(3, 9) if len(w) >= k}:
+            n[e], hits[e] = n.get(e, 0) + 1, hits.get(e, 0) + y
+    total, toxic = n[""], hits[""]
+    base, weights = toxic / total, {}
+    for e in n:
+        share = (hits[e] + 0.01) / (n[e] + 0.02)
+        nats = n[e] * (share * math.log(share / base) + (1 - share) * math.log((1 - share) / (1 - base)))
+        odds = math.log((hits[e] + 0.5) / (toxic + 1)) - math.log((n[e] - hits[e] + 0.5) / (total - toxic + 1))
+        if e and hits[e] >= 5 and nats >= 20 and odds >= 2:
+            weights[e] = odds
+    kept = {e: w for e, w in weights.items() if not (e[0] == "^" and any(k[0] == "^" and len(k) == len(e) + 1 and k.startswith(e) and hits[k] >= 0.98 * hits[e] and weights[k] >= w - 1e-9 for k in weights))}
+    assert model.entries == pytest.approx(kept) and kept
+    for i, y in labels:
+        x = toxicity.fold(text[i])
+        for a, b in {(m[1], m[2]) for m in re.finditer(r"(?<![^\W\d_])([^\W\d_]+)(?= ([^\W\d_]+))", x)}:
+            if naive_weigh(a, toxicity.ToxicityModel(kept, exceptions=())) or naive_weigh(b, toxicity.ToxicityModel(kept, exceptions=())):
+                c = phrases.setdefault(f"{a} {b}", [0, 0])
+                c[y] += 1
+    assert set(model.exceptions) - set(toxicity.EXCEPTIONS) == {p for p, (clean, bad) in phrases.items() if clean >= 5 and bad <= base * (clean + bad)}
+    assert "zork bin" in model.exceptions
+    m = toxicity.Matcher(model)
+    for _, t, *_ in rows:
+        assert m.weigh(t)[0] == pytest.approx(naive_weigh(t, model))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    bias, by_weight, by_density = model.curve
+    for i, t, *_ in rows:
+        w, words = naive_weigh(t, model), t.count(" ") + t.count("\n") + 1
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(bias + by_weight * math.log1p(w) + by_density * math.log1p(100 * w / words)))))
+
+
+def test_toxicity_fits_on_bounded_rows(spark):
+    rows, labels = corpus()
+    docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    n = toxicity.labelled_sample(docs, marks, 200).count()
+    assert 120 < n < 280 and toxicity.labelled_sample(docs, marks, 600).count() == 600
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame(corpus(10)[0], DOCS)
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
