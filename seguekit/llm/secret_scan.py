@@ -48,8 +48,8 @@ ALPHABETS = {
     64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 #: Half of what text has: letters of European languages meet with a probability of at least 0.065, so text diverges by
-#: 0.065 * alphabet - 1; in hex by that of digits alone.
-UNEVEN = {16: 0.3, 32: 0.54, 62: 1.5, 64: 1.58}
+#: 0.065 * alphabet - 1. For hex what digits alone have, 16 / 10 - 1; they are no candidates, and letters diverge by more.
+UNEVEN = {16: 0.6, 32: 0.54, 62: 1.5, 64: 1.58}
 #: The normal tail is its density times a polynomial in 1 / (1 + 0.2316419 x).
 TAIL = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
 PIECE = 256  # matches put together at a time
