@@ -9,14 +9,14 @@ from seguekit.functions import harmony as H
 
 
 def candidate_frames(frames: DataFrame, every: int = 4) -> DataFrame:
-    """Every fourth frame of a track with energy, trend, gap flag, length and vocal presence, all in one window pass."""
+    """Every fourth frame of a track with energy, trend, gap flag, length and its ``vocal`` presence, all in one window pass."""
     w = Window.partitionBy("track_id").orderBy("frame_idx")
     whole = Window.partitionBy("track_id")
     before, after = F.avg("rms").over(w.rowsBetween(-8, -1)), F.avg("rms").over(w.rowsBetween(0, 7))
     edge = (F.row_number().over(w) <= 8) | (F.row_number().over(w) > F.count("*").over(whole) - 7)
     trend = F.when(edge, "stable").when(after > before * 1.2, "rising").when(after < before * 0.6, "dip").when(after < before * 0.8, "falling").otherwise("stable")
     gap = (F.col("rms") == F.min("rms").over(w.rowsBetween(-2, 2))) & (F.min("rms").over(w.rowsBetween(-2, -1)) > F.col("rms"))
-    c = frames.select("track_id", "frame_idx", F.col("t_sec").alias("t"), F.col("rms").alias("energy"), trend.alias("trend"), F.coalesce(gap, F.lit(False)).alias("gap"), F.max("t_sec").over(whole).alias("duration"), ((F.col("frame_idx") % 10) / 10.0).alias("vocal"))
+    c = frames.select("track_id", "frame_idx", F.col("t_sec").alias("t"), F.col("rms").alias("energy"), trend.alias("trend"), F.coalesce(gap, F.lit(False)).alias("gap"), F.max("t_sec").over(whole).alias("duration"), "vocal")
     return c.where(F.col("frame_idx") % every == 0)
 
 

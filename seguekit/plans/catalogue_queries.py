@@ -22,19 +22,18 @@ def s3(spark, d):
 @query(
     "S6_upsert",
     """SELECT o_custkey AS mix_id, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS transition_id, max_by(o_totalprice, (o_orderdate, o_orderkey)) / 500000 AS quality_score
-    FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 GROUP BY o_custkey""",
+    FROM orders GROUP BY o_custkey""",
 )
 def s6(spark, d):
     t = V.transitions(spark, d).select("mix_id", "transition_id", "quality_score", "analyzed_at")
     stamped = t.withColumn("stamp", F.struct("analyzed_at", "transition_id"))
-    old, new = stamped.where("transition_id % 2 = 0 and transition_id % 3 <> 0"), stamped.where("transition_id % 3 = 0")
+    old, new = stamped.where("analyzed_at < date'1996-01-01'"), stamped.where("analyzed_at >= date'1996-01-01' or analyzed_at is null")  # all rows, the later ones as changes
     return C.upsert(old, new, "mix_id", "stamp").select("mix_id", "transition_id", "quality_score")
 
 
-@query("S7_get_transition", "SELECT t.transition_id, t.quality_score, m.title FROM v_transitions t LEFT JOIN v_mixes m USING (mix_id) WHERE t.transition_id % 100 = 7")
+@query("S7_get_transition", "SELECT t.transition_id, t.quality_score, m.title FROM v_transitions t LEFT JOIN v_mixes m USING (mix_id)")
 def s7(spark, d):
-    t = V.transitions(spark, d).where("transition_id % 100 = 7")
-    return t.join(V.mixes(spark, d), "mix_id", "left").select("transition_id", "quality_score", "title")
+    return V.transitions(spark, d).join(V.mixes(spark, d), "mix_id", "left").select("transition_id", "quality_score", "title")
 
 
 @query("S8_transitions_by_technique", "SELECT transition_id, quality_score FROM v_transitions WHERE technique = '1-URGENT' ORDER BY quality_score DESC NULLS LAST, transition_id LIMIT 100")
@@ -197,14 +196,17 @@ def g2(spark, d):
 
 @query(
     "G3_key_union",
-    """WITH h AS (SELECT source_mix, crossfade_type, count(*) AS n FROM v_samples WHERE order_id % 50 < 2 GROUP BY ALL) SELECT coalesce(a.crossfade_type, b.crossfade_type) AS crossfade_type, coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b
-    FROM (SELECT * FROM h WHERE source_mix = 1) a FULL OUTER JOIN (SELECT * FROM h WHERE source_mix = 2) b ON a.crossfade_type = b.crossfade_type""",
+    """WITH h AS (SELECT source_mix, crossfade_type, count(*) AS n FROM v_samples GROUP BY ALL)
+    SELECT coalesce(a.source_mix, b.source_mix - 1) AS mix_a, coalesce(a.crossfade_type, b.crossfade_type) AS crossfade_type, coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b, a.n IS NOT NULL AND b.n IS NOT NULL AS common
+    FROM h a FULL OUTER JOIN h b ON b.source_mix = a.source_mix + 1 AND a.crossfade_type = b.crossfade_type""",
 )
 def g3(spark, d):
-    h = V.samples(spark, d).where("order_id % 50 < 2").groupBy("source_mix", "crossfade_type").count()
-    a = h.where("source_mix = 1").select("crossfade_type", F.col("count").alias("n_a"))
-    b = h.where("source_mix = 2").select("crossfade_type", F.col("count").alias("n_b"))
-    return a.join(b, "crossfade_type", "full").na.fill(0, ["n_a", "n_b"])
+    """Keys of the histograms of each mix and the next one: their union, and which of them both have."""
+    h = V.samples(spark, d).groupBy("source_mix", "crossfade_type").count()
+    a = h.select(F.col("source_mix").alias("mix_a"), "crossfade_type", F.col("count").alias("n_a"))
+    b = h.select((F.col("source_mix") - 1).alias("mix_a"), "crossfade_type", F.col("count").alias("n_b"))
+    both = a.join(b, ["mix_a", "crossfade_type"], "full").withColumn("common", F.col("n_a").isNotNull() & F.col("n_b").isNotNull())
+    return both.na.fill(0, ["n_a", "n_b"])
 
 
 @query("G4_stratified_split")

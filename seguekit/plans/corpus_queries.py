@@ -58,10 +58,10 @@ _FIELDS = ["tempo_outgoing", "tempo_incoming", "energy_before", "energy_after",
 @query(
     "V8_feature_distribution",
     f"""WITH l AS ({' UNION ALL '.join(f"SELECT '{f}' AS field, {f}::DOUBLE AS x FROM v_samples" for f in _FIELDS)}), s AS (SELECT field, avg(x) AS m, stddev_pop(x) AS sd FROM l GROUP BY field)
-    SELECT field, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, min(x) AS min, max(x) AS max, quantile_cont(x, 0.5) AS median, count(*) FILTER (WHERE abs(x - m) > 3 * sd) AS outliers FROM l JOIN s USING (field) GROUP BY field""",
+    SELECT field, count(*) AS n, avg(x) AS mean, stddev_pop(x) AS std, min(x) AS min, max(x) AS max, quantile_cont(x, 0.5) AS median, count(*) FILTER (WHERE abs(x - m) > 3 * sd) AS outliers FROM l JOIN s USING (field) GROUP BY field""",
 )
 def v8(spark, d):
-    return VA.feature_distribution(V.samples(spark, d), _FIELDS).withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+    return VA.feature_distribution(V.samples(spark, d), _FIELDS)
 
 
 @query("V9_dedup_pairs", "SELECT mix_id, technique, min_by(transition_id, transition_id) AS transition_id FROM (SELECT CASE WHEN mix_id % 5 = 0 THEN NULL ELSE mix_id END AS mix_id, technique, transition_id FROM v_transitions) GROUP BY ALL")
@@ -125,12 +125,30 @@ def a4(spark, d):
     return p.withColumns({"tension": F.round("tension", 6), "smoothness": F.round("smoothness", 6), "types": F.array_join(F.transform("types", lambda t: F.concat_ws("=", t["crossfade_type"], t["n"].cast("string"))), ",")})
 
 
-@query("J20_style_compare", f"WITH {STYLE_SQL} SELECT a.source_mix AS mix_a, b.source_mix AS mix_b, round(a.smoothness - b.smoothness, 6) AS smoother_by, CASE WHEN a.cuts > b.cuts THEN 'a cuts more' WHEN a.cuts < b.cuts THEN 'b cuts more' ELSE 'same' END AS insight FROM style a JOIN style b ON a.source_mix < b.source_mix AND b.source_mix <= 10")
+INSIGHTS_SQL = """concat_ws('; ', CASE WHEN abs(a.smoothness - b.smoothness) > 0.005 THEN CASE WHEN a.smoothness > b.smoothness THEN 'a is smoother' ELSE 'b is smoother' END END,
+    CASE WHEN a.cuts / a.transitions > b.cuts / b.transitions THEN 'a cuts more' WHEN a.cuts / a.transitions < b.cuts / b.transitions THEN 'b cuts more' END,
+    CASE WHEN a.builds / a.transitions > b.builds / b.transitions THEN 'a builds more' WHEN a.builds / a.transitions < b.builds / b.transitions THEN 'b builds more' END,
+    CASE WHEN a.swaps / a.transitions > b.swaps / b.transitions THEN 'a swaps more' WHEN a.swaps / a.transitions < b.swaps / b.transitions THEN 'b swaps more' END)"""
+
+
+@query("J20_style_compare", f"WITH {STYLE_SQL} SELECT a.source_mix AS mix_a, b.source_mix AS mix_b, a.smoothness - b.smoothness AS smoother_by, a.tension - b.tension AS tenser_by, a.transitions AS transitions_a, b.transitions AS transitions_b, a.cuts AS cuts_a, b.cuts AS cuts_b, {INSIGHTS_SQL} AS insights FROM style a JOIN style b ON b.source_mix = a.source_mix + 1")
 def j20(spark, d):
-    p = style_profile(V.samples(spark, d).where("source_mix <= 10")).select("source_mix", "smoothness", "cuts")
-    a, b = (p.select(F.col("source_mix").alias(f"mix_{x}"), F.col("smoothness").alias(f"s_{x}"), F.col("cuts").alias(f"c_{x}")) for x in "ab")
-    both = a.join(b, F.col("mix_a") < F.col("mix_b"))
-    return both.select("mix_a", "mix_b", F.round(F.col("s_a") - F.col("s_b"), 6).alias("smoother_by"), F.when(F.col("c_a") > F.col("c_b"), "a cuts more").when(F.col("c_a") < F.col("c_b"), "b cuts more").otherwise("same").alias("insight"))
+    """Profiles of every mix and the next one side by side."""
+    p = style_profile(V.samples(spark, d))
+    pairs = p.select(F.col("source_mix").alias("mix_a"), (F.col("source_mix") + 1).alias("mix_b"))
+    return style_compare(p, pairs, "source_mix")
+
+
+def style_compare(profiles, pairs, key):
+    """Both profiles of each pair (mix_a, mix_b) and what sets them apart; two equi-joins, no product of profiles."""
+    fields = ["transitions", "smoothness", "tension", "cuts", "builds", "swaps"]
+    side = lambda x: profiles.select(F.col(key).alias(f"mix_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in fields))
+    both = pairs.join(side("a"), "mix_a").join(side("b"), "mix_b")
+    share = lambda c, x: F.col(f"{c}_{x}") / F.col(f"transitions_{x}")
+    more = lambda c, verb: F.when(share(c, "a") > share(c, "b"), f"a {verb} more").when(share(c, "a") < share(c, "b"), f"b {verb} more")
+    smoother = F.col("smoothness_a") - F.col("smoothness_b")
+    said = F.concat_ws("; ", F.when(F.abs(smoother) > 0.005, F.when(smoother > 0, "a is smoother").otherwise("b is smoother")), more("cuts", "cuts"), more("builds", "builds"), more("swaps", "swaps"))
+    return both.select("mix_a", "mix_b", smoother.alias("smoother_by"), (F.col("tension_a") - F.col("tension_b")).alias("tenser_by"), "transitions_a", "transitions_b", "cuts_a", "cuts_b", said.alias("insights"))
 
 
 @query("A5_merge_stats", f"SELECT crossfade_type, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct, round(avg(perceived_smoothness), 6) AS smoothness, min(perceived_smoothness) AS least, max(perceived_smoothness) AS most, round(100.0 * count(*) FILTER (WHERE {_KEYFIT}) / count(*), 6) AS key_pct, round(avg(harmonic_tension), 6) AS tension FROM v_samples GROUP BY crossfade_type")
@@ -220,10 +238,10 @@ def a22(spark, d):
     return V.transitions(spark, d).groupBy("mix_id").agg(F.round(F.avg(q), 6).alias("mean"), F.round(F.stddev_pop(q), 6).alias("std"), F.round(1 - F.stddev_pop(q), 6).alias("confidence"), F.bool_and(q > 0.5).alias("consensus"))
 
 
-@query("A41_mix_training_summary", "SELECT mix_id, sum(n) AS examples, round(sum(s) / sum(n), 6) AS mean, round(min(lo), 6) AS least, round(max(hi), 6) AS most, string_agg(technique || '=' || n, ',' ORDER BY technique) AS techniques FROM (SELECT mix_id, technique, count(*) AS n, sum(quality_score) AS s, min(quality_score) AS lo, max(quality_score) AS hi FROM v_transitions GROUP BY ALL) GROUP BY mix_id")
+@query("A41_mix_training_summary", "SELECT mix_id, sum(n) AS examples, sum(s) / sum(n) AS mean, min(lo) AS least, max(hi) AS most, string_agg(technique || '=' || n, ',' ORDER BY technique) AS techniques FROM (SELECT mix_id, technique, count(*) AS n, sum(quality_score) AS s, min(quality_score) AS lo, max(quality_score) AS hi FROM v_transitions GROUP BY ALL) GROUP BY mix_id")
 def a41(spark, d):
     per = V.transitions(spark, d).groupBy("mix_id", "technique").agg(F.count("*").alias("n"), F.sum("quality_score").alias("s"), F.min("quality_score").alias("lo"), F.max("quality_score").alias("hi"))
-    g = per.groupBy("mix_id").agg(F.sum("n").alias("examples"), F.round(F.sum("s") / F.sum("n"), 6).alias("mean"), F.round(F.min("lo"), 6).alias("least"), F.round(F.max("hi"), 6).alias("most"), F.array_sort(F.collect_list(F.struct("technique", "n"))).alias("t"))
+    g = per.groupBy("mix_id").agg(F.sum("n").alias("examples"), (F.sum("s") / F.sum("n")).alias("mean"), F.min("lo").alias("least"), F.max("hi").alias("most"), F.array_sort(F.collect_list(F.struct("technique", "n"))).alias("t"))
     return g.withColumn("techniques", F.array_join(F.transform("t", lambda x: F.concat_ws("=", x["technique"], x["n"].cast("string"))), ",")).drop("t")
 
 
@@ -238,19 +256,27 @@ _FIT_SQL = "coalesce((SELECT max(v) FROM (VALUES " + ", ".join(f"('{a}', '{b}',
 PAIR_FIT_SQL = f"""{dims.PROFILES_SQL}, fit AS (SELECT a.name AS tech_a, b.name AS tech_b, CASE WHEN list_contains(a.dislikes, b.name) THEN 0 WHEN list_contains(a.likes, b.name) THEN 0.9 ELSE 0.3 * CASE WHEN a.category = b.category THEN 1.0 ELSE 0.5 END + 0.4 * {_FIT_SQL} + 0.3 * (1 - abs(a.complexity - b.complexity)) END::DOUBLE AS score FROM prof a, prof b)"""
 
 
-@query("J16_technique_pair_compat", f"WITH {PAIR_FIT_SQL}, u AS (SELECT DISTINCT technique FROM v_transitions), s AS (SELECT count(*) AS transitions FROM v_transitions) SELECT tech_a, tech_b, round(score, 6) AS score, transitions FROM fit, s")
-def j16(spark, d):
-    n = V.transitions(spark, d).agg(F.count("*").alias("transitions"))
-    return dims.technique_pairs(spark).join(F.broadcast(n), F.lit(True)).select("tech_a", "tech_b", F.round("score", 6).alias("score"), "transitions")
+TRANS_TECH = [t[0] for t in dims.PROFILES]
 
 
-TRANS_TECH = [t[0] for t in dims.PROFILES]
+CHAIN_SQL = f"t AS (SELECT mix_id, transition_id, {TRANS_TECH}[CAST(transition_id % 17 + 1 AS INT)] AS tech FROM v_transitions), c AS (SELECT *, lag(tech) OVER (PARTITION BY mix_id ORDER BY transition_id) AS prev FROM t)"
 
 
-@query("J16_transition_chain_compat", f"WITH {PAIR_FIT_SQL}, t AS (SELECT mix_id, transition_id, {TRANS_TECH}[CAST(transition_id % 17 + 1 AS INT)] AS tech FROM v_transitions), c AS (SELECT *, lag(tech) OVER (PARTITION BY mix_id ORDER BY transition_id) AS prev FROM t) SELECT transition_id, round(score, 6) AS score FROM c JOIN fit ON tech_a = prev AND tech_b = tech")
-def j16b(spark, d):
-    """Fit of each transition's technique to the one before it in the mix."""
+def technique_chain(spark, d):
+    """Each transition's technique (tech_b) and the one before it in the mix (tech_a)."""
     tech = F.element_at(F.array(*map(F.lit, TRANS_TECH)), (F.col("transition_id") % 17 + 1).cast("int"))
     t = V.transitions(spark, d).select("mix_id", "transition_id", tech.alias("tech_b"))
-    chain = t.withColumn("tech_a", F.lag("tech_b").over(Window.partitionBy("mix_id").orderBy("transition_id")))
-    return chain.join(F.broadcast(dims.technique_pairs(spark)), ["tech_a", "tech_b"]).select("transition_id", F.round("score", 6).alias("score"))
+    return t.withColumn("tech_a", F.lag("tech_b").over(Window.partitionBy("mix_id").orderBy("transition_id")))
+
+
+@query("J16_technique_pair_compat", f"WITH {PAIR_FIT_SQL}, {CHAIN_SQL} SELECT prev AS tech_a, tech AS tech_b, count(*) AS uses, any_value(score) AS score FROM c JOIN fit ON tech_a = prev AND tech_b = tech GROUP BY ALL")
+def j16(spark, d):
+    """How often one technique follows another in a mix, and how well the two fit."""
+    used = technique_chain(spark, d).where("tech_a is not null").groupBy("tech_a", "tech_b").agg(F.count("*").alias("uses"))
+    return used.join(F.broadcast(dims.technique_pairs(spark)), ["tech_a", "tech_b"]).select("tech_a", "tech_b", "uses", "score")  # 17 x 17 pairs
+
+
+@query("J16_transition_chain_compat", f"WITH {PAIR_FIT_SQL}, {CHAIN_SQL} SELECT transition_id, score FROM c JOIN fit ON tech_a = prev AND tech_b = tech")
+def j16b(spark, d):
+    """Fit of each transition's technique to the one before it in the mix."""
+    return technique_chain(spark, d).join(F.broadcast(dims.technique_pairs(spark)), ["tech_a", "tech_b"]).select("transition_id", "score")

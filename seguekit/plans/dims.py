@@ -193,3 +193,16 @@ def technique_pairs(spark) -> DataFrame:
     score = 0.3 * F.when(F.col("category_a") == F.col("category_b"), 1.0).otherwise(0.5) + 0.4 * fit + 0.3 * (1 - F.abs(F.col("complexity_a") - F.col("complexity_b")))
     score = F.when(F.array_contains("dislikes_a", F.col("technique_b")), 0.0).when(F.array_contains("likes_a", F.col("technique_b")), 0.9).otherwise(score)
     return both.select(F.col("technique_a").alias("tech_a"), F.col("technique_b").alias("tech_b"), score.alias("score"))
+
+
+def hybrids(members: DataFrame, keys: list[str]) -> DataFrame:
+    """keys -> fit (mean score of all ordered pairs), complexity and boldness (weighted means) of the techniques of each hybrid.
+
+    ``members``: keys, i (place), technique, weight. Hybrids are small by definition.
+    """
+    spark = members.sparkSession
+    a, b = (members.select(*keys, F.col("i").alias(f"i_{x}"), F.col("technique").alias(f"tech_{x}")) for x in "ab")
+    fit = a.join(b, keys).where("i_a < i_b").join(F.broadcast(technique_pairs(spark)), ["tech_a", "tech_b"]).groupBy(*keys).agg(F.avg("score").alias("fit"))  # 17 x 17 pairs
+    mean = lambda c: (F.sum(F.col("weight") * F.col(c)) / F.sum("weight")).alias(c)
+    own = members.join(F.broadcast(profiles(spark)), "technique").groupBy(*keys).agg(mean("complexity"), mean("boldness"))  # 17 profiles
+    return fit.join(own, keys)

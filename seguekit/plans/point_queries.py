@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from seguekit.operators import points as P
 from seguekit.plans import dims
 from seguekit.plans import views as V
-from seguekit.plans.corpus_queries import PAIR_FIT_SQL
+from seguekit.plans.corpus_queries import CHAIN_SQL, PAIR_FIT_SQL, technique_chain
 from seguekit.plans.registry import query
 
 r6 = lambda c: F.round(c, 6)
 
-BASE_SQL = """cf AS (SELECT * FROM (SELECT track_id, frame_idx, t_sec AS t, rms AS energy, max(t_sec) OVER (PARTITION BY track_id) AS duration, frame_idx % 10 / 10.0 AS vocal,
+BASE_SQL = """cf AS (SELECT * FROM (SELECT track_id, frame_idx, t_sec AS t, rms AS energy, max(t_sec) OVER (PARTITION BY track_id) AS duration, vocal,
     CASE WHEN row_number() OVER w <= 8 OR row_number() OVER w > count(*) OVER (PARTITION BY track_id) - 7 THEN 'stable' WHEN avg(rms) OVER (w ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) > avg(rms) OVER (w ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) * 1.2 THEN 'rising'
       WHEN avg(rms) OVER (w ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) < avg(rms) OVER (w ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) * 0.6 THEN 'dip' WHEN avg(rms) OVER (w ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) < avg(rms) OVER (w ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) * 0.8 THEN 'falling' ELSE 'stable' END AS trend,
     coalesce(rms = min(rms) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AND min(rms) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) > rms, FALSE) AS gap
@@ -25,7 +25,7 @@ BASE_SQL = """cf AS (SELECT * FROM (SELECT track_id, frame_idx, t_sec AS t, rms
   i2 AS (SELECT *, round(least(1.0, 0.6 + CASE WHEN label IN ('intro', 'build', 'drop') THEN 0.4 ELSE 0 END + CASE WHEN trend = 'rising' THEN 0.2 ELSE 0 END + CASE WHEN energy > 0.3 AND energy < 0.8 THEN 0.2 ELSE 0 END)::DOUBLE, 9) AS score FROM i1),
   outs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY score DESC, frame_idx) AS rank FROM o2 WHERE score > 0.3) WHERE rank <= 30),
   ins AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY score DESC, frame_idx) AS rank FROM i2 WHERE score > 0.3) WHERE rank <= 30),
-  tp AS (SELECT DISTINCT user_id AS pair_id, user_id AS a_id, (user_id * 7 + 3) % 100 AS b_id, 100.0 + user_id % 30 AS bpm_a, 100.0 + (user_id * 7 + 3) % 100 % 30 AS bpm_b, user_id % 12 AS ka, (user_id * 7 + 3) % 100 % 12 AS kb FROM events),
+  tp AS (SELECT DISTINCT user_id AS pair_id, user_id AS a_id, b_id, 100.0 + user_id % 30 AS bpm_a, 100.0 + b_id % 30 AS bpm_b, user_id % 12 AS ka, b_id % 12 AS kb FROM (SELECT user_id, (user_id * 7 + 3) % (SELECT count(DISTINCT user_id) FROM events) AS b_id FROM events)),
   cp AS (SELECT pair_id, a.t AS t_a, b.t AS t_b, a.rank AS rank_a, b.rank AS rank_b, a.energy AS energy_a, b.energy AS energy_b, bpm_a, bpm_b, ka, kb, a.score AS score_a, b.score AS score_b,
     CASE WHEN abs(bpm_a - bpm_b) < 2 THEN 0.4 WHEN abs(bpm_a - bpm_b) < 5 THEN 0.3 WHEN abs(bpm_a - bpm_b) < 10 THEN 0.1 ELSE 0 END + CASE WHEN abs(ka - kb) IN (0,3,4,5,7,8,9) OR 12 - abs(ka - kb) IN (0,3,4,5,7,8,9) THEN 0.2 ELSE 0 END
     + CASE WHEN a.trend IN ('falling', 'dip') AND b.trend = 'rising' THEN 0.2 WHEN a.trend IN ('falling', 'stable') AND b.trend <> 'falling' THEN 0.1 ELSE 0 END + CASE WHEN a.label IN ('outro', 'breakdown') AND b.label IN ('intro', 'build') THEN 0.2 ELSE 0 END + 0.1 + (a.score + b.score) * 0.2 AS basic
@@ -36,7 +36,7 @@ BASE_SQL = """cf AS (SELECT * FROM (SELECT track_id, frame_idx, t_sec AS t, rms
 
 def track_pairs(spark, d):
     t = V.read(spark, d, "events").select(F.col("user_id").alias("pair_id")).distinct()
-    b = (F.col("pair_id") * 7 + 3) % 100
+    b = (F.col("pair_id") * 7 + 3) % t.count()
     names = F.array(*map(F.lit, V.NAMES))
     key = lambda i: F.element_at(names, (i % 12 + 1).cast("int"))
     return t.select("pair_id", F.col("pair_id").alias("a_id"), b.alias("b_id"), (100.0 + F.col("pair_id") % 30).alias("bpm_a"), (100.0 + b % 30).alias("bpm_b"), key(F.col("pair_id")).alias("key_a"), key(b).alias("key_b"))
@@ -120,18 +120,15 @@ def j10(spark, d):
     return example.select("transition_id", "output_labels.technique", F.col("quality_labels.overall").alias("quality"), F.col("input_features.a.bpm").alias("tempo_a"), F.col("input_features.b.bpm").alias("tempo_b"), r6(F.col("input_features.b.energy") - F.col("input_features.a.energy")).alias("energy_delta"))
 
 
-PRESET_ROWS = [(p, i, t, w) for p, ts in dims.PRESETS.items() for i, (t, w) in enumerate(ts)]
-PRESETS_SQL = "pre(preset, i, technique, weight) AS (VALUES " + ", ".join(map(str, PRESET_ROWS)) + ")"
+HYBRID_SQL = f"""{CHAIN_SQL}, n AS (SELECT mix_id, tech, row_number() OVER (PARTITION BY mix_id ORDER BY transition_id) - 1 AS k FROM t), pre AS (SELECT mix_id, k // 4 AS part, k % 4 AS i, tech, 1.0 / (1 + k % 4) AS weight FROM n)"""
 
 
-@query("J17_hybrid_presets", f"WITH {PAIR_FIT_SQL}, {PRESETS_SQL}, c AS (SELECT a.preset, avg(score) AS fit FROM pre a JOIN pre b ON a.preset = b.preset AND a.i < b.i JOIN fit ON tech_a = a.technique AND tech_b = b.technique GROUP BY 1), k AS (SELECT preset, sum(weight * complexity) / sum(weight) AS complexity, sum(weight * boldness) / sum(weight) AS boldness FROM pre JOIN prof ON name = technique GROUP BY 1), n AS (SELECT count(*) AS mixes FROM v_mixes) SELECT preset, round(fit, 6) AS fit, round(complexity, 6) AS complexity, round(boldness, 6) AS boldness, fit >= 0.3 AS kept, mixes FROM c JOIN k USING (preset), n")
+@query("J17_hybrid_presets", f"WITH {PAIR_FIT_SQL}, {HYBRID_SQL}, fits AS (SELECT a.mix_id, a.part, avg(score) AS fit FROM pre a JOIN pre b ON a.mix_id = b.mix_id AND a.part = b.part AND a.i < b.i JOIN fit ON tech_a = a.tech AND tech_b = b.tech GROUP BY ALL), k AS (SELECT mix_id, part, sum(weight * complexity) / sum(weight) AS complexity, sum(weight * boldness) / sum(weight) AS boldness FROM pre JOIN prof ON name = tech GROUP BY ALL) SELECT mix_id, part, fit, complexity, boldness, fit >= 0.3 AS kept FROM fits JOIN k USING (mix_id, part)")
 def j17(spark, d):
-    rows = spark.createDataFrame(PRESET_ROWS, "preset string, i int, technique string, weight double")
-    a, b = (rows.select("preset", F.col("i").alias(f"i_{x}"), F.col("technique").alias(f"tech_{x}")) for x in "ab")
-    fit = a.join(b, "preset").where("i_a < i_b").join(dims.technique_pairs(spark), ["tech_a", "tech_b"]).groupBy("preset").agg(F.avg("score").alias("fit"))
-    own = rows.join(dims.profiles(spark), "technique").groupBy("preset").agg((F.sum(F.col("weight") * F.col("complexity")) / F.sum("weight")).alias("complexity"), (F.sum(F.col("weight") * F.col("boldness")) / F.sum("weight")).alias("boldness"))
-    n = V.mixes(spark, d).agg(F.count("*").alias("mixes"))
-    return fit.join(own, "preset").join(F.broadcast(n), F.lit(True)).select("preset", r6("fit").alias("fit"), r6("complexity").alias("complexity"), r6("boldness").alias("boldness"), (F.col("fit") >= 0.3).alias("kept"), "mixes")
+    """Four techniques in a row of a mix as a hybrid, the earlier the heavier: six pairs each, whatever a mix holds."""
+    k = F.row_number().over(Window.partitionBy("mix_id").orderBy("transition_id")) - 1
+    members = technique_chain(spark, d).select("mix_id", F.floor(k / 4).alias("part"), (k % 4).alias("i"), F.col("tech_b").alias("technique"), (1.0 / (1 + k % 4)).alias("weight"))
+    return dims.hybrids(members, ["mix_id", "part"]).select("mix_id", "part", "fit", "complexity", "boldness", (F.col("fit") >= 0.3).alias("kept"))
 
 
 TRANS_TECH = [t[0] for t in dims.PROFILES]
@@ -215,10 +212,23 @@ def a30(spark, d):
     return g.select("track_id", "at", r6(F.col("lo") / F.col("hi")).alias("depth"), (F.col("lo") < 0.7 * F.col("hi")).alias("swap"))
 
 
-@query("A33_transition_quality", "WITH f AS (SELECT track_id, frame_idx, rms, abs(rms - lag(rms) OVER (PARTITION BY track_id ORDER BY frame_idx)) AS diff FROM v_frames WHERE frame_idx < 9) SELECT track_id, round(1 - avg(diff), 6) AS smoothness FROM f GROUP BY track_id")
+NINE_SQL = """nf AS (SELECT track_id, frame_idx, rms / (max(rms) OVER w + 1e-8) AS rms, bass / (max(bass) OVER w + 1e-8) AS bass, mid / (max(mid) OVER w + 1e-8) AS mid, count(*) OVER w AS n FROM v_frames WINDOW w AS (PARTITION BY track_id)),
+    nine AS (SELECT * FROM nf WHERE frame_idx IN (SELECT unnest([floor(i * (n - 1) / (least(9, n) - 1))::BIGINT for i in range(least(9, n))])))"""
+
+
+@query("A33_transition_quality", f"WITH {NINE_SQL}, iv AS (SELECT track_id, t_sec - lag(t_sec) OVER (PARTITION BY track_id ORDER BY beat_idx) AS iv FROM v_beats), bt AS (SELECT track_id, CASE WHEN count(*) <= 4 THEN 0.5 ELSE greatest(0, least(1, 1 - stddev_pop(iv) / avg(iv))) END AS beat FROM iv GROUP BY track_id), q AS (SELECT track_id, greatest(0, least(1, 1 - avg(d))) AS smooth, count(*) AS points, 1 - avg(bass * mid) AS balance FROM (SELECT *, abs(rms - lag(rms) OVER (PARTITION BY track_id ORDER BY frame_idx)) AS d FROM nine) GROUP BY track_id) SELECT track_id, CASE WHEN points > 2 THEN smooth ELSE 0.5 END::DOUBLE AS smoothness, balance, beat::DOUBLE AS beat, 0.4 * beat + 0.3 * CASE WHEN points > 2 THEN smooth ELSE 0.5 END + 0.3 * balance AS overall FROM q JOIN bt USING (track_id)")
 def a33(spark, d):
-    diff = F.abs(F.col("rms") - F.lag("rms").over(Window.partitionBy("track_id").orderBy("frame_idx")))
-    return V.frames(spark, d).where("frame_idx < 9").withColumn("diff", diff).groupBy("track_id").agg(r6(1 - F.avg("diff")).alias("smoothness"))
+    """Energy, bass and mids over each track's own maximum at nine points from its first to its last frame."""
+    whole = Window.partitionBy("track_id")
+    f = V.frames(spark, d).select("track_id", "frame_idx", *((F.col(c) / (F.max(c).over(whole) + 1e-8)).alias(c) for c in ("rms", "bass", "mid")), F.count("*").over(whole).alias("n"))
+    points = F.least(F.lit(9), F.col("n"))
+    at = F.transform(F.sequence(F.lit(0), points - 1), lambda i: F.when(points > 1, F.floor(i * (F.col("n") - 1) / (points - 1))).otherwise(F.lit(0)))
+    nine = f.where(F.array_contains(at, F.col("frame_idx"))).withColumn("d", F.abs(F.col("rms") - F.lag("rms").over(Window.partitionBy("track_id").orderBy("frame_idx"))))
+    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    q = nine.groupBy("track_id").agg(F.when(F.count("*") > 2, unit(1 - F.avg("d"))).otherwise(0.5).alias("smoothness"), (1 - F.avg(F.col("bass") * F.col("mid"))).alias("balance"))
+    gap = F.col("t_sec") - F.lag("t_sec").over(Window.partitionBy("track_id").orderBy("beat_idx"))
+    beat = V.beats(spark, d).select("track_id", gap.alias("iv")).groupBy("track_id").agg(F.when(F.count("*") <= 4, 0.5).otherwise(unit(1 - F.stddev_pop("iv") / F.avg("iv"))).alias("beat"))
+    return q.join(beat, "track_id").select("track_id", "smoothness", "balance", "beat", (0.4 * F.col("beat") + 0.3 * F.col("smoothness") + 0.3 * F.col("balance")).alias("overall"))
 
 
 @query("W16_label_sections", "WITH p AS (SELECT track_id, frame_idx // 8 AS k, avg(rms) AS e, count(*) AS n FROM v_frames GROUP BY ALL HAVING count(*) = 8), q AS (SELECT *, max(k) OVER (PARTITION BY track_id) AS last FROM p), t AS (SELECT track_id, quantile_cont(e, 0.75) AS p75, count(*) AS m FROM q WHERE k >= 2 GROUP BY 1), l AS (SELECT q.*, CASE WHEN k < 2 THEN 'intro' WHEN k > last - 2 THEN 'outro' WHEN m > 4 AND e > p75 THEN 'chorus' ELSE 'verse' END AS label FROM q LEFT JOIN t USING (track_id)), i AS (SELECT *, k - row_number() OVER (PARTITION BY track_id, label ORDER BY k) AS g FROM l) SELECT track_id, label, min(k) AS first, max(k) AS last FROM i GROUP BY track_id, label, g")

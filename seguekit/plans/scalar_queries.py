@@ -102,9 +102,9 @@ QUEUE = f"""(greatest(0.0, 1 - abs(bpm_a - bpm_b) / (bpm_a * 0.08)) * 0.4 + CASE
     WHEN {NA} = {NB} THEN 0.6 ELSE 0.2 END * 0.4 + (1 - abs(energy_a - energy_b)) * 0.2)"""
 
 
-@query("F10_queue_score", f"SELECT pair_id, round({QUEUE}, 6) AS score FROM v_pairs")
+@query("F10_queue_score", f"SELECT pair_id, CAST({QUEUE} AS DOUBLE) AS score FROM v_pairs")
 def f10(spark, d):
-    return V.pairs(spark, d).select("pair_id", F.round(S.queue_score(*(F.col(f"{n}_{s}") for n in ("bpm", "camelot", "energy") for s in "ab")), 6).alias("score"))
+    return V.pairs(spark, d).select("pair_id", S.queue_score(*(F.col(f"{n}_{s}") for n in ("bpm", "camelot", "energy") for s in "ab")).alias("score"))
 
 
 @query(
@@ -181,10 +181,10 @@ def f18(spark, d):
     return s.withColumn("seconds", S.timestamp_to_seconds(F.col("text")))
 
 
-@query("F19_shift_timestamps", "SELECT mix_id, frame_idx, frame_idx * 45 - 100 AS seconds, CAST((frame_idx * 45 - 100) // 60 AS VARCHAR) || ':' || lpad(CAST((frame_idx * 45 - 100) % 60 AS VARCHAR), 2, '0') AS text FROM v_mix_text WHERE frame_idx * 45 >= 100 AND frame_idx * 45 < 3700")
+@query("F19_shift_timestamps", "SELECT mix_id, frame_idx, frame_idx * 45 - 100 AS seconds, CASE WHEN frame_idx * 45 >= 3700 THEN printf('%d:%02d:%02d', (frame_idx * 45 - 100) // 3600, (frame_idx * 45 - 100) % 3600 // 60, (frame_idx * 45 - 100) % 60) ELSE printf('%d:%02d', (frame_idx * 45 - 100) // 60, (frame_idx * 45 - 100) % 60) END AS text FROM v_mix_text WHERE frame_idx * 45 >= 100")
 def f19(spark, d):
     t = V.mix_text(spark, d).withColumn("seconds", S.timestamp_to_seconds(F.split("text", " ")[0]).cast("long") - 100)
-    return t.where("seconds >= 0 and seconds < 3600").select("mix_id", "frame_idx", "seconds", S.seconds_to_timestamp(F.col("seconds")).alias("text"))
+    return t.where("seconds >= 0").select("mix_id", "frame_idx", "seconds", S.seconds_to_timestamp(F.col("seconds")).alias("text"))
 
 
 @query("F20_slug", "SELECT song_id, regexp_replace(regexp_replace(title || ' / ' || dj || '!', '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM v_songs")

@@ -84,14 +84,14 @@ def w2(spark, d):
     return t.select("track_id", "point", r6("slope").alias("slope"), F.when(F.col("slope") > 0.01, "increasing").when(F.col("slope") < -0.01, "decreasing").otherwise("stable").alias("trend"))
 
 
-@query("W3_bar_history", f"WITH {POINTS_SQL}, q AS (SELECT track_id, point, i, t - i * 2.0 AS t FROM pts, (SELECT CAST(unnest(range(32)) AS INT) AS i)), v AS (SELECT q.track_id, q.point, q.i, arg_max(f.rms, f.t_sec) AS v FROM q ASOF JOIN v_frames f ON f.track_id = q.track_id AND q.t >= f.t_sec GROUP BY ALL) SELECT q.track_id, q.point, round(avg(coalesce(v, 0.5)), 6) AS mean, round(arg_max(coalesce(v, 0.5), q.i), 6) AS oldest FROM q LEFT JOIN v USING (track_id, point, i) GROUP BY ALL")
+@query("W3_bar_history", f"WITH {POINTS_SQL}, q AS (SELECT track_id, point, i, t - i * 2.0 AS t FROM pts, (SELECT CAST(unnest(range(32)) AS INT) AS i)), v AS (SELECT q.track_id, q.point, q.i, arg_max(f.rms, f.t_sec) AS v FROM q ASOF JOIN v_frames f ON f.track_id = q.track_id AND q.t >= f.t_sec GROUP BY ALL) SELECT q.track_id, q.point, avg(coalesce(v, 0.5)) AS mean, arg_max(coalesce(v, 0.5), q.i) AS oldest FROM q LEFT JOIN v USING (track_id, point, i) GROUP BY ALL")
 def w3(spark, d):
     """32 values at bars of 2 s before each point, oldest first; 0.5 before the track begins."""
     at = points(spark, d).select("track_id", "point", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.col("t") - i * 2.0)).alias("i", "t")).withColumn("p", F.col("point") * 32 + F.col("i"))
     n = AO.neighbours(at, V.frames(spark, d), "track_id", "p", "t_sec", "rms")
     v = n.select("track_id", F.floor(F.col("p") / 32).cast("int").alias("point"), (F.col("p") % 32).alias("i"), F.coalesce("before_v", F.lit(0.5)).alias("v"))
     h = v.groupBy("track_id", "point").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("i")).alias("k"), "v"))), lambda x: x["v"]).alias("history"))
-    return h.select("track_id", "point", r6(F.aggregate("history", F.lit(0.0), lambda a, x: a + x) / 32).alias("mean"), r6(F.get("history", F.lit(0))).alias("oldest"))
+    return h.select("track_id", "point", (F.aggregate("history", F.lit(0.0), lambda a, x: a + x) / 32).alias("mean"), F.get("history", F.lit(0)).alias("oldest"))
 
 
 @query("W4_local_gap", "SELECT track_id, frame_idx, rms FROM (SELECT *, min(rms) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m, min(rms) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS b, count(*) OVER (PARTITION BY track_id) AS n FROM v_frames WINDOW w AS (PARTITION BY track_id ORDER BY frame_idx)) WHERE rms = m AND b > rms AND frame_idx >= 2 AND frame_idx < n - 2")
@@ -185,11 +185,11 @@ def w14(spark, d):
     return SE.track_boundaries(t, "mix_id", F.lit(20000.0))
 
 
-@query("W15_phrases", "WITH p AS (SELECT track_id, frame_idx // 8 AS phrase, count(*) AS n, avg(rms) AS energy, avg(rms) FILTER (WHERE frame_idx % 8 < 4) AS a, avg(rms) FILTER (WHERE frame_idx % 8 >= 4) AS b FROM v_frames GROUP BY ALL) SELECT track_id, phrase, round(energy, 6) AS energy, CASE WHEN b > a * 1.2 THEN 'rising' WHEN b < a * 0.8 THEN 'falling' ELSE 'stable' END AS trend FROM p WHERE n = 8")
+@query("W15_phrases", "WITH p AS (SELECT track_id, frame_idx // 8 AS phrase, count(*) AS n, avg(rms) AS energy, avg(rms) FILTER (WHERE frame_idx % 8 < 4) AS a, avg(rms) FILTER (WHERE frame_idx % 8 >= 4) AS b FROM v_frames GROUP BY ALL) SELECT track_id, phrase, energy, CASE WHEN b > a * 1.2 THEN 'rising' WHEN b < a * 0.8 THEN 'falling' ELSE 'stable' END AS trend FROM p WHERE n = 8")
 def w15(spark, d):
     half = lambda c: F.avg(F.when(c, F.col("rms")))
     p = V.frames(spark, d).groupBy("track_id", F.floor(F.col("frame_idx") / 8).alias("phrase")).agg(F.count("*").alias("n"), F.avg("rms").alias("energy"), half(F.col("frame_idx") % 8 < 4).alias("a"), half(F.col("frame_idx") % 8 >= 4).alias("b"))
-    return p.where("n = 8").select("track_id", "phrase", r6("energy").alias("energy"), F.when(F.col("b") > F.col("a") * 1.2, "rising").when(F.col("b") < F.col("a") * 0.8, "falling").otherwise("stable").alias("trend"))
+    return p.where("n = 8").select("track_id", "phrase", "energy", F.when(F.col("b") > F.col("a") * 1.2, "rising").when(F.col("b") < F.col("a") * 0.8, "falling").otherwise("stable").alias("trend"))
 
 
 @query("W18_downbeat_phase", "WITH m AS (SELECT track_id, beat_idx % 4 AS phase, round(avg(onset_strength), 9) AS m FROM v_beats GROUP BY ALL) SELECT track_id, phase FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY m DESC, phase) AS r FROM m) WHERE r = 1")
@@ -293,13 +293,13 @@ def a20(spark, d):
     return t.join(blocks, "track_id", "left").select("track_id", r6("lufs").alias("lufs"), r6(F.coalesce("lra", F.lit(0.0))).alias("lra"), r6("peak").alias("peak_db"), r6(F.col("peak") - F.col("lufs")).alias("plr"))
 
 
-@query("A26_energy_flow", f"WITH {POINTS_SQL}, e AS (SELECT p.track_id, avg(rms) FILTER (WHERE t_sec < t - 2) AS b, avg(rms) FILTER (WHERE t_sec BETWEEN t - 2 AND t + 2) AS m, avg(rms) FILTER (WHERE t_sec > t + 2) AS a FROM pts p JOIN v_frames f ON f.track_id = p.track_id AND f.t_sec BETWEEN p.t - 6 AND p.t + 6 WHERE p.point = 0 GROUP BY p.track_id) SELECT track_id, round(b, 6) AS before, round(m, 6) AS during, round(a, 6) AS after, coalesce(m < 0.8 * least(b, a), FALSE) AS dip, coalesce(a > b * 1.2, FALSE) AS build FROM e")
+@query("A26_energy_flow", f"WITH {POINTS_SQL}, e AS (SELECT p.track_id, avg(rms) FILTER (WHERE t_sec < t - 2) AS b, avg(rms) FILTER (WHERE t_sec BETWEEN t - 2 AND t + 2) AS m, avg(rms) FILTER (WHERE t_sec > t + 2) AS a FROM pts p JOIN v_frames f ON f.track_id = p.track_id AND f.t_sec BETWEEN p.t - 6 AND p.t + 6 WHERE p.point = 0 GROUP BY p.track_id) SELECT track_id, b AS before, m AS during, a AS after, coalesce(m < 0.8 * least(b, a), FALSE) AS dip, coalesce(a > b * 1.2, FALSE) AS build FROM e")
 def a26(spark, d):
     p = points(spark, d).where("point = 0").select(F.col("track_id").alias("__k"), "t")
     f = V.frames(spark, d).join(p, (F.col("track_id") == F.col("__k")) & F.col("t_sec").between(F.col("t") - 6, F.col("t") + 6))
     at = F.col("t_sec") - F.col("t")
     e = f.groupBy("track_id").agg(F.avg(F.when(at < -2, F.col("rms"))).alias("b"), F.avg(F.when(F.abs(at) <= 2, F.col("rms"))).alias("m"), F.avg(F.when(at > 2, F.col("rms"))).alias("a"))
-    return e.select("track_id", r6("b").alias("before"), r6("m").alias("during"), r6("a").alias("after"), F.coalesce(F.col("m") < 0.8 * F.least("b", "a"), F.lit(False)).alias("dip"), F.coalesce(F.col("a") > F.col("b") * 1.2, F.lit(False)).alias("build"))
+    return e.select("track_id", F.col("b").alias("before"), F.col("m").alias("during"), F.col("a").alias("after"), F.coalesce(F.col("m") < 0.8 * F.least("b", "a"), F.lit(False)).alias("dip"), F.coalesce(F.col("a") > F.col("b") * 1.2, F.lit(False)).alias("build"))
 
 
 @query("A32_beat_regularity", "WITH i AS (SELECT track_id, beat_idx, t_sec, onset_strength, t_sec + onset_strength / 1000 - lag(t_sec + onset_strength / 1000) OVER (PARTITION BY track_id ORDER BY beat_idx) AS gap FROM v_beats) SELECT track_id, round(CASE WHEN count(*) <= 4 THEN 0.5 ELSE greatest(0, least(1, 1 - stddev_pop(gap) / avg(gap))) END, 6) AS regularity FROM i GROUP BY track_id")

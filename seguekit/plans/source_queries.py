@@ -20,10 +20,11 @@ def s9(spark, d):
     return back.groupBy("crossfade_type", "bass_swap_detected").agg(F.count("*").alias("n"), F.round(F.sum("tempo_outgoing"), 3).alias("tempo"))
 
 
-@query("S2_list_media")
+@query("S2_list_media", "SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]+)$', 1) AS name FROM pages WHERE regexp_matches(regexp_replace(url, '[?#].*$', ''), '^.*/(?:en|de)/.*$')")
 def s2(spark, d):
-    """Files of a folder by pattern; contents are not read."""
-    return files.list_media(spark, d, "*.parquet").select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length")
+    """Addresses among all pages that match a pattern, and their last part; contents are not read."""
+    p = V.read(spark, d, "pages").where(files.matches_glob(F.col("url"), "*/{en,de}/*"))
+    return p.select("page_id", F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), "([^/]+)$", 1).alias("name"))
 
 
 @query("S10_write_events_csv", "SELECT kind AS label, count(*) AS n, round(sum(rms), 4) AS score FROM v_frames GROUP BY kind")

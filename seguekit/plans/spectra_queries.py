@@ -92,11 +92,23 @@ def a35(spark, d):
     return x.groupBy("label").agg(r6(F.sum(F.greatest("diff", F.lit(0.0)) ** 2) / F.countDistinct("track_id")).alias("flux"), r6(F.sqrt(F.sum(F.col("diff") ** 2))).alias("total"))
 
 
-@query("A36_curve_fit")
+GRID_SQL = "[exp(ln(0.01) + i * (ln(50) - ln(0.01)) / 59) for i in range(60)]"
+
+
+@query(
+    "A36_curve_fit",
+    f"""WITH p AS (SELECT track_id, frame_idx / count(*) OVER (PARTITION BY track_id) AS x, sum(rms) OVER (PARTITION BY track_id ORDER BY frame_idx) AS y FROM v_frames),
+    g AS (SELECT 'exponential' AS kind, unnest({GRID_SQL}) AS b, 0 AS pref UNION ALL SELECT 'linear', 1.0, 1 UNION ALL SELECT 'logarithmic', unnest({GRID_SQL}), 2),
+    u AS (SELECT track_id, y, g.*, CASE kind WHEN 'exponential' THEN exp(-b * x) WHEN 'linear' THEN x ELSE ln(1 + b * x) END AS u FROM p, g),
+    f AS (SELECT track_id, kind, b, pref, regr_slope(y, u) AS a, regr_intercept(y, u) AS c, regr_r2(y, u) AS r2, count(*) AS n, var_pop(y) AS v, avg(y) AS m FROM u GROUP BY ALL),
+    r AS (SELECT *, n < 3 OR v <= 1e-12 AS flat, row_number() OVER (PARTITION BY track_id ORDER BY round(coalesce(r2, 0), 9) DESC, pref, b) AS k FROM f)
+    SELECT track_id, CASE WHEN flat THEN 'constant' ELSE kind END AS kind, CASE WHEN flat THEN 0 ELSE b END AS b, CASE WHEN flat THEN 0 ELSE a END AS a, CASE WHEN flat THEN m ELSE c END AS c, CASE WHEN flat THEN 0 ELSE r2 END AS r2 FROM r WHERE k = 1""",
+)
 def a36(spark, d):
-    f = V.frames(spark, d).where("frame_idx < 100")
+    """The cumulative energy of each whole track over its length."""
     cum = F.sum("rms").over(Window.partitionBy("track_id").orderBy("frame_idx"))
-    return SP.curve_fit(f.select("track_id", (F.col("frame_idx") / 100).alias("x"), cum.alias("y")), "track_id")
+    x = F.col("frame_idx") / F.count("*").over(Window.partitionBy("track_id"))
+    return SP.curve_fit(V.frames(spark, d).select("track_id", x.alias("x"), cum.alias("y")), "track_id")
 
 
 @query("A37_feature_pca")

@@ -28,7 +28,8 @@ VIEW_SQL = {
         {_SQL_NAMES}[CAST(l_partkey % 12 + 1 AS INT)] AS key_outgoing, {_SQL_NAMES}[CAST(l_suppkey % 12 + 1 AS INT)] AS key_incoming, l_linenumber AS bars_duration,
         l_quantity % 2 = 0 AS beat_aligned, l_orderkey AS order_id, l_partkey AS part_id FROM lineitem""",
     "v_frames": """SELECT user_id AS track_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx,
-        (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) * 0.25 AS t_sec, value / 500 AS rms, event_type AS kind FROM events""",
+        CAST((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) * 0.25 AS DOUBLE) AS t_sec, value / 500 AS rms, event_type AS kind, CASE event_type WHEN 'click' THEN 0.1 WHEN 'view' THEN 0.4 ELSE 0.8 END::DOUBLE AS vocal,
+        least(1.0, value / 250)::DOUBLE AS bass, (value % 50 / 50)::DOUBLE AS mid FROM events""",
     "v_beats": """SELECT user_id AS track_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS beat_idx,
         (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) * 60.0 / (100 + user_id % 30) AS t_sec, value AS onset_strength FROM events""",
     "v_bars": """SELECT label AS mix_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS bar_idx, embedding[1:29]::DOUBLE[] AS features,
@@ -96,7 +97,7 @@ def _indexed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _indexed_events(spark, sf_dir).select(F.col("user_id").alias("track_id"), F.col("idx").alias("frame_idx"), (F.col("idx") * 0.25).cast("double").alias("t_sec"), (F.col("value") / 500).alias("rms"), F.col("event_type").alias("kind"))
+    return _indexed_events(spark, sf_dir).select(F.col("user_id").alias("track_id"), F.col("idx").alias("frame_idx"), (F.col("idx") * 0.25).cast("double").alias("t_sec"), (F.col("value") / 500).alias("rms"), F.col("event_type").alias("kind"), F.when(F.col("event_type") == "click", 0.1).when(F.col("event_type") == "view", 0.4).otherwise(0.8).alias("vocal"), F.least(F.lit(1.0), F.col("value") / 250).alias("bass"), (F.col("value") % 50 / 50).alias("mid"))
 
 
 def beats(spark: SparkSession, sf_dir: str) -> DataFrame:

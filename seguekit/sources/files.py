@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -38,6 +39,12 @@ def list_media(spark: SparkSession, root: str, pattern: str = MEDIA) -> DataFram
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path", "length", "modificationTime")
 
 
+def matches_glob(path: Column, pattern: str) -> Column:
+    """Whether a path or address, without query and fragment, matches a pattern of ``*``, ``?`` and ``{a,b}``."""
+    signs = {"*": ".*", "?": ".", "{": "(?:", "}": ")", ",": "|"}
+    return F.regexp_replace(path, "[?#].*$", "").rlike("^" + "".join(signs.get(c) or re.escape(c) for c in pattern) + "$")
+
+
 def flatten_song(doc: Column) -> dict[str, Column]:
     """The catalogue row of a song document (JSON text); readings that producers nest in two ways are taken from either."""
     at = lambda p: F.get_json_object(doc, p)
@@ -71,11 +78,13 @@ def write_splits(df: DataFrame, path: str) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``; in a folder of our own only where none is set."""
+    """A new path in the shared folder of ``spark.checkpoint.dir``; where none is set, in a temporary folder in local mode, else an error."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         if not sc._jsc.sc().getCheckpointDir().isDefined():
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="seguekit-checkpoint-"))
         root = sc._jsc.sc().getCheckpointDir().get()
     return f"{root}/{name}-{uuid.uuid4().hex}"
