@@ -7,6 +7,8 @@ Counts: each page gives a distinct line once, so the hot host and the hot line a
 shuffle. A host has fewer than (mean distinct lines of its pages) / ``max_ratio`` boilerplate lines, so the list per
 host is short; it is joined back on (host, salt), which deals a hot host over ``salts`` tasks.
 
+With ``copies_once``, pages of a host with the same lines count as one page, in both counts of the ratio.
+
 A line of one page is no repeat, so ``min_pages`` is 2; from there on the ratio alone decides, at every size.
 
 Defined results: a null or empty host is no site, its pages keep all lines; null text counts as empty and stays null;
@@ -27,10 +29,12 @@ def page_lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def boilerplate_lines(pages: DataFrame, host: Column, text: Column, max_ratio: float = 0.3, min_pages: int = 2, salts: int = 32) -> DataFrame:
+def boilerplate_lines(pages: DataFrame, host: Column, text: Column, max_ratio: float = 0.3, min_pages: int = 2, salts: int = 32, copies_once: bool = False) -> DataFrame:
     """host, lines: the 64-bit hashes of each host's boilerplate lines (hosts with none are absent)."""
     hashes = F.array_distinct(F.transform(F.filter(F.transform(page_lines(text), F.trim), lambda x: x != ""), lambda x: F.xxhash64(x)))
     seen = pages.select(host.alias("__host"), F.coalesce(hashes, F.array().cast("array<bigint>")).alias("__hashes")).where(F.col("__host").isNotNull() & (F.col("__host") != ""))
+    if copies_once:
+        seen = seen.withColumn("__text", F.xxhash64("__hashes")).dropDuplicates(["__host", "__text"])
     lines = seen.select("__host", F.explode_outer("__hashes").alias("__line")).where(F.col("__line").isNotNull())  # a plain explode filters by size first and takes the lines twice
     counted = lines.groupBy("__host", "__line").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_pages)
     totals = seen.groupBy("__host").agg(F.count("*").alias("__pages")).select(F.col("__host").alias("__site"), "__pages", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__s"))
@@ -39,10 +43,10 @@ def boilerplate_lines(pages: DataFrame, host: Column, text: Column, max_ratio: f
     return over.groupBy("__host").agg(F.collect_list("__line").alias("lines")).select(F.col("__host").alias("host"), "lines")
 
 
-def drop_boilerplate(pages: DataFrame, host: Column, text_col: str = "text", max_ratio: float = 0.3, min_pages: int = 2, salts: int = 32) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: Column, text_col: str = "text", max_ratio: float = 0.3, min_pages: int = 2, salts: int = 32, copies_once: bool = False) -> DataFrame:
     """``pages`` with the boilerplate lines cut out of ``text_col``, and ``lines_total`` and ``lines_dropped``."""
     text = text_or_empty(text_col)
-    sites = boilerplate_lines(pages, host, text, max_ratio, min_pages, salts).select(
+    sites = boilerplate_lines(pages, host, text, max_ratio, min_pages, salts, copies_once).select(
         F.col("host").alias("__site"), F.col("lines").alias("__drop"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__s")
     )
     marked = pages.withColumn("__host", host).withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))

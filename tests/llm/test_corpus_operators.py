@@ -115,6 +115,66 @@ def test_near_dedup_keeps_one_of_each(spark):
     assert sorted(r.text for r in nulls) == ["a b", "c d"]
 
 
+def shingled(t, width=5):
+    w = (t or "").encode().lower().split()
+    return {b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def jaccard(x, y):
+    a, b = shingled(x), shingled(y)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def edited(rng, base, share):
+    return [w if rng.random() > share else f"edit{rng.randint(0, 9999)}" for w in base]
+
+
+def kept_ids(spark, rows, p):
+    return sorted(r.doc_id for r in simhash.near_dedup_similar(docs(spark, rows), p).collect())
+
+
+def brute_kept(rows):
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and jaccard(rows[i][1], rows[j][1]) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    least = {}
+    for (i, _, _), r in zip(rows, root, strict=True):
+        least[r] = min(least.get(r, i), i)
+    return sorted(least.values())
+
+
+@pytest.mark.parametrize("piece", [4096, 3])
+def test_near_dedup_by_similarity(spark, piece):
+    rng, rows = random.Random(12), []
+    for g in range(14):
+        base = [rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(400)]
+        share = 0.004 if g < 10 else 0.09  # similarities of some 0.95, and of some 0.3
+        rows += [(g * 20 + c, " ".join(edited(rng, base, share) if c else base), f"s{g % 4}") for c in range(rng.randint(1, 8))]
+    chain = [f"w{i}" for i in range(300)]
+    rows += [(300 + i, " ".join(chain[10 * i : 10 * i + 200]), "s") for i in range(8)]  # neighbours: 186 of 206 shingles, ends: 126 of 266
+    rows += [(400, None, None), (401, "", "s1"), (402, " \n", "s2"), (403, "one two", "s1"), (404, "ONE  two", "s1"), (405, "one", "s1"), (406, "long text " * 30_000, "s")]
+    assert kept_ids(spark, rows, simhash.Similar(piece=piece)) == brute_kept(rows)
+    assert simhash.near_dedup_similar(docs(spark, [])).collect() == []
+    nulls = simhash.near_dedup_similar(docs(spark, [(None, "a b", "s"), (None, "a b", "s"), (None, "c d", None)])).collect()
+    assert sorted(r.text for r in nulls) == ["a b", "c d"]
+
+
+def test_near_dedup_by_similarity_finds_nine_of_ten_and_nothing_below(spark):
+    rng, rows, close = random.Random(13), [], 0
+    for g in range(300):
+        base = [rng.choice(WORDS) + str(rng.randint(0, 999)) for _ in range(250)]
+        other = edited(rng, base, rng.choice([0.01, 0.015, 0.02, 0.03, 0.04]))
+        close += jaccard(" ".join(base), " ".join(other)) >= 0.8
+        rows += [(2 * g, " ".join(base), "s"), (2 * g + 1, " ".join(other), "s")]
+    kept = set(kept_ids(spark, rows, simhash.Similar()))
+    gone = [i for i, *_ in rows if i not in kept]
+    assert all(jaccard(rows[i - 1][1], rows[i][1]) >= 0.8 for i in gone)
+    assert len(gone) >= 0.9 * close and close > 100
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 102), (101, 102)], "a long, b long")
     got = {r.node: r.root for r in simhash.connected_components(edges).collect()}
@@ -363,25 +423,104 @@ def test_search_empty(spark):
     assert topk_search.search(docs(spark, [(20, None, "s"), (None, "a", "s")]), F.col("doc_id") % 20 == 0).collect() == []
 
 
+# --- all registered queries --------------------------------------------------------------------------------------
+
+CLASHES = ["score", "size", "taken", "target", "position", "fp", "text_hash", "component_id", "key", "node", "media", "feature", "n_tokens", "tokens", "terms", "rank", "query_id", "host", "lines_total", "lines_dropped", "base", "spans", "found", "toxic", "predicted", "held_out", "n"]
+
+
+@pytest.fixture(scope="module")
+def odd_tables(spark, tmp_path_factory):
+    """Two folders with the same rows, one with extra columns of clashing names; nulls, empty and long texts, repeated rows."""
+    rng = random.Random(21)
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 60))) + ("\nall rights" if i % 3 == 0 else ""), rng.choice(["a", "b", None])) for i in range(120)]
+    rows += [(200, None, "a"), (220, "", "b"), (None, "red blue", "a"), (None, None, None), (240, "long river " * 20_000, "a"), rows[5], rows[5], (260, "token = abcdefghijklmnop", "b"), (3, "other text of id 3", "b")]
+    pages = [(i, f"https://h{i % 3}.example/{i}" if i % 7 else None, f"<p>menu</p><p>{t}</p>" if t else t) for i, t, _ in rows if i is not None]
+    labels = [(i, 0, int(i % 5 == 0)) for i in range(0, 120, 2)]
+    turns = [(i // 4 if i % 9 else None, i % 4, "user" if i % 2 else None, t) for i, (_, t, _) in enumerate(rows)]
+    out = []
+    for extra in (False, True):
+        sf = str(tmp_path_factory.mktemp("odd"))
+        for name, df in {
+            "documents": docs(spark, rows), "pages": spark.createDataFrame(pages, "page_id long, url string, html string"), "labels": spark.createDataFrame(labels, "doc_id long, quality long, toxic long"),
+            "conversations": spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"),
+        }.items():
+            more = {c: F.lit(f"own {c}") for c in CLASHES if c not in df.columns} if extra else {}
+            df.withColumns(more).write.parquet(f"{sf}/{name}.parquet")
+        out.append(sf)
+    return out
+
+
+@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n.startswith("op")])
+def test_queries_ignore_other_columns_and_stand_odd_rows(spark, odd_tables, name):
+    plain, extra = (queries.QUERIES[name](spark, sf) for sf in odd_tables)
+    assert plain.columns == extra.columns and len(set(plain.columns)) == len(plain.columns)
+    a, b = (Counter(map(repr, df.collect())) for df in (plain, extra))
+    assert a == b and a
+
+
+@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n.startswith("op")])
+def test_queries_stand_empty_tables(spark, odd_tables, name, tmp_path):
+    for t in ("documents", "pages", "labels", "conversations"):
+        spark.read.parquet(f"{odd_tables[0]}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert queries.QUERIES[name](spark, str(tmp_path)).count() == (1 if name.startswith("op1_") else 0)
+
+
 # --- pipeline ----------------------------------------------------------------------------------------------------
 
 
-def test_pipeline_stages(spark):
+def brute_lines(rows, ratio=0.05):
+    """(id, text, source) without the lines on over ``ratio`` of the different texts of a source, two at least."""
+    texts, on = {}, Counter()
+    for _, t, s in rows:
+        if s:
+            texts.setdefault(s, set()).add(frozenset(x.strip(" ") for x in (t or "").split("\n")) - {""})
+    for s, own in texts.items():
+        on.update((s, x) for lines in own for x in lines)
+    drop = {k for k, n in on.items() if n >= 2 and n > ratio * len(texts[k[0]])}
+    cut = [(i, t, s, [x for x in (t or "").split("\n") if not x.strip(" ") or (s, x.strip(" ")) not in drop]) for i, t, s in rows]
+    return [(i, "\n".join(kept) if len(kept) < len((t or "").split("\n")) else t, s) for i, t, s, kept in cut]
+
+
+def test_pipeline_stages_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{sf}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "simhash near-dedup", "mixing sources", "byte-level bpe"]
-    stages = dict(corpus_pipeline.STAGES)
-    columns = rows.columns
+    stages, columns = dict(corpus_pipeline.STAGES), rows.columns
+    own = [(r.doc_id, r.text, r.source) for r in rows.collect()]
+
+    clean = stages["toxicity"](spark, rows, sf)
+    rejected = {r.doc_id for r in queries.op4_toxicity(spark, sf).where("predicted = 1").collect()}
+    assert clean.columns == columns and sorted(r.doc_id for r in clean.collect()) == sorted(i for i, *_ in own if i not in rejected)
+
     lines = stages["line dedup"](spark, rows, sf)
-    assert lines.columns == columns and lines.count() == rows.count()
-    once = stages["simhash near-dedup"](spark, lines, sf)
-    assert once.columns == columns
-    own = [(r.doc_id, r.text, r.source) for r in lines.collect()]
-    assert sorted(r.doc_id for r in once.collect()) == sorted({c for _, _, c in brute_components(own)})
-    mixed = stages["mixing sources"](spark, once, sf)
-    assert mixed.columns == columns and {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in once.collect()}
-    out = corpus_pipeline.run(spark, sf)
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
+    assert lines.columns == columns and sorted((r.doc_id, r.text, r.source) for r in lines.collect()) == sorted(brute_lines(own))
+
+    once = stages["simhash near-dedup"](spark, rows, sf)
+    assert once.columns == columns and sorted(r.doc_id for r in once.collect()) == brute_kept(own)
+
+    mixed = stages["mixing sources"](spark, rows, sf)
+    plan = {r.doc_id: r for r in mixing.mix(rows).collect()}
+    times = Counter(r.doc_id for r in mixed.collect())
+    assert mixed.columns == columns and all(abs(times[i] - (r.taken / r["size"] if r["size"] else 0)) <= 0.5 for i, r in plan.items())
+
+    reference = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=byte_bpe.load(PATH, PATTERN).ranks, special_tokens={})
+    for r in stages["byte-level bpe"](spark, rows.limit(40), sf).collect():
+        t = next(t for i, t, _ in own if i == r.doc_id) or ""
+        ids = np.array(reference.encode_ordinary(t), "<u4")
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+
+
+def test_pipeline_over_odd_tables(spark, odd_tables, tmp_path):
+    results = []
+    for sf in odd_tables:
+        rows = spark.read.parquet(f"{sf}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, rows, sf).columns == rows.columns
+        results.append(Counter(map(repr, corpus_pipeline.run(spark, sf).collect())))
+    assert results[0] == results[1] and results[0]
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{odd_tables[0]}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
 def test_pipeline_drops_a_sources_header(spark):

@@ -204,6 +204,14 @@ def test_line_dedup_needs_pages_and_more_than_the_ratio(spark):
     assert line_dedup.drop_boilerplate(spark.createDataFrame([], DOCS), F.col("source")).collect() == []
 
 
+def test_line_dedup_can_count_copies_once(spark):
+    rows = [(i, "copied\ntext", "a", 1, "x") for i in range(30)] + [(100 + i, f"menu\nbody {i}", "a", 1, "x") for i in range(20)]
+    df = spark.createDataFrame(rows, DOCS)
+    cut = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(df, F.col("source"), copies_once=True).collect()}
+    assert cut[3] == "copied\ntext" and cut[103] == "body 3"
+    assert {r.text for r in line_dedup.drop_boilerplate(df, F.col("source")).collect() if r.doc_id < 100} == {""}
+
+
 def test_line_dedup_replaces_its_own_columns_and_cuts_long_texts(spark):
     long = "\n".join(f"own {i}" for i in range(50_000))
     df = spark.createDataFrame([(i, f"menu\n{long}" if i == 0 else f"menu\n{i}", "a", 1, "x") for i in range(4)], DOCS).selectExpr("doc_id", "text", "source", "'z' as lines_total", "5 as lines_dropped", "'h' as host")
