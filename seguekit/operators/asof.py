@@ -53,5 +53,13 @@ def in_interval(points: DataFrame, intervals: DataFrame, key: str, point: str, c
     return hit.groupBy(*points.columns).agg(first).select(*points.columns, "__i.*")
 
 
+def around(points: DataFrame, series: DataFrame, key: str, at: str, before: float, after: float, bucket_sec: float = 30.0) -> DataFrame:
+    """``points`` (key, t, ...) with every row of ``series`` from t - before to t + after, joined on (key, time bucket)."""
+    cut = lambda c: F.floor(c / bucket_sec)
+    spread = points.withColumnRenamed(key, "__key").withColumn("__bucket", F.explode(F.sequence(cut(F.col("t") - before), cut(F.col("t") + after))))
+    same = (F.col(key) == F.col("__key")) & (cut(F.col(at)) == F.col("__bucket"))
+    return series.join(spread, same & F.col(at).between(F.col("t") - before, F.col("t") + after)).drop("__key", "__bucket")
+
+
 def lerp(a: Column, b: Column, share: Column) -> Column:
     return a + (b - a) * share

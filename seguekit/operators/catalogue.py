@@ -48,16 +48,19 @@ def compatible_songs(songs: DataFrame, bpm: float, key: str, camelot: str | None
 def compatible_pairs(songs: DataFrame, most: int = 5) -> DataFrame:
     """(song_id, match_id, bpm_diff, rank): the batch form for every song, itself left out.
 
-    The two ways to be in key are two equi-joins, each also on a tempo band of 6 %; bands next to each other are
-    tried, so that neither join has to look at the whole catalogue.
+    Both ways to be in key are equi-joins on a cell of tempo (6 %) and energy (0.2), next cells included. A pair meets in
+    one cell only, and the join on the key leaves out what the one on the code finds, so nothing needs a distinct.
     """
-    band = F.floor(F.log("bpm") / math.log(1.06 / 0.94)).cast("int")
-    probe = songs.select(F.col("song_id"), F.col("bpm"), F.col("camelot"), F.col("key_name"), F.col("energy"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    base = songs.select(F.col("song_id").alias("match_id"), F.col("bpm").alias("m_bpm"), F.col("camelot").alias("m_camelot"), F.col("key_name").alias("m_key"), F.col("energy").alias("m_energy"), band.alias("m_band"))
-    by_code = probe.withColumn("friend", F.explode(camelot_friends(F.col("camelot")))).join(base, (F.col("friend") == F.col("m_camelot")) & (F.col("band") == F.col("m_band"))).drop("friend")
-    by_key = probe.join(base, (F.col("key_name") == F.col("m_key")) & (F.col("band") == F.col("m_band")))
-    near = (F.col("song_id") != F.col("match_id")) & F.col("m_bpm").between(F.col("bpm") * 0.94, F.col("bpm") * 1.06) & F.col("m_energy").between(F.col("energy") - 0.2, F.col("energy") + 0.2)
-    both = by_code.unionByName(by_key).where(near).select("song_id", "match_id", F.abs(F.col("m_bpm") - F.col("bpm")).alias("bpm_diff")).distinct()
+    band, level = F.floor(F.log("bpm") / math.log(1.06 / 0.94)).cast("int"), F.floor(F.col("energy") / 0.21).cast("int")
+    near = lambda c: F.explode(F.array(c - 1, c, c + 1))
+    probe = songs.select("song_id", "bpm", "camelot", "key_name", "energy", level.alias("level"), near(band).alias("band")).withColumn("level", near(F.col("level")))
+    base = songs.select(F.col("song_id").alias("match_id"), F.col("bpm").alias("m_bpm"), F.col("camelot").alias("m_camelot"), F.col("key_name").alias("m_key"), F.col("energy").alias("m_energy"), band.alias("m_band"), level.alias("m_level"))
+    cell = (F.col("band") == F.col("m_band")) & (F.col("level") == F.col("m_level"))
+    friends = camelot_friends(F.col("camelot"))
+    by_code = probe.withColumn("friend", F.explode(friends)).join(base, (F.col("friend") == F.col("m_camelot")) & cell).drop("friend")
+    by_key = probe.join(base, (F.col("key_name") == F.col("m_key")) & cell).where(~F.coalesce(F.array_contains(friends, F.col("m_camelot")), F.lit(False)))
+    fits = (F.col("song_id") != F.col("match_id")) & F.col("m_bpm").between(F.col("bpm") * 0.94, F.col("bpm") * 1.06) & F.col("m_energy").between(F.col("energy") - 0.2, F.col("energy") + 0.2)
+    both = by_code.unionByName(by_key).where(fits).select("song_id", "match_id", F.abs(F.col("m_bpm") - F.col("bpm")).alias("bpm_diff"))
     rank = F.row_number().over(Window.partitionBy("song_id").orderBy("bpm_diff", "match_id"))
     return both.withColumn("rank", rank).where(F.col("rank") <= most)
 

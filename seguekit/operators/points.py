@@ -9,17 +9,23 @@ from seguekit.functions import harmony as H
 
 
 def candidate_frames(frames: DataFrame, every: int = 4) -> DataFrame:
-    """Every fourth frame of a track with energy, trend, gap flag, length and its ``vocal`` presence, all in one window pass."""
+    """Every fourth frame of a track with energy, trend, gap flag, length and vocal presence, all in one window pass.
+
+    ``centroid`` and ``bandwidth`` are means over 8 frames (2 s) either side, ``singing`` is that of ``vocal`` over 12 (3 s).
+    """
     w = Window.partitionBy("track_id").orderBy("frame_idx")
     whole = Window.partitionBy("track_id")
     before, after = F.avg("rms").over(w.rowsBetween(-8, -1)), F.avg("rms").over(w.rowsBetween(0, 7))
     edge = (F.row_number().over(w) <= 8) | (F.row_number().over(w) > F.count("*").over(whole) - 7)
     trend = F.when(edge, "stable").when(after > before * 1.2, "rising").when(after < before * 0.6, "dip").when(after < before * 0.8, "falling").otherwise("stable")
     gap = (F.col("rms") == F.min("rms").over(w.rowsBetween(-2, 2))) & (F.min("rms").over(w.rowsBetween(-2, -1)) > F.col("rms"))
-    c = frames.select("track_id", "frame_idx", F.col("t_sec").alias("t"), F.col("rms").alias("energy"), trend.alias("trend"), F.coalesce(gap, F.lit(False)).alias("gap"), F.max("t_sec").over(whole).alias("duration"), "vocal")
+    c = frames.select("track_id", "frame_idx", F.col("t_sec").alias("t"), F.col("rms").alias("energy"), trend.alias("trend"), F.coalesce(gap, F.lit(False)).alias("gap"), F.max("t_sec").over(whole).alias("duration"), "vocal", F.avg("centroid").over(w.rowsBetween(-8, 8)).alias("centroid"), F.avg("bandwidth").over(w.rowsBetween(-8, 8)).alias("bandwidth"), F.avg("vocal").over(w.rowsBetween(-12, 12)).alias("singing"))
     return c.where(F.col("frame_idx") % every == 0)
 
 
+AROUND = ("centroid", "bandwidth", "singing")
+
+
 def label(t: Column, duration: Column, energy: Column, out: bool) -> Column:
     """Section guess by position, then by energy."""
     if out:
@@ -49,12 +55,12 @@ def candidate_points(frames: DataFrame, out: bool, keep: int = 30) -> DataFrame:
     c = c.withColumn("label", label(F.col("t"), F.col("duration"), F.col("energy"), out))
     c = c.withColumn("score", F.round(point_score({n: F.col(n) for n in c.columns}, out), 9)).where("score > 0.3")
     rank = F.row_number().over(Window.partitionBy("track_id").orderBy(F.desc("score"), "frame_idx"))
-    return c.withColumn("rank", rank).where(F.col("rank") <= keep).select("track_id", "frame_idx", "t", "energy", "trend", "label", "score", "rank")
+    return c.withColumn("rank", rank).where(F.col("rank") <= keep).select("track_id", "frame_idx", "t", "energy", "trend", "label", "score", "rank", *AROUND)
 
 
 def candidate_pairs(pairs: DataFrame, outs: DataFrame, ins: DataFrame, top: int = 10) -> DataFrame:
     """At most top x top point pairs of each track pair (pair_id, a_id, b_id)."""
-    side = lambda df, x: df.where(F.col("rank") <= top).select(F.col("track_id").alias(f"{x}_id"), *(F.col(c).alias(f"{c}_{x}") for c in ("t", "energy", "trend", "label", "score", "rank")))
+    side = lambda df, x: df.where(F.col("rank") <= top).select(F.col("track_id").alias(f"{x}_id"), *(F.col(c).alias(f"{c}_{x}") for c in ("t", "energy", "trend", "label", "score", "rank", *AROUND)))
     return pairs.join(side(outs, "a"), "a_id").join(side(ins, "b"), "b_id")
 
 
@@ -83,6 +89,24 @@ def harmonic_factor(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), 0.7).when(H.pitch_compatible(a, b), 1.0).otherwise(F.greatest(F.lit(0.3), 1 - F.least(d, 12 - d) / 6))
 
 
+#: Sections that follow one another best.
+IDEAL = (("outro", "intro"), ("outro", "build"), ("breakdown", "intro"), ("breakdown", "build"), ("verse", "verse"), ("verse", "intro"))
+
+
+def quality_factors() -> dict[str, Column]:
+    """The seven factors of a point pair, from the columns of ``candidate_pairs``. Candidates stand on beats."""
+    c = lambda n: (F.col(f"{n}_a"), F.col(f"{n}_b"))
+    (ta, tb), (la, lb), (ca, cb), (wa, wb), (sa, sb) = map(c, ("trend", "label", "centroid", "bandwidth", "singing"))
+    energy = F.when(ta.isin("falling", "dip") & (tb == "rising"), 1.0).when(ta.isin("falling", "stable") & (tb != "falling"), 0.8).when((ta == "stable") & (tb == "stable"), 0.6).otherwise(0.4)
+    ideal = F.concat_ws(">", la, lb).isin(*(">".join(x) for x in IDEAL))
+    structure = F.when(ideal, 1.0).when((la == "outro") & lb.isin("intro", "verse") | la.isin("breakdown", "verse") & (lb == "intro"), 0.8).otherwise(0.6)
+    off = F.abs(F.col("bpm_a") - F.col("bpm_b"))
+    tempo = F.when(off < 1, 1.0).when(off < 2, 0.9).when(off < 5, 0.8).when(off < 10, 0.6).otherwise(0.3)
+    unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    clash = unit((1 - F.abs(ca - cb) / (ca + cb + 1e-10) * 0.5) * F.least(wa, wb) / (F.greatest(wa, wb) + 1e-10))
+    return {"harmonic": harmonic_factor(F.col("key_a"), F.col("key_b")), "energy": energy, "structure": structure, "tempo": tempo, "spectral_risk": clash, "vocal_risk": unit(sa * sb), "beat": F.lit(1.0)}
+
+
 def best_pair(scored: DataFrame, pairs: DataFrame) -> DataFrame:
     """The best point pair of each track pair by 0.6 quality + 0.4 basic; a safe default where there is none."""
     best = scored.groupBy("pair_id").agg(F.max_by(F.struct("t_a", "t_b", "total"), F.struct("total", -F.col("rank_a"), -F.col("rank_b"))).alias("b"))

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from seguekit.functions import harmony as H
 from seguekit.operators import points as P
+from seguekit.operators import training as T
 from seguekit.plans import dims
+from seguekit.plans import series_queries as SQ
 from seguekit.plans import views as V
 from seguekit.plans.corpus_queries import CHAIN_SQL, PAIR_FIT_SQL, technique_chain
 from seguekit.plans.registry import query
 
 r6 = lambda c: F.round(c, 6)
 
-BASE_SQL = """cf AS (SELECT * FROM (SELECT track_id, frame_idx, t_sec AS t, rms AS energy, max(t_sec) OVER (PARTITION BY track_id) AS duration, vocal,
+BASE_SQL = """cf AS (SELECT * FROM (SELECT track_id, frame_idx, t_sec AS t, rms AS energy, max(t_sec) OVER (PARTITION BY track_id) AS duration, vocal, avg(mid) OVER (w ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS centroid, avg(bass) OVER (w ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS bandwidth, avg(vocal) OVER (w ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS singing,
     CASE WHEN row_number() OVER w <= 8 OR row_number() OVER w > count(*) OVER (PARTITION BY track_id) - 7 THEN 'stable' WHEN avg(rms) OVER (w ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) > avg(rms) OVER (w ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) * 1.2 THEN 'rising'
       WHEN avg(rms) OVER (w ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) < avg(rms) OVER (w ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) * 0.6 THEN 'dip' WHEN avg(rms) OVER (w ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) < avg(rms) OVER (w ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) * 0.8 THEN 'falling' ELSE 'stable' END AS trend,
     coalesce(rms = min(rms) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AND min(rms) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) > rms, FALSE) AS gap
@@ -26,12 +29,21 @@ BASE_SQL = """cf AS (SELECT * FROM (SELECT track_id, frame_idx, t_sec AS t, rms
   outs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY score DESC, frame_idx) AS rank FROM o2 WHERE score > 0.3) WHERE rank <= 30),
   ins AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY score DESC, frame_idx) AS rank FROM i2 WHERE score > 0.3) WHERE rank <= 30),
   tp AS (SELECT DISTINCT user_id AS pair_id, user_id AS a_id, b_id, 100.0 + user_id % 30 AS bpm_a, 100.0 + b_id % 30 AS bpm_b, user_id % 12 AS ka, b_id % 12 AS kb FROM (SELECT user_id, (user_id * 7 + 3) % (SELECT count(DISTINCT user_id) FROM events) AS b_id FROM events)),
-  cp AS (SELECT pair_id, a.t AS t_a, b.t AS t_b, a.rank AS rank_a, b.rank AS rank_b, a.energy AS energy_a, b.energy AS energy_b, bpm_a, bpm_b, ka, kb, a.score AS score_a, b.score AS score_b,
+  cp AS (SELECT pair_id, a.t AS t_a, b.t AS t_b, a.rank AS rank_a, b.rank AS rank_b, a.energy AS energy_a, b.energy AS energy_b, bpm_a, bpm_b, ka, kb, a.score AS score_a, b.score AS score_b, a.trend AS trend_a, b.trend AS trend_b, a.label AS label_a, b.label AS label_b, a.centroid AS ca, b.centroid AS cb, a.bandwidth AS wa, b.bandwidth AS wb, a.singing AS sa, b.singing AS sb,
     CASE WHEN abs(bpm_a - bpm_b) < 2 THEN 0.4 WHEN abs(bpm_a - bpm_b) < 5 THEN 0.3 WHEN abs(bpm_a - bpm_b) < 10 THEN 0.1 ELSE 0 END + CASE WHEN abs(ka - kb) IN (0,3,4,5,7,8,9) OR 12 - abs(ka - kb) IN (0,3,4,5,7,8,9) THEN 0.2 ELSE 0 END
     + CASE WHEN a.trend IN ('falling', 'dip') AND b.trend = 'rising' THEN 0.2 WHEN a.trend IN ('falling', 'stable') AND b.trend <> 'falling' THEN 0.1 ELSE 0 END + CASE WHEN a.label IN ('outro', 'breakdown') AND b.label IN ('intro', 'build') THEN 0.2 ELSE 0 END + 0.1 + (a.score + b.score) * 0.2 AS basic
     FROM tp JOIN outs a ON a.track_id = a_id AND a.rank <= 10 JOIN ins b ON b.track_id = b_id AND b.rank <= 10),
-  qp AS (SELECT *, CASE WHEN abs(ka - kb) IN (0,3,4,5,7,8,9) OR 12 - abs(ka - kb) IN (0,3,4,5,7,8,9) THEN 1.0 ELSE greatest(0.3, 1 - least(abs(ka - kb), 12 - abs(ka - kb)) / 6.0) END * 0.20 + (1 - least(1, abs(energy_a - energy_b))) * 0.15 + 0.7 * 0.15 + greatest(0, 1 - abs(bpm_a - bpm_b) / 20) * 0.20
-    + (1 - least(energy_a, energy_b)) * 0.15 + (1 - 0.5) * 0.10 + 0.05 AS quality FROM cp)"""
+  qf AS (SELECT *, CASE WHEN abs(ka - kb) IN (0,3,4,5,7,8,9) OR 12 - abs(ka - kb) IN (0,3,4,5,7,8,9) THEN 1.0 ELSE greatest(0.3, 1 - least(abs(ka - kb), 12 - abs(ka - kb)) / 6.0) END AS harmonic,
+    CASE WHEN trend_a IN ('falling', 'dip') AND trend_b = 'rising' THEN 1.0 WHEN trend_a IN ('falling', 'stable') AND trend_b <> 'falling' THEN 0.8 WHEN trend_a = 'stable' AND trend_b = 'stable' THEN 0.6 ELSE 0.4 END AS energy,
+    CASE WHEN label_a || '>' || label_b IN ('outro>intro', 'outro>build', 'breakdown>intro', 'breakdown>build', 'verse>verse', 'verse>intro') THEN 1.0 WHEN label_a = 'outro' AND label_b IN ('intro', 'verse') OR label_a IN ('breakdown', 'verse') AND label_b = 'intro' THEN 0.8 ELSE 0.6 END AS structure,
+    CASE WHEN abs(bpm_a - bpm_b) < 1 THEN 1.0 WHEN abs(bpm_a - bpm_b) < 2 THEN 0.9 WHEN abs(bpm_a - bpm_b) < 5 THEN 0.8 WHEN abs(bpm_a - bpm_b) < 10 THEN 0.6 ELSE 0.3 END AS tempo,
+    greatest(0, least(1, (1 - abs(ca - cb) / (ca + cb + 1e-10) * 0.5) * least(wa, wb) / (greatest(wa, wb) + 1e-10))) AS spectral_risk, greatest(0, least(1, sa * sb)) AS vocal_risk FROM cp),
+  qp AS (SELECT *, (harmonic * 0.20 + energy * 0.15 + structure * 0.15 + tempo * 0.20 + (1 - spectral_risk) * 0.15 + (1 - vocal_risk) * 0.10 + 0.05)::DOUBLE AS quality FROM qf)"""
+
+
+def cframes(spark, d):
+    """Frames with the columns that candidate points look at: mids stand for the centroid, bass for the bandwidth."""
+    return V.frames(spark, d).withColumnsRenamed({"mid": "centroid", "bass": "bandwidth"})
 
 
 def track_pairs(spark, d):
@@ -44,33 +56,34 @@ def track_pairs(spark, d):
 
 @query("K1_candidate_points", f"WITH {BASE_SQL} SELECT 'out' AS role, track_id, frame_idx, trend, label, round(score, 6) AS score, rank FROM outs UNION ALL SELECT 'in', track_id, frame_idx, trend, label, round(score, 6), rank FROM ins")
 def k1(spark, d):
-    f = V.frames(spark, d)
+    f = cframes(spark, d)
     both = P.candidate_points(f, True).withColumn("role", F.lit("out")).unionByName(P.candidate_points(f, False).withColumn("role", F.lit("in")))
     return both.select("role", "track_id", "frame_idx", "trend", "label", r6("score").alias("score"), "rank")
 
 
 @query("K2_segment_label", f"WITH {BASE_SQL} SELECT track_id, frame_idx, o1.label FROM o1")
 def k2(spark, d):
-    c = P.candidate_frames(V.frames(spark, d)).where((F.col("t") >= F.col("duration") * 0.3) & (F.col("t") <= F.col("duration") * 0.95) & (F.col("energy") >= 0.04))
+    c = P.candidate_frames(cframes(spark, d)).where((F.col("t") >= F.col("duration") * 0.3) & (F.col("t") <= F.col("duration") * 0.95) & (F.col("energy") >= 0.04))
     return c.select("track_id", "frame_idx", P.label(F.col("t"), F.col("duration"), F.col("energy"), True).alias("label"))
 
 
 @query("K3_point_score", f"WITH {BASE_SQL} SELECT track_id, frame_idx, round(score, 6) AS score FROM i2")
 def k3(spark, d):
-    c = P.candidate_frames(V.frames(spark, d)).where((F.col("t") <= F.col("duration") * 0.95) & (F.col("energy") >= 0.04))
+    c = P.candidate_frames(cframes(spark, d)).where((F.col("t") <= F.col("duration") * 0.95) & (F.col("energy") >= 0.04))
     c = c.withColumn("label", P.label(F.col("t"), F.col("duration"), F.col("energy"), False))
     return c.select("track_id", "frame_idx", r6(P.point_score({n: F.col(n) for n in c.columns}, False)).alias("score"))
 
 
 def point_pairs(spark, d):
-    f = V.frames(spark, d)
+    f = cframes(spark, d)
     return P.candidate_pairs(track_pairs(spark, d), P.candidate_points(f, True), P.candidate_points(f, False))
 
 
 def scored_pairs(spark, d):
     c = point_pairs(spark, d)
-    a, b = F.col("energy_a"), F.col("energy_b")
-    factors = {"harmonic": P.harmonic_factor(F.col("key_a"), F.col("key_b")), "energy": 1 - F.least(F.lit(1.0), F.abs(a - b)), "structure": F.lit(0.7), "tempo": F.greatest(F.lit(0.0), 1 - F.abs(F.col("bpm_a") - F.col("bpm_b")) / 20), "spectral_risk": F.least(a, b), "vocal_risk": F.lit(0.5), "beat": F.lit(1.0)}
+    factors = P.quality_factors()
+    c = c.withColumns({f"f_{n}": x for n, x in factors.items()})
+    factors = {n: F.col(f"f_{n}") for n in factors}
     return c.withColumn("basic", P.basic_score(c)).withColumn("quality", P.quality(factors)).withColumn("total", F.round(0.6 * F.col("quality") + 0.4 * F.col("basic"), 9))
 
 
@@ -86,9 +99,9 @@ def k4(spark, d):
     return c.select("pair_id", "rank_a", "rank_b", r6(P.basic_score(c)).alias("basic"))
 
 
-@query("K5_quality_factors", f"WITH {BASE_SQL} SELECT pair_id, rank_a, rank_b, round(quality, 6) AS quality FROM qp")
+@query("K5_quality_factors", f"WITH {BASE_SQL} SELECT pair_id, rank_a, rank_b, harmonic::DOUBLE AS harmonic, energy::DOUBLE AS energy, structure::DOUBLE AS structure, tempo::DOUBLE AS tempo, spectral_risk, vocal_risk, quality FROM qp")
 def k5(spark, d):
-    return scored_pairs(spark, d).select("pair_id", "rank_a", "rank_b", r6("quality").alias("quality"))
+    return scored_pairs(spark, d).select("pair_id", "rank_a", "rank_b", *(F.col(f"f_{n}").alias(n) for n in ("harmonic", "energy", "structure", "tempo", "spectral_risk", "vocal_risk")), "quality")
 
 
 @query("K6_best_pair", f"WITH {BASE_SQL}, s AS (SELECT *, round(0.6 * quality + 0.4 * basic, 9) AS total FROM qp), b AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY total DESC, rank_a, rank_b) AS r FROM s) SELECT tp.pair_id, coalesce(t_a, 0) AS t_a, coalesce(t_b, 0) AS t_b, round(coalesce(total, 0.5), 6) AS total, total IS NULL AS fallback FROM tp LEFT JOIN b ON b.pair_id = tp.pair_id AND r = 1")
@@ -111,13 +124,24 @@ def k14(spark, d):
     return t.join(best, ["mix_id", "priority"]).select("mix_id", "sec", "priority")
 
 
-@query("J10_training_examples", "SELECT t.transition_id, t.technique, t.quality_score AS quality, a.bpm AS tempo_a, b.bpm AS tempo_b, round(b.energy - a.energy, 6) AS energy_delta FROM v_transitions t JOIN v_songs a ON a.song_id = track_a_id JOIN v_songs b ON b.song_id = track_b_id")
+STARTS_SQL = "starts AS (SELECT track_id, p AS point, CASE p WHEN 0 THEN max(t_sec) * 0.37 ELSE 0 END AS t FROM v_frames, (SELECT CAST(unnest([0, 1]) AS INT) AS p) GROUP BY track_id, p)"
+_STATE = ("section", "energy", "trend", "history_mean", "oldest")
+
+
+@query("J10_training_examples", f"WITH {STARTS_SQL}, {SQ.state_sql('starts')}, n AS (SELECT count(DISTINCT user_id) AS n FROM events) SELECT t.transition_id, t.technique, t.quality_score AS quality, {', '.join(f'{x}.{c} AS {c}_{x}' for x in 'ab' for c in _STATE)}, b.energy - a.energy AS energy_delta FROM v_transitions t, n JOIN st a ON a.track_id = t.track_a_id % n.n AND a.point = 0 JOIN st b ON b.track_id = t.track_b_id % n.n AND b.point = 1")
 def j10(spark, d):
-    s = V.songs(spark, d)
-    side = lambda x: s.select(F.col("song_id").alias(f"track_{x}_id"), F.struct("bpm", "energy").alias(x))
-    e = V.transitions(spark, d).join(side("a"), "track_a_id").join(side("b"), "track_b_id")
-    example = e.select("transition_id", F.struct(F.col("a"), F.col("b")).alias("input_features"), F.struct("technique").alias("output_labels"), F.struct(F.col("quality_score").alias("overall")).alias("quality_labels"))
-    return example.select("transition_id", "output_labels.technique", F.col("quality_labels.overall").alias("quality"), F.col("input_features.a.bpm").alias("tempo_a"), F.col("input_features.b.bpm").alias("tempo_b"), r6(F.col("input_features.b.energy") - F.col("input_features.a.energy")).alias("energy_delta"))
+    """Every transition with the state of the outgoing track where it leaves and of the incoming track at its start."""
+    frames = V.frames(spark, d)
+    ends = frames.groupBy("track_id").agg(F.max("t_sec").alias("end"))
+    starts = ends.select("track_id", F.explode(F.array(F.struct(F.lit(0).alias("point"), (F.col("end") * 0.37).alias("t")), F.struct(F.lit(1).alias("point"), F.lit(0.0).alias("t")))).alias("e")).select("track_id", "e.*")
+    states = SQ.song_states(starts, frames, SQ.sections(spark, d)).select("track_id", "point", F.struct("section", "energy", "trend", *SQ.history_columns()).alias("state"))
+    n = ends.count()
+    side = lambda x, p: states.where(F.col("point") == p).select(F.col("track_id").alias(f"t_{x}"), F.col("state").alias(x))
+    t = V.transitions(spark, d).withColumns({"t_a": F.col("track_a_id") % n, "t_b": F.col("track_b_id") % n})
+    e = t.join(side("a", 0), "t_a").join(side("b", 1), "t_b")
+    example = e.select("transition_id", F.struct("a", "b", (F.col("b.energy") - F.col("a.energy")).alias("energy_delta")).alias("input_features"), F.struct("technique").alias("output_labels"), F.struct(F.col("quality_score").alias("overall")).alias("quality_labels"))
+    own = [F.col(f"input_features.{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in _STATE]
+    return example.select("transition_id", "output_labels.technique", F.col("quality_labels.overall").alias("quality"), *own, "input_features.energy_delta")
 
 
 HYBRID_SQL = f"""{CHAIN_SQL}, n AS (SELECT mix_id, tech, row_number() OVER (PARTITION BY mix_id ORDER BY transition_id) - 1 AS k FROM t), pre AS (SELECT mix_id, k // 4 AS part, k % 4 AS i, tech, 1.0 / (1 + k % 4) AS weight FROM n)"""
@@ -147,24 +171,42 @@ def j21(spark, d):
     return j.select("transition_id", F.col("tech_a").alias("start"), F.col("tech_b").alias("finish"), F.when(F.col("score") <= 0.4, F.get(common, F.lit(0))["n"]).alias("bridge"))
 
 
-@query("F26_feature_vector", "SELECT pair_id, round((bpm_a - 60) / 140, 6) AS f0, round((bpm_b - 60) / 140, 6) AS f1, round(abs(bpm_a - bpm_b) / 20, 6) AS f2, CAST(vocals_a AS INT)::DOUBLE AS f3 FROM v_pairs")
+_FIT = f"(list_position({[*V.NAMES]}, key_incoming) - list_position({[*V.NAMES]}, key_outgoing) + 12) % 12 IN (0,3,4,5,7,8,9)"
+VECTOR_SQL = f"""vec AS (SELECT order_id, part_id, (tempo_outgoing - 60) / 120 AS f0, (tempo_incoming - 60) / 120 AS f1, energy_before AS f2, energy_after AS f3, CASE WHEN {_FIT} THEN 1.0 ELSE 0.0 END AS f4, harmonic_tension AS f5, perceived_smoothness AS f6, 0.1 AS f7,
+    abs(energy_after - energy_before) AS f8, abs(tempo_outgoing - tempo_incoming) / 120 AS f9, 0.5 AS f10, CASE WHEN energy_after > energy_before THEN 1.0 ELSE 0.0 END AS f11, CASE WHEN energy_after < energy_before THEN 1.0 ELSE 0.0 END AS f12,
+    list_position({[*V.NAMES]}, key_outgoing) - 1 AS key_a, list_position({[*V.NAMES]}, key_incoming) - 1 AS key_b FROM v_samples)"""
+
+
+@query("F26_feature_vector", f"WITH {VECTOR_SQL} SELECT order_id, part_id, key_a, key_b, {', '.join(f'f{i}::DOUBLE AS f{i}' for i in range(13))} FROM vec")
 def f26(spark, d):
-    v = F.array((F.col("bpm_a") - 60) / 140, (F.col("bpm_b") - 60) / 140, F.abs(F.col("bpm_a") - F.col("bpm_b")) / 20, F.col("vocals_a").cast("double"))
-    return V.pairs(spark, d).withColumn("v", v).select("pair_id", *(r6(F.col("v")[i]).alias(f"f{i}") for i in range(4)))
+    s = V.samples(spark, d).withColumnRenamed("perceived_smoothness", "spectral_smoothness")
+    fit = F.pmod(H.key_index(F.col("key_incoming")) - H.key_index(F.col("key_outgoing")), F.lit(12)).isin(*H.CONSONANT)
+    s = s.withColumns({"key_compatible": fit, "energy_build": F.col("energy_after") > F.col("energy_before"), "energy_dip": F.col("energy_after") < F.col("energy_before")})
+    v = T.feature_vector(s)
+    return s.select("order_id", "part_id", T.key_place(F.col("key_outgoing")).alias("key_a"), T.key_place(F.col("key_incoming")).alias("key_b"), v.alias("v")).select("order_id", "part_id", "key_a", "key_b", *(F.col("v")[i].alias(f"f{i}") for i in range(13)))
 
 
-@query("F27_target_labels", "SELECT crossfade_type, CASE crossfade_type WHEN 'cut' THEN 0 WHEN 'linear' THEN 1 WHEN 'blend' THEN 1 WHEN 'drop' THEN 2 ELSE 0 END AS technique, bass_swap_detected AS bass_swap, coalesce(bars_duration, 5) AS duration, count(*) AS n FROM v_samples GROUP BY ALL")
+@query("F27_target_labels", "SELECT crossfade_type, CASE crossfade_type WHEN 'cut' THEN 0 WHEN 'linear' THEN 1 WHEN 'blend' THEN 1 WHEN 'drop' THEN 2 ELSE 0 END AS technique, bass_swap_detected AS bass_swap, harmonic_tension > 0.04 AS low_cut, perceived_smoothness > 0.95 AS high_cut, coalesce(bars_duration, 5)::DOUBLE AS duration, count(*) AS n FROM v_samples GROUP BY ALL")
 def f27(spark, d):
-    c = F.col("crossfade_type")
-    t = F.when(c.isin("blend", "linear"), 1).when(c == "drop", 2).otherwise(0)
-    return V.samples(spark, d).select(c, t.alias("technique"), F.col("bass_swap_detected").alias("bass_swap"), F.coalesce("bars_duration", F.lit(5)).alias("duration")).groupBy("crossfade_type", "technique", "bass_swap", "duration").agg(F.count("*").alias("n"))
+    said = lambda c: F.when(c, "True").otherwise("False")
+    s = V.samples(spark, d).withColumns({"low_cut_on_incoming": said(F.col("harmonic_tension") > 0.04), "high_cut_on_outgoing": said(F.col("perceived_smoothness") > 0.95)})
+    return s.select("crossfade_type", *(c.alias(n) for n, c in T.target_labels().items())).groupBy("crossfade_type", "technique", "bass_swap", "low_cut", "high_cut", "duration").agg(F.count("*").alias("n"))
+
+
+LABEL_SQL = """lab AS (SELECT pair_id, greatest(0, 1 - abs(bpm_a - bpm_b) / 20) AS beat_match, abs(energy_a - energy_b) / 12 AS harmonic_clash, CASE WHEN vocals_a AND vocals_b THEN 0.8 WHEN vocals_a OR vocals_b THEN 0.3 ELSE 0.0 END AS vocal_clash,
+    least(duration_a, duration_b) / greatest(duration_a, duration_b) AS energy_flow, 1 - abs(bpm_a - bpm_b) / 100 AS spectral_balance, energy_b - energy_a AS energy_delta FROM v_pairs)"""
 
 
-@query("F31_quality_labels", "SELECT pair_id, round(0.3 * (1 - abs(energy_a - energy_b) / 12) + 0.2 * greatest(0, 1 - abs(bpm_a - bpm_b) / 20) + 0.2 * 0.5 + 0.15 * 0.5 + 0.15 * 0.5, 6) AS overall, abs(bpm_a - bpm_b) > 10 AS tempo_failure, vocals_a AND vocals_b AS vocal_failure FROM v_pairs")
+@query("F31_quality_labels", f"WITH {LABEL_SQL} SELECT pair_id, (beat_match * 0.3 + (1 - harmonic_clash) * 0.2 + (1 - vocal_clash) * 0.2 + energy_flow * 0.15 + spectral_balance * 0.15)::DOUBLE AS overall, beat_match < 0.7 AS beat_mismatch, harmonic_clash > 0.3 AS clash, vocal_clash > 0.5 AS vocal_overlap, energy_delta < -0.3 AS energy_drop, spectral_balance < 0.6 AS spectral_mud FROM lab")
 def f31(spark, d):
-    parts = [(0.3, 1 - F.abs(F.col("energy_a") - F.col("energy_b")) / 12), (0.2, F.greatest(F.lit(0.0), 1 - F.abs(F.col("bpm_a") - F.col("bpm_b")) / 20)), (0.2, F.lit(0.5)), (0.15, F.lit(0.5)), (0.15, F.lit(0.5))]
-    total = sum((w * c for w, c in parts), F.lit(0.0))
-    return V.pairs(spark, d).select("pair_id", r6(total).alias("overall"), (F.abs(F.col("bpm_a") - F.col("bpm_b")) > 10).alias("tempo_failure"), (F.col("vocals_a") & F.col("vocals_b")).alias("vocal_failure"))
+    off = F.abs(F.col("bpm_a") - F.col("bpm_b"))
+    p = V.pairs(spark, d).select(
+        "pair_id", F.greatest(F.lit(0.0), 1 - off / 20).alias("beat_match"), (F.abs(F.col("energy_a") - F.col("energy_b")) / 12).alias("harmonic_clash"), F.when(F.col("vocals_a") & F.col("vocals_b"), 0.8).when(F.col("vocals_a") | F.col("vocals_b"), 0.3).otherwise(0.0).alias("vocal_clash"),
+        (F.least("duration_a", "duration_b") / F.greatest("duration_a", "duration_b")).alias("energy_flow"), (1 - off / 100).alias("spectral_balance"), (F.col("energy_b") - F.col("energy_a")).alias("energy_delta"),
+    )
+    labels = T.quality_labels()
+    modes = labels["failure_modes"]
+    return p.select("pair_id", labels["overall"].alias("overall"), modes["beat_mismatch"].alias("beat_mismatch"), modes["harmonic_clash"].alias("clash"), modes["vocal_overlap"].alias("vocal_overlap"), modes["energy_drop"].alias("energy_drop"), modes["spectral_mud"].alias("spectral_mud"))
 
 
 @query("F36_fade_curves", "SELECT pair_id, i, round(cos(i / 15.0 * pi() / 2), 6) AS out_gain, round(sin(i / 15.0 * pi() / 2), 6) AS in_gain FROM v_pairs, (SELECT CAST(unnest(range(16)) AS INT) AS i)")

@@ -63,12 +63,34 @@ def j8(spark, d):
     return AO.interpolate(points(spark, d), V.frames(spark, d), "track_id", "point", "t_sec", "rms").select("track_id", "point", r6("rms").alias("rms"))
 
 
-@query("J9_song_state_at", f"WITH {POINTS_SQL}, {SECTIONS_SQL}, s AS (SELECT p.track_id, p.point, min_by(s.type, s.idx) AS section FROM pts p LEFT JOIN sec s ON s.track_id = p.track_id AND p.t >= s.start_sec AND p.t < s.end_sec GROUP BY ALL) SELECT s.track_id, s.point, coalesce(section, 'unknown') AS section, round(coalesce(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t0 = t1 THEN v0 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END, 0.5), 6) AS energy FROM s JOIN {VALUE_AT} v ON v.track_id = s.track_id AND v.point = s.point")
+def state_sql(points_view):
+    """Section, energy, trend and history of 32 bars at the points of a view (track_id, point, t)."""
+    value = VALUE_AT.replace("FROM pts p", f"FROM {points_view} p")
+    return f"""{SECTIONS_SQL}, sa AS (SELECT p.track_id, p.point, min_by(s.type, s.idx) AS section FROM {points_view} p LEFT JOIN sec s ON s.track_id = p.track_id AND p.t >= s.start_sec AND p.t < s.end_sec GROUP BY ALL),
+    tr AS (SELECT p.track_id, p.point, (arg_max(f.rms, f.t_sec) - arg_min(f.rms, f.t_sec)) / count(*) AS slope FROM {points_view} p JOIN v_frames f ON f.track_id = p.track_id AND f.t_sec BETWEEN p.t - 10 AND p.t GROUP BY ALL),
+    hq AS (SELECT track_id, point, i, t - i * 2.0 AS t FROM {points_view}, (SELECT CAST(unnest(range(32)) AS INT) AS i)), hv AS (SELECT q.track_id, q.point, q.i, arg_max(f.rms, f.t_sec) AS v FROM hq q ASOF JOIN v_frames f ON f.track_id = q.track_id AND q.t >= f.t_sec GROUP BY ALL),
+    hi AS (SELECT q.track_id, q.point, avg(coalesce(v, 0.5)) AS mean, arg_max(coalesce(v, 0.5), q.i) AS oldest FROM hq q LEFT JOIN hv USING (track_id, point, i) GROUP BY ALL),
+    st AS (SELECT sa.track_id, sa.point, coalesce(section, 'unknown') AS section, coalesce(nullif(CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t0 = t1 THEN v0 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END, 0), 0.5) AS energy,
+      CASE WHEN slope > 0.01 THEN 'increasing' WHEN slope < -0.01 THEN 'decreasing' ELSE 'stable' END AS trend, mean AS history_mean, oldest FROM sa JOIN {value} v USING (track_id, point) JOIN hi USING (track_id, point) LEFT JOIN tr USING (track_id, point))"""
+
+
+def song_states(p, frames, intervals):
+    """(track_id, point, section, energy, trend, history) of tracks at points; an energy of exactly 0 counts as unknown, 0.5."""
+    at = AO.in_interval(p, intervals, "track_id", "point").select("track_id", "point", F.coalesce("type", F.lit("unknown")).alias("section"))
+    value = AO.interpolate(p, frames, "track_id", "point", "t_sec", "rms").select("track_id", "point", F.coalesce(F.nullif("rms", F.lit(0.0)), F.lit(0.5)).alias("energy"))
+    trend = energy_trend(p, frames).select("track_id", "point", "trend")
+    whole = at.join(value, ["track_id", "point"]).join(bar_history(p, frames), ["track_id", "point"]).join(trend, ["track_id", "point"], "left")
+    return whole.withColumn("trend", F.coalesce("trend", F.lit("stable")))
+
+
+def history_columns():
+    return (F.aggregate("history", F.lit(0.0), lambda a, x: a + x) / 32).alias("history_mean"), F.get("history", F.lit(0)).alias("oldest")
+
+
+@query("J9_song_state_at", f"WITH {POINTS_SQL}, {state_sql('pts')} SELECT * FROM st")
 def j9(spark, d):
-    p = points(spark, d)
-    at = AO.in_interval(p, sections(spark, d), "track_id", "point").select("track_id", "point", F.coalesce("type", F.lit("unknown")).alias("section"))
-    value = AO.interpolate(p, V.frames(spark, d), "track_id", "point", "t_sec", "rms").select("track_id", "point", r6(F.coalesce("rms", F.lit(0.5))).alias("energy"))
-    return at.join(value, ["track_id", "point"])
+    s = song_states(points(spark, d), V.frames(spark, d), sections(spark, d))
+    return s.select("track_id", "point", "section", "energy", "trend", *history_columns())
 
 
 @query("W1_bars_from_beats", "SELECT track_id, beat_idx // 4 AS bar_idx, round(t_sec, 6) AS start_sec, round(e, 6) AS end_sec FROM (SELECT *, lead(t_sec, 4) OVER (PARTITION BY track_id ORDER BY beat_idx) AS e FROM v_beats) WHERE beat_idx % 4 = 0 AND e IS NOT NULL")
@@ -78,22 +100,31 @@ def w1(spark, d):
 
 @query("W2_energy_trend", f"WITH {POINTS_SQL}, t AS (SELECT p.track_id, p.point, (arg_max(f.rms, f.t_sec) - arg_min(f.rms, f.t_sec)) / count(*) AS slope FROM pts p JOIN v_frames f ON f.track_id = p.track_id AND f.t_sec BETWEEN p.t - 10 AND p.t GROUP BY ALL) SELECT track_id, point, round(slope, 6) AS slope, CASE WHEN slope > 0.01 THEN 'increasing' WHEN slope < -0.01 THEN 'decreasing' ELSE 'stable' END AS trend FROM t")
 def w2(spark, d):
-    p = points(spark, d).withColumnRenamed("track_id", "__k")
-    f = V.frames(spark, d).join(p, (F.col("track_id") == F.col("__k")) & F.col("t_sec").between(F.col("t") - 10, F.col("t")))
+    return energy_trend(points(spark, d), V.frames(spark, d)).select("track_id", "point", r6("slope").alias("slope"), "trend")
+
+
+def energy_trend(p, frames):
+    """(track_id, point, slope, trend) over the 10 s before each point."""
+    f = AO.around(p, frames, "track_id", "t_sec", 10, 0)
     t = f.groupBy("track_id", "point").agg(((F.max_by("rms", "t_sec") - F.min_by("rms", "t_sec")) / F.count("*")).alias("slope"))
-    return t.select("track_id", "point", r6("slope").alias("slope"), F.when(F.col("slope") > 0.01, "increasing").when(F.col("slope") < -0.01, "decreasing").otherwise("stable").alias("trend"))
+    return t.withColumn("trend", F.when(F.col("slope") > 0.01, "increasing").when(F.col("slope") < -0.01, "decreasing").otherwise("stable"))
 
 
 @query("W3_bar_history", f"WITH {POINTS_SQL}, q AS (SELECT track_id, point, i, t - i * 2.0 AS t FROM pts, (SELECT CAST(unnest(range(32)) AS INT) AS i)), v AS (SELECT q.track_id, q.point, q.i, arg_max(f.rms, f.t_sec) AS v FROM q ASOF JOIN v_frames f ON f.track_id = q.track_id AND q.t >= f.t_sec GROUP BY ALL) SELECT q.track_id, q.point, avg(coalesce(v, 0.5)) AS mean, arg_max(coalesce(v, 0.5), q.i) AS oldest FROM q LEFT JOIN v USING (track_id, point, i) GROUP BY ALL")
 def w3(spark, d):
     """32 values at bars of 2 s before each point, oldest first; 0.5 before the track begins."""
-    at = points(spark, d).select("track_id", "point", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.col("t") - i * 2.0)).alias("i", "t")).withColumn("p", F.col("point") * 32 + F.col("i"))
-    n = AO.neighbours(at, V.frames(spark, d), "track_id", "p", "t_sec", "rms")
-    v = n.select("track_id", F.floor(F.col("p") / 32).cast("int").alias("point"), (F.col("p") % 32).alias("i"), F.coalesce("before_v", F.lit(0.5)).alias("v"))
-    h = v.groupBy("track_id", "point").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("i")).alias("k"), "v"))), lambda x: x["v"]).alias("history"))
+    h = bar_history(points(spark, d), V.frames(spark, d))
     return h.select("track_id", "point", (F.aggregate("history", F.lit(0.0), lambda a, x: a + x) / 32).alias("mean"), F.get("history", F.lit(0)).alias("oldest"))
 
 
+def bar_history(p, frames):
+    """(track_id, point, history): the 32 values."""
+    at = p.select("track_id", "point", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.col("t") - i * 2.0)).alias("i", "t")).withColumn("p", F.col("point") * 32 + F.col("i"))
+    n = AO.neighbours(at, frames, "track_id", "p", "t_sec", "rms")
+    v = n.select("track_id", F.floor(F.col("p") / 32).cast("int").alias("point"), (F.col("p") % 32).alias("i"), F.coalesce("before_v", F.lit(0.5)).alias("v"))
+    return v.groupBy("track_id", "point").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("i")).alias("k"), "v"))), lambda x: x["v"]).alias("history"))
+
+
 @query("W4_local_gap", "SELECT track_id, frame_idx, rms FROM (SELECT *, min(rms) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m, min(rms) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS b, count(*) OVER (PARTITION BY track_id) AS n FROM v_frames WINDOW w AS (PARTITION BY track_id ORDER BY frame_idx)) WHERE rms = m AND b > rms AND frame_idx >= 2 AND frame_idx < n - 2")
 def w4(spark, d):
     return SE.local_gaps(V.frames(spark, d), "track_id", "frame_idx", "rms", 2).select("track_id", "frame_idx", "rms")
@@ -150,17 +181,22 @@ def w9(spark, d):
 BAND_SQL = "bb AS (SELECT mix_id, bar_idx, [abs(x) for x in features[1:4]] AS b, lag([abs(x) for x in features[1:4]], 4) OVER (PARTITION BY mix_id ORDER BY bar_idx) AS p FROM v_bars), cc AS (SELECT *, [coalesce((b[i] - p[i]) / nullif(p[i], 0), 0) for i in [1, 2, 3, 4]] AS c FROM bb), sd AS (SELECT *, coalesce(sqrt(list_avg([(x - list_avg(c)) * (x - list_avg(c)) for x in c])) / CASE WHEN abs(list_sum(b) / list_sum(p) - 1) >= 0.3 THEN 2 ELSE 1 END, 0) AS raw FROM cc)"
 
 
-@query("W10_band_independence", "WITH " + BAND_SQL.replace("coalesce(sqrt", "CASE WHEN p IS NULL THEN 0 ELSE coalesce(sqrt").replace("ELSE 1 END, 0) AS raw", "ELSE 1 END, 0) END AS raw") + " SELECT mix_id, bar_idx, round(coalesce(raw / nullif(max(raw) OVER (PARTITION BY mix_id), 0), 0), 5) AS independence FROM sd")
+INDEP_SQL = BAND_SQL.replace("coalesce(sqrt", "CASE WHEN p IS NULL THEN 0 ELSE coalesce(sqrt").replace("ELSE 1 END, 0) AS raw", "ELSE 1 END, 0) END AS raw") + ", ind AS (SELECT mix_id, bar_idx, coalesce(raw / nullif(max(raw) OVER (PARTITION BY mix_id), 0), 0) AS d FROM sd)"
+
+
+@query("W10_band_independence", f"WITH {INDEP_SQL} SELECT mix_id, bar_idx, round(coalesce(raw / nullif(max(raw) OVER (PARTITION BY mix_id), 0), 0), 5) AS independence FROM sd")
 def w10(spark, d):
     return SE.band_independence(V.bars(spark, d)).withColumn("independence", F.round("independence", 5))
 
 
-@query("W11_transition_vote", f"WITH {NOVELTY_SQL}, {COMPLEX_SQL}, {VOCAL_SQL}, v AS (SELECT mix_id, bar_idx, coalesce(least(1, avg(z) / 3), 0) AS v FROM z GROUP BY ALL), c AS (SELECT mix_id, bar_idx, coalesce(rise / nullif(max(rise) OVER (PARTITION BY mix_id), 0), 0) AS c FROM rise) SELECT mix_id, bar_idx, round((2 * novelty + 2 * v + 1.5 * c) / 6.5 * CASE bar_idx % 8 WHEN 0 THEN 1.3 WHEN 4 THEN 1.1 ELSE 1.0 END, 5) AS vote FROM nov JOIN v USING (mix_id, bar_idx) JOIN c USING (mix_id, bar_idx)")
+@query("W11_transition_vote", f"WITH {NOVELTY_SQL}, {COMPLEX_SQL}, {VOCAL_SQL}, {INDEP_SQL}, v AS (SELECT mix_id, bar_idx, coalesce(least(1, avg(z) / 3), 0) AS v FROM z GROUP BY ALL), c AS (SELECT mix_id, bar_idx, coalesce(rise / nullif(max(rise) OVER (PARTITION BY mix_id), 0), 0) AS c FROM rise) SELECT mix_id, bar_idx, (2 * novelty + 2 * v + 1.5 * c + d) / 6.5 * CASE bar_idx % 8 WHEN 0 THEN 1.3 WHEN 4 THEN 1.1 ELSE 1.0 END AS vote, concat_ws('+', CASE WHEN novelty > 0.5 THEN 'repetition' END, CASE WHEN v > 0.5 THEN 'vocal' END, CASE WHEN c > 0.5 THEN 'complexity' END, CASE WHEN d > 0.5 THEN 'band' END) AS method, least(bar_idx + 4, max(bar_idx) OVER (PARTITION BY mix_id)) AS end_bar FROM nov JOIN v USING (mix_id, bar_idx) JOIN c USING (mix_id, bar_idx) JOIN ind USING (mix_id, bar_idx)")
 def w11(spark, d):
     b = V.bars(spark, d)
     rep, voc, cplx = SE.repetition_break(b).select("mix_id", "bar_idx", "novelty"), SE.vocal_novelty(b).withColumnRenamed("novelty", "v"), SE.complexity_change(b).select("mix_id", "bar_idx", "change")
-    j = rep.join(voc, ["mix_id", "bar_idx"]).join(cplx, ["mix_id", "bar_idx"])
-    return j.select("mix_id", "bar_idx", F.round(SE.transition_vote(F.col("novelty"), F.col("v"), F.col("change"), F.lit(0.0), F.col("bar_idx")), 5).alias("vote"))
+    j = rep.join(voc, ["mix_id", "bar_idx"]).join(cplx, ["mix_id", "bar_idx"]).join(SE.band_independence(b), ["mix_id", "bar_idx"])
+    said = F.concat_ws("+", *(F.when(F.col(c) > 0.5, name) for c, name in (("novelty", "repetition"), ("v", "vocal"), ("change", "complexity"), ("independence", "band"))))
+    end = F.least(F.col("bar_idx") + 4, F.max("bar_idx").over(Window.partitionBy("mix_id")))  # votes that are peaks span four bars
+    return j.select("mix_id", "bar_idx", SE.transition_vote(F.col("novelty"), F.col("v"), F.col("change"), F.col("independence"), F.col("bar_idx")).alias("vote"), said.alias("method"), end.alias("end_bar"))
 
 
 @query("W12_min_gap")
@@ -295,8 +331,7 @@ def a20(spark, d):
 
 @query("A26_energy_flow", f"WITH {POINTS_SQL}, e AS (SELECT p.track_id, avg(rms) FILTER (WHERE t_sec < t - 2) AS b, avg(rms) FILTER (WHERE t_sec BETWEEN t - 2 AND t + 2) AS m, avg(rms) FILTER (WHERE t_sec > t + 2) AS a FROM pts p JOIN v_frames f ON f.track_id = p.track_id AND f.t_sec BETWEEN p.t - 6 AND p.t + 6 WHERE p.point = 0 GROUP BY p.track_id) SELECT track_id, b AS before, m AS during, a AS after, coalesce(m < 0.8 * least(b, a), FALSE) AS dip, coalesce(a > b * 1.2, FALSE) AS build FROM e")
 def a26(spark, d):
-    p = points(spark, d).where("point = 0").select(F.col("track_id").alias("__k"), "t")
-    f = V.frames(spark, d).join(p, (F.col("track_id") == F.col("__k")) & F.col("t_sec").between(F.col("t") - 6, F.col("t") + 6))
+    f = AO.around(points(spark, d).where("point = 0"), V.frames(spark, d), "track_id", "t_sec", 6, 6)
     at = F.col("t_sec") - F.col("t")
     e = f.groupBy("track_id").agg(F.avg(F.when(at < -2, F.col("rms"))).alias("b"), F.avg(F.when(F.abs(at) <= 2, F.col("rms"))).alias("m"), F.avg(F.when(at > 2, F.col("rms"))).alias("a"))
     return e.select("track_id", F.col("b").alias("before"), F.col("m").alias("during"), F.col("a").alias("after"), F.coalesce(F.col("m") < 0.8 * F.least("b", "a"), F.lit(False)).alias("dip"), F.coalesce(F.col("a") > F.col("b") * 1.2, F.lit(False)).alias("build"))
