@@ -123,6 +123,27 @@ def islands(frames: DataFrame, key: str, at: str, value: str, threshold: float)
     return hit.withColumn("__i", island).groupBy(key, "__i").agg(F.min(at).alias("start_idx"), F.max(at).alias("end_idx"), F.count("*").alias("n"), F.max(value).alias("peak"), F.avg(value).alias("mean")).drop("__i")
 
 
+def voice_runs(frames: DataFrame, key: str, at: str, value: str, share: float = 0.3, size: int = 5) -> DataFrame:
+    """(key, silent, start_idx, end_idx, last): runs of silence (smoothed value under ``share`` of its mean) and of sound."""
+    whole = Window.partitionBy(key)
+    s = frames.select(key, at, moving_average(value, key, at, size).alias("__x"))
+    s = s.withColumn("silent", F.round("__x", 9) < F.round(share * F.avg("__x").over(whole), 9)).withColumn("last", F.max(at).over(whole))
+    run = F.col(at) - F.row_number().over(Window.partitionBy(key, "silent").orderBy(at))
+    return s.withColumn("__g", run).groupBy(key, "silent", "__g").agg(F.min(at).alias("start_idx"), F.max(at).alias("end_idx"), F.max("last").alias("last")).drop("__g")
+
+
+def vocal_phrases(frames: DataFrame, key: str, at: str, value: str) -> DataFrame:
+    """(key, start_idx, end_idx): sound up to the silent frame that ends it, or to the last frame."""
+    r = voice_runs(frames, key, at, value).where("not silent")
+    return r.select(key, "start_idx", F.least(F.col("end_idx") + 1, F.col("last")).alias("end_idx"))
+
+
+def safe_points(frames: DataFrame, key: str, at: str, value: str, step_sec: float, least: int = 5) -> DataFrame:
+    """(key, center_sec) of the silences of over ``least`` frames that sound follows."""
+    r = voice_runs(frames, key, at, value).where(F.col("silent") & (F.col("end_idx") < F.col("last")) & (F.col("end_idx") + 1 - F.col("start_idx") > least))
+    return r.select(key, ((F.col("start_idx") + F.col("end_idx") + 1) / 2 * step_sec).alias("center_sec"))
+
+
 def robust_norm(frames: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """Between the 5th and 95th percentile of the series, clipped to 0..1; a flat series is 0."""
     lim = frames.groupBy(key).agg(F.percentile(value, 0.05).alias("__lo"), F.percentile(value, 0.95).alias("__hi"))
@@ -206,6 +227,71 @@ def downbeat_phase(beats: DataFrame) -> DataFrame:
     return by.groupBy("track_id").agg(F.max_by("phase", F.struct(F.round("mean", 9), -F.col("phase"))).alias("phase"))
 
 
+def microtiming(beats: DataFrame) -> DataFrame:
+    """Deviation of the beat intervals (track_id, beat_idx, t, tempo) from the tempo in ms, swing between pairs of intervals, groove."""
+    off = (F.col("t") - F.lag("t").over(ordered("track_id", "beat_idx")) - 60.0 / F.col("tempo")) * 1000
+    o = beats.select("track_id", (F.col("beat_idx") - 1).alias("i"), off.alias("off")).where("off is not null")
+    pairs = o.groupBy("track_id", F.floor(F.col("i") / 2).alias("pair")).agg(F.sum(F.when(F.col("i") % 2 == 1, F.col("off")).otherwise(-F.col("off"))).alias("s"), F.count("*").alias("n")).where("n = 2")
+    swing = pairs.groupBy("track_id").agg(F.avg("s").alias("swing_ms"))
+    g = o.groupBy("track_id").agg(F.avg(F.abs("off")).alias("mean_ms"), F.stddev_pop("off").alias("std_ms")).join(swing, "track_id", "left").na.fill(0.0, ["swing_ms"])
+    size = F.abs("swing_ms")
+    return g.select("track_id", "mean_ms", "std_ms", (1 - F.least(F.lit(1.0), F.col("std_ms") / 50)).alias("human"), "swing_ms", F.when(size > 20, "swing").when(size > 5, "shuffle").otherwise("straight").alias("groove"), (F.col("std_ms") < 10).alias("locked"))
+
+
+def groove_pattern(onsets: DataFrame, first: int = 100, bins: int = 16) -> DataFrame:
+    """(track_id, mean_ms, std_ms, swing, complexity, template) of onsets (track_id, i, t, strength, tempo); tracks of under 4 onsets are left out."""
+    w = ordered("track_id", "i")
+    beat = 60.0 / F.col("tempo")
+    p = onsets.withColumn("beat", beat).withColumn("pos", F.pmod("t", "beat") / F.col("beat"))
+    p = p.withColumn("gap", F.col("t") - F.lag("t").over(w)).withColumn("flux", F.abs(F.col("strength") - F.lag("strength").over(w))).withColumn("__mean", F.avg("strength").over(Window.partitionBy("track_id")))
+    at = F.when(F.col("pos") <= 0.125, 0.0).when(F.col("pos") <= 0.375, 0.25).when(F.col("pos") <= 0.625, 0.5).otherwise(0.75)
+    dev = (F.col("pos") - at) * F.col("beat") * 1000
+    long = (F.col("gap") >= 0.35 * F.col("beat")) & (F.col("gap") < 0.72 * F.col("beat"))
+    swing = F.coalesce(F.least(F.lit(0.75), F.greatest(F.lit(0.4), F.avg(F.when(long, F.col("gap") / F.col("beat"))))), F.lit(0.5))
+    bin_ = F.floor(F.col("pos") * bins).cast("int") % bins
+    counts = [F.count_if((bin_ == k) & (F.col("i") < first)).cast("double") for k in range(bins)]
+    complexity = F.least(F.lit(1.0), (F.avg("flux") * 10 + F.count_if(F.col("strength") > F.col("__mean")) / F.count("*")) / 2)
+    g = p.groupBy("track_id").agg(F.count("*").alias("n"), F.avg(F.abs(dev)).alias("mean_ms"), F.stddev_pop(dev).alias("std_ms"), swing.alias("swing"), complexity.alias("complexity"), F.array(*counts).alias("c")).where("n >= 4")
+    return g.select("track_id", "mean_ms", "std_ms", "swing", "complexity", F.transform("c", lambda x: F.try_divide(x, F.array_max("c"))).alias("template"))
+
+
+def rhythm_dna(frames: DataFrame, per_beat: int = 4, places: int = 16) -> DataFrame:
+    """(track_id, pattern, syncopation, accents, density): the energy of every beat at 16 places, added up over the beats.
+
+    A beat is ``per_beat`` rows of (track_id, frame_idx, rms), and one that another beat follows.
+    """
+    b = frames.groupBy("track_id", F.floor(F.col("frame_idx") / per_beat).alias("beat")).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "rms"))), lambda x: x["rms"]).alias("x"))
+    b = b.withColumn("last", F.max("beat").over(Window.partitionBy("track_id"))).where((F.col("beat") < F.col("last")) & (F.size("x") == per_beat))
+
+    def place(j: int) -> Column:
+        at = j * (per_beat - 1) / (places - 1)
+        lo = min(int(at), per_beat - 2)
+        return F.col("x")[lo] + (F.col("x")[lo + 1] - F.col("x")[lo]) * (at - lo)
+
+    r = b.select("track_id", *(place(j).alias(f"p{j}") for j in range(places)))
+    mean = lambda js: sum((F.col(f"p{j}") for j in js), F.lit(0.0)) / len(js)
+    strong, medium, weak = mean(range(0, places, 4)), mean(range(2, places, 4)), mean(range(1, places, 2))
+    sync = F.least(F.lit(1.0), F.when(strong > 0, F.try_divide(medium + 2 * weak, 3 * strong)).otherwise(0.5))
+    g = r.groupBy("track_id").agg(F.array(*(F.sum(f"p{j}") for j in range(places))).alias("s"), F.avg(sync).alias("syncopation"))
+    g = g.withColumn("pattern", F.when(F.array_max("s") > 0, F.transform("s", lambda v: v / F.array_max("s"))).otherwise(F.col("s")))
+    g = g.withColumn("m", F.aggregate("pattern", F.lit(0.0), lambda a, v: a + v) / places)
+    g = g.withColumn("sd", F.sqrt(F.aggregate("pattern", F.lit(0.0), lambda a, v: a + (v - F.col("m")) * (v - F.col("m"))) / places))
+    accents = F.filter(F.transform("pattern", lambda v, j: F.when(v > F.col("m") + F.col("sd"), j)), lambda j: j.isNotNull())
+    return g.select("track_id", "pattern", "syncopation", accents.alias("accents"), (F.size(F.filter("pattern", lambda v: v > 0.3)) / F.lit(float(places))).alias("density"))
+
+
+def rhythm_match(pairs: DataFrame, dna: DataFrame) -> DataFrame:
+    """(pair_id, pattern_correlation, syncopation_fit, density_fit, overall) of pairs (pair_id, a_id, b_id)."""
+    side = lambda x: dna.select(F.col("track_id").alias(f"{x}_id"), *(F.col(c).alias(f"{c}_{x}") for c in ("pattern", "syncopation", "density")))
+    both = pairs.join(side("a"), "a_id").join(side("b"), "b_id")
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v) / F.size(a)
+    centred = lambda c: F.transform(c, lambda v: v - mean(F.col(c)))
+    both = both.withColumns({"ca": centred("pattern_a"), "cb": centred("pattern_b")})
+    r = F.greatest(F.lit(0.0), F.coalesce(F.try_divide(dot(F.col("ca"), F.col("cb")), F.sqrt(dot(F.col("ca"), F.col("ca")) * dot(F.col("cb"), F.col("cb")))), F.lit(0.0)))
+    fit = lambda c: 1 - F.abs(F.col(f"{c}_a") - F.col(f"{c}_b"))
+    return both.select("pair_id", r.alias("pattern_correlation"), fit("syncopation").alias("syncopation_fit"), fit("density").alias("density_fit"), (0.4 * r + 0.3 * fit("syncopation") + 0.3 * fit("density")).alias("overall"))
+
+
 def variety_penalty(scores: DataFrame, set_col: str, step: str, option: str, score: str) -> DataFrame:
     """(set, step, option): the best option of each step after penalties of 0.4, 0.2 and 0.1 for the last three choices.
 

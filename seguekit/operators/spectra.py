@@ -120,6 +120,23 @@ def identify_tracks(segments: DataFrame, library: DataFrame, least: float = 0.7)
     return best.where(F.col("b.similarity") > least).select("segment_id", (-F.col("b.k")).alias("track_id"), F.col("b.similarity").alias("similarity"))
 
 
+def chord_changes(chroma: DataFrame, key: str, step_sec: float) -> DataFrame:
+    """(key, changes, rhythm_sec, cadences) of frames (key, frame, pc, value) in order, ``step_sec`` apart.
+
+    A change is a frame whose summed difference to the one before is over the 75th percentile; the rhythm is the median
+    time between changes (4 s without two), and a cadence ends an interval of over 1.5 times that, if there are over 3.
+    """
+    diff = F.abs(F.col("value") - F.lag("value").over(Window.partitionBy(key, "pc").orderBy("frame")))
+    moved = chroma.withColumn("__d", diff).where("__d is not null").groupBy(key, "frame").agg(F.sum("__d").alias("moved"))
+    moved = moved.withColumn("t", (F.row_number().over(Window.partitionBy(key).orderBy("frame")) - 1) * step_sec)
+    limit = moved.groupBy(key).agg(F.percentile("moved", 0.75).alias("limit"))
+    hits = moved.join(limit, key).where("moved > limit").withColumn("gap", F.col("t") - F.lag("t").over(Window.partitionBy(key).orderBy("t")))
+    rhythm = hits.groupBy(key).agg(F.count("*").alias("changes"), F.coalesce(F.percentile("gap", 0.5), F.lit(4.0)).alias("rhythm_sec"))
+    long = hits.join(rhythm, key).where("changes > 3 and gap > rhythm_sec * 1.5").groupBy(key).agg(F.array_sort(F.collect_list("t")).alias("cadences"))
+    out = limit.select(key).join(rhythm, key, "left").join(long, key, "left")
+    return out.select(key, F.coalesce("changes", F.lit(0)).alias("changes"), F.coalesce("rhythm_sec", F.lit(4.0)).alias("rhythm_sec"), F.coalesce("cadences", F.array().cast("array<double>")).alias("cadences"))
+
+
 def unit(a: Column) -> Column:
     n = F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x * x))
     return F.when(n > 0, F.transform(a, lambda x: F.try_divide(x, n))).otherwise(a)

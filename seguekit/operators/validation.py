@@ -31,6 +31,24 @@ def document_errors(doc: Column, required: tuple[str, ...] = SONG_FIELDS) -> Col
     return F.when(keys.isNull() | (F.size(keys) == 0) & ~F.coalesce(doc.rlike(r"^\s*\{\s*\}\s*$"), F.lit(False)), F.array(F.lit("Invalid JSON"))).otherwise(F.concat(missing, broken))
 
 
+TRANSITION_FIELDS = ("transition_id", "track_a_features", "track_b_features", "transition_execution")
+TRACK_FIELDS = ("song_id", "bpm", "key", "camelot")
+
+
+def transition_errors(doc: Column) -> Column:
+    """Errors of a transition document given as JSON text: fields, then those of both tracks, of the execution and its curves."""
+    keys = lambda path: F.json_object_keys(doc if path == "$" else F.get_json_object(doc, path))
+    top = keys("$")
+    lacks = lambda have, field: have.isNotNull() & ~F.array_contains(have, F.lit(field))
+    found = [(lacks(top, f), f"Missing required field: {f}") for f in TRANSITION_FIELDS]
+    for track in ("track_a_features", "track_b_features"):
+        found += [(lacks(keys(f"$.{track}"), f), f"{track}.{f} is required") for f in TRACK_FIELDS]
+    execution, curves = keys("$.transition_execution"), keys("$.transition_execution.volume_curves")
+    found += [(lacks(execution, f), f"transition_execution.{f} is required") for f in ("duration_sec", "technique_primary")]
+    found.append((lacks(curves, "track_a_gain_db") | lacks(curves, "track_b_gain_db"), "volume_curves requires track_a_gain_db and track_b_gain_db"))
+    return F.when(top.isNull(), F.array(F.lit("Invalid JSON"))).otherwise(errors(*found))
+
+
 def sample_errors(df: DataFrame) -> Column:
     """Missing required fields, numeric fields that do not parse or aren't finite, empty keys."""
     out = [(F.col(f).isNull(), f"missing {f}") for f in SAMPLE_FIELDS if f in df.columns]

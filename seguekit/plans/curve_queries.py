@@ -34,15 +34,37 @@ def f40(spark, d):
     return c.select("pair_id", "i", r6(F.greatest(F.lit(0.0), 1 - i / 10.0)).alias("fast"), r6((1 - i / 20.0) ** 2).alias("gentle"), F.when(i < 10, 1.0).otherwise(0.0).alias("handoff"))
 
 
-@query("F41_multi_stage_curve", "WITH s AS (SELECT mix_id, row_number() OVER w AS stage, quality_score AS v, coalesce(lag(quality_score) OVER w, 1.0) AS b FROM v_transitions WINDOW w AS (PARTITION BY mix_id ORDER BY transition_id)) SELECT mix_id, stage, i, round(CASE stage % 3 WHEN 0 THEN b WHEN 1 THEN b + (v - b) * i / 4.0 ELSE b + (v - b) * (i / 4.0) * (i / 4.0) END, 9) AS gain FROM s, (SELECT CAST(unnest(range(5)) AS INT) AS i)")
+_STAGES = ["hold", "linear", "exponential", "smooth", "aggressive", "moderate"]
+STAGE_SQL = f"""sg AS (SELECT mix_id, row_number() OVER w - 1 AS stage, {_STAGES}[CAST((row_number() OVER w - 1) % 6 + 1 AS INT)] AS kind, quality_score AS v FROM v_transitions WINDOW w AS (PARTITION BY mix_id ORDER BY transition_id)),
+    sb AS (SELECT *, lag(v) OVER (PARTITION BY mix_id ORDER BY stage) AS before, CAST(unnest(range(5)) AS INT) AS i FROM sg), sc AS (SELECT mix_id, stage, i, kind, v, coalesce(before, CASE kind WHEN 'smooth' THEN 0.0 ELSE 1.0 END) AS b, i / 4.0 AS t FROM sb)"""
+
+
+@query(
+    "F41_multi_stage_curve",
+    f"""WITH {STAGE_SQL} SELECT mix_id, stage, i, greatest(0, least(1, CASE kind WHEN 'hold' THEN v WHEN 'linear' THEN b + (v - b) * t WHEN 'exponential' THEN b * exp(-3 * t) + v * (1 - exp(-3 * t)) WHEN 'smooth' THEN b + (v - b) * 0.5 * (1 - cos(pi() * t))
+    WHEN 'aggressive' THEN b * pow(1 - t, 3) + v * (1 - pow(1 - t, 3)) ELSE 0.5 * (1 + cos(pi() * t)) * b + (1 - 0.5 * (1 + cos(pi() * t))) * v END)) AS gain FROM sc""",
+)
 def f41(spark, d):
-    """Stages hold, linear and exponential in turn; each starts at the end of the one before, the first at 1."""
+    """A mix's transitions as stages of all six kinds in turn, towards their scores."""
     w = Window.partitionBy("mix_id").orderBy("transition_id")
-    s = V.transitions(spark, d).select("mix_id", F.row_number().over(w).alias("stage"), F.col("quality_score").alias("v"), F.coalesce(F.lag("quality_score").over(w), F.lit(1.0)).alias("b"))
-    t = F.col("i") / 4.0
-    c = s.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    rise = F.col("v") - F.col("b")
-    return c.select("mix_id", "stage", "i", F.round(F.when(F.col("stage") % 3 == 0, F.col("b")).when(F.col("stage") % 3 == 1, F.col("b") + rise * t).otherwise(F.col("b") + rise * t * t), 9).alias("gain"))
+    stage = F.row_number().over(w) - 1
+    kind = F.element_at(F.array(*map(F.lit, _STAGES)), (stage % 6 + 1).cast("int"))
+    s = V.transitions(spark, d).select("mix_id", stage.alias("stage"), kind.alias("kind"), F.col("quality_score").alias("end_value"))
+    return multi_stage_curve(s, "mix_id", 5)
+
+
+def multi_stage_curve(stages, key, points):
+    """(key, stage, i, gain): points of stages (key, stage, kind, end_value), each from where the one before ends.
+
+    The first begins at 1, or at 0 if it is smooth; a hold stands at its value; gains are cut to 0..1.
+    """
+    first = F.when(F.col("kind") == "smooth", 0.0).otherwise(1.0)
+    s = stages.withColumn("b", F.coalesce(F.lag("end_value").over(Window.partitionBy(key).orderBy("stage")), first)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    t, b, v = F.col("i") / float(points - 1), F.col("b"), F.col("end_value")
+    turn = lambda w: b * w + v * (1 - w)
+    shapes = {"hold": v, "linear": turn(1 - t), "exponential": turn(F.exp(-3 * t)), "smooth": turn(0.5 * (1 + F.cos(F.pi() * t))), "aggressive": turn((1 - t) ** 3), "moderate": turn(0.5 * (1 + F.cos(F.pi() * t)))}
+    gain = F.coalesce(*(F.when(F.col("kind") == k, c) for k, c in shapes.items()))
+    return s.select(key, "stage", "i", F.greatest(F.lit(0.0), F.least(F.lit(1.0), gain)).alias("gain"))
 
 
 @query("F43_eq_plans", "WITH b AS (SELECT track_id, bin // 16 AS band, avg(mag) AS m FROM v_spectrum GROUP BY ALL), t AS (SELECT *, m / max(m) OVER (PARTITION BY track_id) AS c FROM b) SELECT track_id, band, i, round(1 - CASE WHEN c > 0.8 THEN 0.5 ELSE 0.2 END * i / 4.0, 6) AS gain FROM t, (SELECT CAST(unnest(range(5)) AS INT) AS i)")

@@ -13,6 +13,7 @@ from seguekit.operators import validation as VA
 from seguekit.plans import dims
 from seguekit.plans import views as V
 from seguekit.plans.registry import query
+from seguekit.plans import series_queries as SQ
 from seguekit.plans.spectra_queries import EPAIRS_SQL, epairs
 from seguekit.sources import files
 
@@ -98,18 +99,47 @@ def s4(spark, d):
     return V.songs(spark, d).select(row["song_id"].cast("long").alias("song_id"), row["title"].alias("title"), row["bpm"].alias("bpm"), row["has_vocals"].alias("has_vocals"), row["genre"].alias("genre"))
 
 
-@query("S5_flatten_transition", "SELECT transition_id, technique, quality_score, transition_id % 2 = 0 AS bass_swap, transition_id % 3 = 0 AS filter_sweep FROM v_transitions")
+@query(
+    "S5_flatten_transition",
+    """SELECT transition_id, mix_id, track_a_id, track_b_id, transition_id * 0.5 AS start_time_sec, transition_id * 0.5 + 16 AS end_time_sec, 16.0::DOUBLE AS duration_sec, 8.0::DOUBLE AS duration_bars, technique, CASE WHEN transition_id % 4 = 0 THEN 0.0 ELSE 0.75 END::DOUBLE AS technique_confidence,
+    a.bpm::DOUBLE AS bpm_a, b.bpm::DOUBLE AS bpm_b, a.key_name AS key_a, b.key_name AS key_b, (transition_id % 7)::DOUBLE AS camelot_distance, transition_id % 2 = 0 AS has_bass_swap, transition_id % 3 = 0 AS has_filter_sweep, transition_id % 5 = 0 AS has_echo_out,
+    0.5 + (transition_id % 5) / 10.0 AS beat_alignment_quality, (transition_id % 9 - 4)::DOUBLE AS energy_delta, CASE WHEN transition_id % 6 = 0 THEN '{}' ELSE '{"track_a_gain_db":[0,-6]}' END AS volume_curves_json, '{}' AS eq_automation_json,
+    'transitions/' || transition_id || '.json' AS transition_analysis_json_path, quality_score, analyzed_at FROM v_transitions LEFT JOIN v_songs a ON a.song_id = track_a_id LEFT JOIN v_songs b ON b.song_id = track_b_id""",
+)
 def s5(spark, d):
-    second = F.array_compact(F.array(F.when(F.col("transition_id") % 2 == 0, "bass_swap"), F.when(F.col("transition_id") % 3 == 0, "filter_sweep")))
-    doc = F.to_json(F.struct("transition_id", F.struct(F.col("technique").alias("technique_primary"), second.alias("technique_secondary")).alias("transition_execution"), F.struct(F.col("quality_score").alias("overall_score")).alias("quality")))
-    row = files.flatten_transition(doc)
-    return V.transitions(spark, d).select(row["transition_id"].cast("long").alias("transition_id"), row["technique"].alias("technique"), row["quality_score"].alias("quality_score"), row["bass_swap"].alias("bass_swap"), row["filter_sweep"].alias("filter_sweep"))
-
-
-@query("V2_validate_transition", "SELECT transition_id, list_filter([CASE WHEN transition_id % 4 = 0 THEN 'Missing required field: mix_id' END, CASE WHEN transition_id % 6 = 0 THEN 'Missing required field: track_b' END], lambda x: x IS NOT NULL) AS errors FROM v_transitions")
+    """Documents as producers write them, flattened to the table's row again."""
+    s = V.songs(spark, d)
+    side = lambda x: s.select(F.col("song_id").alias(f"track_{x}_id"), F.struct("song_id", "bpm", F.col("key_name").alias("key"), "camelot").alias(f"track_{x}_features"))
+    t = V.transitions(spark, d).join(side("a"), "track_a_id", "left").join(side("b"), "track_b_id", "left")
+    i = F.col("transition_id")
+    second = F.array_compact(F.array(*(F.when(i % n == 0, name) for n, name in ((2, "bass_swap"), (3, "filter_sweep"), (5, "echo_out")))))
+    own = lambda x: F.when(F.col(f"track_{x}_features").isNotNull(), F.col(f"track_{x}_features")).otherwise(F.struct(F.col(f"track_{x}_id").alias("song_id"), *(F.lit(None).cast(k).alias(n) for n, k in (("bpm", "double"), ("key", "string"), ("camelot", "string")))))
+    run = F.struct(F.col("technique").alias("technique_primary"), second.alias("technique_secondary"), F.lit(16.0).alias("duration_sec"), F.lit(8).alias("duration_bars"), F.when(i % 4 != 0, 0.75).alias("technique_confidence"), F.when(i % 6 != 0, F.struct(F.array(F.lit(0), F.lit(-6)).alias("track_a_gain_db"))).alias("volume_curves"))
+    doc = F.to_json(F.struct(
+        i, F.struct(F.col("mix_id").alias("source_mix_id")).alias("context"), own("a").alias("track_a_features"), own("b").alias("track_b_features"), F.struct((i * 0.5).alias("start_time_sec"), (i * 0.5 + 16).alias("end_time_sec")).alias("transition"), run.alias("transition_execution"),
+        F.struct((i % 7).alias("camelot_distance"), (i % 9 - 4).alias("energy_delta")).alias("compatibility_metrics"), F.struct((0.5 + i % 5 / 10.0).alias("beat_match_quality"), F.col("quality_score").alias("overall_transition_quality")).alias("quality_assessment"),
+    ))
+    row = files.transition_row(doc, F.concat(F.lit("transitions/"), i.cast("string"), F.lit(".json")), F.col("analyzed_at"))
+    ids = ("transition_id", "mix_id", "track_a_id", "track_b_id")
+    return t.select(*((c.cast("long") if n in ids else c).alias(n) for n, c in row.items()))
+
+
+@query(
+    "V2_validate_transition",
+    """SELECT transition_id, list_filter([CASE WHEN i % 6 = 0 THEN 'Missing required field: track_b_features' END, CASE WHEN i % 11 = 0 THEN 'Missing required field: transition_execution' END,
+    CASE WHEN i % 8 = 0 THEN 'track_a_features.camelot is required' END, CASE WHEN i % 6 <> 0 AND i % 5 = 0 THEN 'track_b_features.key is required' END,
+    CASE WHEN i % 11 <> 0 AND i % 4 = 0 THEN 'transition_execution.duration_sec is required' END, CASE WHEN i % 11 <> 0 AND i % 7 = 0 THEN 'transition_execution.technique_primary is required' END,
+    CASE WHEN i % 11 <> 0 AND i % 3 = 0 AND i % 9 = 0 THEN 'volume_curves requires track_a_gain_db and track_b_gain_db' END], lambda x: x IS NOT NULL) AS errors FROM (SELECT transition_id, transition_id AS i FROM v_transitions)""",
+)
 def v2(spark, d):
-    doc = F.to_json(F.struct("transition_id", F.when(F.col("transition_id") % 4 != 0, F.col("mix_id")).alias("mix_id"), F.col("track_a_id").alias("track_a"), F.when(F.col("transition_id") % 6 != 0, F.col("track_b_id")).alias("track_b")))
-    return V.transitions(spark, d).select("transition_id", VA.document_errors(doc, ("transition_id", "mix_id", "track_a", "track_b")).alias("errors"))
+    """Documents that lack one thing or another by their number."""
+    i = F.col("transition_id")
+    track = lambda x, key, camelot: F.struct(F.col(f"track_{x}_id").alias("song_id"), F.lit(120.0).alias("bpm"), F.when(key, "C").alias("key"), F.when(camelot, "8B").alias("camelot"))
+    always = F.lit(True)
+    curves = F.when(i % 3 == 0, F.struct(F.array(F.lit(0)).alias("track_a_gain_db"), F.when(i % 9 != 0, F.array(F.lit(-60))).alias("track_b_gain_db")))
+    run = F.when(i % 11 != 0, F.struct(F.when(i % 4 != 0, 16.0).alias("duration_sec"), F.when(i % 7 != 0, F.col("technique")).alias("technique_primary"), curves.alias("volume_curves")))
+    doc = F.to_json(F.struct(i, track("a", always, i % 8 != 0).alias("track_a_features"), F.when(i % 6 != 0, track("b", i % 5 != 0, always)).alias("track_b_features"), run.alias("transition_execution")))
+    return V.transitions(spark, d).select("transition_id", VA.transition_errors(doc).alias("errors"))
 
 
 @query("J18_vocal_bed_plan", "SELECT pair_id, CASE WHEN vocals_a AND NOT vocals_b THEN 'a_vocal_b_bed' WHEN vocals_b AND NOT vocals_a THEN 'b_vocal_a_bed' WHEN vocals_a AND vocals_b THEN CASE WHEN energy_a >= energy_b THEN 'a_vocal_b_bed' ELSE 'b_vocal_a_bed' END ELSE 'drums_only' END AS plan FROM v_pairs")
@@ -130,13 +160,20 @@ def j19(spark, d):
     return s.select("pair_id", "stem", r6("c").alias("score"), rank.alias("rank"))
 
 
-SAFE_SQL = "quiet AS (SELECT track_id, frame_idx, t_sec FROM v_frames WHERE rms < 0.1)"
+VOCAL_RUNS_SQL = """vx AS (SELECT track_id, frame_idx, sum(CASE WHEN vocal > 0.5 THEN rms ELSE 0 END) OVER (PARTITION BY track_id ORDER BY frame_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS x FROM v_frames),
+    vs AS (SELECT *, round(x, 9) < round(0.3 * avg(x) OVER (PARTITION BY track_id), 9) AS silent, max(frame_idx) OVER (PARTITION BY track_id) AS last FROM vx), vi AS (SELECT *, frame_idx - row_number() OVER (PARTITION BY track_id, silent ORDER BY frame_idx) AS g FROM vs),
+    runs AS (SELECT track_id, silent, min(frame_idx) AS start_idx, max(frame_idx) AS end_idx, any_value(last) AS last FROM vi GROUP BY track_id, silent, g),
+    safe AS (SELECT track_id, (start_idx + end_idx + 1) / 2 * 0.25 AS center_sec FROM runs WHERE silent AND end_idx < last AND end_idx + 1 - start_idx > 5)"""
 
 
-@query("J22_phrase_fade_timing", f"WITH {SAFE_SQL} SELECT t.track_id, min(q.t_sec) FILTER (WHERE q.t_sec >= 2) AS fade_out, min(q.t_sec) AS fade_in FROM (SELECT DISTINCT track_id FROM v_frames) t LEFT JOIN quiet q USING (track_id) GROUP BY t.track_id")
-def j22(spark, d):
-    quiet = F.when(F.col("rms") < 0.1, F.col("t_sec"))
-    return V.frames(spark, d).groupBy("track_id").agg(F.min(F.when(F.col("t_sec") >= 2, quiet)).alias("fade_out"), F.min(quiet).alias("fade_in"))
+@query("J22_phrase_fade_timing", f"WITH {VOCAL_RUNS_SQL} SELECT t.track_id, coalesce(min(center_sec) FILTER (WHERE center_sec BETWEEN 2 AND 12), CASE WHEN max(center_sec) FILTER (WHERE center_sec <= 12) >= 2 THEN max(center_sec) FILTER (WHERE center_sec <= 12) ELSE min(center_sec) FILTER (WHERE center_sec <= 12) END)::DOUBLE AS fade_out, (min(center_sec) FILTER (WHERE center_sec < 12))::DOUBLE AS fade_in FROM (SELECT DISTINCT track_id FROM v_frames) t LEFT JOIN safe USING (track_id) GROUP BY t.track_id")
+def j22(spark, d, segment_sec=12.0, least_sec=2.0):
+    """Outgoing: the first safe point that leaves 2 s for the fade, else the last one of the segment; incoming: the first one."""
+    c = F.col("center_sec")
+    tracks = V.frames(spark, d).select("track_id").distinct().join(safe_points(spark, d), "track_id", "left")
+    within = F.when(c <= segment_sec, c)
+    out = F.coalesce(F.min(F.when(c.between(least_sec, segment_sec), c)), F.when(F.max(within) >= least_sec, F.max(within)).otherwise(F.min(within)))
+    return tracks.groupBy("track_id").agg(out.alias("fade_out"), F.min(F.when(c < segment_sec, c)).alias("fade_in"))
 
 
 @query("W17_mix_points", "WITH p AS (SELECT track_id, frame_idx // 8 AS k, min(t_sec) AS s, max(t_sec) AS e, avg(rms) FILTER (WHERE frame_idx % 8 < 4) AS a, avg(rms) FILTER (WHERE frame_idx % 8 >= 4) AS b FROM v_frames GROUP BY ALL HAVING count(*) = 8), q AS (SELECT *, max(k) OVER (PARTITION BY track_id) AS last FROM p) SELECT track_id, coalesce(list_sort(list(DISTINCT s) FILTER (WHERE k < 8 AND b > a * 1.2)), []) AS ins, coalesce(list_sort(list(DISTINCT e) FILTER (WHERE k > last - 8 AND b <= a * 1.2)), []) AS outs FROM q GROUP BY track_id")
@@ -159,12 +196,24 @@ def w21(spark, d):
     return j.groupBy("track_id").agg(F.coalesce(F.max(when(low & (F.col("k") <= F.col("last") - 2))), F.max(when(F.col("k") == F.col("last")))).alias("switch_sec"), F.coalesce(F.min(when(low)), F.min(when(F.col("e") > 0.15 * F.col("med")))).alias("mix_in_sec"))
 
 
-@query("W27_vocal_phrases", "WITH s AS (SELECT track_id, frame_idx, sum(rms) OVER (PARTITION BY track_id ORDER BY frame_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS x FROM v_frames), m AS (SELECT track_id, avg(x) AS m FROM s GROUP BY 1), h AS (SELECT s.*, frame_idx - row_number() OVER (PARTITION BY s.track_id ORDER BY frame_idx) AS g FROM s JOIN m USING (track_id) WHERE round(x, 9) >= round(0.9 * m, 9)) SELECT track_id, min(frame_idx) AS start_idx, max(frame_idx) AS end_idx, count(*) AS n FROM h GROUP BY track_id, g")
+@query("W27_vocal_phrases", f"WITH {VOCAL_RUNS_SQL} SELECT track_id, start_idx, least(end_idx + 1, last) AS end_idx FROM runs WHERE NOT silent")
 def w27(spark, d):
-    s = V.frames(spark, d).select("track_id", "frame_idx", SE.moving_average("rms", "track_id", "frame_idx", 5).alias("x"))
-    loud = F.round("x", 9) >= F.round(0.9 * F.col("m"), 9)
-    h = s.join(s.groupBy("track_id").agg(F.avg("x").alias("m")), "track_id").where(loud).withColumn("one", F.lit(1.0))
-    return SE.islands(h, "track_id", "frame_idx", "one", 1.0).select("track_id", "start_idx", "end_idx", "n")
+    return SE.vocal_phrases(vocal_frames(spark, d), "track_id", "frame_idx", "voice")
+
+
+@query("W27_safe_point", f"WITH {VOCAL_RUNS_SQL}, {SQ.POINTS_SQL}, r AS (SELECT p.track_id, p.point, p.t, center_sec, row_number() OVER (PARTITION BY p.track_id, p.point ORDER BY abs(center_sec - p.t), center_sec) AS r FROM pts p LEFT JOIN safe ON safe.track_id = p.track_id AND abs(center_sec - p.t) <= 2) SELECT track_id, point, coalesce(center_sec, t)::DOUBLE AS t FROM r WHERE r = 1")
+def w27_safe(spark, d):
+    """The nearest silence within 2 s of each point, else the point itself."""
+    n = AO.nearest(SQ.points(spark, d), safe_points(spark, d).withColumn("one", F.lit(1.0)), "track_id", "point", "center_sec", "one")
+    return n.select("track_id", "point", F.when(F.col("gap") <= 2, F.col("near_t")).otherwise(F.col("t")).alias("t"))
+
+
+def vocal_frames(spark, d):
+    return V.frames(spark, d).withColumn("voice", F.when(F.col("vocal") > 0.5, F.col("rms")).otherwise(0.0))
+
+
+def safe_points(spark, d):
+    return SE.safe_points(vocal_frames(spark, d), "track_id", "frame_idx", "voice", 0.25)
 
 
 @query("W31_energy_segments", "SELECT track_id, k, min(t_sec) AS start_sec, max(t_sec) AS end_sec, round(avg(rms), 6) AS energy FROM (SELECT *, ntile(4) OVER (PARTITION BY track_id ORDER BY frame_idx) AS k FROM v_frames) GROUP BY ALL")
@@ -174,12 +223,31 @@ def w31(spark, d):
     return V.frames(spark, d).withColumn("k", k).groupBy("track_id", "k").agg(F.min("t_sec").alias("start_sec"), F.max("t_sec").alias("end_sec"), r6(F.avg("rms")).alias("energy"))
 
 
-@query("A18_rhythm_dna", "WITH p AS (SELECT track_id, beat_idx % 16 AS pos, sum(onset_strength) AS s FROM v_beats GROUP BY ALL), n AS (SELECT *, s / max(s) OVER (PARTITION BY track_id) AS v FROM p), m AS (SELECT track_id, avg(v) AS m, stddev_pop(v) AS sd FROM n GROUP BY 1) SELECT track_id, count(*) FILTER (WHERE v > m + sd) AS accents, round(count(*) FILTER (WHERE v > 0.3) / count(*), 6) AS density FROM n JOIN m USING (track_id) GROUP BY track_id")
+_PLACE = [(j * 3 / 15, min(int(j * 3 / 15), 2)) for j in range(16)]
+_P16 = "[" + ", ".join(f"x[{lo + 1}] + (x[{lo + 2}] - x[{lo + 1}]) * {at - lo}" for at, lo in _PLACE) + "]"
+_MEAN = lambda js: "(" + " + ".join(f"p[{j + 1}]" for j in js) + f") / {len(js)}"
+DNA_SQL = f"""b4 AS (SELECT track_id, frame_idx // 4 AS beat, list(rms ORDER BY frame_idx) AS x FROM v_frames GROUP BY ALL), b5 AS (SELECT track_id, beat, {_P16} AS p FROM (SELECT *, max(beat) OVER (PARTITION BY track_id) AS l FROM b4) WHERE beat < l AND len(x) = 4),
+    sy AS (SELECT track_id, avg(least(1, CASE WHEN {_MEAN(range(0, 16, 4))} > 0 THEN ({_MEAN(range(2, 16, 4))} + 2 * {_MEAN(range(1, 16, 2))}) / (3 * {_MEAN(range(0, 16, 4))}) ELSE 0.5 END)) AS syncopation FROM b5 GROUP BY 1),
+    ps AS (SELECT track_id, j, sum(p[j]) AS s FROM b5, (SELECT CAST(unnest(range(1, 17)) AS INT) AS j) GROUP BY ALL), pn AS (SELECT track_id, j, CASE WHEN max(s) OVER w > 0 THEN s / max(s) OVER w ELSE s END AS v FROM ps WINDOW w AS (PARTITION BY track_id)),
+    dna AS (SELECT track_id, list(v ORDER BY j) AS pattern, any_value(syncopation) AS syncopation, coalesce(list(j - 1 ORDER BY j) FILTER (WHERE v > m + sd), []) AS accents, count(*) FILTER (WHERE v > 0.3) / 16 AS density FROM (SELECT *, avg(v) OVER w AS m, stddev_pop(v) OVER w AS sd FROM pn WINDOW w AS (PARTITION BY track_id)) JOIN sy USING (track_id) GROUP BY track_id)"""
+
+
+@query("A18_rhythm_dna", f"WITH {DNA_SQL} SELECT * FROM dna")
 def a18(spark, d):
-    p = V.beats(spark, d).groupBy("track_id", (F.col("beat_idx") % 16).alias("pos")).agg(F.sum("onset_strength").alias("s"))
-    n = p.withColumn("v", F.try_divide(F.col("s"), F.max("s").over(Window.partitionBy("track_id"))))
-    m = n.groupBy("track_id").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"))
-    return n.join(m, "track_id").groupBy("track_id").agg(F.count_if(F.col("v") > F.col("m") + F.col("sd")).alias("accents"), r6(F.count_if(F.col("v") > 0.3) / F.count("*")).alias("density"))
+    """Beats of four frames."""
+    return SE.rhythm_dna(V.frames(spark, d))
+
+
+@query(
+    "A18_rhythm_match",
+    f"""WITH {DNA_SQL}, tp AS (SELECT a.track_id AS pair_id, a.*, b.pattern AS pattern_b, b.syncopation AS sb, b.density AS db FROM dna a JOIN dna b ON b.track_id = (a.track_id * 7 + 3) % (SELECT count(DISTINCT user_id) FROM events)),
+    r AS (SELECT pair_id, greatest(0, coalesce(corr(x, y), 0)) AS r FROM (SELECT pair_id, unnest(pattern) AS x, unnest(pattern_b) AS y FROM tp) GROUP BY 1)
+    SELECT pair_id, r AS pattern_correlation, 1 - abs(syncopation - sb) AS syncopation_fit, 1 - abs(density - db) AS density_fit, 0.4 * r + 0.3 * (1 - abs(syncopation - sb)) + 0.3 * (1 - abs(density - db)) AS overall FROM tp JOIN r USING (pair_id)""",
+)
+def a18_match(spark, d):
+    from seguekit.plans.point_queries import track_pairs
+
+    return SE.rhythm_match(track_pairs(spark, d).select("pair_id", "a_id", "b_id"), SE.rhythm_dna(V.frames(spark, d)))
 
 
 @query("A25_masking_by_chunk", f"WITH {EPAIRS_SQL}, p AS (SELECT a.track_id AS t, b.bin, max(a.mag * greatest(0, 1 - abs(log2(a.freq_hz / b.freq_hz)) / 2)) AS thr FROM v_spectrum a JOIN v_spectrum b ON a.track_id = b.track_id AND a.bin >= 1 AND b.bin >= 1 AND abs(log2(a.freq_hz / b.freq_hz)) < 2 GROUP BY ALL) SELECT pair_id, round(count(*) FILTER (WHERE s.mag < thr) / count(*), 6) AS masked FROM ep JOIN p ON t = a_id JOIN v_spectrum s ON s.track_id = b_id AND s.bin = p.bin GROUP BY pair_id")

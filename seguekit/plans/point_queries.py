@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from seguekit.functions import harmony as H
 from seguekit.operators import points as P
+from seguekit.functions import scoring as S
+from seguekit.operators import tracklists as TR
 from seguekit.operators import training as T
 from seguekit.plans import dims
 from seguekit.plans import series_queries as SQ
@@ -116,12 +118,25 @@ def k13(spark, d):
     return t.groupBy("mix_id").agg(F.count("*").alias("lines"), F.max("like_count").alias("likes")).where("lines >= 15")
 
 
-@query("K14_timestamps_for_mix", "WITH t AS (SELECT mix_id, frame_idx * 45 AS sec, CASE frame_idx % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS priority, text FROM v_mix_text), b AS (SELECT mix_id, min(priority) AS p FROM t GROUP BY 1) SELECT t.mix_id, sec, priority FROM t JOIN b ON t.mix_id = b.mix_id AND priority = p")
+SOURCES_SQL = """src AS (SELECT mix_id, frame_idx * 20 AS sec, event_type AS kind, event_type || repeat('!', (like_count % 7)::INT) AS track, CASE WHEN event_type = 'purchase' AND mix_id % 5 = 0 THEN 1 WHEN event_type IN ('signup', 'error') THEN 2 ELSE 3 END AS priority FROM (SELECT user_id AS mix_id, event_type, CAST(floor(value) AS INT) AS like_count, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx FROM events))"""
+
+
+@query(
+    "K14_timestamps_for_mix",
+    f"""WITH RECURSIVE {SOURCES_SQL}, de AS (SELECT *, sec - lag(sec) OVER (PARTITION BY mix_id ORDER BY sec) AS gap FROM src WHERE priority = 2 AND length(track) >= 3), ok AS (SELECT mix_id FROM de GROUP BY 1 HAVING count(*) >= 3 AND coalesce(min(gap) >= 30, TRUE)),
+    co AS (SELECT mix_id, sec, arg_max(left(track, 100), (length(left(track, 100)), track)) AS track FROM src WHERE priority = 3 GROUP BY ALL),
+    kept(mix_id, sec) AS (SELECT mix_id, min(sec) FROM co GROUP BY 1 UNION ALL SELECT k.mix_id, (SELECT min(c.sec) FROM co c WHERE c.mix_id = k.mix_id AND c.sec >= k.sec + 30) FROM kept k WHERE k.sec IS NOT NULL),
+    al AS (SELECT mix_id, sec, track, 1 AS priority FROM src WHERE priority = 1 UNION ALL SELECT mix_id, sec, track, 2 FROM de JOIN ok USING (mix_id) UNION ALL SELECT mix_id, sec, track, 3 FROM kept JOIN co USING (mix_id, sec)),
+    b AS (SELECT mix_id, min(priority) AS p FROM al GROUP BY 1) SELECT al.mix_id, sec, track, priority FROM al JOIN b ON b.mix_id = al.mix_id AND priority = p""",
+)
 def k14(spark, d):
-    """Chapters before description before comments: the first kind that a mix has."""
-    t = V.mix_text(spark, d).select("mix_id", (F.col("frame_idx") * 45).alias("sec"), (F.col("frame_idx") % 3 + 1).cast("int").alias("priority"))
-    best = t.groupBy("mix_id").agg(F.min("priority").alias("priority"))
-    return t.join(best, ["mix_id", "priority"]).select("mix_id", "sec", "priority")
+    """Chapters before a valid description before comments: the first that a mix has."""
+    e = V.mix_text(spark, d).withColumn("kind", F.split("text", " ")[1])
+    chapters = (F.col("kind") == "purchase") & (F.col("mix_id") % 5 == 0)
+    source = F.when(chapters, "chapters").when(F.col("kind").isin("signup", "error"), "description").otherwise("comments")
+    track = F.concat("kind", F.repeat(F.lit("!"), F.col("like_count") % 7))
+    lines = e.select("mix_id", source.alias("source"), S.seconds_to_timestamp(F.col("frame_idx") * 20).alias("time"), track.alias("track"))
+    return TR.timestamps(lines).select("mix_id", "sec", "track", "priority")
 
 
 STARTS_SQL = "starts AS (SELECT track_id, p AS point, CASE p WHEN 0 THEN max(t_sec) * 0.37 ELSE 0 END AS t FROM v_frames, (SELECT CAST(unnest([0, 1]) AS INT) AS p) GROUP BY track_id, p)"

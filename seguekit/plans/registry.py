@@ -41,4 +41,6 @@ def with_views(sql: str) -> str:
         return sql
     heads = ", ".join(f"{v} AS ({VIEW_SQL[v]})" for v in used)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {heads}, {body[15:]}"
     return f"WITH {heads}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {heads} {body}"

@@ -305,19 +305,35 @@ def a9(spark, d):
     return x.groupBy("track_id").agg(r6(F.avg("x")).alias("mean"), r6(F.stddev_pop("x")).alias("std"), r6(F.percentile("x", 0.1)).alias("p10"), r6(F.percentile("x", 0.9)).alias("p90"))
 
 
-@query("A15_microtiming", "WITH i AS (SELECT track_id, (t_sec - lag(t_sec) OVER (PARTITION BY track_id ORDER BY beat_idx) - 60.0 / 120) * 1000 AS off FROM v_beats) SELECT track_id, round(avg(abs(off)), 6) AS mean_ms, round(stddev_pop(off), 6) AS std_ms, round(1 - least(1, stddev_pop(off) / 50), 6) AS human, CASE WHEN avg(abs(off)) < 5 THEN 'tight' WHEN avg(abs(off)) < 20 THEN 'natural' ELSE 'loose' END AS groove FROM i WHERE off IS NOT NULL GROUP BY track_id")
+JITTER_SQL = "jt AS (SELECT track_id, beat_idx, t_sec + onset_strength / 10000 AS t, onset_strength, 100 + track_id % 30 AS tempo FROM v_beats)"
+
+
+@query(
+    "A15_microtiming",
+    f"""WITH {JITTER_SQL}, i AS (SELECT track_id, beat_idx - 1 AS i, (t - lag(t) OVER (PARTITION BY track_id ORDER BY beat_idx) - 60.0 / tempo) * 1000 AS off FROM jt), o AS (SELECT * FROM i WHERE off IS NOT NULL),
+    w AS (SELECT track_id, avg(s) AS swing FROM (SELECT track_id, i // 2 AS pair, sum(CASE WHEN i % 2 = 1 THEN off ELSE -off END) AS s FROM o GROUP BY ALL HAVING count(*) = 2) GROUP BY 1),
+    g AS (SELECT track_id, avg(abs(off)) AS mean_ms, stddev_pop(off) AS std_ms FROM o GROUP BY 1) SELECT track_id, mean_ms, std_ms, 1 - least(1, std_ms / 50) AS human, coalesce(swing, 0) AS swing_ms, CASE WHEN abs(coalesce(swing, 0)) > 20 THEN 'swing' WHEN abs(coalesce(swing, 0)) > 5 THEN 'shuffle' ELSE 'straight' END AS groove, std_ms < 10 AS locked FROM g LEFT JOIN w USING (track_id)""",
+)
 def a15(spark, d):
-    off = (F.col("t_sec") - F.lag("t_sec").over(SE.ordered("track_id", "beat_idx")) - 60.0 / 120) * 1000
-    g = V.beats(spark, d).withColumn("off", off).where("off is not null").groupBy("track_id").agg(F.avg(F.abs("off")).alias("m"), F.stddev_pop("off").alias("s"))
-    return g.select("track_id", r6("m").alias("mean_ms"), r6("s").alias("std_ms"), r6(1 - F.least(F.lit(1.0), F.col("s") / 50)).alias("human"), F.when(F.col("m") < 5, "tight").when(F.col("m") < 20, "natural").otherwise("loose").alias("groove"))
+    return SE.microtiming(jittered(spark, d))
+
+
+def jittered(spark, d):
+    """Beats off the grid by their strength, with each track's tempo."""
+    return V.beats(spark, d).select("track_id", "beat_idx", (F.col("t_sec") + F.col("onset_strength") / 10000).alias("t"), "onset_strength", (100 + F.col("track_id") % 30).alias("tempo"))
 
 
-@query("A16_groove_pattern", "WITH o AS (SELECT track_id, beat_idx, CAST(floor(onset_strength * 16) % 16 AS INT) AS bin FROM v_beats WHERE beat_idx < 100), c AS (SELECT track_id, bin, count(*) AS n FROM o GROUP BY ALL) SELECT track_id, bin, n, round(n / max(n) OVER (PARTITION BY track_id), 6) AS share FROM c")
+@query(
+    "A16_groove_pattern",
+    f"""WITH {JITTER_SQL}, o AS (SELECT track_id, beat_idx, t / 2 AS t, onset_strength / 500 AS e, 60.0 / tempo AS bd FROM jt), p AS (SELECT *, (t % bd) / bd AS pos, t - lag(t) OVER w AS gap, abs(e - lag(e) OVER w) AS flux, avg(e) OVER (PARTITION BY track_id) AS me FROM o WINDOW w AS (PARTITION BY track_id ORDER BY beat_idx)),
+    c AS (SELECT *, (pos - CASE WHEN pos <= 0.125 THEN 0 WHEN pos <= 0.375 THEN 0.25 WHEN pos <= 0.625 THEN 0.5 ELSE 0.75 END) * bd * 1000 AS dev FROM p),
+    b AS (SELECT track_id, k, count(*) FILTER (WHERE floor(pos * 16)::INT % 16 = k AND beat_idx < 100) AS n FROM p, (SELECT CAST(unnest(range(16)) AS INT) AS k) GROUP BY ALL), h AS (SELECT track_id, list(n / m ORDER BY k) AS template FROM (SELECT *, max(n) OVER (PARTITION BY track_id) AS m FROM b) GROUP BY 1)
+    SELECT track_id, avg(abs(dev)) AS mean_ms, stddev_pop(dev) AS std_ms, coalesce(least(0.75, greatest(0.4, avg(gap / bd) FILTER (WHERE gap >= 0.35 * bd AND gap < 0.72 * bd))), 0.5) AS swing, least(1, (avg(flux) * 10 + count(*) FILTER (WHERE e > me) / count(*)) / 2) AS complexity, any_value(template) AS template FROM c JOIN h USING (track_id) GROUP BY track_id HAVING count(*) >= 4""",
+)
 def a16(spark, d):
-    """16-bin histogram of onset positions over the first 100 onsets."""
-    o = V.beats(spark, d).where("beat_idx < 100").withColumn("bin", F.pmod(F.floor(F.col("onset_strength") * 16), F.lit(16)).cast("int"))
-    c = o.groupBy("track_id", "bin").agg(F.count("*").alias("n"))
-    return c.withColumn("share", r6(F.col("n") / F.max("n").over(Window.partitionBy("track_id"))))
+    """Onsets on half beats, off the grid by their strength."""
+    o = jittered(spark, d).select("track_id", F.col("beat_idx").alias("i"), (F.col("t") / 2).alias("t"), (F.col("onset_strength") / 500).alias("strength"), "tempo")
+    return SE.groove_pattern(o)
 
 
 @query("A20_loudness", "WITH b AS (SELECT track_id, -0.691 + 10 * log10(avg(rms * rms) + 1e-10) AS l FROM v_frames GROUP BY track_id, floor(t_sec / 3) HAVING count(*) = 12) , t AS (SELECT track_id, -0.691 + 10 * log10(avg(rms * rms) + 1e-10) AS lufs, 20 * log10(max(abs(rms)) + 1e-10) AS peak FROM v_frames GROUP BY 1) SELECT t.track_id, round(any_value(lufs), 6) AS lufs, round(coalesce(quantile_cont(l, 0.95) - quantile_cont(l, 0.1), 0), 6) AS lra, round(any_value(peak), 6) AS peak_db, round(any_value(peak - lufs), 6) AS plr FROM t LEFT JOIN b USING (track_id) GROUP BY t.track_id")
@@ -337,11 +353,12 @@ def a26(spark, d):
     return e.select("track_id", F.col("b").alias("before"), F.col("m").alias("during"), F.col("a").alias("after"), F.coalesce(F.col("m") < 0.8 * F.least("b", "a"), F.lit(False)).alias("dip"), F.coalesce(F.col("a") > F.col("b") * 1.2, F.lit(False)).alias("build"))
 
 
-@query("A32_beat_regularity", "WITH i AS (SELECT track_id, beat_idx, t_sec, onset_strength, t_sec + onset_strength / 1000 - lag(t_sec + onset_strength / 1000) OVER (PARTITION BY track_id ORDER BY beat_idx) AS gap FROM v_beats) SELECT track_id, round(CASE WHEN count(*) <= 4 THEN 0.5 ELSE greatest(0, least(1, 1 - stddev_pop(gap) / avg(gap))) END, 6) AS regularity FROM i GROUP BY track_id")
+@query("A32_beat_regularity", "WITH i AS (SELECT track_id, beat_idx, t_sec + onset_strength / 1000 AS t, t_sec + onset_strength / 1000 - lag(t_sec + onset_strength / 1000) OVER (PARTITION BY track_id ORDER BY beat_idx) AS gap FROM v_beats) SELECT track_id, (CASE WHEN count(*) <= 4 THEN 0.5 ELSE greatest(0, least(1, 1 - stddev_pop(gap) / avg(gap))) END)::DOUBLE AS regularity, min(t) * 1000 AS phase_ms, min(t) * 1000 < 50 AS aligned FROM i GROUP BY track_id")
 def a32(spark, d):
     t = F.col("t_sec") + F.col("onset_strength") / 1000
-    i = V.beats(spark, d).withColumn("gap", t - F.lag(t).over(SE.ordered("track_id", "beat_idx")))
-    return i.groupBy("track_id").agg(r6(F.when(F.count("*") <= 4, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.try_divide(F.stddev_pop("gap"), F.avg("gap")))))).alias("regularity"))
+    i = V.beats(spark, d).withColumn("t", t).withColumn("gap", t - F.lag(t).over(SE.ordered("track_id", "beat_idx")))
+    regular = F.when(F.count("*") <= 4, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.try_divide(F.stddev_pop("gap"), F.avg("gap")))))
+    return i.groupBy("track_id").agg(regular.alias("regularity"), (F.min("t") * 1000).alias("phase_ms"), (F.min("t") * 1000 < 50).alias("aligned"))
 
 
 @query("A40_vocal_start", "WITH b AS (SELECT track_id, floor(t_sec / 0.5) AS k, sum(rms * rms) AS e FROM v_frames GROUP BY ALL), m AS (SELECT *, max(e) OVER (PARTITION BY track_id) AS top, count(*) OVER (PARTITION BY track_id) AS n FROM b) SELECT track_id, round(coalesce(min(k) FILTER (WHERE e > 0.3 * top) / max(n), 0.5), 6) AS share FROM m GROUP BY track_id")

@@ -182,11 +182,16 @@ def j15(spark, d):
     return x.select("pair_id", "band", r6(F.coalesce(F.try_divide(F.col("x"), F.max("x").over(Window.partitionBy("pair_id"))), F.lit(0.0))).alias("clash"))
 
 
-@query("W29_chord_changes", "WITH f AS (SELECT label, track_id, pc, abs(value - lag(value) OVER (PARTITION BY label, pc ORDER BY track_id)) AS diff FROM v_chroma), c AS (SELECT label, track_id, sum(diff) AS c FROM f GROUP BY ALL), l AS (SELECT label, quantile_cont(c, 0.75) AS p FROM c GROUP BY label) SELECT label, count(*) FILTER (WHERE c > p) AS changes FROM c JOIN l USING (label) GROUP BY label")
+@query(
+    "W29_chord_changes",
+    """WITH f AS (SELECT label, track_id, pc, abs(value - lag(value) OVER (PARTITION BY label, pc ORDER BY track_id)) AS diff FROM v_chroma), c AS (SELECT label, (row_number() OVER (PARTITION BY label ORDER BY track_id) - 1) * 0.5::DOUBLE AS t, c FROM (SELECT label, track_id, sum(diff) AS c FROM f WHERE diff IS NOT NULL GROUP BY ALL)),
+    l AS (SELECT label, quantile_cont(c, 0.75) AS p FROM c GROUP BY label), h AS (SELECT label, t, t - lag(t) OVER (PARTITION BY label ORDER BY t) AS gap FROM c JOIN l USING (label) WHERE c > p), m AS (SELECT label, count(*) AS changes, coalesce(quantile_cont(gap, 0.5), 4.0) AS rhythm FROM h GROUP BY 1)
+    SELECT l.label, coalesce(any_value(changes), 0) AS changes, coalesce(any_value(rhythm), 4.0)::DOUBLE AS rhythm_sec, coalesce(list(t::DOUBLE ORDER BY t) FILTER (WHERE changes > 3 AND gap > rhythm * 1.5), []) AS cadences FROM l LEFT JOIN m ON m.label = l.label LEFT JOIN h ON h.label = l.label GROUP BY l.label""",
+)
 def w29(spark, d):
-    diff = F.abs(F.col("value") - F.lag("value").over(Window.partitionBy("label", "pc").orderBy("track_id")))
-    c = V.chroma(spark, d).withColumn("diff", diff).groupBy("label", "track_id").agg(F.sum("diff").alias("c"))
-    return c.join(c.groupBy("label").agg(F.percentile("c", 0.75).alias("p")), "label").groupBy("label").agg(F.count_if(F.col("c") > F.col("p")).alias("changes"))
+    """The vectors of a label in order, half a second apart."""
+    c = V.chroma(spark, d).select("label", F.col("track_id").alias("frame"), "pc", "value")
+    return SP.chord_changes(c, "label", 0.5)
 
 
 @query("W20_novelty_peaks")

@@ -64,6 +64,24 @@ def flatten_transition(doc: Column) -> dict[str, Column]:
     return {"transition_id": at("$.transition_id"), "mix_id": at("$.mix_id"), "technique": at("$.transition_execution.technique_primary"), "quality_score": at("$.quality.overall_score").try_cast("double"), "volume_curve": at("$.transition_execution.volume_curve")} | flags
 
 
+def transition_row(doc: Column, path: Column, analyzed_at: Column) -> dict[str, Column]:
+    """The 25 columns of a transition's table row from its document (JSON text), where that lies and when it was analysed."""
+    at = lambda p: F.get_json_object(doc, p)
+    num = lambda p: at(p).try_cast("double")
+    run = "$.transition_execution"
+    second = F.coalesce(F.from_json(at(f"{run}.technique_secondary"), "array<string>"), F.array().cast("array<string>"))
+    return {
+        "transition_id": at("$.transition_id"), "mix_id": at("$.context.source_mix_id"), "track_a_id": at("$.track_a_features.song_id"), "track_b_id": at("$.track_b_features.song_id"),
+        "start_time_sec": num("$.transition.start_time_sec"), "end_time_sec": num("$.transition.end_time_sec"), "duration_sec": num(f"{run}.duration_sec"), "duration_bars": num(f"{run}.duration_bars"),
+        "technique": at(f"{run}.technique_primary"), "technique_confidence": F.coalesce(num(f"{run}.technique_confidence"), F.lit(0.0)),
+        "bpm_a": num("$.track_a_features.bpm"), "bpm_b": num("$.track_b_features.bpm"), "key_a": at("$.track_a_features.key"), "key_b": at("$.track_b_features.key"),
+        "camelot_distance": num("$.compatibility_metrics.camelot_distance"), "has_bass_swap": F.array_contains(second, "bass_swap"), "has_filter_sweep": F.array_contains(second, "filter_sweep"), "has_echo_out": F.array_contains(second, "echo_out"),
+        "beat_alignment_quality": num("$.quality_assessment.beat_match_quality"), "energy_delta": num("$.compatibility_metrics.energy_delta"),
+        "volume_curves_json": F.coalesce(at(f"{run}.volume_curves"), F.lit("{}")), "eq_automation_json": F.coalesce(at(f"{run}.eq_automation"), F.lit("{}")),
+        "transition_analysis_json_path": path, "quality_score": num("$.quality_assessment.overall_transition_quality"), "analyzed_at": analyzed_at,
+    }
+
+
 def write_samples(df: DataFrame, path: str) -> None:
     df.write.mode("error").json(path)
 
