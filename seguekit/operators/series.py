@@ -174,6 +174,49 @@ def repetition_break(bars: DataFrame, lags: tuple[int, ...] = (4, 8, 16)) -> Dat
     return bars.withColumn("novelty", F.greatest(*each))
 
 
+def checkerboard_novelty(rows: DataFrame, key: str, at: str, features: str, half: int = 16) -> DataFrame:
+    """(key, at, novelty): how much the ``half`` rows before a place differ from those after, over the series' maximum.
+
+    A checkerboard kernel with a Hann taper over the cosine similarities of unit vectors x is a product of its two sides,
+    so its sum is the squared length of the tapered difference vector: no pair of rows is formed. Places nearer than
+    ``half`` to an end are 0; series of under twice ``half`` rows use half of their length.
+    """
+    whole = Window.partitionBy(key)
+    norm = F.sqrt(dot(F.col(features), F.col(features))) + 1e-9
+    u = rows.select(key, at, F.transform(features, lambda x: x / norm).alias("__u"), F.count("*").over(whole).alias("__n"), (F.row_number().over(ordered(key, at)) - 1).alias("__i"))
+    u = u.withColumn("__l", F.least(F.lit(half), F.floor(F.col("__n") / 2)).cast("int"))
+    near = F.collect_list("__u").over(ordered(key, at).rowsBetween(-half, half - 1))
+    u = u.withColumn("__near", near).withColumn("__own", F.slice("__near", F.least(F.col("__i"), F.lit(half)).cast("int") - F.col("__l") + 1, 2 * F.col("__l")))
+    weight = lambda k: (0.5 - 0.5 * F.cos(2 * F.pi() * k / (2 * F.col("__l") - 1))) * F.when(k < F.col("__l"), -1.0).otherwise(1.0)
+    zero = F.transform("__u", lambda x: F.lit(0.0))
+    total = F.aggregate(F.transform("__own", lambda x, k: F.transform(x, lambda v: v * weight(k))), zero, lambda acc, x: F.zip_with(acc, x, lambda p, q: p + q))
+    inside = (F.col("__l") >= 2) & (F.col("__i") >= F.col("__l")) & (F.col("__i") < F.col("__n") - F.col("__l"))
+    raw = u.where(inside).withColumn("__v", total).select(key, at, dot(F.col("__v"), F.col("__v")).alias("__raw"))
+    out = rows.select(key, at).join(raw, [key, at], "left").na.fill(0.0, ["__raw"])
+    top = F.max("__raw").over(whole)
+    return out.select(key, at, F.when(top > 0, F.col("__raw") / top).otherwise(0.0).alias("novelty"))
+
+
+def novelty_sections(novelty: DataFrame, energy: DataFrame, key: str, at: str, bar: int = 4, height: float = 0.3, distance: int = 16) -> DataFrame:
+    """(key, start_idx, end_idx, energy, label): sections between peaks of the novelty, snapped to bars of ``bar`` rows.
+
+    A peak over 0.4 bar off the nearest downbeat is no border; sections under a bar are left out; a section is high if its
+    mean energy at downbeats is at least the series' median there. A series without a border is one section.
+    """
+    p = find_peaks(novelty, key, at, "novelty", height, distance)
+    snap = F.round(F.col(at) / bar) * bar
+    borders = p.where(F.abs(snap - F.col(at)) <= 0.4 * bar).select(key, snap.cast("long").alias("start_idx"))
+    ends = energy.groupBy(key).agg((F.max(at) + 1).alias("__end"))
+    starts = borders.unionByName(ends.select(key, F.lit(0).cast("long").alias("start_idx"))).distinct()
+    w = Window.partitionBy(key).orderBy("start_idx")
+    s = starts.join(ends, key).withColumn("end_idx", F.coalesce(F.lead("start_idx").over(w), F.col("__end"))).where(F.col("end_idx") - F.col("start_idx") >= bar).drop("__end")
+    down = energy.where(F.col(at) % bar == 0).select(key, F.col(at).alias("__at"), F.col("energy").alias("__e"))
+    median = down.groupBy(key).agg(F.percentile("__e", 0.5).alias("__median"))
+    spread = s.withColumn("__at", F.explode(F.sequence(F.ceil(F.col("start_idx") / bar) * bar, F.col("end_idx") - 1, F.lit(bar).cast("long"))))
+    g = spread.join(down, [key, "__at"]).groupBy(key, "start_idx", "end_idx").agg(F.avg("__e").alias("energy")).join(median, key)
+    return g.select(key, "start_idx", "end_idx", "energy", F.when(F.col("energy") >= F.col("__median"), "high").otherwise("low").alias("label"))
+
+
 def complexity_change(bars: DataFrame, back: int = 4) -> DataFrame:
     """Rise over the mean of the 4 bars before, floored at 0, over the series' maximum."""
     o = ordered("mix_id", "bar_idx")

@@ -49,3 +49,39 @@ def quality_labels() -> dict[str, Column | dict[str, Column]]:
     overall = beat * 0.3 + (1 - harmonic) * 0.2 + (1 - vocal) * 0.2 + flow * 0.15 + balance * 0.15
     modes = {"beat_mismatch": beat < 0.7, "harmonic_clash": harmonic > 0.3, "vocal_overlap": vocal > 0.5, "energy_drop": F.col("energy_delta") < -0.3, "spectral_mud": balance < 0.6}
     return {"overall": overall, "failure_modes": modes}
+
+
+# --- curves of plans ----------------------------------------------------------------------------------------------
+
+
+def equal_power(plans: DataFrame) -> DataFrame:
+    """``plans`` (shape, points, ...) with i, out_gain and in_gain of every point; shapes linear, smooth and fast."""
+    p = plans.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("points") - 1)))
+    t = F.when(F.col("points") > 1, F.col("i") / (F.col("points") - 1)).otherwise(0.0)
+    wave = F.cos(F.pi() * t)
+    out = F.when(F.col("shape") == "linear", F.sqrt(1 - t)).when(F.col("shape") == "fast", (1 - t) * (1 - t)).otherwise(F.sqrt(0.5 * (1 + wave)))
+    into = F.when(F.col("shape") == "linear", F.sqrt(t)).when(F.col("shape") == "fast", F.sqrt(F.greatest(F.lit(0.0), 1 - (1 - t) ** 4))).otherwise(F.sqrt(0.5 * (1 - wave)))
+    return p.withColumns({"out_gain": out, "in_gain": into})
+
+
+def bass_swap(plans: DataFrame, points: int) -> DataFrame:
+    """``plans`` (swap: where in the transition, ...) with i, bass_a (never under 0.1), bass_b and the high-pass of a in Hz."""
+    t, s = F.col("i") / float(points - 1), F.col("swap")
+    before = t < s
+    a = F.greatest(F.lit(0.1), F.when(before, 1 - t / s * 0.5).otherwise(0.5 * (1 - (t - s) / (1 - s))))
+    b = F.when(before, 0.3 + 0.2 * t / s).otherwise(0.5 + 0.5 * (t - s) / (1 - s))
+    return plans.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumns({"bass_a": a, "bass_b": b, "high_pass": 200 * t}).drop("swap")
+
+
+def eq_plan(conflicts: DataFrame, points: int = 11, dip: float = 0.7) -> DataFrame:
+    """``conflicts`` (conflict, owner, ...) with i, gain_a and gain_b of every point of both curves.
+
+    Under a conflict of 0.2 both cross at equal power; the owner of a band fades later than the other; where no one owns it
+    both dip around the middle.
+    """
+    t = F.col("i") / float(points - 1)
+    middle = F.when(F.abs(t - 0.5) <= 0.1, dip).otherwise(1.0)
+    calm, own = F.col("conflict") < 0.2, F.col("owner")
+    a = F.when(calm, F.sqrt(1 - t)).when(own == "A", F.sqrt(1 - t * 0.8)).when(own == "B", F.sqrt((1 - t) * 0.5)).otherwise(F.sqrt(1 - t) * middle)
+    b = F.when(calm, F.sqrt(t)).when(own == "A", F.sqrt(t) * 0.5).when(own == "B", F.least(F.lit(1.2), F.sqrt(t * 1.2))).otherwise(F.sqrt(t) * middle)
+    return conflicts.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumns({"gain_a": a, "gain_b": b})

@@ -78,7 +78,9 @@ def first_invalid(df: DataFrame, found: Column, key: str, rows: int = 10, each:
 def feature_distribution(df: DataFrame, fields: list[str]) -> DataFrame:
     """field, n, mean, std, min, max, median and the number of values over 3 population deviations off the mean."""
     long = df.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("x")) for f in fields))).alias("e")).select("e.*").where("x is not null")
-    stats = long.groupBy("field").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.percentile("x", 0.5).alias("median"))
+    stats = long.groupBy("field").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    each = long.groupBy("field", "x").agg(F.count("*").alias("times"))  # equal values are counted before one task per field sees them
+    stats = stats.join(each.groupBy("field").agg(F.percentile("x", 0.5, F.col("times")).alias("median")), "field")
     far = long.join(F.broadcast(stats.select("field", "mean", "std")), "field").groupBy("field").agg(F.count_if(F.abs(F.col("x") - F.col("mean")) > 3 * F.col("std")).alias("outliers"))  # a row per field
     return stats.join(far, "field")
 

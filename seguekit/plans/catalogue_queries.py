@@ -126,17 +126,20 @@ def k7(spark, d):
     return dims.technique_scores(contexts(spark, d)).select("pair_id", "technique", F.round("score", 6).alias("score"))
 
 
+SHORTLIST_SQL = f"""{dims.TECHNIQUES_SQL}, {CONTEXT_SQL}, {SCORE_SQL}, r AS (SELECT *, row_number() OVER w AS rank, score - lead(score) OVER w AS gap FROM (SELECT * REPLACE (round(score, 9) AS score) FROM scored) WINDOW w AS (PARTITION BY pair_id ORDER BY score DESC, idx)),
+    g AS (SELECT *, max(gap) FILTER (WHERE rank = 1) OVER (PARTITION BY pair_id) AS first_gap FROM r), k AS (SELECT * FROM g WHERE rank <= CASE WHEN first_gap > 0.4 THEN 2 ELSE 3 END)"""
+
+
 @query(
     "K8_technique_pick",
-    f"""WITH {dims.TECHNIQUES_SQL}, {CONTEXT_SQL}, {SCORE_SQL}, r AS (SELECT *, row_number() OVER w AS rank, score - lead(score) OVER w AS gap FROM (SELECT * REPLACE (round(score, 9) AS score) FROM scored) WINDOW w AS (PARTITION BY pair_id ORDER BY score DESC, idx)),
-    g AS (SELECT *, max(gap) FILTER (WHERE rank = 1) OVER (PARTITION BY pair_id) AS first_gap FROM r), k AS (SELECT * FROM g WHERE rank <= CASE WHEN first_gap > 0.4 THEN 2 ELSE 3 END)
+    f"""WITH {SHORTLIST_SQL}
     SELECT pair_id, technique, rank, round(greatest(0.01, score) / sum(greatest(0.01, score)) OVER (PARTITION BY pair_id), 6) AS weight, round(bars * 4 * 60 / tempo, 6) AS duration_sec FROM k""",
 )
 def k8(spark, d):
     return dims.technique_shortlist(dims.technique_scores(contexts(spark, d))).select("pair_id", "technique", "rank", F.round("weight", 6).alias("weight"), F.round("duration_sec", 6).alias("duration_sec"))
 
 
-@query("K8_technique_draw")
+@query("K8_technique_draw", f"WITH {SHORTLIST_SQL}, u AS (SELECT pair_id, technique, greatest(0.01, score) / sum(greatest(0.01, score)) OVER (PARTITION BY pair_id) AS weight, (('0x' || left(sha256('42-' || pair_id || '-' || technique), 10))::BIGINT + 0.5) / 1099511627776.0::DOUBLE AS u FROM k) SELECT pair_id, arg_min(technique, -ln(u) / weight) AS technique FROM u GROUP BY pair_id")
 def k8_draw(spark, d):
     return dims.weighted_draw(dims.technique_shortlist(dims.technique_scores(contexts(spark, d))), "pair_id", "technique", seed=42)
 
@@ -209,15 +212,14 @@ def g3(spark, d):
     return both.na.fill(0, ["n_a", "n_b"])
 
 
-@query("G4_stratified_split")
+SPLIT_SQL = """SELECT song_id, genre, CASE WHEN s < 0.7 THEN 'train' WHEN s < 0.85 THEN 'val' ELSE 'test' END AS split FROM (SELECT song_id, genre, (row_number() OVER (PARTITION BY genre ORDER BY sha256('42-' || song_id), song_id) - 1) / count(*) OVER (PARTITION BY genre) AS s FROM v_songs)"""
+
+
+@query("G4_stratified_split", SPLIT_SQL)
 def g4(spark, d):
     return dims.stratified_split(V.songs(spark, d), "song_id", "genre", seed=42).select("song_id", "genre", "split")
 
 
-@query(
-    "G5_split_report",
-    "SELECT split, genre, count(*) AS n FROM (SELECT genre, CASE WHEN song_id % 20 < 14 THEN 'train' WHEN song_id % 20 < 17 THEN 'val' ELSE 'test' END AS split FROM v_songs) GROUP BY split, genre",
-)
+@query("G5_split_report", f"SELECT split, genre, count(*) AS n FROM ({SPLIT_SQL}) GROUP BY split, genre")
 def g5(spark, d):
-    split = F.when(F.col("song_id") % 20 < 14, "train").when(F.col("song_id") % 20 < 17, "val").otherwise("test")
-    return V.songs(spark, d).withColumn("split", split).groupBy("split", "genre").agg(F.count("*").alias("n"))
+    return dims.stratified_split(V.songs(spark, d), "song_id", "genre", seed=42).groupBy("split", "genre").agg(F.count("*").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seguekit.functions import harmony as H
+from seguekit.operators import ranks as R
 from seguekit.operators import validation as VA
 from seguekit.plans import dims
 from seguekit.plans import views as V
@@ -218,18 +219,11 @@ def leaderboard(trials):
     return trials.groupBy("technique").agg(F.max("quality_score").alias("best"), F.avg("quality_score").alias("mean"), F.stddev_pop("quality_score").alias("std"), F.min("quality_score").alias("least"), F.count("*").alias("trials"))
 
 
-@query("A21_pareto", "WITH l AS (SELECT mix_id % 200 AS technique, max(quality_score) AS best, avg(quality_score) AS mean FROM v_transitions GROUP BY 1) SELECT technique FROM l WHERE NOT EXISTS (SELECT 1 FROM l o WHERE o.best > l.best AND o.mean >= l.mean)")
+@query("A21_pareto", "WITH l AS (SELECT mix_id, max(quality_score) AS best, avg(quality_score) AS mean FROM v_transitions GROUP BY 1) SELECT mix_id, best FROM l WHERE NOT EXISTS (SELECT 1 FROM l o WHERE o.best > l.best AND o.mean >= l.mean)")
 def a21p(spark, d):
-    """No other is better at its best and as good on average; by a running maximum over bests, not by comparing pairs."""
-    board = V.transitions(spark, d).withColumn("technique", F.col("mix_id") % 200).transform(leaderboard)
-    return pareto(board).select("technique")
-
-
-def pareto(board):
-    per_best = board.groupBy("best").agg(F.max("mean").alias("top"))
-    above = Window.orderBy(F.desc("best")).rowsBetween(Window.unboundedPreceding, -1)  # one row per different best
-    bars = per_best.withColumn("bar", F.max("top").over(above)).select("best", "bar")
-    return board.join(bars, "best").where(F.col("bar").isNull() | (F.col("mean") > F.col("bar")))
+    """No other mix is better at its best and as good on average."""
+    board = V.transitions(spark, d).groupBy("mix_id").agg(F.max("quality_score").alias("best"), F.avg("quality_score").alias("mean"))
+    return R.pareto(board).select("mix_id", "best")
 
 
 @query("A22_ensemble", "SELECT mix_id, round(avg(quality_score), 6) AS mean, round(stddev_pop(quality_score), 6) AS std, round(1 - stddev_pop(quality_score), 6) AS confidence, bool_and(quality_score > 0.5) AS consensus FROM v_transitions GROUP BY mix_id")

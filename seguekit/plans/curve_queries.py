@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from seguekit.operators import spectra as SP
+from seguekit.operators import training as T
 from seguekit.plans import views as V
 from seguekit.plans.registry import query
+from seguekit.plans.spectra_queries import CONFLICT_SQL, epairs
 
 r6 = lambda c: F.round(c, 6)
 
@@ -67,9 +70,13 @@ def multi_stage_curve(stages, key, points):
     return s.select(key, "stage", "i", F.greatest(F.lit(0.0), F.least(F.lit(1.0), gain)).alias("gain"))
 
 
-@query("F43_eq_plans", "WITH b AS (SELECT track_id, bin // 16 AS band, avg(mag) AS m FROM v_spectrum GROUP BY ALL), t AS (SELECT *, m / max(m) OVER (PARTITION BY track_id) AS c FROM b) SELECT track_id, band, i, round(1 - CASE WHEN c > 0.8 THEN 0.5 ELSE 0.2 END * i / 4.0, 6) AS gain FROM t, (SELECT CAST(unnest(range(5)) AS INT) AS i)")
+@query(
+    "F43_eq_plans",
+    f"""WITH {CONFLICT_SQL}, t AS (SELECT pair_id, band, conflict, CASE WHEN a > 1.2 * b THEN 'A' WHEN b > 1.2 * a THEN 'B' ELSE 'shared' END AS owner, i, i / 10.0::DOUBLE AS t FROM cf, (SELECT CAST(unnest(range(11)) AS INT) AS i))
+    SELECT pair_id, band, i, owner, CASE WHEN conflict < 0.2 THEN sqrt(1 - t) WHEN owner = 'A' THEN sqrt(1 - t * 0.8) WHEN owner = 'B' THEN sqrt((1 - t) * 0.5) ELSE sqrt(1 - t) * CASE WHEN abs(t - 0.5) <= 0.1 THEN 0.7 ELSE 1 END END AS gain_a,
+    CASE WHEN conflict < 0.2 THEN sqrt(t) WHEN owner = 'A' THEN sqrt(t) * 0.5 WHEN owner = 'B' THEN least(1.2, sqrt(t * 1.2)) ELSE sqrt(t) * CASE WHEN abs(t - 0.5) <= 0.1 THEN 0.7 ELSE 1 END END AS gain_b FROM t""",
+)
 def f43(spark, d):
-    """Cut of every band over time, deeper where it is loud."""
-    b = V.spectrum(spark, d).groupBy("track_id", F.floor(F.col("bin") / 16).alias("band")).agg(F.avg("mag").alias("m"))
-    t = b.withColumn("c", F.try_divide(F.col("m"), F.max("m").over(Window.partitionBy("track_id")))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    return t.select("track_id", "band", "i", r6(1 - F.when(F.col("c") > 0.8, 0.5).otherwise(0.2) * F.col("i") / 4.0).alias("gain"))
+    """Curves of every band of every pair by its conflict and owner."""
+    n = SP.band_negotiation(V.spectrum(spark, d), epairs(spark, d))
+    return T.eq_plan(n.select("pair_id", "band", "conflict", "owner")).select("pair_id", "band", "i", "owner", "gain_a", "gain_b")
\ No newline at end of file

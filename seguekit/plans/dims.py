@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seguekit.operators.ranks import bucketed_rank
+
 from seguekit.functions.scoring import energy_direction, queue_score
 
 #: Technique, bars, energy direction, harmonic requirement, preferred sections.
@@ -134,7 +136,7 @@ def technique_shortlist(scores: DataFrame) -> DataFrame:
 
 def weighted_draw(options: DataFrame, key: str, option: str, seed: int) -> DataFrame:
     """One option per key, drawn by weight: the least -ln(u) / weight, with u from a hash, so any partitioning agrees."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), key, option), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    u = (F.conv(F.left(seeded_hash(seed, F.col(key), F.col(option)), F.lit(10)), 16, 10).cast("long") + 0.5) / float(1 << 40)
     return options.groupBy(key).agg(F.min_by(option, F.struct(-F.log(u) / F.col("weight"), F.col(option))).alias(option))
 
 
@@ -171,16 +173,25 @@ def order_playlists(songs: DataFrame, most: int = 5) -> DataFrame:
 def merge_sources(sources: list[DataFrame], defaults: dict) -> DataFrame:
     """Union by name with defaults for what a source lacks, and ids name_NN by source."""
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
-    n = F.row_number().over(Window.partitionBy("source").orderBy("k")).cast("string")
+    ranked = bucketed_rank(both, ["source"], F.floor(F.col("k") / 100_000), ["k"], "__n")
+    n = F.col("__n").cast("string")
     padded = F.when(F.length(n) < 2, F.concat(F.lit("0"), n)).otherwise(n)
-    return both.na.fill(defaults).withColumn("id", F.concat_ws("_", F.replace(F.lower("source"), F.lit(" "), F.lit("_")), padded))
+    return ranked.na.fill(defaults).withColumn("id", F.concat_ws("_", F.replace(F.lower("source"), F.lit(" "), F.lit("_")), padded)).drop("__n")
 
 
 def stratified_split(df: DataFrame, key: str, stratum: str, seed: int, cuts: tuple[float, float] = (0.7, 0.85)) -> DataFrame:
     """train / val / test with exact shares in every stratum, by the rank of a seeded hash."""
-    w = Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), key), key)
-    share = (F.row_number().over(w) - 1) / F.count("*").over(Window.partitionBy(stratum))
-    return df.withColumn("split", F.when(share < cuts[0], "train").when(share < cuts[1], "val").otherwise("test"))
+    drawn = df.withColumn("__h", seeded_hash(seed, F.col(key)))
+    ranked = bucketed_rank(drawn, [stratum], F.left("__h", F.lit(3)), ["__h", key], "__r")
+    n = df.groupBy(F.col(stratum).alias("__s")).agg(F.count("*").alias("__n"))
+    share = (F.col("__r") - 1) / F.col("__n")
+    split = F.when(share < cuts[0], "train").when(share < cuts[1], "val").otherwise("test")
+    return ranked.join(n, F.equal_null(F.col(stratum), F.col("__s"))).withColumn("split", split).select(*df.columns, "split")
+
+
+def seeded_hash(seed: int, *keys: Column) -> Column:
+    """Hex digits that only depend on the seed and the keys; SHA-256, so other engines can check them."""
+    return F.sha2(F.concat_ws("-", F.lit(str(seed)), *keys), 256)
 
 
 def technique_pairs(spark) -> DataFrame:

@@ -224,11 +224,19 @@ def f31(spark, d):
     return p.select("pair_id", labels["overall"].alias("overall"), modes["beat_mismatch"].alias("beat_mismatch"), modes["harmonic_clash"].alias("clash"), modes["vocal_overlap"].alias("vocal_overlap"), modes["energy_drop"].alias("energy_drop"), modes["spectral_mud"].alias("spectral_mud"))
 
 
-@query("F36_fade_curves", "SELECT pair_id, i, round(cos(i / 15.0 * pi() / 2), 6) AS out_gain, round(sin(i / 15.0 * pi() / 2), 6) AS in_gain FROM v_pairs, (SELECT CAST(unnest(range(16)) AS INT) AS i)")
+FADE_SQL = "fd AS (SELECT pair_id, CASE WHEN abs(bpm_a - bpm_b) < 8 THEN 'smooth' WHEN abs(bpm_a - bpm_b) < 20 THEN 'linear' ELSE 'fast' END AS shape, 8 + CAST(duration_a AS INT) // 5 % 9 AS points FROM v_pairs), fp AS (SELECT *, CAST(unnest(range(points)) AS INT) AS i FROM fd), ft AS (SELECT *, i / (points - 1) AS t FROM fp)"
+
+
+@query(
+    "F36_fade_curves",
+    f"""WITH {FADE_SQL} SELECT pair_id, shape, i, CASE shape WHEN 'linear' THEN sqrt(1 - t) WHEN 'smooth' THEN sqrt(0.5 * (1 + cos(pi() * t))) ELSE (1 - t) * (1 - t) END AS out_gain,
+    CASE shape WHEN 'linear' THEN sqrt(t) WHEN 'smooth' THEN sqrt(0.5 * (1 - cos(pi() * t))) ELSE sqrt(greatest(0, 1 - pow(1 - t, 4))) END AS in_gain FROM ft""",
+)
 def f36(spark, d):
-    """Equal-power fades of 16 points for every plan."""
-    t = F.col("i") / 15.0 * F.pi() / 2
-    return V.pairs(spark, d).select("pair_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("i")).select("pair_id", "i", r6(F.cos(t)).alias("out_gain"), r6(F.sin(t)).alias("in_gain"))
+    """Equal-power fades by the shape and the number of points of each plan: the farther the tempos, the faster."""
+    off = F.abs(F.col("bpm_a") - F.col("bpm_b"))
+    plan = V.pairs(spark, d).select("pair_id", F.when(off < 8, "smooth").when(off < 20, "linear").otherwise("fast").alias("shape"), (8 + F.floor(F.col("duration_a").cast("int") / 5).cast("int") % 9).alias("points"))
+    return T.equal_power(plan).select("pair_id", "shape", "i", "out_gain", "in_gain")
 
 
 @query("F37_curve_resample", "WITH c AS (SELECT mix_id, bar_idx, features AS v FROM v_bars), p AS (SELECT *, i * 28 / 9.0 AS x FROM c, (SELECT CAST(unnest(range(10)) AS INT) AS i)) SELECT mix_id, bar_idx, i, round(v[CAST(floor(x) AS INT) + 1] + (v[least(CAST(floor(x) AS INT) + 2, 29)] - v[CAST(floor(x) AS INT) + 1]) * (x - floor(x)), 6) AS v FROM p")
@@ -241,11 +249,15 @@ def f37(spark, d):
     return p.select("mix_id", "bar_idx", "i", r6(a + (b - a) * (x - lo)).alias("v"))
 
 
-@query("F42_bass_swap_curves", "SELECT pair_id, i, round(CASE WHEN i / 20.0 < 0.5 THEN 1 - 0.9 * (i / 20.0) / 0.5 ELSE 0.1 END, 6) AS bass_a, round(CASE WHEN i / 20.0 < 0.5 THEN 0 ELSE (i / 20.0 - 0.5) / 0.5 END, 6) AS bass_b, 200.0 * i / 20 AS high_pass FROM v_pairs, (SELECT CAST(unnest(range(21)) AS INT) AS i)")
+@query(
+    "F42_bass_swap_curves",
+    """WITH p AS (SELECT pair_id, least(0.8, greatest(0.2, energy_a / nullif(energy_a + energy_b, 0)))::DOUBLE AS s, i, i / 20.0::DOUBLE AS t FROM v_pairs, (SELECT CAST(unnest(range(21)) AS INT) AS i))
+    SELECT pair_id, i, greatest(0.1, CASE WHEN t < s THEN 1 - t / s * 0.5 ELSE 0.5 * (1 - (t - s) / (1 - s)) END) AS bass_a, CASE WHEN t < s THEN 0.3 + 0.2 * t / s ELSE 0.5 + 0.5 * (t - s) / (1 - s) END AS bass_b, 200 * t AS high_pass FROM p""",
+)
 def f42(spark, d):
-    t = F.col("i") / 20.0
-    c = V.pairs(spark, d).select("pair_id", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("i"))
-    return c.select("pair_id", "i", r6(F.when(t < 0.5, 1 - 0.9 * t / 0.5).otherwise(0.1)).alias("bass_a"), r6(F.when(t < 0.5, 0.0).otherwise((t - 0.5) / 0.5)).alias("bass_b"), (200.0 * F.col("i") / 20).alias("high_pass"))
+    """The bass goes over where the outgoing track's share of the energy lies."""
+    share = F.least(F.lit(0.8), F.greatest(F.lit(0.2), F.try_divide(F.col("energy_a"), F.col("energy_a") + F.col("energy_b"))))
+    return T.bass_swap(V.pairs(spark, d).select("pair_id", share.cast("double").alias("swap")), 21)
 
 
 @query("A27_harmonic_tension", "WITH p AS (SELECT label, CASE WHEN track_id % 3 = 0 THEN 'before' WHEN track_id % 3 = 1 THEN 'during' ELSE 'after' END AS phase, pc, avg(value) AS v FROM v_chroma GROUP BY ALL), c AS (SELECT a.label, b.phase, sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)) AS c FROM p a JOIN p b ON a.label = b.label AND a.pc = b.pc AND a.phase = 'during' AND b.phase <> 'during' GROUP BY ALL) SELECT label, round(1 - max(c), 6) AS tension FROM c GROUP BY label")

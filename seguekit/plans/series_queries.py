@@ -199,7 +199,12 @@ def w11(spark, d):
     return j.select("mix_id", "bar_idx", SE.transition_vote(F.col("novelty"), F.col("v"), F.col("change"), F.col("independence"), F.col("bar_idx")).alias("vote"), said.alias("method"), end.alias("end_bar"))
 
 
-@query("W12_min_gap")
+@query(
+    "W12_min_gap",
+    """WITH RECURSIVE e AS (SELECT track_id, t_sec * 40 AS t, rms AS c, row_number() OVER (PARTITION BY track_id ORDER BY t_sec * 40, rms) AS n FROM v_frames), s(track_id, n, t, c, k) AS (SELECT track_id, n, t, c, 0 FROM e WHERE n = 1
+    UNION ALL SELECT s.track_id, e.n, CASE WHEN e.t - s.t >= 60 OR e.c > s.c THEN e.t ELSE s.t END, CASE WHEN e.t - s.t >= 60 OR e.c > s.c THEN e.c ELSE s.c END, CASE WHEN e.t - s.t >= 60 THEN s.k + 1 ELSE s.k END FROM s JOIN e ON e.track_id = s.track_id AND e.n = s.n + 1)
+    SELECT track_id, arg_max(t, n) AS t, arg_max(c, n) AS rms FROM s GROUP BY track_id, k""",
+)
 def w12(spark, d):
     return SE.min_gap(V.frames(spark, d).withColumn("t", F.col("t_sec") * 40), "track_id", "t", "rms", 60.0)
 

@@ -170,6 +170,9 @@ def j13(spark, d):
     return SP.harmonic_resonance(V.spectrum(spark, d), epairs(spark, d))
 
 
+CONFLICT_SQL = f"{EPAIRS_SQL}, {BANDS_SQL}, cf AS (SELECT pair_id, a.band, a.share AS a, b.share AS b, 2 * least(a.share, b.share) AS conflict FROM ep JOIN be a ON a.track_id = a_id JOIN be b ON b.track_id = b_id AND b.band = a.band)"
+
+
 @query("J14_band_negotiation", f"""WITH {EPAIRS_SQL}, {BANDS_SQL}, x AS (SELECT pair_id, a.band, a.share AS a, b.share AS b FROM ep JOIN be a ON a.track_id = a_id JOIN be b ON b.track_id = b_id AND b.band = a.band), y AS (SELECT *, 2 * least(a, b) AS conflict, CASE WHEN greatest(a, b) = max(greatest(a, b)) OVER (PARTITION BY pair_id) THEN 1.5 WHEN band IN ('sub_bass', 'bass') THEN 1.3 WHEN band IN ('mid', 'low_mid') THEN 1.2 ELSE 1.0 END AS importance FROM x)
     SELECT pair_id, band, round(conflict, 6) AS conflict, importance::DOUBLE AS importance, CASE WHEN a > 1.2 * b THEN 'A' WHEN b > 1.2 * a THEN 'B' ELSE 'shared' END AS owner, conflict * importance > 0.6 AS critical FROM y""")
 def j14(spark, d):
@@ -194,8 +197,18 @@ def w29(spark, d):
     return SP.chord_changes(c, "label", 0.5)
 
 
-@query("W20_novelty_peaks")
+NOVEL_SQL = """fu AS (SELECT mix_id, bar_idx AS i, [x / (sqrt(list_dot_product(features, features)) + 1e-9) for x in features] AS u, count(*) OVER (PARTITION BY mix_id) AS n FROM v_bars), fl AS (SELECT *, least(16, n // 2) AS l FROM fu),
+    fs AS (SELECT a.mix_id, a.i, d, sum(b.u[d] * (0.5 - 0.5 * cos(2 * pi() * (b.i - a.i + a.l) / (2 * a.l - 1))) * CASE WHEN b.i < a.i THEN -1 ELSE 1 END) AS v FROM fl a JOIN fl b ON b.mix_id = a.mix_id AND b.i BETWEEN a.i - a.l AND a.i + a.l - 1, (SELECT CAST(unnest(range(1, 30)) AS INT) AS d) WHERE a.l >= 2 AND a.i >= a.l AND a.i < a.n - a.l GROUP BY ALL),
+    fn AS (SELECT mix_id, i, sum(v * v) AS raw FROM fs GROUP BY ALL)"""
+
+
+@query("W20_checkerboard_novelty", f"WITH {NOVEL_SQL} SELECT fl.mix_id, fl.i AS bar_idx, coalesce(coalesce(raw, 0) / nullif(max(raw) OVER (PARTITION BY fl.mix_id), 0), 0) AS novelty FROM fl LEFT JOIN fn USING (mix_id, i)")
+def w20_novelty(spark, d):
+    return SE.checkerboard_novelty(V.bars(spark, d), "mix_id", "bar_idx", "features")
+
+
+@query("W20_novelty_sections")
 def w20(spark, d):
-    """Peaks of the bars' largest distance to earlier bars, smoothed: section borders of a mix."""
-    n = SE.repetition_break(V.bars(spark, d)).select("mix_id", "bar_idx", "novelty")
-    return SE.find_peaks(SE.gaussian_smooth(n, "mix_id", "bar_idx", "novelty", 1.0).select("mix_id", "bar_idx", "smooth"), "mix_id", "bar_idx", "smooth", distance=4)
+    """Sections of each mix between the peaks of its novelty, low or high."""
+    b = V.bars(spark, d)
+    return SE.novelty_sections(SE.checkerboard_novelty(b, "mix_id", "bar_idx", "features"), b.select("mix_id", "bar_idx", F.col("rms").alias("energy")), "mix_id", "bar_idx")
\ No newline at end of file
