@@ -108,15 +108,19 @@ def harmonic_resonance(spectrum: DataFrame, pairs: DataFrame, first: int = 30, k
     return found.withColumn("rank", rank).where(F.col("rank") <= keep).select("pair_id", "rank", "bin_a", "bin_b", "ratio")
 
 
-def identify_tracks(segments: DataFrame, library: DataFrame, least: float = 0.7) -> DataFrame:
-    """(segment_id, track_id, similarity): the most similar library chroma over ``least``.
+def identify_tracks(segments: DataFrame, library: DataFrame, least: float = 0.7, block: int = 1_000) -> DataFrame:
+    """(segment_id, track_id, similarity): the most similar library chroma over ``least``; equal ones by the smallest id.
 
-    Segments (segment_id, chroma) meet the library in one product of bounded blocks: normalised vectors, library rows
-    broadcast only while they are few (see ``plans``); nothing is kept but the best per segment.
+    The library (lib_id, lib) is dealt into blocks of about ``block`` rows. Every segment (segment_id, chroma) meets every block
+    once, in an equi-join on the block, and keeps its best there: no product of rows is formed, and nothing is broadcast
+    by force. Both are unit vectors.
     """
-    both = segments.crossJoin(F.broadcast(library))
-    product = F.aggregate(F.zip_with("chroma", "lib", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    best = both.withColumn("similarity", F.round(product, 9)).groupBy("segment_id").agg(F.max(F.struct("similarity", (-F.col("lib_id")).alias("k"))).alias("b"))
+    blocks = max(1, -(-library.count() // block))
+    own = library.groupBy(F.pmod(F.xxhash64("lib_id"), F.lit(blocks)).cast("int").alias("__block")).agg(F.collect_list(F.struct("lib_id", "lib")).alias("__rows"))
+    met = segments.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(own, "__block")
+    product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    top = F.array_max(F.transform("__rows", lambda r: F.struct(F.round(product(F.col("chroma"), r["lib"]), 9).alias("similarity"), (-r["lib_id"]).alias("k"))))
+    best = met.select("segment_id", top.alias("b")).groupBy("segment_id").agg(F.max("b").alias("b"))
     return best.where(F.col("b.similarity") > least).select("segment_id", (-F.col("b.k")).alias("track_id"), F.col("b.similarity").alias("similarity"))
 
 
