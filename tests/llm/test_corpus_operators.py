@@ -204,7 +204,7 @@ def test_mixing_targets_and_takes(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 80))), rng.choice(["a", "b", "c", "d", "é", "z", None])) for i in range(400)]
     rows += [(1000 + i, "x " * 50, "hot") for i in range(300)] + [(5, None, "void"), (6, None, "void"), rows[0]]
-    got = mixing.mix(docs(spark, rows), mixing.MixPlan(rows_per_slice=40)).collect()
+    got = mixing.mix(docs(spark, rows), mixing.MixPlan(rows_per_slice=40, slices_per_group=3)).collect()
     sizes, size = Counter(), {}
     for i, t, s in rows:
         n = len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
