@@ -268,14 +268,17 @@ def a28(spark, d):
     return both.groupBy("pair_id").agg(r6(F.try_divide(F.sum(F.col("a") * F.col("m")), F.sqrt(F.sum(F.col("a") ** 2) * F.sum(F.col("m") ** 2)))).alias("smoothness"))
 
 
-@query("A29_eq_evidence", "WITH p AS (SELECT track_id, max(frame_idx) // 2 AS mid FROM v_frames GROUP BY 1), e AS (SELECT f.track_id, avg(rms) FILTER (WHERE frame_idx < mid) AS b, avg(rms) FILTER (WHERE frame_idx >= mid) AS a, var_pop(rms) AS v, min_by(frame_idx, (rms, frame_idx)) AS pos FROM v_frames f JOIN p USING (track_id) WHERE frame_idx BETWEEN mid - 50 AND mid + 49 GROUP BY 1) SELECT track_id, coalesce(a < 0.7 * b, FALSE) AS swap, coalesce(a > 1.3 * b, FALSE) AS low_cut, v > 0.02 AS automation, pos AS swap_idx FROM e")
+@query("A29_eq_evidence", "WITH p AS (SELECT track_id, max(frame_idx) // 2 AS half FROM v_frames GROUP BY 1), e AS (SELECT f.track_id, avg(bass) FILTER (WHERE frame_idx < half) AS bb, avg(bass) FILTER (WHERE frame_idx >= half) AS ba, avg(mid) FILTER (WHERE frame_idx < half) AS mb, avg(mid) FILTER (WHERE frame_idx >= half) AS ma, var_pop(bass) AS v, min_by(frame_idx, (bass, frame_idx)) AS pos FROM v_frames f JOIN p USING (track_id) WHERE frame_idx BETWEEN half - 50 AND half + 49 GROUP BY 1) SELECT track_id, coalesce(ba < 0.7 * bb, FALSE) AS swap, coalesce(ba > 1.3 * bb, FALSE) AS low_cut, coalesce(ma < 0.7 * mb, FALSE) AS high_cut, v > 0.02 AS automation, pos AS swap_idx FROM e")
 def a29(spark, d):
+    """What the bands do around the middle of a track: bass that drops or comes in, mids that drop, and moving bass."""
     f = V.frames(spark, d)
-    p = f.groupBy("track_id").agg(F.floor(F.max("frame_idx") / 2).alias("mid"))
-    at = F.col("frame_idx") < F.col("mid")
-    e = f.join(p, "track_id").where(F.col("frame_idx").between(F.col("mid") - 50, F.col("mid") + 49)).groupBy("track_id").agg(F.avg(F.when(at, F.col("rms"))).alias("b"), F.avg(F.when(~at, F.col("rms"))).alias("a"), F.var_pop("rms").alias("v"), F.min_by("frame_idx", F.struct("rms", "frame_idx")).alias("swap_idx"))
-    no = F.lit(False)
-    return e.select("track_id", F.coalesce(F.col("a") < 0.7 * F.col("b"), no).alias("swap"), F.coalesce(F.col("a") > 1.3 * F.col("b"), no).alias("low_cut"), (F.col("v") > 0.02).alias("automation"), "swap_idx")
+    p = f.groupBy("track_id").agg(F.floor(F.max("frame_idx") / 2).alias("half"))
+    early = F.col("frame_idx") < F.col("half")
+    mean = lambda c, cond: F.avg(F.when(cond, F.col(c)))
+    near = f.join(p, "track_id").where(F.col("frame_idx").between(F.col("half") - 50, F.col("half") + 49))
+    e = near.groupBy("track_id").agg(mean("bass", early).alias("bb"), mean("bass", ~early).alias("ba"), mean("mid", early).alias("mb"), mean("mid", ~early).alias("ma"), F.var_pop("bass").alias("v"), F.min_by("frame_idx", F.struct("bass", "frame_idx")).alias("swap_idx"))
+    held = lambda c: F.coalesce(c, F.lit(False))
+    return e.select("track_id", held(F.col("ba") < 0.7 * F.col("bb")).alias("swap"), held(F.col("ba") > 1.3 * F.col("bb")).alias("low_cut"), held(F.col("ma") < 0.7 * F.col("mb")).alias("high_cut"), (F.col("v") > 0.02).alias("automation"), "swap_idx")
 
 
 @query("A34_mix_quality", "WITH f AS (SELECT track_id, rms, abs(rms - lag(rms) OVER (PARTITION BY track_id ORDER BY frame_idx)) AS d FROM v_frames) SELECT track_id, round(0.3 * greatest(0, 1 - avg(d)) + 0.25 * (1 - stddev_pop(rms)) + 0.2 * 0.5 + 0.15 * least(1, avg(rms)) + 0.1, 6) AS score FROM f GROUP BY track_id")
