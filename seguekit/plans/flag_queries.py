@@ -260,12 +260,18 @@ def a25(spark, d):
     return epairs(spark, d).join(threshold, "a_id").join(b, ["b_id", "bin"]).groupBy("pair_id").agg(r6(F.count_if(F.col("mag") < F.col("thr")) / F.count("*")).alias("masked"))
 
 
-@query("A28_spectral_smoothness", f"WITH {EPAIRS_SQL} SELECT pair_id, round(sum(a.mag * (a.mag + b.mag) / 2) / sqrt(sum(a.mag * a.mag) * sum((a.mag + b.mag) * (a.mag + b.mag) / 4)), 6) AS smoothness FROM ep JOIN v_spectrum a ON a.track_id = a_id JOIN v_spectrum b ON b.track_id = b_id AND b.bin = a.bin GROUP BY pair_id")
+@query(
+    "A28_spectral_smoothness",
+    """WITH m AS (SELECT track_id, bin, mag, mag / nullif(max(mag) OVER (PARTITION BY track_id), 0) AS share FROM v_spectrum) SELECT d.track_id, sum(d.mag * (b.mag + a.mag) / 2) / sqrt(sum(d.mag * d.mag) * sum((b.mag + a.mag) * (b.mag + a.mag) / 4)) AS smoothness, avg(least(b.share, a.share)) AS masking
+    FROM m d JOIN m b ON b.track_id = d.track_id - 1 AND b.bin = d.bin JOIN m a ON a.track_id = d.track_id + 1 AND a.bin = d.bin GROUP BY d.track_id""",
+)
 def a28(spark, d):
-    from seguekit.operators import spectra as SP
-
-    both = SP.sides(V.spectrum(spark, d), epairs(spark, d), ["bin"], "mag").withColumn("m", (F.col("a") + F.col("b")) / 2)
-    return both.groupBy("pair_id").agg(r6(F.try_divide(F.sum(F.col("a") * F.col("m")), F.sqrt(F.sum(F.col("a") ** 2) * F.sum(F.col("m") ** 2)))).alias("smoothness"))
+    """Every spectrum against the mean of the ones before and after it, and how much those two overlap."""
+    m = V.spectrum(spark, d).select("track_id", "bin", "mag", F.try_divide(F.col("mag"), F.max("mag").over(Window.partitionBy("track_id"))).alias("share"))
+    beside = lambda x, by: m.select((F.col("track_id") + by).alias("track_id"), "bin", F.col("mag").alias(f"mag_{x}"), F.col("share").alias(f"share_{x}"))
+    near = m.join(beside("before", 1), ["track_id", "bin"]).join(beside("after", -1), ["track_id", "bin"]).withColumn("mean", (F.col("mag_before") + F.col("mag_after")) / 2)
+    cosine = F.try_divide(F.sum(F.col("mag") * F.col("mean")), F.sqrt(F.sum(F.col("mag") ** 2) * F.sum(F.col("mean") ** 2)))
+    return near.groupBy("track_id").agg(F.coalesce(cosine, F.lit(0.5)).alias("smoothness"), F.coalesce(F.avg(F.least("share_before", "share_after")), F.lit(0.0)).alias("masking"))
 
 
 @query("A29_eq_evidence", "WITH p AS (SELECT track_id, max(frame_idx) // 2 AS half FROM v_frames GROUP BY 1), e AS (SELECT f.track_id, avg(bass) FILTER (WHERE frame_idx < half) AS bb, avg(bass) FILTER (WHERE frame_idx >= half) AS ba, avg(mid) FILTER (WHERE frame_idx < half) AS mb, avg(mid) FILTER (WHERE frame_idx >= half) AS ma, var_pop(bass) AS v, min_by(frame_idx, (bass, frame_idx)) AS pos FROM v_frames f JOIN p USING (track_id) WHERE frame_idx BETWEEN half - 50 AND half + 49 GROUP BY 1) SELECT track_id, coalesce(ba < 0.7 * bb, FALSE) AS swap, coalesce(ba > 1.3 * bb, FALSE) AS low_cut, coalesce(ma < 0.7 * mb, FALSE) AS high_cut, v > 0.02 AS automation, pos AS swap_idx FROM e")

@@ -36,9 +36,10 @@ def t2(spark, d):
     return plain(L.listener_sessions(events(spark, d)))
 
 
-@query("T3_rate_violations", "SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
+@query("T3_rate_violations", "SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 30")
 def t3(spark, d):
-    return plain(L.rate_violations(events(spark, d), most=1))
+    """30 an hour, as in production; the tests have a case on either side of it."""
+    return plain(L.rate_violations(events(spark, d)))
 
 
 @query("T4_live_loudness", f"WITH b AS (SELECT user_id AS track_id, {_BUCKET.format(3)} AS start, -0.691 + 10 * log10(avg(value / 500 * value / 500) + 1e-10) AS lufs FROM events GROUP BY ALL) SELECT track_id, start, round(lufs, 6) AS lufs, round(power(10.0, greatest(least(-14 - lufs, 10), -10) / 20), 6) AS gain FROM b")

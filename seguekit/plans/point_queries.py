@@ -269,10 +269,20 @@ def a27(spark, d):
     return c.groupBy("label").agg(r6(F.coalesce(1 - F.max("c"), F.lit(0.5))).alias("tension"))
 
 
-@query("A31_crossfade_slope", "WITH f AS (SELECT track_id, frame_idx, 20 * log10(rms + 1e-6) AS db FROM v_frames), s AS (SELECT track_id, regr_slope(db, frame_idx) AS slope, count(*) AS n FROM f GROUP BY 1) SELECT track_id, round(slope, 5) AS slope, CASE WHEN n <= 10 THEN 'unknown' WHEN slope < -1 THEN 'exponential_out' WHEN slope > 1 THEN 's_curve' ELSE 'linear' END AS kind FROM s")
+@query(
+    "A31_crossfade_slope",
+    """WITH f AS (SELECT track_id, frame_idx, 20 * log10(rms + 1e-6) AS db, frame_idx < (max(frame_idx) OVER (PARTITION BY track_id)) // 2 AS early FROM v_frames), s AS (SELECT track_id, regr_slope(db, frame_idx) FILTER (WHERE early) AS b, regr_slope(db, frame_idx) FILTER (WHERE NOT early) AS a, count(*) FILTER (WHERE early) AS nb, count(*) FILTER (WHERE NOT early) AS na FROM f GROUP BY 1)
+    SELECT track_id, b AS before, a AS after, CASE WHEN nb > 10 AND na > 10 THEN CASE WHEN abs(b) < 0.1 AND abs(a) < 0.1 THEN 'cut' WHEN b < -0.2 AND a > 0.1 THEN 's_curve' WHEN b < -0.5 THEN 'exponential_out' ELSE 'linear' END ELSE 'linear' END AS kind FROM s""",
+)
 def a31(spark, d):
-    s = V.frames(spark, d).groupBy("track_id").agg(F.regr_slope(20 * F.log10(F.col("rms") + 1e-6), F.col("frame_idx")).alias("slope"), F.count("*").alias("n"))
-    return s.select("track_id", F.round("slope", 5).alias("slope"), F.when(F.col("n") <= 10, "unknown").when(F.col("slope") < -1, "exponential_out").when(F.col("slope") > 1, "s_curve").otherwise("linear").alias("kind"))
+    """Slopes of the level before and after the middle of each track."""
+    early = F.col("frame_idx") < F.floor(F.max("frame_idx").over(Window.partitionBy("track_id")) / 2)
+    f = V.frames(spark, d).select("track_id", "frame_idx", (20 * F.log10(F.col("rms") + 1e-6)).alias("db"), early.alias("early"))
+    slope = lambda c: F.regr_slope(F.when(c, F.col("db")), F.when(c, F.col("frame_idx")))
+    s = f.groupBy("track_id").agg(slope(F.col("early")).alias("before"), slope(~F.col("early")).alias("after"), F.count_if("early").alias("nb"), F.count_if(~F.col("early")).alias("na"))
+    b, a = F.col("before"), F.col("after")
+    kind = F.when((F.abs(b) < 0.1) & (F.abs(a) < 0.1), "cut").when((b < -0.2) & (a > 0.1), "s_curve").when(b < -0.5, "exponential_out").otherwise("linear")
+    return s.select("track_id", "before", "after", F.when((F.col("nb") > 10) & (F.col("na") > 10), kind).otherwise("linear").alias("kind"))
 
 
 @query("A30_bass_swap_point", "SELECT track_id, min_by(frame_idx, (rms, frame_idx)) AS at, round(min(rms) / max(rms), 6) AS depth, min(rms) < 0.7 * max(rms) AS swap FROM v_frames GROUP BY track_id HAVING max(rms) > 0")

@@ -58,14 +58,14 @@ def a17(spark, d):
     return both.groupBy("pair_id").agg(F.round(1 - 0.4 * (1 - F.greatest(F.lit(0.0), F.coalesce(F.corr("a", "b"), F.lit(0.0)))), 5).alias("match"))
 
 
-@query("A19_rhythm_motifs", "WITH c AS (SELECT a.mix_id, a.bar_idx, b.bar_idx AS hit, (SELECT corr(x, y) FROM (SELECT unnest(a.features) AS x, unnest(b.features) AS y)) AS c FROM v_bars a JOIN v_bars b ON b.mix_id = a.mix_id AND b.bar_idx BETWEEN a.bar_idx + 1 AND a.bar_idx + 4 WHERE a.bar_idx < 20) SELECT mix_id, bar_idx, min(hit) AS hit FROM c WHERE c > 0.1 GROUP BY ALL")
+@query("A19_rhythm_motifs", "WITH c AS (SELECT a.mix_id, a.bar_idx, b.bar_idx AS hit, (SELECT corr(x, y) FROM (SELECT unnest(a.features[1:4]) AS x, unnest(b.features[1:4]) AS y)) AS c FROM v_bars a JOIN v_bars b ON b.mix_id = a.mix_id AND b.bar_idx BETWEEN a.bar_idx + 1 AND a.bar_idx + 4 ) SELECT mix_id, bar_idx, min(hit) AS hit FROM c WHERE c > 0.8 GROUP BY ALL")
 def a19(spark, d):
-    """Bars whose pattern comes back within 4 bars: a banded join by exploded offsets."""
+    """Bars whose four band values come back within 4 bars: a banded join by exploded offsets."""
     b = V.bars(spark, d)
-    long = b.select("mix_id", "bar_idx", F.posexplode("features").alias("i", "x"))
-    probe = long.where("bar_idx < 20").select("mix_id", "bar_idx", "i", F.col("x").alias("px"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("k")).withColumn("hit", F.col("bar_idx") + F.col("k"))
+    long = b.select("mix_id", "bar_idx", F.posexplode(F.slice("features", 1, 4)).alias("i", "x"))
+    probe = long.select("mix_id", "bar_idx", "i", F.col("x").alias("px"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("k")).withColumn("hit", F.col("bar_idx") + F.col("k"))
     hits = probe.join(long.select("mix_id", F.col("bar_idx").alias("hit"), "i", "x"), ["mix_id", "hit", "i"]).groupBy("mix_id", "bar_idx", "hit").agg(F.corr("px", "x").alias("c"))
-    return hits.where("c > 0.1").groupBy("mix_id", "bar_idx").agg(F.min("hit").alias("hit"))
+    return hits.where("c > 0.8").groupBy("mix_id", "bar_idx").agg(F.min("hit").alias("hit"))
 
 
 @query("A23_predict_quality", f"""WITH {EPAIRS_SQL}, g AS (SELECT pair_id, coalesce(corr(a.mag, b.mag), 0) AS c, sum(least(a.mag, b.mag)) / (sum(a.mag) + sum(b.mag)) AS o, sqrt(avg(a.mag * a.mag)) AS ra, sqrt(avg(b.mag * b.mag)) AS rb FROM ep JOIN v_spectrum a ON a.track_id = a_id JOIN v_spectrum b ON b.track_id = b_id AND b.bin = a.bin GROUP BY pair_id),

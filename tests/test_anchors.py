@@ -140,3 +140,10 @@ def test_stream_equals_batch(spark, op, tmp_path):
     run = (lambda df: op(df, most=1)) if op is live.rate_violations else op
     got = live.run_once(run(live.with_event_time(stream)), op.__name__, str(tmp_path / "cp")).collect()
     assert sorted(map(str, got)) == sorted(map(str, run(live.with_event_time(batch)).collect()))
+
+
+def test_rate_violations_begin_above_thirty_in_an_hour(spark):
+    at = lambda i: f"2024-01-01 {10 + i // 60:02d}:{i % 60:02d}:00"
+    rows = [(u, at(i)) for u, n in ((1, 30), (2, 31)) for i in range(n)] + [(3, at(45 + i)) for i in range(31)]
+    df = spark.createDataFrame(rows, "user_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
+    assert [(r.user_id, r.n) for r in live.rate_violations(df).collect()] == [(2, 31)]
