@@ -346,16 +346,23 @@ def near_rows(f: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def run_links(key: np.ndarray, f: np.ndarray, near: int, few: int = 6) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) that connect, among rows of equal keys (which stand together), whatever differs in at most ``near`` bits."""
+    """(i, j) that connect, among rows of equal keys (which stand together), whatever differs in at most ``near`` bits.
+
+    Two rows that are both near an earlier one need no link of their own, so a group of near copies gives a star around its
+    first row.
+    """
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     sizes = np.diff(np.append(starts, len(key)))
     a, b = [], []
     for size in range(2, few + 1):
         first = starts[sizes == size]
-        for i, j in combinations(range(size), 2):
-            hit = np.bitwise_count(f[first + i] ^ f[first + j]).sum(axis=1) <= near
-            a.append(first[hit] + i)
-            b.append(first[hit] + j)
+        hits = {(i, j): np.bitwise_count(f[first + i] ^ f[first + j]).sum(axis=1) <= near for i, j in combinations(range(size), 2)}
+        for i, j in hits:
+            needed = hits[i, j].copy()
+            for k in range(i):
+                needed &= ~(hits[k, i] & hits[k, j])
+            a.append(first[needed] + i)
+            b.append(first[needed] + j)
     for at, size in zip(starts[sizes > few].tolist(), sizes[sizes > few].tolist(), strict=True):
         i, j, _ = near_rows(f[at : at + size], near)
         a.append(at + i)
@@ -393,7 +400,8 @@ def _candidate_links(variants: DataFrame, p: Similar) -> DataFrame:
             yield out(f, *run_links(key, f, p.near))
 
     ends = [f"{x}{n}" for x in "ab" for n in names]
-    found = variants.repartition("key").sortWithinPartitions("key").mapInArrow(run, ", ".join(f"{n} long" for n in ends))
+    # In the order of the fingerprints, the runs of a group of near copies begin with the same few of them.
+    found = variants.repartition("key").sortWithinPartitions("key", "f0").mapInArrow(run, ", ".join(f"{n} long" for n in ends))
     pairs = found.select(*(F.xxhash64(*(f"{x}{n}" for n in names)).alias(x) for x in "ab"))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

@@ -149,7 +149,7 @@ def counted(sample: DataFrame, found_in) -> DataFrame:
                     seen.update(found)
                 for _ in range(toxic):
                     hits.update(found)
-                if len(seen) > 300_000:
+                if len(seen) > 100_000:
                     yield out()
                     seen, hits = Counter(), Counter()
         yield out()
