@@ -426,12 +426,25 @@ def _similar_pairs(pairs: DataFrame, texts: DataFrame, p: Similar) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """(a, b): fewer edges with the components of ``edges``: every node hangs on its least neighbour, and edges run between those.
+
+    The members of a group of near copies have their links to the same few of them, so most edges become one.
+    """
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("p")))
+    of = lambda x: least.select(unaligned(F.col("a")).alias(f"__{x}"), F.col("p").alias(f"p{x}"))
+    lifted = edges.join(of("a"), F.col("a") == F.col("__a")).select("pa", "b").distinct()
+    lifted = lifted.join(of("b"), F.col("b") == F.col("__b")).select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+    return least.select("a", F.col("p").alias("b")).unionByName(lifted).where("a <> b").distinct()
+
+
 def similar_links(docs: DataFrame, prints: DataFrame, p: Similar = Similar()) -> DataFrame:
     """(a, b): links between values of fp that connect what candidate links of a similarity of at least ``similarity`` connect."""
     names = [f"f{w}" for w in range(p.words)]
     nodes = cut(prints.groupBy("fp", *names).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("k")))
     found = cut(_candidate_links(_block_variants(nodes, p), p))
-    parts = cut(connected_components(found))
+    parts = cut(connected_components(cut(contracted(found))))
     wanted = parts.join(nodes.select(F.col("fp").alias("__f"), "k"), F.col("node") == F.col("__f")).select("node", "k.no", F.coalesce("k.doc_id", F.lit(0)).alias("id"), F.col("k.text_hash").alias("hash"))
     held = docs.select(F.col("doc_id").isNull().alias("__no"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"), F.coalesce("text", F.lit("")).alias("text"))
     held = held.withColumn("__hash", F.xxhash64("text")).join(wanted, (F.col("__id") == F.col("id")) & (F.col("__hash") == F.col("hash")) & (F.col("__no") == F.col("no")))

@@ -181,6 +181,14 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100}
 
 
+def test_contracted_edges_have_the_same_components(spark):
+    rng = random.Random(8)
+    pairs = {(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(50)} | {(100, 101 + i) for i in range(20)} | {(101 + i, 102 + i) for i in range(19)}
+    edges = spark.createDataFrame([(min(p), max(p)) for p in pairs if p[0] != p[1]], "a long, b long").distinct()
+    whole, fewer = ({r.node: r.root for r in simhash.connected_components(e).collect()} for e in (edges, simhash.contracted(edges)))
+    assert whole == fewer and simhash.contracted(edges.limit(0)).collect() == []
+
+
 # --- mixing ------------------------------------------------------------------------------------------------------
 
 
