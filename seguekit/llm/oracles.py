@@ -32,4 +32,22 @@ hit AS (SELECT query_id, tf.doc_id, sum(CAST(floor(ln(1 + (docs - df + 0.5) / (d
     FROM q JOIN tf USING (term) JOIN size ON size.doc_id = tf.doc_id, n GROUP BY ALL)
 SELECT query_id, rank, doc_id, s / 1000000 AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM hit) WHERE rank <= 10"""
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": OP1, "op3_line_dedup": OP3, "op10_topk_search": OP10}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+# h: CRC-32 of the id's digits, bit by bit (a byte goes in, eight shifts follow). m: equal words p apart; s: stretches of them.
+OP11 = rf"""WITH a AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, {_WORDS} AS raw, coalesce(CAST(doc_id AS VARCHAR), '') AS digits FROM documents),
+b AS (SELECT *, len(raw) AS n, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten([[-1 - ascii(digits[k]), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[] for k in range(1, length(digits) + 1)])),
+    lambda c, x: CASE WHEN x < 0 THEN xor(c, -1 - x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) AS h FROM a),
+c AS (SELECT *, h // 10 AS g, CASE WHEN h % 10 = 0 AND doc_id IS NOT NULL AND n > 0 THEN (h // 10) % n END AS a0 FROM b),
+d AS MATERIALIZED (SELECT id, doc_id, n, CASE WHEN a0 IS NULL THEN raw ELSE [raw[1 + (CASE WHEN i < a0 THEN i ELSE a0 + (i - a0) % (1 + (n - a0) // (3 + g % 8)) END)] for i in range(0, n)] END AS words FROM c),
+w AS MATERIALIZED (SELECT id, n, unnest(words) AS word, unnest(range(0, n)) AS i FROM d),
+m AS (SELECT x.id, y.i - x.i AS p, x.i FROM w x JOIN w y ON x.id = y.id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT id, p, min(i) AS start, count(*) + p AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY id, p ORDER BY i) AS island FROM m) GROUP BY id, p, island),
+r AS MATERIALIZED (SELECT id, start, length, min(p) AS period FROM s WHERE length >= greatest(6, 4 * p) GROUP BY id, start, length),
+e AS (SELECT id, count(*) AS n_runs, max_by({{'start': start, 'length': length, 'period': period}}, (length, -start, -period)) AS best, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY id),
+x AS (SELECT DISTINCT id, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT w.id, string_agg(word, ' ' ORDER BY w.i) AS kept FROM w ANTI JOIN x ON x.id = w.id AND x.i = w.i GROUP BY w.id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period, 1000 * best.length // best.period AS exponent_milli,
+    sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256, n AS n_words FROM d LEFT JOIN e USING (id) LEFT JOIN k USING (id)"""
+
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1, "op3_line_dedup": OP3, "op10_topk_search": OP10, "op11_periodic_runs": OP11}
