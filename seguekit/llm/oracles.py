@@ -50,4 +50,12 @@ k AS (SELECT w.id, string_agg(word, ' ' ORDER BY w.i) AS kept FROM w ANTI JOIN x
 SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period, 1000 * best.length // best.period AS exponent_milli,
     sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256, n AS n_words FROM d LEFT JOIN e USING (id) LEFT JOIN k USING (id)"""
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": OP1, "op3_line_dedup": OP3, "op10_topk_search": OP10, "op11_periodic_runs": OP11}
+OP12 = rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, coalesce(doc_id, 9223372036854775807) AS rank, {_WORDS} AS words FROM documents),
+w AS (SELECT id, rank, i, array_to_string(words[i + 1 : i + 50], ' ') AS passage FROM (SELECT id, rank, words, unnest(range(0, len(words) - 49)) AS i FROM d WHERE len(words) >= 50)),
+f AS (SELECT id, i FROM (SELECT id, i, rank, min(rank) OVER (PARTITION BY passage) AS low FROM w) WHERE low < rank),
+x AS (SELECT DISTINCT id, unnest(range(i, i + 50)) AS i FROM f),
+g AS (SELECT id, count(*) AS n FROM x GROUP BY id),
+k AS (SELECT p.id, string_agg(word, ' ' ORDER BY p.i) AS kept FROM (SELECT id, unnest(words) AS word, unnest(range(0, len(words))) AS i FROM d) p ANTI JOIN x ON x.id = p.id AND x.i = p.i GROUP BY p.id)
+SELECT doc_id, len(words) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (id) LEFT JOIN k USING (id)"""
+
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1, "op3_line_dedup": OP3, "op10_topk_search": OP10, "op11_periodic_runs": OP11, "op12_substring_dedup": OP12}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seguekit.llm import byte_bpe, chat, line_dedup, media, mixing, periodic_runs, secret_scan, simhash, token_counts, topk_search, toxicity
+from seguekit.llm import byte_bpe, chat, line_dedup, media, mixing, periodic_runs, secret_scan, simhash, substring_dedup, token_counts, topk_search, toxicity
 from seguekit.llm.common import table
 from seguekit.llm.oracles import ORACLES
 
@@ -77,6 +77,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), order=periodic_runs.planted_order))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.drop_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_secret_scans, op3_line_dedup, op4_toxicity, op5_simhash, op6_mixing, op7_byte_bpe, op8_media, op9_token_counts, op10_topk_search, op11_periodic_runs, pipeline)
+    for f in (op1_chat_formatting, op2_secret_scans, op3_line_dedup, op4_toxicity, op5_simhash, op6_mixing, op7_byte_bpe, op8_media, op9_token_counts, op10_topk_search, op11_periodic_runs, op12_substring_dedup, pipeline)
 }
 
 
