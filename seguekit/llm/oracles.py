@@ -58,4 +58,15 @@ g AS (SELECT id, count(*) AS n FROM x GROUP BY id),
 k AS (SELECT p.id, string_agg(word, ' ' ORDER BY p.i) AS kept FROM (SELECT id, unnest(words) AS word, unnest(range(0, len(words))) AS i FROM d) p ANTI JOIN x ON x.id = p.id AND x.i = p.i GROUP BY p.id)
 SELECT doc_id, len(words) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (id) LEFT JOIN k USING (id)"""
 
-ORACLES: dict[str, str] = {"op1_chat_formatting": OP1, "op3_line_dedup": OP3, "op10_topk_search": OP10, "op11_periodic_runs": OP11, "op12_substring_dedup": OP12}
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13 = rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, {_TERMS} AS terms FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS total FROM d WHERE len(terms) > 0),
+tf AS MATERIALIZED (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(terms) AS term FROM d) GROUP BY ALL),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE item_id IS NOT NULL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY term),
+m AS (SELECT id, doc_id, 10 + (90 * len(terms) * docs) // total AS m FROM d, s WHERE len(terms) > 0 AND doc_id IS NOT NULL),
+hit AS (SELECT item_id, id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (id) GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM hit WHERE score > 0) WHERE rank <= 10"""
+
+ORACLES: dict[str, str] = {"op1_chat_formatting": OP1, "op3_line_dedup": OP3, "op10_topk_search": OP10, "op11_periodic_runs": OP11, "op12_substring_dedup": OP12, "op13_ranked_search": OP13}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seguekit.llm import byte_bpe, chat, line_dedup, media, mixing, periodic_runs, secret_scan, simhash, substring_dedup, token_counts, topk_search, toxicity
+from seguekit.llm import byte_bpe, chat, line_dedup, media, mixing, periodic_runs, ranked_search, secret_scan, simhash, substring_dedup, token_counts, topk_search, toxicity
 from seguekit.llm.common import table
 from seguekit.llm.oracles import ORACLES
 
@@ -82,6 +82,10 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,7 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_secret_scans, op3_line_dedup, op4_toxicity, op5_simhash, op6_mixing, op7_byte_bpe, op8_media, op9_token_counts, op10_topk_search, op11_periodic_runs, op12_substring_dedup, pipeline)
+    for f in (op1_chat_formatting, op2_secret_scans, op3_line_dedup, op4_toxicity, op5_simhash, op6_mixing, op7_byte_bpe, op8_media, op9_token_counts, op10_topk_search, op11_periodic_runs, op12_substring_dedup, op13_ranked_search, pipeline)
 }
 
 
