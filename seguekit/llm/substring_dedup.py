@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seguekit.llm.common import unaligned
+from seguekit.llm.common import cut, unaligned
 
 LAST_ID = (1 << 63) - 1
 #: Words of texts that are hashed at a time, and different words whose hash is remembered.
@@ -237,7 +237,7 @@ def _spans_of_hot_windows(rows: DataFrame, sent, p: Windows) -> DataFrame:
                 halves = np.frombuffer(digest, np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([*(pa.array(halves[:, i]) for i in (0, 1)), pa.array(t.ids[text]), pa.array(t.hashes[text]), pa.array(start)], names=["h0", "h1", "id", "hash", "start"])
 
-    windows = rows.mapInArrow(run, "h0 long, h1 long, id long, hash long, start long")
+    windows = cut(rows.mapInArrow(run, "h0 long, h1 long, id long, hash long, start long"))
     least = windows.groupBy("h0", "h1").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     least = least.select(unaligned(F.col("h0")).alias("__h0"), F.col("h1").alias("__h1"), "low")
     later = windows.join(least, (F.col("h0") == F.col("__h0")) & (F.col("h1") == F.col("__h1"))).where("id > low")
