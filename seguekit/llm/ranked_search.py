@@ -13,7 +13,7 @@ A pass takes queries of about ``pass_terms`` terms, whose vocabulary goes to all
 
 A query takes its lists from the heaviest term to the lightest. A document of a list that holds a heavier term was met before, so the summary's
 sum over this term and the lighter ones bounds all that is left in the block: it is skipped if, and only if, that is below the
-query's k-th best score so far. Lists end when not even the shard's maxima reach it. Lists that no query comes to are not blocked at all.
+query's k-th best score so far. Blocks go by falling bounds, so the best come early. Lists end when not even the shard's maxima reach it. Lists that no query comes to are not blocked at all.
 
 Each task answers with its k best for each query; the k best of those are the k best of all.
 
@@ -126,7 +126,7 @@ class Asked:
     def __init__(self, starts: np.ndarray, columns: np.ndarray, weights: np.ndarray, p: Search):
         self.starts, self.columns, self.weights, self.p = starts, columns, weights, p
         self.best = [(np.empty(0, np.int64), np.empty(0, np.int64))] * (len(starts) - 1)
-        self.seen = self.skipped = 0  # documents in blocks that were bounded, and of those in blocks that were skipped
+        self.seen = self.bounded = 0  # postings of the lists that were read, and of those the ones in blocks that no bound left out
 
     def read(self, shard: Shard) -> None:
         place = np.searchsorted(shard.columns, self.columns)
@@ -141,23 +141,32 @@ class Asked:
         met = np.zeros(len(shard.ids), bool)
         reach = np.cumsum((shard.tops[columns] * weights)[::-1])[::-1]
         for k, column in enumerate(columns.tolist()):
-            scores, ids = self.best[q]
-            bar = scores[-1] if len(scores) == self.p.k else 1
-            if reach[k] < bar:
+            if reach[k] < self.bar(q):
                 break
             docs, starts, summaries = shard.blocks(column)
-            live = summaries[:, columns[k:] - column].astype(np.int64) @ weights[k:] >= bar
-            sizes = np.diff(np.append(starts, len(docs)))
-            open_docs = docs[np.repeat(live, sizes)]
-            self.seen, self.skipped = self.seen + len(docs), self.skipped + len(docs) - len(open_docs)
-            open_docs = open_docs[~met[open_docs]]
-            met[open_docs] = True
-            s = shard.impacts[open_docs[:, None], columns].astype(np.int64) @ weights
-            good = s >= bar
-            if good.any():
-                s, d = np.concatenate((scores, s[good])), np.concatenate((ids, shard.ids[open_docs[good]]))
-                order = np.lexsort((d, -s))[: self.p.k]
-                self.best[q] = s[order], d[order]
+            bounds = summaries[:, columns[k:] - column].astype(np.int64) @ weights[k:]
+            order, ends, at = np.argsort(-bounds, kind="stable"), np.append(starts[1:], len(docs)), 0
+            while at < len(order) and bounds[order[at]] >= self.bar(q):  # the most promising blocks first, twice as many at a time
+                own = order[at : 2 * at + 4]
+                own = own[bounds[own] >= self.bar(q)]
+                at += len(own)
+                found = np.concatenate([docs[starts[x] : ends[x]] for x in own.tolist()])
+                self.bounded += len(found)
+                found = found[~met[found]]
+                met[found] = True
+                self._take(q, shard.impacts[found[:, None], columns].astype(np.int64) @ weights, shard.ids[found])
+            self.seen += len(docs)
+
+    def bar(self, q: int) -> int:
+        scores = self.best[q][0]
+        return scores[-1] if len(scores) == self.p.k else 1
+
+    def _take(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        good = scores >= self.bar(q)
+        if good.any():
+            s, d = np.concatenate((self.best[q][0], scores[good])), np.concatenate((self.best[q][1], ids[good]))
+            order = np.lexsort((d, -s))[: self.p.k]
+            self.best[q] = s[order], d[order]
 
 
 def _shards(batches: Iterator[pa.RecordBatch], place: np.ndarray, weights: np.ndarray, n_docs: int, n_terms: int, p: Search) -> Iterator[Shard]:

@@ -433,7 +433,7 @@ def test_search_empty(spark):
 
 # --- all registered queries --------------------------------------------------------------------------------------
 
-CLASHES = ["score", "size", "taken", "target", "position", "fp", "text_hash", "component_id", "key", "node", "media", "feature", "n_tokens", "tokens", "terms", "rank", "query_id", "host", "lines_total", "lines_dropped", "base", "spans", "found", "toxic", "predicted", "held_out", "n"]
+CLASHES = ["score", "size", "taken", "target", "position", "fp", "text_hash", "component_id", "key", "node", "media", "feature", "n_tokens", "tokens", "terms", "rank", "query_id", "host", "lines_total", "lines_dropped", "base", "spans", "found", "toxic", "predicted", "held_out", "n", "id", "hash", "start", "end", "runs", "collapsed", "counts", "item_id", "term"]
 
 
 @pytest.fixture(scope="module")
@@ -451,6 +451,7 @@ def odd_tables(spark, tmp_path_factory):
         for name, df in {
             "documents": docs(spark, rows), "pages": spark.createDataFrame(pages, "page_id long, url string, html string"), "labels": spark.createDataFrame(labels, "doc_id long, quality long, toxic long"),
             "conversations": spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"),
+            "benchmark": spark.createDataFrame([(1, "red blue"), (1, "Long,red"), (2, ""), (3, None), (None, "red")], "item_id long, text string"),
         }.items():
             more = {c: F.lit(f"own {c}") for c in CLASHES if c not in df.columns} if extra else {}
             df.withColumns(more).write.parquet(f"{sf}/{name}.parquet")
@@ -468,7 +469,7 @@ def test_queries_ignore_other_columns_and_stand_odd_rows(spark, odd_tables, name
 
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES if n.startswith("op")])
 def test_queries_stand_empty_tables(spark, odd_tables, name, tmp_path):
-    for t in ("documents", "pages", "labels", "conversations"):
+    for t in ("documents", "pages", "labels", "conversations", "benchmark"):
         spark.read.parquet(f"{odd_tables[0]}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == (1 if name.startswith("op1_") else 0)
 
