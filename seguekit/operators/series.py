@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seguekit.operators.blocks import split_peaks
+
 
 def ordered(key: str, at: str):
     return Window.partitionBy(key).orderBy(at)
@@ -36,24 +38,6 @@ def moving_average(value: str, key: str, at: str, size: int) -> Column:
     return F.sum(value).over(ordered(key, at).rowsBetween(-(size // 2), (size - 1) // 2)) / size
 
 
-def gaussian_smooth(series: DataFrame, key: str, at: str, value: str, sigma: float) -> DataFrame:
-    """``series`` with ``smooth``: kernel of radius int(4 sigma + 0.5), edges mirrored with the edge sample repeated.
-
-    Each row goes to the places its kernel reaches (a bounded number), mirrored places add up, one sum per place.
-    """
-    radius = int(4 * sigma + 0.5)
-    weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
-    kernel = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(w / sum(weights)).alias("w")) for k, w in zip(range(-radius, radius + 1), weights, strict=True)))
-    n = F.count("*").over(Window.partitionBy(key))
-    rows = series.withColumn("__n", n)
-    # Place p takes x[mirror(p + k)]: for every p, look up the mirrored source.
-    reach = rows.select(key, at, "__n", F.explode(kernel).alias("e")).select(key, F.col(at).alias("__place"), F.col("e.w").alias("__w"), F.pmod(F.col(at) + F.col("e.k"), 2 * F.col("__n")).alias("__m"), "__n")
-    source = F.when(F.col("__m") >= F.col("__n"), 2 * F.col("__n") - 1 - F.col("__m")).otherwise(F.col("__m"))
-    values = series.select(F.col(key).alias("__key"), F.col(at).alias("__at"), F.col(value).alias("__x"))
-    summed = reach.withColumn("__from", source).join(values, (F.col(key) == F.col("__key")) & (F.col("__from") == F.col("__at"))).groupBy(key, "__place").agg(F.sum(F.col("__w") * F.col("__x")).alias("smooth"))
-    return series.join(summed.withColumnRenamed("__place", at), [key, at])
-
-
 def peaks(values: np.ndarray, height: float | None = None, distance: int = 1, prominence: float | None = None) -> np.ndarray:
     """Indices of local maxima: plateaus count at their middle, then height, then distance (highest first), then prominence."""
     x, n, found, i = np.asarray(values, float), len(values), [], 1
@@ -92,17 +76,6 @@ def _prominence(x: np.ndarray, p: int) -> float:
     return float(x[p] - max(a, b))
 
 
-def find_peaks(series: DataFrame, key: str, at: str, value: str, height: float | None = None, distance: int = 1, prominence: float | None = None) -> DataFrame:
-    """(key, at, value) of the peaks of each series. Distance suppression depends on order, so each series is one group."""
-    kinds = dict(series.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(at)
-        return pdf.iloc[peaks(pdf[value].to_numpy(), height, distance, prominence)][[key, at, value]]
-
-    return series.select(key, at, value).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {at} {kinds[at]}, {value} {kinds[value]}")
-
-
 def min_gap(events: DataFrame, key: str, at: str, confidence: str, gap: float = 60.0) -> DataFrame:
     """Keep an event if it is ``gap`` after the last kept one, else let it replace that one if it is more confident."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(at).cast("double").alias("t"), F.col(confidence).cast("double").alias("c"))))
@@ -203,7 +176,7 @@ def novelty_sections(novelty: DataFrame, energy: DataFrame, key: str, at: str, b
     A peak over 0.4 bar off the nearest downbeat is no border; sections under a bar are left out; a section is high if its
     mean energy at downbeats is at least the series' median there. A series without a border is one section.
     """
-    p = find_peaks(novelty, key, at, "novelty", height, distance)
+    p = split_peaks(novelty, key, at, "novelty", height, distance)
     snap = F.round(F.col(at) / bar) * bar
     borders = p.where(F.abs(snap - F.col(at)) <= 0.4 * bar).select(key, snap.cast("long").alias("start_idx"))
     ends = energy.groupBy(key).agg((F.max(at) + 1).alias("__end"))

@@ -216,13 +216,6 @@ def safe_points(spark, d):
     return SE.safe_points(vocal_frames(spark, d), "track_id", "frame_idx", "voice", 0.25)
 
 
-@query("W31_energy_segments", "SELECT track_id, k, min(t_sec) AS start_sec, max(t_sec) AS end_sec, round(avg(rms), 6) AS energy FROM (SELECT *, ntile(4) OVER (PARTITION BY track_id ORDER BY frame_idx) AS k FROM v_frames) GROUP BY ALL")
-def w31(spark, d):
-    """Equal division into four: what a track without enough peaks gets."""
-    k = F.ntile(4).over(SE.ordered("track_id", "frame_idx"))
-    return V.frames(spark, d).withColumn("k", k).groupBy("track_id", "k").agg(F.min("t_sec").alias("start_sec"), F.max("t_sec").alias("end_sec"), r6(F.avg("rms")).alias("energy"))
-
-
 _PLACE = [(j * 3 / 15, min(int(j * 3 / 15), 2)) for j in range(16)]
 _P16 = "[" + ", ".join(f"x[{lo + 1}] + (x[{lo + 2}] - x[{lo + 1}]) * {at - lo}" for at, lo in _PLACE) + "]"
 _MEAN = lambda js: "(" + " + ".join(f"p[{j + 1}]" for j in js) + f") / {len(js)}"

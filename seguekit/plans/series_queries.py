@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seguekit.operators import asof as AO
+from seguekit.operators import blocks as BL
 from seguekit.operators import series as SE
 from seguekit.plans import views as V
 from seguekit.plans.registry import query
@@ -143,12 +144,7 @@ GAUSS_SQL = """k AS (SELECT k, exp(-0.5 * k * k) / sum(exp(-0.5 * k * k)) OVER (
 
 @query("W5_smooth_gaussian", f"WITH {GAUSS_SQL.format(value='rms', table='v_bars')} SELECT mix_id, bar_idx, round(smooth, 6) AS smooth FROM g")
 def w5g(spark, d):
-    return SE.gaussian_smooth(V.bars(spark, d).select("mix_id", "bar_idx", "rms"), "mix_id", "bar_idx", "rms", 1.0).select("mix_id", "bar_idx", r6("smooth").alias("smooth"))
-
-
-@query("W6_find_peaks")
-def w6(spark, d):
-    return SE.find_peaks(V.frames(spark, d), "track_id", "frame_idx", "rms", height=0.1, distance=3, prominence=0.05)
+    return BL.gaussian_smooth(V.bars(spark, d).select("mix_id", "bar_idx", "rms"), "mix_id", "bar_idx", "rms", 1.0).select("mix_id", "bar_idx", r6("smooth").alias("smooth"))
 
 
 _CD = "coalesce(CASE WHEN {p} IS NULL OR list_dot_product({p}, {p}) = 0 OR list_dot_product(features, features) = 0 THEN 0 ELSE 1 - list_dot_product(features, {p}) / sqrt(list_dot_product({p}, {p}) * list_dot_product(features, features)) END, 0)"
@@ -158,7 +154,7 @@ NOVELTY_SQL = f"nov AS (SELECT mix_id, bar_idx, greatest({_CD.format(p='f4')}, {
 @query("W7_repetition_break", f"WITH {NOVELTY_SQL}, {GAUSS_SQL.format(value='novelty', table='nov')} SELECT mix_id, bar_idx, round((smooth - min(smooth) OVER w) / (max(smooth) OVER w - min(smooth) OVER w), 5) AS score FROM g WINDOW w AS (PARTITION BY mix_id)")
 def w7(spark, d):
     n = SE.repetition_break(V.bars(spark, d)).select("mix_id", "bar_idx", "novelty")
-    s = SE.gaussian_smooth(n, "mix_id", "bar_idx", "novelty", 1.0)
+    s = BL.gaussian_smooth(n, "mix_id", "bar_idx", "novelty", 1.0)
     return s.select("mix_id", "bar_idx", F.round(SE.min_max("smooth", "mix_id"), 5).alias("score"))
 
 
@@ -189,12 +185,12 @@ def w10(spark, d):
     return SE.band_independence(V.bars(spark, d)).withColumn("independence", F.round("independence", 5))
 
 
-@query("W11_transition_vote", f"WITH {NOVELTY_SQL}, {COMPLEX_SQL}, {VOCAL_SQL}, {INDEP_SQL}, v AS (SELECT mix_id, bar_idx, coalesce(least(1, avg(z) / 3), 0) AS v FROM z GROUP BY ALL), c AS (SELECT mix_id, bar_idx, coalesce(rise / nullif(max(rise) OVER (PARTITION BY mix_id), 0), 0) AS c FROM rise) SELECT mix_id, bar_idx, (2 * novelty + 2 * v + 1.5 * c + d) / 6.5 * CASE bar_idx % 8 WHEN 0 THEN 1.3 WHEN 4 THEN 1.1 ELSE 1.0 END AS vote, concat_ws('+', CASE WHEN novelty > 0.5 THEN 'repetition' END, CASE WHEN v > 0.5 THEN 'vocal' END, CASE WHEN c > 0.5 THEN 'complexity' END, CASE WHEN d > 0.5 THEN 'band' END) AS method, least(bar_idx + 4, max(bar_idx) OVER (PARTITION BY mix_id)) AS end_bar FROM nov JOIN v USING (mix_id, bar_idx) JOIN c USING (mix_id, bar_idx) JOIN ind USING (mix_id, bar_idx)")
+@query("W11_transition_vote", f"WITH {NOVELTY_SQL}, {COMPLEX_SQL}, {VOCAL_SQL}, {INDEP_SQL}, v AS (SELECT mix_id, bar_idx, coalesce(least(1, avg(z) / 3), 0) AS v FROM z GROUP BY ALL), c AS (SELECT mix_id, bar_idx, coalesce(rise / nullif(max(rise) OVER (PARTITION BY mix_id), 0), 0) AS c FROM rise) SELECT mix_id, bar_idx, (2 * novelty + 2 * v + 1.5 * c + d) / 6.5 * CASE bar_idx % 8 WHEN 0 THEN 1.3 WHEN 4 THEN 1.1 ELSE 1.0 END AS vote, concat_ws('+', CASE WHEN novelty > 0.2 THEN 'repetition' END, CASE WHEN v > 0.2 THEN 'vocal' END, CASE WHEN c > 0.2 THEN 'complexity' END, CASE WHEN d > 0.2 THEN 'band' END) AS method, least(bar_idx + 4, max(bar_idx) OVER (PARTITION BY mix_id)) AS end_bar FROM nov JOIN v USING (mix_id, bar_idx) JOIN c USING (mix_id, bar_idx) JOIN ind USING (mix_id, bar_idx)")
 def w11(spark, d):
     b = V.bars(spark, d)
     rep, voc, cplx = SE.repetition_break(b).select("mix_id", "bar_idx", "novelty"), SE.vocal_novelty(b).withColumnRenamed("novelty", "v"), SE.complexity_change(b).select("mix_id", "bar_idx", "change")
     j = rep.join(voc, ["mix_id", "bar_idx"]).join(cplx, ["mix_id", "bar_idx"]).join(SE.band_independence(b), ["mix_id", "bar_idx"])
-    said = F.concat_ws("+", *(F.when(F.col(c) > 0.5, name) for c, name in (("novelty", "repetition"), ("v", "vocal"), ("change", "complexity"), ("independence", "band"))))
+    said = F.concat_ws("+", *(F.when(F.col(c) > 0.2, name) for c, name in (("novelty", "repetition"), ("v", "vocal"), ("change", "complexity"), ("independence", "band"))))
     end = F.least(F.col("bar_idx") + 4, F.max("bar_idx").over(Window.partitionBy("mix_id")))  # votes that are peaks span four bars
     return j.select("mix_id", "bar_idx", SE.transition_vote(F.col("novelty"), F.col("v"), F.col("change"), F.col("independence"), F.col("bar_idx")).alias("vote"), said.alias("method"), end.alias("end_bar"))
 
@@ -209,13 +205,6 @@ def w12(spark, d):
     return SE.min_gap(V.frames(spark, d).withColumn("t", F.col("t_sec") * 40), "track_id", "t", "rms", 60.0)
 
 
-@query("W13_fallback_change", "SELECT track_id, frame_idx, round(abs(lead(rms) OVER w - lag(rms) OVER w) / 2, 6) AS change FROM v_frames WINDOW w AS (PARTITION BY track_id ORDER BY frame_idx)")
-def w13(spark, d):
-    """Central difference of the energy; smoothing and peaks are W5 and W6."""
-    w = SE.ordered("track_id", "frame_idx")
-    return V.frames(spark, d).select("track_id", "frame_idx", r6(F.abs(F.lead("rms").over(w) - F.lag("rms").over(w)) / 2).alias("change"))
-
-
 TRANS_SQL = "tr AS (SELECT mix_id, row_number() OVER (PARTITION BY mix_id ORDER BY transition_id) * 200.0 AS start_sec, row_number() OVER (PARTITION BY mix_id ORDER BY transition_id) * 200.0 + 16 AS end_sec FROM v_transitions)"
 
 
@@ -304,12 +293,6 @@ def w32(spark, d):
     return w.groupBy("track_id").agg(F.count("*").alias("windows"), r6(F.stddev_pop("tempo")).alias("stability"))
 
 
-@query("A9_energy_stats", "SELECT track_id, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(quantile_cont(x, 0.1), 6) AS p10, round(quantile_cont(x, 0.9), 6) AS p90 FROM (SELECT track_id, CASE WHEN max(rms) OVER w > min(rms) OVER w THEN (rms - min(rms) OVER w) / (max(rms) OVER w - min(rms) OVER w) ELSE 0 END AS x FROM v_frames WINDOW w AS (PARTITION BY track_id)) GROUP BY track_id")
-def a9(spark, d):
-    x = V.frames(spark, d).select("track_id", SE.min_max("rms", "track_id").alias("x"))
-    return x.groupBy("track_id").agg(r6(F.avg("x")).alias("mean"), r6(F.stddev_pop("x")).alias("std"), r6(F.percentile("x", 0.1)).alias("p10"), r6(F.percentile("x", 0.9)).alias("p90"))
-
-
 JITTER_SQL = "jt AS (SELECT track_id, beat_idx, t_sec + onset_strength / 10000 AS t, onset_strength, 100 + track_id % 30 AS tempo FROM v_beats)"
 
 

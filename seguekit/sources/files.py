@@ -106,3 +106,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="seguekit-checkpoint-"))
         root = sc._jsc.sc().getCheckpointDir().get()
     return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new folder of the shared scratch space, and read from there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from seguekit.functions import harmony as H
 from seguekit.functions import scoring as S
-from seguekit.operators import asof, catalogue, series, spectra, validation
+from seguekit.operators import asof, blocks, catalogue, series, spectra, validation
 from seguekit.plans import dims
 from seguekit.streaming import live
 
@@ -95,7 +95,7 @@ def test_silent_bar_is_no_distance(spark):
 
 def test_gaussian_keeps_a_constant(spark):
     df = spark.createDataFrame([(1, i, 3.0) for i in range(3)], "k int, i int, v double")
-    assert all(math.isclose(r.smooth, 3.0) for r in series.gaussian_smooth(df, "k", "i", "v", 2.0).collect())
+    assert all(math.isclose(r.smooth, 3.0) for r in blocks.gaussian_smooth(df, "k", "i", "v", 2.0).collect())
 
 
 def test_curve_fit_finds_the_family(spark):

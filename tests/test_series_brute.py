@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seguekit.functions.scoring import queue_score
-from seguekit.operators import ranks, series
+from seguekit.operators import blocks, ranks, sections, series
 from seguekit.plans import dims
 
 
@@ -32,7 +32,7 @@ def slow_peaks(x, height, distance):
 def test_find_peaks(spark):
     rng = random.Random(1)
     rows = [(k, i, float(rng.choice([0.1, 0.2, 0.3, 0.5, rng.random()]))) for k in range(6) for i in range(80)]
-    got = series.find_peaks(spark.createDataFrame(rows, "k long, i long, v double"), "k", "i", "v", height=0.25, distance=4)
+    got = series.split_peaks(spark.createDataFrame(rows, "k long, i long, v double"), "k", "i", "v", height=0.25, distance=4)
     by = {k: [v for kk, _, v in rows if kk == k] for k in range(6)}
     assert sorted((r.k, r.i) for r in got.collect()) == sorted((k, p) for k, x in by.items() for p in slow_peaks(x, 0.25, 4))
 
@@ -133,3 +133,58 @@ def test_stratified_split_is_exact_in_every_stratum(spark):
     sizes, parts = Counter(g for _, g in rows), Counter((r.genre, r.split) for r in got)
     for g, n in sizes.items():
         assert parts[g, "train"] == sum(k / n < 0.7 for k in range(n)) and parts[g, "val"] == sum(0.7 <= k / n < 0.85 for k in range(n))
+
+
+# --- series in blocks ---------------------------------------------------------------------------------------------
+
+
+def mirrored(x, sigma):
+    radius = int(4 * sigma + 0.5)
+    w = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
+    return np.convolve(np.pad(x, radius, "symmetric"), w / w.sum(), "valid")
+
+
+@pytest.mark.parametrize("size", [16, 64, 4096])
+def test_kernels_in_blocks_equal_whole_series(spark, size):
+    rng = np.random.default_rng(4)
+    series_of = {k: rng.random(n).cumsum() % 3 for k, n in enumerate((1, 2, 15, 16, 17, 33, 300))}
+    df = spark.createDataFrame([(k, i, float(v)) for k, x in series_of.items() for i, v in enumerate(x)], "k long, i long, v double").repartition(4)
+    got = {(r.k, r.i): r.smooth for r in blocks.gaussian_smooth(df, "k", "i", "v", 5.0, size).collect()}
+    assert len(got) == sum(map(len, series_of.values()))
+    for k, x in series_of.items():
+        assert np.allclose([got[k, i] for i in range(len(x))], mirrored(x, 5.0))
+    changed = {(r.k, r.i): r.change for r in blocks.energy_change(df, "k", "i", "v", 9, 4, size).collect()}
+    for k, x in series_of.items():
+        slope = np.gradient(mirrored(x, 9)) if len(x) > 1 else np.zeros(1)
+        want = mirrored(np.abs(slope), 4)
+        want = (want - want.min()) / np.ptp(want) if np.ptp(want) > 0 else want
+        assert np.allclose([changed[k, i] for i in range(len(x))], want, atol=1e-7)
+
+
+@pytest.mark.parametrize("size", [8, 50, 4096])
+@pytest.mark.parametrize(("height", "distance", "prominence"), [(None, 1, None), (0.3, 5, None), (None, 9, 0.3), (0.2, 2, 0.6)])
+def test_peaks_in_blocks_equal_whole_series(spark, size, height, distance, prominence):
+    """Noise, plateaus, and slopes on which suppression runs through the whole series."""
+    rng = np.random.default_rng(5)
+    chain = np.where(np.arange(400) % 2, np.linspace(0.5, 1, 400), 0)
+    series_of = {0: rng.random(300), 1: rng.integers(0, 3, 400) / 3, 2: chain, 3: chain[::-1], 4: np.array([0.5]), 5: np.zeros(90), 6: np.concatenate(([0], np.ones(120), [0]))}
+    df = spark.createDataFrame([(k, i, float(v)) for k, x in series_of.items() for i, v in enumerate(x)], "k long, i long, v double").repartition(4)
+    got = {(r.k, r.i, r.v) for r in blocks.split_peaks(df, "k", "i", "v", height, distance, prominence, size).collect()}
+    assert got == {(k, int(i), float(x[i])) for k, x in series_of.items() for i in series.peaks(x, height, distance, prominence)}
+
+
+def test_blocks_of_empty_series(spark):
+    df = spark.createDataFrame([], "k long, i long, v double")
+    assert blocks.gaussian_smooth(df, "k", "i", "v", 2.0).count() == blocks.split_peaks(df, "k", "i", "v").count() == blocks.energy_change(df, "k", "i", "v").count() == 0
+
+
+def test_segments_between_extremes(spark):
+    x = [0.5 + 0.5 * float(np.sin(i / 12)) for i in range(300)]
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(x)] + [(2, i, 0.25) for i in range(300)], "k long, i long, v double")
+    rows = sections.energy_segments(df, "k", "i", "v", 0.25).orderBy("k", "start_sec").collect()
+    wave = [r for r in rows if r[0] == 1]
+    assert len(wave) == 9 and wave[0].start_sec == 0 and wave[-1].end_sec == 299 * 0.25
+    assert all(a.end_sec == b.start_sec for a, b in zip(wave, wave[1:]))
+    assert all(abs(r.energy - np.mean(x[int(r.start_sec * 4) : int(r.end_sec * 4)])) < 1e-9 for r in wave)
+    flat = [r for r in rows if r[0] == 2]
+    assert [(r.start_sec, r.end_sec) for r in flat] == [(i * 18.75, (i + 1) * 18.75) for i in range(4)]
