@@ -225,15 +225,17 @@ DNA_SQL = f"""b4 AS (SELECT track_id, frame_idx // 4 AS beat, list(rms ORDER BY
     dna AS (SELECT track_id, list(v ORDER BY j) AS pattern, any_value(syncopation) AS syncopation, coalesce(list(j - 1 ORDER BY j) FILTER (WHERE v > m + sd), []) AS accents, count(*) FILTER (WHERE v > 0.3) / 16 AS density FROM (SELECT *, avg(v) OVER w AS m, stddev_pop(v) OVER w AS sd FROM pn WINDOW w AS (PARTITION BY track_id)) JOIN sy USING (track_id) GROUP BY track_id)"""
 
 
-@query("A18_rhythm_dna", f"WITH {DNA_SQL} SELECT * FROM dna")
+@query("A18_rhythm_dna", f"WITH {DNA_SQL} SELECT track_id, place - 1 AS place, pattern[place] AS energy, list_contains(accents, place - 1) AS accent, syncopation, density FROM dna, (SELECT CAST(unnest(range(1, 17)) AS INT) AS place)")
 def a18(spark, d):
-    """Beats of four frames."""
-    return SE.rhythm_dna(V.frames(spark, d))
+    """A row for each of the 16 places; beats of four frames."""
+    dna = SE.rhythm_dna(V.frames(spark, d)).select("track_id", F.posexplode("pattern").alias("place", "energy"), "accents", "syncopation", "density")
+    return dna.select("track_id", "place", "energy", F.array_contains("accents", F.col("place")).alias("accent"), "syncopation", "density")
 
 
 @query(
     "A18_rhythm_match",
-    f"""WITH {DNA_SQL}, tp AS (SELECT a.track_id AS pair_id, a.*, b.pattern AS pattern_b, b.syncopation AS sb, b.density AS db FROM dna a JOIN dna b ON b.track_id = (a.track_id * 7 + 3) % (SELECT count(DISTINCT user_id) FROM events)),
+    f"""WITH {DNA_SQL.replace(" dna AS (", " dna AS MATERIALIZED (")}, nt AS (SELECT count(DISTINCT user_id) AS n FROM events), da AS MATERIALIZED (SELECT dna.*, (track_id * 7 + 3) % n AS other FROM dna, nt),
+    tp AS MATERIALIZED (SELECT a.track_id AS pair_id, a.*, b.pattern AS pattern_b, b.syncopation AS sb, b.density AS db FROM da a JOIN dna b ON b.track_id = a.other),
     r AS (SELECT pair_id, greatest(0, coalesce(corr(x, y), 0)) AS r FROM (SELECT pair_id, unnest(pattern) AS x, unnest(pattern_b) AS y FROM tp) GROUP BY 1)
     SELECT pair_id, r AS pattern_correlation, 1 - abs(syncopation - sb) AS syncopation_fit, 1 - abs(density - db) AS density_fit, 0.4 * r + 0.3 * (1 - abs(syncopation - sb)) + 0.3 * (1 - abs(density - db)) AS overall FROM tp JOIN r USING (pair_id)""",
 )

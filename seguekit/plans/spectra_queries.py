@@ -164,8 +164,12 @@ def j12(spark, d):
 _RATIOS = "[" + ", ".join(map(str, SP.RATIOS)) + "]"
 
 
-@query("J13_harmonic_resonance", f"""WITH {EPAIRS_SQL}, pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY bin) AS i FROM (SELECT *, lag(mag) OVER w AS l, lead(mag) OVER w AS n FROM v_spectrum WINDOW w AS (PARTITION BY track_id ORDER BY bin)) WHERE mag > l AND mag > n) WHERE i <= 30),
-    x AS (SELECT pair_id, a.bin AS bin_a, b.bin AS bin_b, list_filter({_RATIOS}, lambda r: abs(b.freq_hz / a.freq_hz - r) <= 0.05)[1]::DOUBLE AS ratio FROM ep JOIN pk a ON a.track_id = a_id JOIN pk b ON b.track_id = b_id), y AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY bin_a, bin_b) AS rank FROM x WHERE ratio IS NOT NULL) SELECT pair_id, rank, bin_a, bin_b, ratio FROM y WHERE rank <= 20""")
+RESONANCE_SQL = f"""{EPAIRS_SQL}, pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY bin) AS i FROM (SELECT *, lag(mag) OVER w AS l, lead(mag) OVER w AS n FROM v_spectrum WINDOW w AS (PARTITION BY track_id ORDER BY bin)) WHERE mag > l AND mag > n) WHERE i <= 30),
+    x AS (SELECT pair_id, a.bin AS bin_a, b.bin AS bin_b, list_filter({_RATIOS}, lambda r: abs(b.freq_hz / a.freq_hz - r) <= 0.05)[1]::DOUBLE AS ratio FROM ep JOIN pk a ON a.track_id = a_id JOIN pk b ON b.track_id = b_id), y AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY bin_a, bin_b) AS rank FROM x WHERE ratio IS NOT NULL)"""
+ORDERED_RESONANCE_SQL = f"{RESONANCE_SQL}, res AS (SELECT pair_id, rank, bin_a FROM y WHERE rank <= 20)"
+
+
+@query("J13_harmonic_resonance", f"WITH {RESONANCE_SQL} SELECT pair_id, rank, bin_a, bin_b, ratio FROM y WHERE rank <= 20")
 def j13(spark, d):
     return SP.harmonic_resonance(V.spectrum(spark, d), epairs(spark, d))
 

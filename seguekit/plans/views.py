@@ -36,6 +36,9 @@ VIEW_SQL = {
         abs(embedding[30])::DOUBLE AS rms, abs(embedding[31])::DOUBLE AS complexity FROM embeddings""",
     "v_spectrum": """SELECT vec_id AS track_id, bin, bin * 344.53125 AS freq_hz, abs(embedding[bin + 1])::DOUBLE AS mag
         FROM embeddings, (SELECT CAST(unnest(range(64)) AS INT) AS bin)""",
+    "v_plane": """SELECT label AS key, frame, bin, bin * 344.53125 AS freq_hz, abs(embedding[bin + 1])::DOUBLE AS mag
+        FROM (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame FROM embeddings), (SELECT CAST(unnest(range(64)) AS INT) AS bin)""",
+    "v_label_pairs": "SELECT a_id AS pair_id, a_id, coalesce(lead(a_id) OVER (ORDER BY a_id), min(a_id) OVER ()) AS b_id FROM (SELECT DISTINCT label AS a_id FROM embeddings)",
     "v_chroma": """SELECT vec_id AS track_id, label, pc, abs(embedding[pc + 1])::DOUBLE AS value FROM embeddings, (SELECT CAST(unnest(range(12)) AS INT) AS pc)""",
     "v_mix_text": """SELECT user_id AS mix_id, frame_idx, CAST((frame_idx * 45) // 60 AS VARCHAR) || ':' || lpad(CAST((frame_idx * 45) % 60 AS VARCHAR), 2, '0') || ' ' || event_type AS text,
         CAST(floor(value) AS INT) AS like_count FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx FROM events)""",
@@ -115,6 +118,19 @@ def spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("track_id"), F.posexplode("embedding").alias("bin", "x")).where("bin < 64").select("track_id", "bin", (F.col("bin") * F.lit(344.53125)).alias("freq_hz"), F.abs("x").alias("mag"))
 
 
+def plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of a label in their order, as frames of 64 bins."""
+    order = Window.partitionBy("label").orderBy("vec_id")
+    e = read(spark, sf_dir, "embeddings").select(F.col("label").alias("key"), (F.row_number().over(order) - 1).cast("long").alias("frame"), F.col("embedding").cast("array<double>").alias("x"))
+    return e.select("key", "frame", F.posexplode("x").alias("bin", "x")).where("bin < 64").select("key", "frame", "bin", (F.col("bin") * F.lit(344.53125)).alias("freq_hz"), F.abs("x").alias("mag"))
+
+
+def label_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every label and the next one; the number of labels is small and fixed."""
+    labels = read(spark, sf_dir, "embeddings").select(F.col("label").alias("a_id")).distinct().groupBy().agg(F.array_sort(F.collect_list("a_id")).alias("ls"))
+    return labels.select("ls", F.posexplode("ls").alias("i", "a_id")).select(F.col("a_id").alias("pair_id"), "a_id", F.element_at("ls", ((F.col("i") + 1) % F.size("ls") + 1).cast("int")).alias("b_id"))
+
+
 def chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings").withColumn("embedding", F.slice(F.col("embedding").cast("array<double>"), 1, 12))
     return e.select(F.col("vec_id").alias("track_id"), "label", F.posexplode("embedding").alias("pc", "x")).select("track_id", "label", "pc", F.abs("x").alias("value"))
