@@ -18,10 +18,12 @@ Links by similarity (``near_dedup_similar``): four bits are far less than what s
 Jaccard similarity of 0.8 (a seventh of all bits). There, fingerprints have 192 bits in eight blocks of 24; each block is
 hashed as a ball of radius 2 (25 keys of variants within 1 bit), and two texts are candidates if they meet at one of the
 blocks and differ in at most ``near`` bits. Blocks differ in 3.5 of 24 bits on average at a similarity of 0.8, and the chance
-to meet on none of the eight is some 6 %; at 0.9 it is below 1 %. Candidates are then held against the texts themselves:
-first every document against the first of its candidate component, then, for those that are not similar to it, all
-their candidate links; what remains are links of a similarity of at least ``similarity``, and no pair within a group is
-compared that these do not need. Unrelated documents meet at random on 25 * documents / 2 ** block_bits of keys,
+to meet on none of the eight is some 6 %; at 0.9 it is below 1 %. Candidates are then held against the texts themselves.
+That goes in two steps. First a node is compared with one other, the least node that shares a whole block with it: members of a
+large group of near copies nearly all link to a few hubs there, one candidate each. Then all keys are searched, but nodes linked to the
+same hub are one already and give no candidates among themselves. Up to six rows of a key, every pair of different hubs is a candidate; in
+longer runs a forest of what is near, so there a pair is lost whose path in the forest runs over a third text that is less similar, unless the pair
+meets at another key. Nothing below ``similarity`` is ever linked. Unrelated documents meet at random on 25 * documents / 2 ** block_bits of keys,
 so ``block_bits`` should grow with the logarithm of the corpus (and ``words`` with the blocks).
 
 Defined results: null and empty texts have fingerprint zero and link to each other (and to near-zero fingerprints);
@@ -310,68 +312,104 @@ class Similar:
 
 
 def _block_variants(nodes: DataFrame, p: Similar) -> DataFrame:
-    """(key, f0, f1, ...): all variants within one bit of every block of every fingerprint."""
+    """(key, f0, f1, ..., label): all variants within one bit of every block of every fingerprint."""
     flips, step, names = masks(p.block_bits, 1), p.block_bits // 8, [f"f{w}" for w in range(p.words)]
     blocks = p.words * 8 // step
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            whole = np.stack([b.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1)
+            whole, label = np.stack([b.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1), b.column("label").to_numpy(zero_copy_only=False)
             for at in range(0, len(whole), 4096):
                 f = np.ascontiguousarray(whole[at : at + 4096])
                 raw = f.view(np.uint8).reshape(len(f), -1).astype(np.uint64)
                 for k in range(blocks):
                     part = sum(raw[:, k * step + i] << np.uint64(8 * i) for i in range(step))
                     keys = (part[:, None] ^ flips[None, :]).ravel() | np.uint64(k << p.block_bits)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(np.repeat(f[:, w], len(flips))) for w in range(p.words))], names=["key", *names])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(np.repeat(f[:, w], len(flips))) for w in range(p.words)), pa.array(np.repeat(label[at : at + 4096], len(flips)))], names=["key", *names, "label"])
 
-    return nodes.select(*names).mapInArrow(run, ", ".join(["key long", *(f"{n} long" for n in names)]))
+    return nodes.select(*names, "label").mapInArrow(run, ", ".join(["key long", *(f"{n} long" for n in names), "label long"]))
 
 
-def near_rows(f: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j) of a spanning forest of the rows of ``f`` that differ in at most ``near`` bits, and a row of each tree."""
+def _star_links(nodes: DataFrame, p: Similar) -> DataFrame:
+    """(a, b): for every node that shares a whole block with a smaller one and is near the smallest such node of the block, the smallest of those."""
+    step, names = p.block_bits // 8, [f"f{w}" for w in range(p.words)]
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = np.ascontiguousarray(np.stack([b.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1))
+            raw = f.view(np.uint8).reshape(len(f), -1).astype(np.uint64)
+            for k in range(p.words * 8 // step):
+                key = sum(raw[:, k * step + i] << np.uint64(8 * i) for i in range(step)) | np.uint64(k << p.block_bits)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(pa.array(f[:, w]) for w in range(p.words))], names=["key", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, first = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, f = b.column("key").to_numpy(zero_copy_only=False), np.stack([b.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1)
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            hubs = f[np.repeat(starts, np.diff(np.append(starts, len(key))))]
+            if key[0] == open_key:
+                hubs[key == open_key] = first
+            open_key, first = key[-1], hubs[-1].copy()
+            hit = (np.bitwise_count(f.view(np.uint64) ^ hubs.view(np.uint64)).sum(axis=1) <= p.near) & (f != hubs).any(axis=1)
+            yield pa.RecordBatch.from_arrays([*(pa.array(f[hit, w]) for w in range(p.words)), *(pa.array(hubs[hit, w]) for w in range(p.words))], names=["a" + n for n in names] + ["b" + n for n in names])
+
+    keys = nodes.select(*names).mapInArrow(blocks, ", ".join(["key long", *(f"{n} long" for n in names)]))
+    found = keys.repartition("key").sortWithinPartitions("key", *names).mapInArrow(run, ", ".join(f"{x}{n} long" for x in "ab" for n in names))
+    hub = F.min(F.struct(*(f"b{n}" for n in names)))
+    stars = found.groupBy(*(f"a{n}" for n in names)).agg(hub.alias("hub"))
+    return stars.select(F.xxhash64(*(f"a{n}" for n in names)).alias("a"), F.xxhash64(*(f"hub.b{n}" for n in names)).alias("b"))
+
+
+def near_rows(f: np.ndarray, near: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j) that connect the rows of ``f`` that differ in at most ``near`` bits, where equal labels don't already; and a row of each tree."""
     left, a, b, roots = np.arange(len(f)), [], [], []
     while len(left):
         roots.append(left[0])
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            hit = np.bitwise_count(f[left] ^ f[at]).sum(axis=1) <= near
+            same = label[left] == label[at]
+            hit = same | (np.bitwise_count(f[left] ^ f[at]).sum(axis=1) <= near)
             if hit.any():
-                a.append(np.full(hit.sum(), at))
-                b.append(left[hit])
+                new = left[hit & ~same]
+                new = new[np.unique(label[new], return_index=True)[1]]
+                a.append(np.full(len(new), at))
+                b.append(new)
                 queue.extend(left[hit])
                 left = left[~hit]
     return *(np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b)), np.array(roots, np.int64)
 
 
-def run_links(key: np.ndarray, f: np.ndarray, near: int, few: int = 6) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) that connect, among rows of equal keys (which stand together), whatever differs in at most ``near`` bits.
+def run_links(key: np.ndarray, f: np.ndarray, near: int, label: np.ndarray, few: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of different labels that connect, among rows of equal keys (which stand together), what differs in at most ``near`` bits.
 
-    Two rows that are both near an earlier one need no link of their own, so a group of near copies gives a star around its
-    first row.
+    Up to ``few`` rows, that is every such pair but the ones whose labels an earlier pair has already brought together.
     """
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     sizes = np.diff(np.append(starts, len(key)))
     a, b = [], []
     for size in range(2, few + 1):
         first = starts[sizes == size]
-        hits = {(i, j): np.bitwise_count(f[first + i] ^ f[first + j]).sum(axis=1) <= near for i, j in combinations(range(size), 2)}
-        for i, j in hits:
+        same = {(i, j): label[first + i] == label[first + j] for i in range(size) for j in range(size)}
+        hits = {(i, j): ~same[i, j] & (np.bitwise_count(f[first + i] ^ f[first + j]).sum(axis=1) <= near) for i, j in combinations(range(size), 2)}
+        for n, (i, j) in enumerate(hits):
             needed = hits[i, j].copy()
-            for k in range(i):
-                needed &= ~(hits[k, i] & hits[k, j])
+            for k, m in list(hits)[:n]:
+                needed &= ~(hits[k, m] & (same[k, i] & same[m, j] | same[k, j] & same[m, i]))
             a.append(first[needed] + i)
             b.append(first[needed] + j)
     for at, size in zip(starts[sizes > few].tolist(), sizes[sizes > few].tolist(), strict=True):
-        i, j, _ = near_rows(f[at : at + size], near)
+        i, j, _ = near_rows(f[at : at + size], near, label[at : at + size])
         a.append(at + i)
         b.append(at + j)
     return np.concatenate(a), np.concatenate(b)
 
 
 def _candidate_links(variants: DataFrame, p: Similar) -> DataFrame:
-    """(a, b): hashes of fingerprints that meet at a key and are near.
+    """(a, b): hashes of fingerprints of different labels that meet at a key and are near.
 
     The rows of a key may go on over batches. Once there are more than ``piece``, they are compared and go on as one
     representative for each group of near ones, which later rows are compared with.
@@ -382,22 +420,22 @@ def _candidate_links(variants: DataFrame, p: Similar) -> DataFrame:
         def out(f, i, j):
             return pa.RecordBatch.from_arrays([*(pa.array(f[i, w].view(np.int64)) for w in range(p.words)), *(pa.array(f[j, w].view(np.int64)) for w in range(p.words))], names=["a" + n for n in names] + ["b" + n for n in names])
 
-        key, f = np.empty(0, np.int64), np.empty((0, p.words), np.uint64)
+        key, label, f = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, p.words), np.uint64)
         for b in batches:
-            key = np.concatenate((key, b.column("key").to_numpy(zero_copy_only=False)))
+            key, label = (np.concatenate((old, b.column(c).to_numpy(zero_copy_only=False))) for old, c in ((key, "key"), (label, "label")))
             f = np.concatenate((f, np.stack([b.column(n).to_numpy(zero_copy_only=False).view(np.uint64) for n in names], axis=1)))
             if not len(key):
                 continue
             last = int(np.searchsorted(key, key[-1]))
             if last:
-                yield out(f, *run_links(key[:last], f[:last], p.near))
-                key, f = key[last:], f[last:]
+                yield out(f, *run_links(key[:last], f[:last], p.near, label[:last]))
+                key, label, f = key[last:], label[last:], f[last:]
             if len(key) > p.piece:
-                i, j, roots = near_rows(f, p.near)
+                i, j, roots = near_rows(f, p.near, label)
                 yield out(f, i, j)
-                key, f = key[roots], f[roots]
+                key, label, f = key[roots], label[roots], f[roots]
         if len(key):
-            yield out(f, *run_links(key, f, p.near))
+            yield out(f, *run_links(key, f, p.near, label))
 
     ends = [f"{x}{n}" for x in "ab" for n in names]
     # In the order of the fingerprints, the runs of a group of near copies begin with the same few of them.
@@ -426,34 +464,28 @@ def _similar_pairs(pairs: DataFrame, texts: DataFrame, p: Similar) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def contracted(edges: DataFrame) -> DataFrame:
-    """(a, b): fewer edges with the components of ``edges``: every node hangs on its least neighbour, and edges run between those.
-
-    The members of a group of near copies have their links to the same few of them, so most edges become one.
-    """
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("p")))
-    of = lambda x: least.select(unaligned(F.col("a")).alias(f"__{x}"), F.col("p").alias(f"p{x}"))
-    lifted = edges.join(of("a"), F.col("a") == F.col("__a")).select("pa", "b").distinct()
-    lifted = lifted.join(of("b"), F.col("b") == F.col("__b")).select(F.col("pa").alias("a"), F.col("pb").alias("b"))
-    return least.select("a", F.col("p").alias("b")).unionByName(lifted).where("a <> b").distinct()
+def _texts_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, text) of the nodes in ``pairs`` (a, b)."""
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = asked.join(nodes.select(F.col("fp").alias("__f"), "k"), F.col("node") == F.col("__f")).select("node", "k.no", F.coalesce("k.doc_id", F.lit(0)).alias("id"), F.col("k.text_hash").alias("hash"))
+    held = docs.select(F.col("doc_id").isNull().alias("__no"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"), F.coalesce("text", F.lit("")).alias("text"))
+    held = held.withColumn("__hash", F.xxhash64("text")).join(wanted, (F.col("__id") == F.col("id")) & (F.col("__hash") == F.col("hash")) & (F.col("__no") == F.col("no")))
+    return held.select("node", "text").dropDuplicates(["node"])
 
 
 def similar_links(docs: DataFrame, prints: DataFrame, p: Similar = Similar()) -> DataFrame:
-    """(a, b): links between values of fp that connect what candidate links of a similarity of at least ``similarity`` connect."""
+    """(a, b): links between values of fp of a similarity of at least ``similarity``, by texts of the documents that the values stand for."""
     names = [f"f{w}" for w in range(p.words)]
     nodes = cut(prints.groupBy("fp", *names).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("k")))
-    found = cut(_candidate_links(_block_variants(nodes, p), p))
-    parts = cut(connected_components(cut(contracted(found))))
-    wanted = parts.join(nodes.select(F.col("fp").alias("__f"), "k"), F.col("node") == F.col("__f")).select("node", "k.no", F.coalesce("k.doc_id", F.lit(0)).alias("id"), F.col("k.text_hash").alias("hash"))
-    held = docs.select(F.col("doc_id").isNull().alias("__no"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"), F.coalesce("text", F.lit("")).alias("text"))
-    held = held.withColumn("__hash", F.xxhash64("text")).join(wanted, (F.col("__id") == F.col("id")) & (F.col("__hash") == F.col("hash")) & (F.col("__no") == F.col("no")))
-    texts = cut(held.select("node", "text").dropDuplicates(["node"]))
-    stars = parts.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    first = cut(_similar_pairs(stars, texts, p))
-    apart = cut(stars.join(first.select(F.col("a").alias("__a")), F.col("a") == F.col("__a"), "left_anti").select(F.col("a").alias("__n")))
-    rest = found.join(apart, F.col("a") == F.col("__n"), "left_semi").unionByName(found.join(apart, F.col("b") == F.col("__n"), "left_semi")).distinct()
-    return first.unionByName(_similar_pairs(rest, texts, p))
+    stars = cut(_star_links(nodes, p))
+    linked = cut(_similar_pairs(stars, cut(_texts_of(docs, nodes, stars)), p))
+    above = linked
+    for _ in range(3):  # hubs link to hubs of their own; after three rounds a label lies up to eight links away
+        up = above.select(unaligned(F.col("a")).alias("__a"), F.col("b").alias("__b"))
+        above = cut(above.join(up, F.col("b") == F.col("__a"), "left").select("a", F.coalesce("__b", "b").alias("b")))
+    labelled = nodes.join(above.select(unaligned(F.col("a")).alias("__a"), "b"), F.col("fp") == F.col("__a"), "left").select(*names, F.coalesce("b", "fp").alias("label"))
+    found = cut(_candidate_links(_block_variants(labelled, p), p))
+    return linked.unionByName(_similar_pairs(found, cut(_texts_of(docs, nodes, found)), p))
 
 
 def near_dedup_similar(docs: DataFrame, p: Similar = Similar()) -> DataFrame:

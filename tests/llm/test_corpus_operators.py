@@ -181,12 +181,35 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100}
 
 
-def test_contracted_edges_have_the_same_components(spark):
-    rng = random.Random(8)
-    pairs = {(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(50)} | {(100, 101 + i) for i in range(20)} | {(101 + i, 102 + i) for i in range(19)}
-    edges = spark.createDataFrame([(min(p), max(p)) for p in pairs if p[0] != p[1]], "a long, b long").distinct()
-    whole, fewer = ({r.node: r.root for r in simhash.connected_components(e).collect()} for e in (edges, simhash.contracted(edges)))
-    assert whole == fewer and simhash.contracted(edges.limit(0)).collect() == []
+def test_near_dedup_of_a_group_over_one_piece(spark, monkeypatch):
+    """5,000 copies with one word of 120 replaced and 40 texts of their own: one of the group stays, and the search writes few links."""
+    rng, counts = random.Random(14), []
+    base = [rng.choice(WORDS) + str(rng.randint(0, 999)) for _ in range(120)]
+    rows = [(0, " ".join(base), "s")]
+    for i in range(1, 5001):
+        copy = list(base)
+        copy[rng.randrange(120)] = f"new{i}"
+        rows.append((i, " ".join(copy), "s"))
+    rows += [(6000 + i, " ".join(rng.choice(WORDS) + str(rng.randint(0, 999)) for _ in range(100)), "s") for i in range(40)]
+    similar = simhash._similar_pairs
+    monkeypatch.setattr(simhash, "_similar_pairs", lambda pairs, *more: (counts.append(pairs.count()), similar(pairs, *more))[1])
+    kept = kept_ids(spark, rows, simhash.Similar())
+    assert len([i for i in kept if i < 6000]) <= 5 and sum(i >= 6000 for i in kept) == 40
+    assert len(counts) == 2 and counts[0] <= 5000 and counts[1] < 10_000
+
+
+def test_run_links_reach_every_pair_of_labels():
+    """Up to six rows of a key, all near pairs of different labels are joined by the links and the labels."""
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        n = int(rng.integers(2, 7))
+        f = rng.integers(0, 1 << 40, (1, 3), dtype=np.uint64) ^ (np.uint64(1) << rng.integers(0, 40, (n, 3), dtype=np.uint64))
+        label = rng.integers(0, 3, n)
+        i, j = simhash.run_links(np.zeros(n, np.int64), f, 4, label)
+        assert (label[i] != label[j]).all()
+        linked = {frozenset((label[a], label[b])) for a, b in zip(i, j, strict=True)}
+        near = {frozenset((label[a], label[b])) for a in range(n) for b in range(a) if label[a] != label[b] and np.bitwise_count(f[a] ^ f[b]).sum() <= 4}
+        assert linked == near and len(i) == len(linked)
 
 
 # --- mixing ------------------------------------------------------------------------------------------------------
