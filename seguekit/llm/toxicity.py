@@ -6,7 +6,7 @@ entry; words inside an exception phrase do not count. The weight found is set ag
 logistic curve turns weight and density into a score from 0 to 1.
 
 The lexicon, the exception phrases and the curve are fitted on labelled rows: entries by how surely they tell the classes
-apart, exceptions as phrases of two words that hold an entry and yet are no more toxic than the rows at large, in document
+apart, under false-discovery control over all that are tested; exceptions as phrases of two words that hold an entry and yet are no more toxic than the rows at large, in document
 frequencies summed by Spark. At most about ``max_fit_rows`` labelled ids, chosen by hash, are used, a documented bound, and
 what they hold bounds the lexicon. Their marks are broadcast and their texts written once. Scoring covers every row.
 
@@ -157,10 +157,27 @@ def counted(sample: DataFrame, found_in) -> DataFrame:
     return sample.mapInArrow(run, "entry string, n long, toxic long").groupBy("entry").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, hold_out=None, max_fit_rows: int = 20_000, surety: float = 20.0, exceptions: tuple[str, ...] = EXCEPTIONS, least_rows: int = 5) -> ToxicityModel:
-    """Lexicon, exceptions and curve from labelled rows. An entry's surety is its likelihood-ratio statistic against the base rate, in nats."""
+def surest(cells: dict[int, int], tested: int, rate: float) -> float:
+    """The least evidence, in nats, that Benjamini and Hochberg's procedure accepts at a false-discovery rate.
+
+    ``cells``: how many entries have a statistic of n / 100 nats or a little more; ``tested``: how many were tested. Twice the nats are a squared normal deviate.
+    """
+    least, above = math.inf, 0
+    for cell in sorted(cells, reverse=True):
+        above += cells[cell]
+        if 0.5 * math.erfc(math.sqrt(cell / 100)) <= rate * above / tested:
+            least = cell / 100
+    return least
+
+
+def fit(docs: DataFrame, labels: DataFrame, hold_out=None, max_fit_rows: int = 20_000, false_rate: float = 0.05, exceptions: tuple[str, ...] = EXCEPTIONS, least_rows: int = 3, least_weight: float = 2.0) -> ToxicityModel:
+    """Lexicon, exceptions and curve from labelled rows.
+
+    An entry's evidence is its likelihood-ratio statistic against the base rate. All entries of ``least_rows`` rows are tested, and those go in that
+    stay under a false-discovery rate over all tests, so that the bar follows the size of the sample; and that are ``least_weight`` in log odds.
+    """
     sample = cut(labelled_sample(docs, labels, max_fit_rows, hold_out))
-    counts = cut(counted(sample, features_of).where((F.col("entry") == "") | (F.col("toxic") >= least_rows)))
+    counts = cut(counted(sample, features_of).where((F.col("entry") == "") | (F.col("n") >= least_rows)))
     rows = counts.where("entry = ''").first()
     if rows is None or not 0 < rows["toxic"] < rows["n"]:
         return ToxicityModel(exceptions=exceptions)
@@ -169,10 +186,13 @@ def fit(docs: DataFrame, labels: DataFrame, hold_out=None, max_fit_rows: int = 2
     share = (a + 0.01) / (b + 0.02)
     nats = b * (share * F.log(share / base) + (1 - share) * F.log((1 - share) / (1 - base)))
     odds = F.log((a + 0.5) / (toxic + 1)) - F.log((b - a + 0.5) / (n - toxic + 1))
-    best = counts.where(F.col("entry") != "").withColumn("weight", odds).withColumn("nats", nats).where((F.col("nats") >= surety) & (F.col("weight") >= 2.0))
+    tested = counts.where(F.col("entry") != "").withColumns({"weight": odds, "nats": F.when(share > base, nats).otherwise(0.0)})
+    cells = {r["cell"]: r["n"] for r in tested.groupBy(F.floor(F.col("nats") * 100).alias("cell")).agg(F.count("*").alias("n")).collect()}  # bounded by the nats that max_fit_rows rows can hold
+    least = surest(cells, sum(cells.values()), false_rate)
+    best = tested.where((F.col("nats") >= least) & (F.col("weight") >= least_weight))
     kept = best.collect()  # what sure entries at most max_fit_rows rows can hold
     entries = prune({r["entry"]: r["weight"] for r in kept}, {r["entry"]: r["toxic"] for r in kept})
-    phrases = counted(sample, lambda text: phrases_of(text, entries)).where((F.col("entry") != "") & (b - a >= least_rows) & (a <= base * b))
+    phrases = counted(sample, lambda text: phrases_of(text, entries)).where((F.col("entry") != "") & (b - a >= 5) & (a <= base * b))
     learnt = sorted(r["entry"] for r in phrases.select("entry").collect())  # bounded likewise
     return _fit_curve(sample, ToxicityModel(entries=entries, exceptions=(*exceptions, *learnt)))
 

@@ -293,12 +293,16 @@ def test_toxicity_model_equals_brute_force(spark):
         for e in {""} | {"=" + w for w in words} | {"^" + w[:k] for w in words for k in range(3, 9) if len(w) >= k}:
             n[e], hits[e] = n.get(e, 0) + 1, hits.get(e, 0) + y
     total, toxic = n[""], hits[""]
-    base, weights = toxic / total, {}
+    base, weights, evidence = toxic / total, {}, {}
     for e in n:
         share = (hits[e] + 0.01) / (n[e] + 0.02)
-        nats = n[e] * (share * math.log(share / base) + (1 - share) * math.log((1 - share) / (1 - base)))
+        if e and n[e] >= 3:
+            evidence[e] = n[e] * (share * math.log(share / base) + (1 - share) * math.log((1 - share) / (1 - base))) if share > base else 0.0
+    steps = sorted((math.floor(x * 100) / 100 for x in evidence.values()), reverse=True)
+    accepted = [x for x in steps if 0.5 * math.erfc(math.sqrt(x)) <= 0.05 * sum(y >= x for y in steps) / len(steps)]
+    for e in evidence:
         odds = math.log((hits[e] + 0.5) / (toxic + 1)) - math.log((n[e] - hits[e] + 0.5) / (total - toxic + 1))
-        if e and hits[e] >= 5 and nats >= 20 and odds >= 2:
+        if evidence[e] >= min(accepted) and odds >= 2:
             weights[e] = odds
     kept = {e: w for e, w in weights.items() if not (e[0] == "^" and any(k[0] == "^" and len(k) == len(e) + 1 and k.startswith(e) and hits[k] >= 0.98 * hits[e] and weights[k] >= w - 1e-9 for k in weights))}
     assert model.entries == pytest.approx(kept) and kept
@@ -320,6 +324,29 @@ def test_toxicity_model_equals_brute_force(spark):
         assert got[i] == pytest.approx(1 / (1 + math.exp(-(bias + by_weight * math.log1p(w) + by_density * math.log1p(100 * w / words)))))
 
 
+def test_toxicity_learns_words_of_a_rare_language(spark):
+    """A stem of 19 rows of a language that a tenth of the rows have."""
+    rng, rows, labels = random.Random(31), [], []
+    for i in range(1500):
+        rare, bad = i % 10 == 0, i % 8 == 0
+        words = [rng.choice(("llamo", "casa", "perro", "noche") if rare else ("alpha", "house", "river", "stone")) + rng.choice("aeiou") for _ in range(30)]
+        if bad:
+            words[:2] = ["bomente" + rng.choice("srx"), "sol"] if rare else ["grubby" + rng.choice("xyz"), "sun"]
+        rows.append((i, " ".join(words), "s", 1, "x"))
+        labels.append((i, int(bad)))
+    model = toxicity.fit(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    stems = {e[1:7] for e in model.entries}
+    assert {"boment", "grubby"} <= stems and not any(x.startswith(("llam", "casa", "perr", "noch", "alph", "hous", "rive", "ston")) for x in stems)
+    predicted = {r.doc_id: r.predicted for r in toxicity.score(spark.createDataFrame(rows, DOCS), model).collect()}
+    assert predicted == dict(labels)
+
+
+def test_toxicity_surety_follows_the_sample():
+    assert toxicity.surest({0: 1000}, 1000, 0.05) == math.inf
+    few, many = toxicity.surest({0: 990, 800: 10}, 1000, 0.05), toxicity.surest({0: 10**6, 800: 10}, 10**6, 0.05)
+    assert few == 8.0 and many == math.inf
+
+
 def test_toxicity_fits_on_bounded_rows(spark):
     rows, labels = corpus()
     docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
