@@ -318,14 +318,14 @@ def _block_variants(nodes: DataFrame, p: Similar) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            whole, label = np.stack([b.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1), b.column("label").to_numpy(zero_copy_only=False)
+            whole, label = np.stack([b.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1), b.column("label")
             for at in range(0, len(whole), 4096):
                 f = np.ascontiguousarray(whole[at : at + 4096])
                 raw = f.view(np.uint8).reshape(len(f), -1).astype(np.uint64)
                 for k in range(blocks):
                     part = sum(raw[:, k * step + i] << np.uint64(8 * i) for i in range(step))
                     keys = (part[:, None] ^ flips[None, :]).ravel() | np.uint64(k << p.block_bits)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(np.repeat(f[:, w], len(flips))) for w in range(p.words)), pa.array(np.repeat(label[at : at + 4096], len(flips)))], names=["key", *names, "label"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(np.repeat(f[:, w], len(flips))) for w in range(p.words)), label.slice(at, 4096).take(pa.array(np.repeat(np.arange(len(f)), len(flips))))], names=["key", *names, "label"])
 
     return nodes.select(*names, "label").mapInArrow(run, ", ".join(["key long", *(f"{n} long" for n in names), "label long"]))
 
@@ -408,6 +408,14 @@ def run_links(key: np.ndarray, f: np.ndarray, near: int, label: np.ndarray, few:
     return np.concatenate(a), np.concatenate(b)
 
 
+def own_label(f: np.ndarray) -> np.ndarray:
+    """A label for a fingerprint that is linked to nothing; such rows travel without one."""
+    mixed = np.zeros(len(f), np.uint64)
+    for w in range(f.shape[1]):
+        mixed = rehash(mixed ^ f[:, w], w + 1)
+    return mixed.view(np.int64)
+
+
 def _candidate_links(variants: DataFrame, p: Similar) -> DataFrame:
     """(a, b): hashes of fingerprints of different labels that meet at a key and are near.
 
@@ -422,8 +430,10 @@ def _candidate_links(variants: DataFrame, p: Similar) -> DataFrame:
 
         key, label, f = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, p.words), np.uint64)
         for b in batches:
-            key, label = (np.concatenate((old, b.column(c).to_numpy(zero_copy_only=False))) for old, c in ((key, "key"), (label, "label")))
-            f = np.concatenate((f, np.stack([b.column(n).to_numpy(zero_copy_only=False).view(np.uint64) for n in names], axis=1)))
+            new = np.stack([b.column(n).to_numpy(zero_copy_only=False).view(np.uint64) for n in names], axis=1)
+            known = b.column("label").is_valid().to_numpy(zero_copy_only=False)
+            own = np.where(known, b.column("label").fill_null(0).to_numpy(zero_copy_only=False), own_label(new))
+            key, label, f = np.concatenate((key, b.column("key").to_numpy(zero_copy_only=False))), np.concatenate((label, own)), np.concatenate((f, new))
             if not len(key):
                 continue
             last = int(np.searchsorted(key, key[-1]))
@@ -483,7 +493,9 @@ def similar_links(docs: DataFrame, prints: DataFrame, p: Similar = Similar()) ->
     for _ in range(3):  # hubs link to hubs of their own; after three rounds a label lies up to eight links away
         up = above.select(unaligned(F.col("a")).alias("__a"), F.col("b").alias("__b"))
         above = cut(above.join(up, F.col("b") == F.col("__a"), "left").select("a", F.coalesce("__b", "b").alias("b")))
-    labelled = nodes.join(above.select(unaligned(F.col("a")).alias("__a"), "b"), F.col("fp") == F.col("__a"), "left").select(*names, F.coalesce("b", "fp").alias("label"))
+    both = above.withColumn("self", F.lit(False)).unionByName(above.select(F.col("b").alias("a"), "b", F.lit(True).alias("self")))
+    named = both.groupBy("a").agg(F.min_by("b", "self").alias("label"))  # a hub without a hub bears its own name
+    labelled = nodes.join(named, F.col("fp") == F.col("a"), "left").select(*names, "label")
     found = cut(_candidate_links(_block_variants(labelled, p), p))
     return linked.unionByName(_similar_pairs(found, cut(_texts_of(docs, nodes, found)), p))
 

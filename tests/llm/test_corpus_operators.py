@@ -182,7 +182,7 @@ def test_components_of_a_long_path(spark):
 
 
 def test_near_dedup_of_a_group_over_one_piece(spark, monkeypatch):
-    """5,000 copies with one word of 120 replaced and 40 texts of their own: one of the group stays, and the search writes few links."""
+    """5,000 copies with one word of 120 replaced and 40 texts of their own: one of the group stays, and the search writes under five links a member."""
     rng, counts = random.Random(14), []
     base = [rng.choice(WORDS) + str(rng.randint(0, 999)) for _ in range(120)]
     rows = [(0, " ".join(base), "s")]
@@ -195,7 +195,7 @@ def test_near_dedup_of_a_group_over_one_piece(spark, monkeypatch):
     monkeypatch.setattr(simhash, "_similar_pairs", lambda pairs, *more: (counts.append(pairs.count()), similar(pairs, *more))[1])
     kept = kept_ids(spark, rows, simhash.Similar())
     assert len([i for i in kept if i < 6000]) <= 5 and sum(i >= 6000 for i in kept) == 40
-    assert len(counts) == 2 and counts[0] <= 5000 and counts[1] < 10_000
+    assert len(counts) == 2 and counts[0] <= 5000 and counts[1] < 25_000
 
 
 def test_run_links_reach_every_pair_of_labels():
