@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def put(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a compressed table in the shared folder, and its path, for ``remove`` once what reads it is written."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+#: Slots of a bitmap of keys: at most 2 ** 20 rows of a word and its bits, about 50 MB as a broadcast side.
+SLOT_BITS = 26
+
+
+def _slot(keys: list[str]) -> Column:
+    return F.xxhash64(*keys).bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
+
+
+def bitmap(rows: DataFrame, keys: list[str], **sets: Column) -> DataFrame:
+    """(__word, a column for each of ``sets``): the slots of the rows' ``keys`` for which the condition holds; of fixed size."""
+    slot = _slot(keys)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    none = F.lit(0).cast("long")
+    return rows.groupBy(F.shiftright(slot, 6).alias("__word")).agg(*(F.bit_or(F.when(c, bit).otherwise(none)).alias(n) for n, c in sets.items()))
+
+
+def with_bits(rows: DataFrame, keys: list[str], bits: DataFrame) -> DataFrame:
+    """``rows`` with a boolean for each set of the bitmap: false is certain, true may be a false alarm (another key's slot)."""
+    slot, names = _slot(keys), [c for c in bits.columns if c != "__word"]
+    met = rows.withColumns({"__at": F.shiftright(slot, 6), "__bit": slot.bitwiseAND(F.lit(63)).cast("int")}).join(F.broadcast(bits), F.col("__at") == F.col("__word"), "left")
+    return met.withColumns({n: F.coalesce(F.bit_get(n, F.col("__bit")) == 1, F.lit(False)) for n in names}).drop("__at", "__bit", "__word")
+
+
 def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

@@ -41,10 +41,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seguekit.llm.common import cut, unaligned
+from seguekit.llm.common import bitmap, cut, put, remove, unaligned, with_bits
 
 SEED, BITS, CHUNK = 42, 64, 1 << 18
 
@@ -289,13 +289,29 @@ def near_dedup(docs: DataFrame, radius: int = 4, blocks: int = 2, dense: int = 4
     return one_of_each(docs, components(prints, radius, blocks, dense))
 
 
+KEY = ["__no", "__id", "__hash"]
+
+
+def _key(doc_id: Column, text_hash: Column) -> dict[str, Column]:
+    return {"__no": doc_id.isNull(), "__id": F.coalesce(doc_id.cast("long"), F.lit(0)), "__hash": text_hash}
+
+
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    keep = groups.groupBy("component_fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("__no_id"), "doc_id", "text_hash")).alias("__k"))
-    keep = keep.select(F.coalesce(F.col("__k.doc_id"), F.lit(0)).alias("__id"), F.col("__k.text_hash").alias("__hash"), F.col("__k.__no_id").alias("__no"))
-    marked = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("__no", F.col("doc_id").isNull()).withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = marked.join(keep, ["__id", "__hash", "__no"], "left_semi")
-    one = Window.partitionBy("__id", "__hash", "__no").orderBy(F.lit(0))
-    return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*docs.columns)
+    """The rows of ``docs`` that stand for their component in ``groups`` (doc_id, text_hash, component_fp).
+
+    Two bitmaps of fixed size tell most rows without a shuffle of their texts: a row whose slot no kept key has goes, one whose
+    slot only kept keys have that stand once stays. The others (repeated rows and false alarms, all rows of a corpus that
+    fills the bitmaps) are joined with the kept keys.
+    """
+    rows = cut(groups.select(F.col("component_fp").alias("c"), *(v.alias(k) for k, v in _key(F.col("doc_id"), F.col("text_hash")).items())))
+    least = rows.groupBy("c").agg(F.min(F.struct(*KEY)).alias("__k")).select(unaligned(F.col("c")).alias("__c"), "__k")
+    told = rows.groupBy("c", *KEY).agg((F.count("*") > 1).alias("more")).join(least, F.col("c") == F.col("__c"))
+    told = cut(told.select(*KEY, "more", (F.struct(*KEY) == F.col("__k")).alias("stays")))
+    bits = cut(bitmap(told, KEY, __kept=F.col("stays"), __asked=~F.col("stays") | F.col("more")))
+    marked = with_bits(docs.withColumns(_key(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))))), KEY, bits).where("__kept")
+    joined = marked.where("__asked").join(told.where("stays").select(*KEY), KEY, "left_semi")
+    first = joined.withColumn("__n", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(0)))).where("__n = 1")
+    return marked.where("not __asked").select(*docs.columns).union(first.select(*docs.columns))
 
 
 # --- links by similarity -------------------------------------------------------------------------------------------
@@ -474,13 +490,21 @@ def _similar_pairs(pairs: DataFrame, texts: DataFrame, p: Similar) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _texts_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, text) of the nodes in ``pairs`` (a, b)."""
+def _texts_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> tuple[DataFrame, str]:
+    """(node, text) of the nodes in ``pairs`` (a, b), and the path of that table. A bitmap keeps most other texts out of the shuffle."""
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = asked.join(nodes.select(F.col("fp").alias("__f"), "k"), F.col("node") == F.col("__f")).select("node", "k.no", F.coalesce("k.doc_id", F.lit(0)).alias("id"), F.col("k.text_hash").alias("hash"))
-    held = docs.select(F.col("doc_id").isNull().alias("__no"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"), F.coalesce("text", F.lit("")).alias("text"))
-    held = held.withColumn("__hash", F.xxhash64("text")).join(wanted, (F.col("__id") == F.col("id")) & (F.col("__hash") == F.col("hash")) & (F.col("__no") == F.col("no")))
-    return held.select("node", "text").dropDuplicates(["node"])
+    wanted = asked.join(nodes.select(F.col("fp").alias("__f"), "k"), F.col("node") == F.col("__f"))
+    wanted = cut(wanted.select("node", *(v.alias(k) for k, v in _key(F.col("k.doc_id"), F.col("k.text_hash")).items())))
+    held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns(_key(F.col("doc_id"), F.xxhash64("text"))).drop("doc_id")
+    held = with_bits(held, KEY, bitmap(wanted, KEY, __asked=F.lit(True))).where("__asked")
+    return put(held.join(wanted, KEY).dropDuplicates(KEY).select("node", "text"))
+
+
+def _checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, p: Similar) -> DataFrame:
+    texts, path = _texts_of(docs, nodes, pairs)
+    good = cut(_similar_pairs(pairs, texts, p))
+    remove(docs.sparkSession, path)
+    return good
 
 
 def similar_links(docs: DataFrame, prints: DataFrame, p: Similar = Similar()) -> DataFrame:
@@ -488,7 +512,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, p: Similar = Similar()) ->
     names = [f"f{w}" for w in range(p.words)]
     nodes = cut(prints.groupBy("fp", *names).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("k")))
     stars = cut(_star_links(nodes, p))
-    linked = cut(_similar_pairs(stars, cut(_texts_of(docs, nodes, stars)), p))
+    linked = _checked(docs, nodes, stars, p)
     above = linked
     for _ in range(3):  # hubs link to hubs of their own; after three rounds a label lies up to eight links away
         up = above.select(unaligned(F.col("a")).alias("__a"), F.col("b").alias("__b"))
@@ -497,7 +521,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, p: Similar = Similar()) ->
     named = both.groupBy("a").agg(F.min_by("b", "self").alias("label"))  # a hub without a hub bears its own name
     labelled = nodes.join(named, F.col("fp") == F.col("a"), "left").select(*names, "label")
     found = cut(_candidate_links(_block_variants(labelled, p), p))
-    return linked.unionByName(_similar_pairs(found, cut(_texts_of(docs, nodes, found)), p))
+    return linked.unionByName(_checked(docs, nodes, found, p))
 
 
 def near_dedup_similar(docs: DataFrame, p: Similar = Similar()) -> DataFrame:
