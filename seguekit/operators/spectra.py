@@ -108,18 +108,59 @@ def harmonic_resonance(spectrum: DataFrame, pairs: DataFrame, first: int = 30, k
     return found.withColumn("rank", rank).where(F.col("rank") <= keep).select("pair_id", "rank", "bin_a", "bin_b", "ratio")
 
 
-def identify_tracks(segments: DataFrame, library: DataFrame, least: float = 0.7, block: int = 1_000) -> DataFrame:
+def cosine(a: Column, b: Column) -> Column:
+    """Of unit vectors."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def _angle(a: Column, b: Column) -> Column:
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(a, b))))
+
+
+def library_cells(library: DataFrame, most: int = 64) -> tuple[DataFrame, list[tuple[list[float], float]]]:
+    """The library with its ``cell``, the nearest pivot, and (pivot, radius) of the cells.
+
+    Pivots are ``most`` rows of the library or fewer (the square root of its size), by a hash of their id; only they and the radii come to the driver.
+    """
+    count = max(1, min(most, math.isqrt(library.count())))
+    pivots = [r.lib for r in library.where("lib is not null").orderBy(F.xxhash64("lib_id"), "lib_id").limit(count).collect()]
+    if not pivots:
+        return library.withColumn("cell", F.lit(0)), []
+    to = F.transform(F.lit(pivots), lambda p: _angle(p, F.col("lib")))
+    dealt = library.where("lib is not null").withColumn("__to", to).withColumn("cell", (F.array_position("__to", F.array_min("__to")) - 1).cast("int"))
+    radius = dict(dealt.groupBy("cell").agg(F.max(F.array_min("__to"))).collect())  # a row for each pivot
+    return dealt.drop("__to"), [(p, radius.get(i, -math.inf)) for i, p in enumerate(pivots)]
+
+
+def cells_to_ask(segment: Column, cells: list[tuple[list[float], float]], least: float, slack: float = 1e-4) -> Column:
+    """The cells that may hold the best match of a unit vector over ``least``.
+
+    Angles keep the triangle inequality, so nothing in a cell is nearer than the angle to its pivot less its radius. The best match
+    is at least as near as the nearest pivot, which is of the library itself. ``slack`` covers the rounding of similarities.
+    """
+    near = F.transform(F.lit([p for p, _ in cells]), lambda p: _angle(p, segment))
+    limit = F.least(F.lit(math.acos(least)), F.array_min(near)) + slack
+    reach = F.zip_with(near, F.lit([r for _, r in cells]), lambda a, r: a - r)
+    return F.filter(F.transform(reach, lambda x, i: F.when(x <= limit, i)), lambda i: i.isNotNull())
+
+
+def identify_tracks(segments: DataFrame, library: DataFrame, least: float = 0.7, block: int = 1_000, most: int = 64) -> DataFrame:
     """(segment_id, track_id, similarity): the most similar library chroma over ``least``; equal ones by the smallest id.
 
-    The library (lib_id, lib) is dealt into blocks of about ``block`` rows. Every segment (segment_id, chroma) meets every block
-    once, in an equi-join on the block, and keeps its best there: no product of rows is formed, and nothing is broadcast
-    by force. Both are unit vectors.
+    The library (lib_id, lib) lies in cells around pivots, and cells in pieces of some ``block`` rows. A segment (segment_id,
+    chroma) meets the pieces of those cells only that the triangle inequality cannot leave out, in an equi-join, and keeps its
+    best there. Exact. Both are unit vectors; null ones match nothing.
     """
-    blocks = max(1, -(-library.count() // block))
-    own = library.groupBy(F.pmod(F.xxhash64("lib_id"), F.lit(blocks)).cast("int").alias("__block")).agg(F.collect_list(F.struct("lib_id", "lib")).alias("__rows"))
-    met = segments.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(own, "__block")
-    product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    top = F.array_max(F.transform("__rows", lambda r: F.struct(F.round(product(F.col("chroma"), r["lib"]), 9).alias("similarity"), (-r["lib_id"]).alias("k"))))
+    dealt, cells = library_cells(library, most)
+    if not cells:
+        return segments.select("segment_id", F.lit(None).cast(library.schema["lib_id"].dataType).alias("track_id"), F.lit(0.0).alias("similarity")).where("false")
+    sizes = dict(dealt.groupBy("cell").count().collect())  # a row for each pivot
+    pieces = F.lit([max(1, -(-sizes.get(i, 0) // block)) for i in range(len(cells))])
+    piece = F.pmod(F.xxhash64("lib_id", F.lit(1)), F.get(pieces, F.col("cell"))).cast("int")
+    own = dealt.groupBy("cell", piece.alias("piece")).agg(F.collect_list(F.struct("lib_id", "lib")).alias("__rows"))
+    asks = segments.where("chroma is not null").withColumn("cell", F.explode(cells_to_ask(F.col("chroma"), cells, least)))
+    met = asks.withColumn("piece", F.explode(F.sequence(F.lit(0), F.get(pieces, F.col("cell")) - 1))).join(own, ["cell", "piece"])
+    top = F.array_max(F.transform("__rows", lambda r: F.struct(F.round(cosine(F.col("chroma"), r["lib"]), 9).alias("similarity"), (-r["lib_id"]).alias("k"))))
     best = met.select("segment_id", top.alias("b")).groupBy("segment_id").agg(F.max("b").alias("b"))
     return best.where(F.col("b.similarity") > least).select("segment_id", (-F.col("b.k")).alias("track_id"), F.col("b.similarity").alias("similarity"))
 

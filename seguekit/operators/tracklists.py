@@ -37,3 +37,19 @@ def timestamps(lines: DataFrame, gap: int = 30, least: int = 3) -> DataFrame:
     every = chapters.unionByName(description).unionByName(comments)
     best = every.groupBy("mix_id").agg(F.min("priority").alias("priority"))
     return every.join(best, ["mix_id", "priority"])
+
+
+def marked_transitions(lines: DataFrame, key: str, order: str, text: str = "text") -> DataFrame:
+    """(key, sec, from_track, to_track) of tracklists with or without lines that only say "transition".
+
+    Lines are ``M:SS name``; others are left out. A marker is a change to a track without a name, which is called by its place
+    among the lines, Track_n; the next line comes from that track. So a name depends on the line's number and the line before
+    only, and a window tells it. Lines of one place in the order go by their text.
+    """
+    read = F.regexp_extract(F.trim(text), r"^(\d+):(\d+)\s+(.+)$", 0) != ""
+    at = lambda g: F.regexp_extract(F.trim(text), r"^(\d+):(\d+)\s+(.+)$", g)
+    w = Window.partitionBy(key).orderBy(order, text)
+    t = lines.where(read).withColumns({"sec": at(1).cast("long") * 60 + at(2).cast("long"), "__name": F.trim(at(3)), "__n": F.row_number().over(w)})
+    name = F.when(F.lower("__name") == "transition", F.concat(F.lit("Track_"), F.col("__n").cast("string"))).otherwise(F.col("__name"))
+    t = t.withColumn("to_track", name).withColumn("from_track", F.lag("to_track").over(w))
+    return t.where("__n > 1").select(key, "sec", "from_track", "to_track")

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("scalar_queries", "catalogue_queries", "corpus_queries", "series_queries", "peak_queries", "spectra_queries", "live_queries", "point_queries", "flag_queries", "curve_queries", "source_queries", "plane_queries")
+MODULES = ("scalar_queries", "catalogue_queries", "corpus_queries", "series_queries", "peak_queries", "spectra_queries", "live_queries", "point_queries", "flag_queries", "curve_queries", "source_queries", "plane_queries", "set_queries")
 
 
 def load():

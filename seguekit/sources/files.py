@@ -113,3 +113,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def _shelf(doc_id: Column, shelves: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(shelves)).cast("int")
+
+
+def write_documents(docs: DataFrame, path: str, shelves: int) -> None:
+    """Documents (doc_id text, body JSON text) in ``shelves`` folders by a hash of the id, sorted by id, so that a lookup reads the row groups of one."""
+    placed = docs.select("doc_id", "body", _shelf(F.col("doc_id"), shelves).alias("shelf"))
+    placed.repartition("shelf").sortWithinPartitions("shelf", "doc_id").write.mode("error").partitionBy("shelf").parquet(path)
+
+
+def get_document(spark: SparkSession, path: str, shelves: int, doc_id: str) -> DataFrame:
+    """The document of one id, no row if there is none; the folder is told before files are listed into the scan."""
+    return spark.read.parquet(path).where((F.col("shelf") == _shelf(F.lit(doc_id), shelves)) & (F.col("doc_id") == doc_id)).select("doc_id", "body")
+
+
+def get_documents(spark: SparkSession, path: str, shelves: int, asked: DataFrame) -> DataFrame:
+    """``asked`` (doc_id, ...) with ``body``, null where there is none; the join takes the shelf too, so that small ``asked`` prune folders at run time."""
+    held = spark.read.parquet(path)
+    return asked.withColumn("shelf", _shelf(F.col("doc_id"), shelves)).join(held, ["shelf", "doc_id"], "left").drop("shelf")

@@ -54,3 +54,31 @@ def run_once(df: DataFrame, name: str, checkpoint: str, mode: str = "complete")
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("last"))
+
+
+def upsert_status(events: DataFrame, path: str, checkpoint: str):
+    """Keep the latest status of every item as a table under ``path``, a version a micro-batch; the started query.
+
+    A version is made of the one before and the batch, so a batch that is tried again after a failure writes the same rows
+    over its own version. Only the last two versions stay. Late rows change nothing if the item has a newer status.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        new = _newest(batch)
+        if number:
+            old = batch.sparkSession.read.parquet(f"{path}/{number - 1}")
+            new = new.unionByName(old).groupBy("user_id").agg(F.max("last").alias("last"))
+        new.write.mode("overwrite").parquet(f"{path}/{number}")
+        if number > 1:
+            at = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/{number - 2}")
+            at.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def statuses(spark: SparkSession, path: str, version: int) -> DataFrame:
+    return spark.read.parquet(f"{path}/{version}").select("user_id", F.col("last.event_type").alias("status"))
