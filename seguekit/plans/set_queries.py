@@ -1,10 +1,11 @@
-"""Queries of tempo morphs, set markers, marked tracklists and document lookups."""
+"""Queries of tempo morphs, set markers, marked tracklists and document lookups, roles and quality."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from seguekit.operators import morphs as M
+from seguekit.operators import quality as Q
 from seguekit.operators import tracklists as TL
 from seguekit.plans import views as V
 from seguekit.plans.registry import query
@@ -78,3 +79,44 @@ def s7_song(spark, d):
     asked = V.transitions(spark, d).select(F.col("track_a_id").cast("string").alias("doc_id")).distinct()
     row = files.flatten_song(F.col("body"))
     return files.get_documents(spark, path, 16, asked).select("doc_id", *(row[c].alias(c) for c in ("title", "bpm", "camelot", "genre")))
+
+
+@query(
+    "J18_role_plan",
+    """WITH p AS (SELECT pair_id, vocals_a AS va, vocals_b AS vb, energy_a > 1 AS da, energy_b > 1 AS db, energy_a AS ea, energy_b AS eb, vocals_a AND energy_a > 0.5 AS ca, vocals_b AND energy_b > 0.5 AS cb,
+        abs(bpm_a - bpm_b) <= 0.06::DOUBLE * greatest(bpm_a, bpm_b) AS near, least(1.0, abs(energy_a - energy_b) / 10)::DOUBLE AS clash, floor(duration_b / 20) AS safe, floor(duration_b / 12) AS phrases FROM v_pairs),
+    k AS (SELECT *, unnest([1, 2, 3, 4]) AS k FROM p),
+    s AS (SELECT *, CASE WHEN k < 3 THEN 'a' ELSE 'b' END AS bed, CASE WHEN k % 2 = 1 THEN 'a' ELSE 'b' END AS vocal FROM k),
+    o AS (SELECT *, round((CASE WHEN bed = 'a' THEN 0.15 ELSE 0.05 END + CASE WHEN vocal = 'b' AND cb THEN 0.25 WHEN vocal = 'a' AND ca THEN 0.15 ELSE 0 END)::DOUBLE - CASE WHEN bed <> vocal THEN 0.3::DOUBLE * clash ELSE 0 END
+        + CASE WHEN near THEN 0.2::DOUBLE ELSE -0.2 END + CASE WHEN vocal = 'b' THEN least(safe * 0.02::DOUBLE, 0.2) + least(phrases * 0.01::DOUBLE, 0.1) ELSE 0 END, 9) AS score FROM s WHERE CASE WHEN vocal = 'a' THEN va ELSE vb END),
+    b AS (SELECT pair_id, bed, vocal, score FROM o QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, k) = 1)
+    SELECT p.pair_id, coalesce(bed, CASE WHEN da AND db THEN CASE WHEN ea <= eb THEN 'a' ELSE 'b' END END) AS bed, coalesce(vocal, CASE WHEN da AND db THEN CASE WHEN ea <= eb THEN 'a' ELSE 'b' END END) AS vocal,
+    coalesce(vocal, CASE WHEN da AND db THEN 'a' END) AS tempo, score FROM p LEFT JOIN b USING (pair_id)""",
+)
+def j18_roles(spark, d):
+    """All four plans of bed and vocals; content, clash and phrases follow from energies and lengths."""
+    c = F.col
+    side = lambda x: {f"drums_{x}": c(f"energy_{x}") > 1, f"drum_energy_{x}": c(f"energy_{x}"), f"content_{x}": c(f"vocals_{x}") & (c(f"energy_{x}") > 0.5), f"tempo_{x}": c(f"bpm_{x}")}
+    both = {"clash": F.least(F.lit(1.0), F.abs(c("energy_a") - c("energy_b")) / 10), "safe_points": F.floor(c("duration_b") / 20), "phrases": F.floor(c("duration_b") / 12)}
+    return Q.role_plan(V.pairs(spark, d).withColumns(side("a") | side("b") | both))
+
+
+@query(
+    "A34_quality_parts",
+    """WITH f AS (SELECT track_id, frame_idx, rms, bass, mid, vocal AS high, 50 * rms AS contrast, least(bass, mid) AS clash, 0.5::DOUBLE * vocal AS tension FROM v_frames),
+    g AS (SELECT *, (pow(bass - lag(bass) OVER w, 2) + pow(mid - lag(mid) OVER w, 2) + pow(high - lag(high) OVER w, 2)) / 3 AS flux, abs(rms - lag(rms) OVER w) AS step, stddev_pop(rms) OVER (PARTITION BY track_id) AS sd,
+        sum(rms) OVER (PARTITION BY track_id ORDER BY frame_idx ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) / 10 AS near FROM f WINDOW w AS (PARTITION BY track_id ORDER BY frame_idx)),
+    e AS (SELECT track_id, coalesce(avg(flux), 0) AS flux, avg((bass * bass + mid * mid + high * high) / 3) AS energy, count(*) FILTER (WHERE step > 0.1) / count(*) AS jumps, avg(clash) AS clash, avg(contrast) AS contrast, avg(tension) AS tension,
+        avg(bass * bass) AS b, avg(mid * mid) AS m, avg(high * high) AS h, coalesce(count(*) FILTER (WHERE round(step, 9) > round(sd, 9)) / nullif(count(step), 0), 0) AS large, stddev_pop(rms - near) AS off, avg(rms) AS level FROM g GROUP BY track_id),
+    p AS (SELECT track_id, 0.7 * (1 - least(1, flux / (energy + 1e-10))) + 0.3 * greatest(0, 1 - 10 * jumps) AS smoothness, 0.6 * (1 - clash) + 0.4 * greatest(0, least(1, contrast / 40)) AS clarity, 1 - tension AS harmony,
+        greatest(0, least(1, 1 - (abs(coalesce(b / nullif(b + m + h, 0), 0.33) - 0.3) + abs(coalesce(m / nullif(b + m + h, 0), 0.33) - 0.4) + abs(coalesce(h / nullif(b + m + h, 0), 0.33) - 0.3)) / 3)) AS balance,
+        0.6 * greatest(0, 1 - 5 * large) + 0.4 * greatest(0, least(1, 1 - off / (level + 1e-10))) AS continuity FROM e)
+    SELECT track_id, round(smoothness, 6) AS smoothness, round(clarity, 6) AS clarity, round(harmony, 6) AS harmony, round(balance, 6) AS balance, round(continuity, 6) AS continuity,
+    round(0.3 * smoothness + 0.25 * clarity + 0.2 * harmony + 0.15 * balance + 0.1 * continuity, 6) AS score FROM p""",
+)
+def a34_parts(spark, d):
+    """All five parts from frames; vocals stand for the highs and for tension, the level for contrast."""
+    c = F.col
+    f = V.frames(spark, d).withColumns({"high": c("vocal"), "contrast": 50 * c("rms"), "clash": F.least("bass", "mid"), "tension": 0.5 * c("vocal")})
+    q = Q.mix_quality(f)
+    return q.select("track_id", *(r6(k).alias(k) for k in q.columns[1:]))

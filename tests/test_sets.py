@@ -7,7 +7,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
-from seguekit.operators import morphs, spectra, tracklists
+from seguekit.operators import morphs, quality, spectra, tracklists
 from seguekit.sources import files
 from seguekit.streaming import live
 
@@ -170,3 +170,43 @@ def test_status_upsert_keeps_the_newest(spark, tmp_path):
         live.upsert_status(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(map(tuple, live.statuses(spark, str(tmp_path / "state"), 2).collect())) == [(1, "done"), (2, "playing")]
     assert sorted(p.name for p in (tmp_path / "state").iterdir() if p.is_dir()) == ["1", "2"]
+
+
+def test_mix_quality_by_hand(spark):
+    rng = random.Random(2)
+    rows = [(k, i, *(rng.random() for _ in range(4)), 20 * rng.random(), rng.random(), 0.3) for k, n in ((1, 40), (2, 1), (3, 2)) for i in range(n)] + [(4, i, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0) for i in range(12)]
+    df = spark.createDataFrame(rows, "track_id long, frame_idx long, rms double, bass double, mid double, high double, contrast double, clash double, tension double")
+    got = {r.track_id: r for r in quality.mix_quality(df).collect()}
+    mean = lambda x: sum(x) / len(x) if x else 0.0
+    sd = lambda x: math.sqrt(mean([(y - mean(x)) ** 2 for y in x]))
+    for k in (1, 2, 3, 4):
+        own = [r[2:] for r in rows if r[0] == k]
+        level = [r[0] for r in own]
+        steps = [abs(y - x) for x, y in zip(level, level[1:], strict=False)]
+        flux = mean([mean([(y[b] - x[b]) ** 2 for b in (1, 2, 3)]) for x, y in zip(own, own[1:], strict=False)])
+        energy = mean([mean([r[b] ** 2 for b in (1, 2, 3)]) for r in own])
+        smooth = 0.7 * (1 - min(1, flux / (energy + 1e-10))) + 0.3 * max(0, 1 - 10 * sum(s > 0.1 for s in steps) / len(own))
+        clarity = 0.6 * (1 - mean([r[5] for r in own])) + 0.4 * max(0, min(1, mean([r[4] for r in own]) / 40))
+        bands = [mean([r[b] ** 2 for r in own]) for b in (1, 2, 3)]
+        shares = [b / sum(bands) if sum(bands) else 0.33 for b in bands]
+        balance = 1 - sum(abs(s - i) for s, i in zip(shares, (0.3, 0.4, 0.3), strict=True)) / 3
+        near = [sum(level[max(0, i - 5) : i + 5]) / 10 for i in range(len(level))]
+        large = mean([float(s > sd(level)) for s in steps])
+        held = 0.6 * max(0, 1 - 5 * large) + 0.4 * max(0, min(1, 1 - sd([a - b for a, b in zip(level, near, strict=True)]) / (mean(level) + 1e-10)))
+        want = [smooth, clarity, 1 - own[0][6], balance, held]
+        assert [got[k][c] for c in quality.PARTS] == pytest.approx(want)
+        assert got[k].score == pytest.approx(sum(w * x for w, x in zip((0.3, 0.25, 0.2, 0.15, 0.1), want, strict=True)))
+
+
+def test_role_plan_candidates(spark):
+    schema = "pair_id long, vocals_a boolean, vocals_b boolean, content_a boolean, content_b boolean, drums_a boolean, drums_b boolean, drum_energy_a double, drum_energy_b double, tempo_a double, tempo_b double, clash double, safe_points int, phrases int"
+    rows = [
+        (1, False, False, False, False, True, True, 0.9, 0.4, 120.0, 121.0, 0.0, 0, 0),  # the quieter drums
+        (2, False, False, False, False, True, False, 0.9, 0.4, 120.0, 121.0, 0.0, 0, 0),  # no plan
+        (3, True, True, True, True, True, True, 0.5, 0.5, 120.0, 121.0, 0.0, 20, 20),  # a's bed under b's vocals
+        (4, True, True, True, True, True, True, 0.5, 0.5, 120.0, 121.0, 1.0, 20, 20),  # they clash: b alone
+        (5, True, False, True, False, True, True, 0.5, 0.5, 120.0, 160.0, 0.2, 9, 9),  # a alone, tempos out of reach
+        (6, False, True, False, False, True, True, 0.5, 0.5, 100.0, 106.0, 1 / 3, 0, 0),  # equal: the first
+    ]
+    got = {r.pair_id: tuple(r)[1:] for r in quality.role_plan(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: ("b", "b", "a", None), 2: (None,) * 4, 3: ("a", "b", "b", 0.9), 4: ("b", "b", "b", 0.8), 5: ("a", "a", "a", 0.1), 6: ("a", "b", "b", 0.25)}
