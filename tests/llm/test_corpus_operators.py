@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seguekit.llm import byte_bpe, media, mixing, queries, simhash, token_counts, topk_search
+from seguekit.llm import byte_bpe, common, media, mixing, queries, simhash, token_counts, topk_search
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 PATH, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -115,6 +115,19 @@ def test_near_dedup_keeps_one_of_each(spark):
     assert sorted(r.text for r in nulls) == ["a b", "c d"]
 
 
+@pytest.mark.parametrize("bits", [6, 26])
+def test_one_of_each_with_a_full_bitmap_and_repeated_rows(spark, monkeypatch, bits):
+    """With 64 slots nearly every row is a false alarm and goes by the exact join; the rows that stay are the same."""
+    monkeypatch.setattr(common, "SLOT_BITS", bits)
+    rows = [(i, f"text {i % 60}", "s") for i in range(300)] + [(7, "text 7", "other"), (7, "text 7", "s"), (None, "text 1", "s"), (None, "lone", None), (None, "lone", None), (None, None, "s"), (900, "", "s")]
+    df = docs(spark, rows)
+    same = df.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("component_fp"))
+    kept = simhash.one_of_each(df, same)
+    assert kept.columns == df.columns
+    want = [(i, f"text {i}") for i in range(60)] + [(None, "lone"), (900, "")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+
+
 def shingled(t, width=5):
     w = (t or "").encode().lower().split()
     return {b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
