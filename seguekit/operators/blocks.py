@@ -109,7 +109,7 @@ def _prominent(x: np.ndarray, p: int, least: float, begins: bool, ends: bool) ->
     """Whether the ground falls by ``least`` on both sides before it rises over the peak; None if that lies beyond ``x``."""
     known = True
     for side, closed in ((x[:p][::-1], begins), (x[p + 1 :], ends)):
-        low, high = side <= x[p] - least, side > x[p]
+        low, high = x[p] - side >= least, side > x[p]  # the difference is what is rounded, as in ``peaks`` and in SQL
         fall, rise = (int(m.argmax()) if m.any() else len(side) for m in (low, high))
         if fall < rise:
             continue

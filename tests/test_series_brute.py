@@ -173,6 +173,15 @@ def test_peaks_in_blocks_equal_whole_series(spark, size, height, distance, promi
     assert got == {(k, int(i), float(x[i])) for k, x in series_of.items() for i in series.peaks(x, height, distance, prominence)}
 
 
+def test_peaks_of_just_the_prominence_in_blocks(spark):
+    """Values of two decimals over 500: differences that stand on either side of the threshold by rounding only."""
+    x = np.array([0.0, *(v / 500 for i in range(300) for v in (75 + i * 0.61, 50 + i * 0.61)), 0.0])
+    df = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(x)], "k long, i long, v double")
+    got = sorted(r.i for r in blocks.split_peaks(df, "k", "i", "v", 0.1, 1, 0.05, 64).collect())
+    assert got == series.peaks(x, 0.1, 1, 0.05).tolist()
+    assert 1 < len(got) < 300
+
+
 def test_blocks_of_empty_series(spark):
     df = spark.createDataFrame([], "k long, i long, v double")
     assert blocks.gaussian_smooth(df, "k", "i", "v", 2.0).count() == blocks.split_peaks(df, "k", "i", "v").count() == blocks.energy_change(df, "k", "i", "v").count() == 0
