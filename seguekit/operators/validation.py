@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,18 +37,29 @@ TRANSITION_FIELDS = ("transition_id", "track_a_features", "track_b_features", "t
 TRACK_FIELDS = ("song_id", "bpm", "key", "camelot")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once a row, however often ``use`` names it: a lambda's variable is not expanded."""
+    return F.transform(F.array(value), use)[0]
+
+
 def transition_errors(doc: Column) -> Column:
-    """Errors of a transition document given as JSON text: fields, then those of both tracks, of the execution and its curves."""
-    keys = lambda path: F.json_object_keys(doc if path == "$" else F.get_json_object(doc, path))
-    top = keys("$")
+    """Errors of a transition document given as JSON text: fields, then those of both tracks, of the execution and its curves.
+
+    The text is made once, and each object is read once, for its keys.
+    """
+    paths = {"track_a_features": "$.track_a_features", "track_b_features": "$.track_b_features", "execution": "$.transition_execution", "curves": "$.transition_execution.volume_curves"}
+    keys = lambda text: F.struct(F.json_object_keys(text).alias("top"), *(F.json_object_keys(F.get_json_object(text, path)).alias(name) for name, path in paths.items()))
     lacks = lambda have, field: have.isNotNull() & ~F.array_contains(have, F.lit(field))
-    found = [(lacks(top, f), f"Missing required field: {f}") for f in TRANSITION_FIELDS]
-    for track in ("track_a_features", "track_b_features"):
-        found += [(lacks(keys(f"$.{track}"), f), f"{track}.{f} is required") for f in TRACK_FIELDS]
-    execution, curves = keys("$.transition_execution"), keys("$.transition_execution.volume_curves")
-    found += [(lacks(execution, f), f"transition_execution.{f} is required") for f in ("duration_sec", "technique_primary")]
-    found.append((lacks(curves, "track_a_gain_db") | lacks(curves, "track_b_gain_db"), "volume_curves requires track_a_gain_db and track_b_gain_db"))
-    return F.when(top.isNull(), F.array(F.lit("Invalid JSON"))).otherwise(errors(*found))
+
+    def told(k: Column) -> Column:
+        found = [(lacks(k["top"], f), f"Missing required field: {f}") for f in TRANSITION_FIELDS]
+        for track in ("track_a_features", "track_b_features"):
+            found += [(lacks(k[track], f), f"{track}.{f} is required") for f in TRACK_FIELDS]
+        found += [(lacks(k["execution"], f), f"transition_execution.{f} is required") for f in ("duration_sec", "technique_primary")]
+        found.append((lacks(k["curves"], "track_a_gain_db") | lacks(k["curves"], "track_b_gain_db"), "volume_curves requires track_a_gain_db and track_b_gain_db"))
+        return F.when(k["top"].isNull(), F.array(F.lit("Invalid JSON"))).otherwise(errors(*found))
+
+    return _once(doc, lambda text: _once(keys(text), told))
 
 
 def sample_errors(df: DataFrame) -> Column:

@@ -124,6 +124,15 @@ def test_document_errors(spark):
     assert got == [[], ["Invalid JSON"], ["Missing required field: song_id"], ["Invalid JSON"], ["structure.sections[0].start_sec is required", "structure.sections[0].end_sec is required"]]
 
 
+def test_transition_errors_read_a_document_once(spark):
+    track = '{"song_id": 1, "bpm": null, "key": "C", "camelot": "8B"}'
+    docs = ["{broken", None, "{}", f'{{"transition_id": null, "track_a_features": {track}, "track_b_features": [1], "transition_execution": {{"duration_sec": 1, "volume_curves": {{"track_a_gain_db": []}}}}}}']
+    got = [r[0] for r in spark.createDataFrame([(d,) for d in docs], "d string").select(validation.transition_errors(F.col("d"))).collect()]
+    assert got == [["Invalid JSON"], ["Invalid JSON"], [f"Missing required field: {f}" for f in validation.TRANSITION_FIELDS], ["transition_execution.technique_primary is required", "volume_curves requires track_a_gain_db and track_b_gain_db"]]
+    plan = spark.range(1).select(validation.transition_errors(F.to_json(F.struct("id"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("StructsToJsonEvaluator(") == 1 and plan.count("get_json_object(") <= 8  # the plan names each of four paths twice
+
+
 def test_queue_state(spark):
     rows = [(0, "add", "z", None, {}), (1, "clear", None, None, None), (2, "add", "a", None, {"x": "1"}), (3, "status", "a", "playing", {"y": "2"}), (4, "status", "ghost", "playing", {}), (5, "add", "b", None, None), (6, "remove", "b", None, None), (7, "status", "a", None, {"x": "3"})]
     got = catalogue.queue_state(spark.createDataFrame(rows, "seq long, op string, item_id string, status string, meta map<string,string>")).collect()
