@@ -81,12 +81,9 @@ PAIRS_SQL = """ok AS (SELECT a.song_id, b.song_id AS match_id, abs(b.bpm - a.bpm
 
 @query("J2_compatible_pairs", f"WITH {PAIRS_SQL} SELECT song_id, match_id, bpm_diff, rank, round({QUEUE.replace('pair_id', 'song_id')}, 6) AS score FROM ranked WHERE rank <= 5")
 def j2(spark, d):
-    s = V.songs(spark, d)
-    top = C.compatible_pairs(s, 5)
-    side = lambda i, x: s.select(F.col("song_id").alias(i), *(F.col(c).alias(f"{c}_{x}") for c in ("bpm", "camelot", "energy")))
-    scored = top.join(side("song_id", "a"), "song_id").join(side("match_id", "b"), "match_id")
-    score = S.queue_score(*(F.col(f"{n}_{x}") for n in ("bpm", "camelot", "energy") for x in "ab"))
-    return scored.select("song_id", "match_id", "bpm_diff", "rank", F.round(score, 6).alias("score"))
+    top = C.compatible_pairs(V.songs(spark, d), 5)
+    score = S.queue_score(*(F.col(x + n) for n in ("bpm", "camelot", "energy") for x in ("", "m_")))
+    return top.select("song_id", "match_id", "bpm_diff", "rank", F.round(score, 6).alias("score"))
 
 
 # --- techniques --------------------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
-from seguekit.operators import morphs, quality, spectra, tracklists
+from seguekit.operators import catalogue, morphs, quality, spectra, tracklists
 from seguekit.sources import files
 from seguekit.streaming import live
 
@@ -210,3 +210,27 @@ def test_role_plan_candidates(spark):
     ]
     got = {r.pair_id: tuple(r)[1:] for r in quality.role_plan(spark.createDataFrame(rows, schema)).collect()}
     assert got == {1: ("b", "b", "a", None), 2: (None,) * 4, 3: ("a", "b", "b", 0.9), 4: ("b", "b", "b", 0.8), 5: ("a", "a", "a", 0.1), 6: ("a", "b", "b", 0.25)}
+
+
+def test_compatible_pairs_keep_to_the_songs_and_equal_all_pairs(spark):
+    """Against all pairs, on few tempos and energies, copies, nulls and junk; then 30,000 songs that all fit each other, 900 million pairs."""
+    rng = random.Random(3)
+    codes, names = ["1A", "12A", "2A", "1B", "8B", "junk", None], ["C", "Cm", "G", None]
+    rows = [(i, rng.choice([0.0, -3.0, None, 90.0, 94.0, 95.4, 100.0, 100.3, 106.0, rng.uniform(80, 130)]), rng.choice(codes), rng.choice(names), rng.choice([None, 0.2, 0.4, 0.6, -0.1, rng.random()])) for i in range(300)]
+    rows += [(300 + i, 100.0, "1A", "C", 0.4) for i in range(12)]
+    kinds = "song_id long, bpm double, camelot string, key_name string, energy double"
+    got = {(r.song_id, r.match_id, r.rank) for r in catalogue.compatible_pairs(spark.createDataFrame(rows, kinds)).collect()}
+
+    def friends(code):
+        if code in (None, "junk"):
+            return []
+        n, x = int(code[:-1]), code[-1]
+        return [code, f"{n % 12 + 1}{x}", f"{(n + 10) % 12 + 1}{x}", f"{n}{'B' if x == 'A' else 'A'}"]
+
+    want = set()
+    for i, b, c, k, e in rows:
+        fit = [(abs(b2 - b), j) for j, b2, c2, k2, e2 in rows if i != j and None not in (b, b2, e, e2) and b * 0.94 <= b2 <= b * 1.06 and e - 0.2 <= e2 <= e + 0.2 and (c2 in friends(c) and c2 is not None or k is not None and k == k2)]
+        want |= {(i, j, n + 1) for n, (_, j) in enumerate(sorted(fit)[:5])}
+    assert got == want and len(want) > 500
+    close = spark.range(30_000).selectExpr("id as song_id", "100.0D + id % 5 as bpm", "'1A' as camelot", "'C' as key_name", "0.5D + id % 100 / 1000.0D as energy")
+    assert catalogue.compatible_pairs(close).selectExpr("count(*)", "max(bpm_diff)").first()[:] == (150_000, 0.0)
