@@ -21,9 +21,9 @@ blocks and differ in at most ``near`` bits. Blocks differ in 3.5 of 24 bits on a
 to meet on none of the eight is some 6 %; at 0.9 it is below 1 %. Candidates are then held against the texts themselves.
 That goes in two steps. First a node is compared with one other, the least node that shares a whole block with it: members of a
 large group of near copies nearly all link to a few hubs there, one candidate each. Then all keys are searched, but nodes linked to the
-same hub are one already and give no candidates among themselves. Up to six rows of a key, every pair of different hubs is a candidate; in
-longer runs a forest of what is near, so there a pair is lost whose path in the forest runs over a third text that is less similar, unless the pair
-meets at another key. Nothing below ``similarity`` is ever linked. Unrelated documents meet at random on 25 * documents / 2 ** block_bits of keys,
+same hub are one already and give no candidates among themselves. There a forest of what is near is compared first. Where all its links
+hold, so do those that it left out; where one turns out not to be similar, another pair of the same tree still may be, so all members of the
+components at its ends are searched again, and every near pair that is not connected by then is compared. Nothing below ``similarity`` is ever linked. Unrelated documents meet at random on 25 * documents / 2 ** block_bits of keys,
 so ``block_bits`` should grow with the logarithm of the corpus (and ``words`` with the blocks).
 
 Defined results: null and empty texts have fingerprint zero and link to each other (and to near-zero fingerprints);
@@ -324,7 +324,7 @@ class Similar:
     words: int = 3  #: of 64 bits in a fingerprint
     block_bits: int = 24  #: whole bytes
     near: int = 42  #: bits of a fingerprint; 29 +- 5 differ at a similarity of 0.8
-    piece: int = 4096  #: fingerprints of one key that are compared with each other at a time
+    piece: int = 1 << 18  #: pairs of one key that are compared at a time
 
 
 def _block_variants(nodes: DataFrame, p: Similar) -> DataFrame:
@@ -432,36 +432,65 @@ def own_label(f: np.ndarray) -> np.ndarray:
     return mixed.view(np.int64)
 
 
-def _candidate_links(variants: DataFrame, p: Similar) -> DataFrame:
-    """(a, b): hashes of fingerprints of different labels that meet at a key and are near.
+def all_links(key: np.ndarray, f: np.ndarray, near: int, label: np.ndarray, piece: int, short: int = 32) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every (i, j) of different labels among rows of equal keys (which stand together) that differ in at most ``near`` bits, in pieces.
 
-    The rows of a key may go on over batches. Once there are more than ``piece``, they are compared and go on as one
-    representative for each group of near ones, which later rows are compared with.
+    Runs of up to ``short`` rows go all at once, by the distance of i and j. In a longer run the rows of its most frequent label are not
+    compared with each other, so a group of near copies that is linked already costs its size times the other rows.
+    """
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    sizes = np.diff(np.append(starts, len(key)))
+    i, end, d = np.arange(len(key)), np.repeat(starts + sizes, sizes), 1
+    i = i[np.repeat(sizes <= short, sizes)]
+    while len(i := i[i + d < end[i]]):
+        other = i[label[i] != label[i + d]]
+        hit = other[np.bitwise_count(f[other] ^ f[other + d]).sum(axis=1) <= near]
+        yield hit, hit + d
+        d += 1
+    for at, size in zip(starts[sizes > short].tolist(), sizes[sizes > short].tolist(), strict=True):
+        _, group, often = np.unique(label[at : at + size], return_inverse=True, return_counts=True)
+        if len(often) == 1:
+            continue
+        order = np.argsort(np.argsort(-often, kind="stable")[group], kind="stable")  # the most frequent label first
+        g, group = f[at + order], group[order]
+        step = max(1, piece // size)
+        for n in range(int(often.max()), size, step):
+            rows = np.arange(n, min(n + step, size))
+            hit = (np.bitwise_count(g[rows][:, None] ^ g[None, : rows[-1]]).sum(axis=2) <= near) & (group[rows][:, None] != group[None, : rows[-1]]) & (np.arange(rows[-1])[None, :] < rows[:, None])
+            b, a = np.nonzero(hit)
+            yield at + order[a], at + order[rows[b]]
+
+
+def _candidate_links(variants: DataFrame, p: Similar, every: bool = False) -> DataFrame:
+    """(a, b): hashes of fingerprints of different labels that meet at a key and are near: what connects them, or ``every`` such pair.
+
+    The rows of a key may go on over batches: they are held, 40 bytes each, until the key ends.
     """
     names = [f"f{w}" for w in range(p.words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(f, i, j):
-            return pa.RecordBatch.from_arrays([*(pa.array(f[i, w].view(np.int64)) for w in range(p.words)), *(pa.array(f[j, w].view(np.int64)) for w in range(p.words))], names=["a" + n for n in names] + ["b" + n for n in names])
+        def out(key, label, f):
+            for i, j in all_links(key, f, p.near, label, p.piece) if every else [run_links(key, f, p.near, label)]:
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([*(pa.array(f[i, w].view(np.int64)) for w in range(p.words)), *(pa.array(f[j, w].view(np.int64)) for w in range(p.words))], names=["a" + n for n in names] + ["b" + n for n in names])
 
-        key, label, f = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, p.words), np.uint64)
+        held = []
         for b in batches:
-            new = np.stack([b.column(n).to_numpy(zero_copy_only=False).view(np.uint64) for n in names], axis=1)
+            if not b.num_rows:
+                continue
+            f = np.stack([b.column(n).to_numpy(zero_copy_only=False).view(np.uint64) for n in names], axis=1)
             known = b.column("label").is_valid().to_numpy(zero_copy_only=False)
-            own = np.where(known, b.column("label").fill_null(0).to_numpy(zero_copy_only=False), own_label(new))
-            key, label, f = np.concatenate((key, b.column("key").to_numpy(zero_copy_only=False))), np.concatenate((label, own)), np.concatenate((f, new))
-            if not len(key):
+            label = np.where(known, b.column("label").fill_null(0).to_numpy(zero_copy_only=False), own_label(f))
+            key = b.column("key").to_numpy(zero_copy_only=False)
+            held.append((key, label, f))
+            if held[0][0][-1] == key[-1]:
                 continue
+            key, label, f = map(np.concatenate, zip(*held, strict=True))
             last = int(np.searchsorted(key, key[-1]))
-            if last:
-                yield out(f, *run_links(key[:last], f[:last], p.near, label[:last]))
-                key, label, f = key[last:], label[last:], f[last:]
-            if len(key) > p.piece:
-                i, j, roots = near_rows(f, p.near, label)
-                yield out(f, i, j)
-                key, label, f = key[roots], label[roots], f[roots]
-        if len(key):
-            yield out(f, *run_links(key, f, p.near, label))
+            yield from out(key[:last], label[:last], f[:last])
+            held = [(key[last:].copy(), label[last:].copy(), f[last:].copy())]
+        if held:
+            yield from out(*map(np.concatenate, zip(*held, strict=True)))
 
     ends = [f"{x}{n}" for x in "ab" for n in names]
     # In the order of the fingerprints, the runs of a group of near copies begin with the same few of them.
@@ -507,6 +536,22 @@ def _checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, p: Similar) ->
     return good
 
 
+def _missed_links(docs: DataFrame, nodes: DataFrame, linked: DataFrame, found: DataFrame, p: Similar) -> DataFrame:
+    """(a, b): similar pairs that the forest of ``found`` left out: between components that a link of ``found`` that did not hold touches."""
+    names = [f"f{w}" for w in range(p.words)]
+    failed = cut(found.join(linked.select(F.col("a").alias("__a"), F.col("b").alias("__b")), (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")), "left_anti"))
+    if failed.isEmpty():
+        return failed
+    roots = connected_components(linked)
+    placed = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", *names, F.coalesce("root", "fp").alias("label"))
+    ends = failed.select(F.explode(F.array("a", "b")).alias("__end")).distinct()
+    touched = placed.join(ends, F.col("fp") == F.col("__end")).select(unaligned(F.col("label")).alias("__label")).distinct()
+    again = placed.join(touched, F.col("label") == F.col("__label"), "left_semi").select(*names, "label")
+    every = _candidate_links(_block_variants(again, p), p, every=True)
+    missed = cut(every.join(failed.select(F.col("a").alias("__a"), F.col("b").alias("__b")), (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")), "left_anti"))
+    return _checked(docs, nodes, missed, p)
+
+
 def similar_links(docs: DataFrame, prints: DataFrame, p: Similar = Similar()) -> DataFrame:
     """(a, b): links between values of fp of a similarity of at least ``similarity``, by texts of the documents that the values stand for."""
     names = [f"f{w}" for w in range(p.words)]
@@ -521,7 +566,8 @@ def similar_links(docs: DataFrame, prints: DataFrame, p: Similar = Similar()) ->
     named = both.groupBy("a").agg(F.min_by("b", "self").alias("label"))  # a hub without a hub bears its own name
     labelled = nodes.join(named, F.col("fp") == F.col("a"), "left").select(*names, "label")
     found = cut(_candidate_links(_block_variants(labelled, p), p))
-    return linked.unionByName(_checked(docs, nodes, found, p))
+    linked = linked.unionByName(_checked(docs, nodes, found, p))
+    return linked.unionByName(_missed_links(docs, nodes, linked, found, p))
 
 
 def near_dedup_similar(docs: DataFrame, p: Similar = Similar()) -> DataFrame:

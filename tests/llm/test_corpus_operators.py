@@ -573,3 +573,37 @@ def test_pipeline_drops_a_sources_header(spark):
     out = dict(corpus_pipeline.STAGES)["line dedup"](spark, spark.createDataFrame(rows, DOCS), "")
     assert {r.text for r in out.collect()} == {f"body {i} text" for i in range(100)}
     assert all(r.n_chars in (0, len(r.text)) for r in out.collect())
+
+
+def test_all_links_leave_out_no_pair():
+    """Long and short runs: each near pair of different labels, none twice, where a forest leaves pairs out."""
+    rng, fewer = np.random.default_rng(7), 0
+    for n in (1, 2, 9, 60, 200):
+        f = rng.integers(0, 1 << 40, (1, 3), dtype=np.uint64) ^ (np.uint64(1) << rng.integers(0, 40, (n, 3), dtype=np.uint64))
+        key, label = np.sort(rng.integers(0, 1 + n // 50, n)), rng.integers(0, 30, n) * rng.integers(0, 2, n)
+        want = {frozenset((a, b)) for a in range(n) for b in range(a) if key[a] == key[b] and label[a] != label[b] and np.bitwise_count(f[a] ^ f[b]).sum() <= 4}
+        for piece in (3, 1000):
+            got = [frozenset(map(int, p)) for i, j in simhash.all_links(key, f, 4, label, piece) for p in zip(i, j, strict=True)]
+            assert len(got) == len(set(got)) and set(got) == want
+        fewer += len(want) - len(simhash.run_links(key, f, 4, label)[0])
+    assert fewer > 0
+
+
+def test_similar_pairs_behind_less_similar_ones_are_found(spark):
+    """Ten pairs of similar texts in one crowd of near fingerprints, where a forest runs from pair to pair and its links do not hold."""
+    rows = [(10 * g + c, " ".join(f"g{g}w{i}" for i in range(60)) + f" end{c}", "s") for g in range(10) for c in range(2)]
+    p = simhash.Similar(near=192)  # all that meets at a key is near, and all fingerprints below share their blocks
+    prints = spark.createDataFrame([(i, 7 + (i << 24), 0, 0, i) for i, *_ in rows], "doc_id long, f0 long, f1 long, f2 long, text_hash long")
+    prints = prints.withColumns({"fp": F.xxhash64("f0", "f1", "f2"), "text_hash": F.lit(0).cast("long")})
+    texts = docs(spark, rows)
+    prints = prints.drop("text_hash").join(texts.select("doc_id", F.xxhash64("text").alias("text_hash")), "doc_id")
+    links = simhash.similar_links(texts, prints, p)
+    of = {r.fp: r.doc_id for r in prints.collect()}
+    assert {frozenset((of[r.a], of[r.b])) for r in links.collect()} == {frozenset((10 * g, 10 * g + 1)) for g in range(10)}
+
+
+def test_every_near_pair_of_a_key_is_a_candidate(spark):
+    """Nine near texts of one key: a forest gives eight links, all pairs are 36."""
+    rows = [(7, 1 << i, 0, 0, None) for i in range(9)]
+    variants = spark.createDataFrame(rows, "key long, f0 long, f1 long, f2 long, label long")
+    assert simhash._candidate_links(variants, simhash.Similar(), every=True).count() == 36
