@@ -2,19 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seguekit.functions.scoring import timestamp_to_seconds
+from seguekit.sources.files import written
 
 #: Words that no track line holds.
 SKIP = ("subscribe", "follow", "http", "www.", "@", "#")
 
 
-def spaced(times: Column, gap: int) -> Column:
-    """Of a sorted array, the first and then each that is ``gap`` after the last one kept. Seconds of a mix bound its length."""
-    first = F.array().cast("array<bigint>")
-    return F.aggregate(times, first, lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= gap), F.concat(acc, F.array(t))).otherwise(acc))
+def thinned(rows: DataFrame, key: str, at: str, gap: int) -> DataFrame:
+    """Of the rows of each key in the order of ``at``, the first and then each that is ``gap`` after the last one kept.
+
+    One pass over sorted partitions holds one number, however long a key's rows are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = last = None
+        for b in batches:
+            keep = []
+            for k, t in zip(b.column(key).to_pylist(), b.column(at).to_pylist(), strict=True):
+                keep.append(k != of or t - last >= gap)
+                if keep[-1]:
+                    of, last = k, t
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return rows.repartition(key).sortWithinPartitions(key, at).mapInArrow(run, rows.schema)
 
 
 def timestamps(lines: DataFrame, gap: int = 30, least: int = 3) -> DataFrame:
@@ -24,19 +41,19 @@ def timestamps(lines: DataFrame, gap: int = 30, least: int = 3) -> DataFrame:
     longest text of each second, cut to 100 characters, thinned to the gap. The first source that a mix has is taken.
     """
     t = lines.select("mix_id", "source", timestamp_to_seconds(F.col("time")).cast("long").alias("sec"), F.trim("track").alias("track")).where("sec is not null")
-    chapters = t.where("source = 'chapters'").select("mix_id", "sec", "track", F.lit(1).alias("priority"))
     plain = ~F.exists(F.array(*map(F.lit, SKIP)), lambda w: F.contains(F.lower("track"), w))
-    told = t.where((F.col("source") == "description") & (F.length("track") >= 3) & plain)
-    told = told.withColumn("apart", F.col("sec") - F.lag("sec").over(Window.partitionBy("mix_id").orderBy("sec")))
-    whole = told.groupBy("mix_id").agg(F.count("*").alias("n"), F.min("apart").alias("apart")).where((F.col("n") >= least) & (F.coalesce("apart", F.lit(gap)) >= gap))
-    description = told.join(whole.select("mix_id"), "mix_id", "left_semi").select("mix_id", "sec", "track", F.lit(2).alias("priority"))
+    told = (F.col("source") == "description") & (F.length("track") >= 3) & plain
+    priority = F.when(F.col("source") == "chapters", 1).when(told, 2).when(F.col("source") == "comments", 3)
+    t = written(t.select("mix_id", priority.alias("priority"), "sec", "track").where("priority is not null"), "timestamps")  # lines are read once
+    apart = F.col("sec") - F.lag("sec").over(Window.partitionBy("mix_id", "priority").orderBy("sec"))
+    sizes = t.withColumn("apart", apart).groupBy("mix_id").agg(*(F.count_if(F.col("priority") == n).alias(f"n{n}") for n in (1, 2, 3)), F.min(F.when(F.col("priority") == 2, F.col("apart"))).alias("apart"))
+    whole = (F.col("n2") >= least) & (F.coalesce("apart", F.lit(gap)) >= gap)
+    best = sizes.select("mix_id", F.when(F.col("n1") > 0, 1).when(whole, 2).when(F.col("n3") > 0, 3).alias("priority"))
+    taken = t.join(best, ["mix_id", "priority"])
     short = F.left("track", F.lit(100))
-    said = t.where("source = 'comments'").groupBy("mix_id", "sec").agg(F.max_by(short, F.struct(F.length(short), "track")).alias("track"))
-    kept = said.groupBy("mix_id").agg(spaced(F.array_sort(F.collect_list("sec")), gap).alias("s")).select("mix_id", F.explode("s").alias("sec"))
-    comments = said.join(kept, ["mix_id", "sec"]).select("mix_id", "sec", "track", F.lit(3).alias("priority"))
-    every = chapters.unionByName(description).unionByName(comments)
-    best = every.groupBy("mix_id").agg(F.min("priority").alias("priority"))
-    return every.join(best, ["mix_id", "priority"])
+    said = taken.where("priority = 3").groupBy("mix_id", "sec").agg(F.max_by(short, F.struct(F.length(short), "track")).alias("track"))
+    comments = thinned(said, "mix_id", "sec", gap).select("mix_id", "sec", "track", F.lit(3).alias("priority"))
+    return taken.where("priority < 3").select("mix_id", "sec", "track", "priority").unionByName(comments)
 
 
 def marked_transitions(lines: DataFrame, key: str, order: str, text: str = "text") -> DataFrame:

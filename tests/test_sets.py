@@ -234,3 +234,15 @@ def test_compatible_pairs_keep_to_the_songs_and_equal_all_pairs(spark):
     assert got == want and len(want) > 500
     close = spark.range(30_000).selectExpr("id as song_id", "100.0D + id % 5 as bpm", "'1A' as camelot", "'C' as key_name", "0.5D + id % 100 / 1000.0D as energy")
     assert catalogue.compatible_pairs(close).selectExpr("count(*)", "max(bpm_diff)").first()[:] == (150_000, 0.0)
+
+
+def test_comments_are_thinned_as_in_a_loop(spark):
+    rng = random.Random(4)
+    rows = [(k, t) for k in range(5) for t in sorted(rng.sample(range(20_000), 3000 if k else 1))]
+    want, last = set(), {}
+    for k, t in rows:
+        if k not in last or t - last[k] >= 30:
+            want.add((k, t))
+            last[k] = t
+    got = tracklists.thinned(spark.createDataFrame(rows, "k long, t long").repartition(3), "k", "t", 30).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
