@@ -592,8 +592,8 @@ def test_all_links_leave_out_no_pair():
 def test_similar_pairs_behind_less_similar_ones_are_found(spark):
     """Ten pairs of similar texts in one crowd of near fingerprints, where a forest runs from pair to pair and its links do not hold."""
     rows = [(10 * g + c, " ".join(f"g{g}w{i}" for i in range(60)) + f" end{c}", "s") for g in range(10) for c in range(2)]
-    p = simhash.Similar(near=192)  # all that meets at a key is near, and all fingerprints below share their blocks
-    prints = spark.createDataFrame([(i, 7 + (i << 24), 0, 0, i) for i, *_ in rows], "doc_id long, f0 long, f1 long, f2 long, text_hash long")
+    p = simhash.Similar(near=192)  # all that meets at a key is near, and the fingerprints below share all blocks but one
+    prints = spark.createDataFrame([(i, 7 + ((i * 0x9E3779 & 0xFFFFFF) << 24), 0, 0, i) for i, *_ in rows], "doc_id long, f0 long, f1 long, f2 long, text_hash long")
     prints = prints.withColumns({"fp": F.xxhash64("f0", "f1", "f2"), "text_hash": F.lit(0).cast("long")})
     texts = docs(spark, rows)
     prints = prints.drop("text_hash").join(texts.select("doc_id", F.xxhash64("text").alias("text_hash")), "doc_id")
