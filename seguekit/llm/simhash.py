@@ -19,12 +19,14 @@ Jaccard similarity of 0.8 (a seventh of all bits). There, fingerprints have 192
 hashed as a ball of radius 2 (25 keys of variants within 1 bit), and two texts are candidates if they meet at one of the
 blocks and differ in at most ``near`` bits. Blocks differ in 3.5 of 24 bits on average at a similarity of 0.8, and the chance
 to meet on none of the eight is some 6 %; at 0.9 it is below 1 %. Candidates are then held against the texts themselves.
-That goes in two steps. First a node is compared with one other, the least node that shares a whole block with it: members of a
-large group of near copies nearly all link to a few hubs there, one candidate each. Then all keys are searched, but nodes linked to the
-same hub are one already and give no candidates among themselves. There a forest of what is near is compared first. Where all its links
-hold, so do those that it left out; where one turns out not to be similar, another pair of the same tree still may be, so all members of the
-components at its ends are searched again, and every near pair that is not connected by then is compared. Nothing below ``similarity`` is ever linked. Unrelated documents meet at random on 25 * documents / 2 ** block_bits of keys,
-so ``block_bits`` should grow with the logarithm of the corpus (and ``words`` with the blocks).
+That goes in three steps. First a node is compared with one other, the least node that shares a whole block with it: members of a
+large group of near copies nearly all link to a few hubs there, one candidate each. Then all keys are searched for what is near, but
+nodes that whole blocks have brought into one near component give no candidates among themselves; the others are compared pair by pair.
+Near components are crowds: any two members may be similar, whatever forest holds them together. A crowd that the links found so far
+don't make one component is compared as a whole: its texts go to tiles, one for any two of its blocks of bounded size, and a tile counts
+the shared shingles of all its pairs and writes a forest of the similar ones. So no step writes a row per pair; a crowd of n texts
+that stay apart costs n * n / ``tile_rows`` rows of text. Nothing below ``similarity`` is ever linked. Unrelated documents meet at random
+on 25 * documents / 2 ** block_bits of keys, so ``block_bits`` should grow with the logarithm of the corpus (and ``words`` with the blocks).
 
 Defined results: null and empty texts have fingerprint zero and link to each other (and to near-zero fingerprints);
 equal fingerprints are one node, so exact copies add no work to the search; repeated rows and ids are rows of their own;
@@ -232,20 +234,20 @@ def links(fps: DataFrame, radius: int = 4, blocks: int = 2, dense: int = 4096) -
     return edges.unionByName(star_edges.distinct())
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", write: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """(node, root) for every node of ``edges``; root is the smallest node of its component.
 
     Alternates large and small stars: each round hangs the larger (then the smaller) neighbours of every node on its
     smallest neighbour, until nothing changes. Rounds grow with the logarithm of the longest path. Each round is
-    written to the checkpoint folder. Hubs are aggregated on the map side, and the join back to them has an exchange
+    written to the checkpoint folder (``write``). Hubs are aggregated on the map side, and the join back to them has an exchange
     on both sides, so that AQE can split a hub.
     """
     flat = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    state, before = cut(flat), None
+    state, before = write(flat), None
     while True:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _hang(both, both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("__m")), larger=True)
-        small = cut(_hang(large, large.groupBy("u").agg(F.min("v").alias("__m")), larger=False))
+        small = write(_hang(large, large.groupBy("u").agg(F.min("v").alias("__m")), larger=False))
         row = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if row == before:
             return small.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(small.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -325,11 +327,13 @@ class Similar:
     block_bits: int = 24  #: whole bytes
     near: int = 42  #: bits of a fingerprint; 29 +- 5 differ at a similarity of 0.8
     piece: int = 1 << 18  #: pairs of one key that are compared at a time
+    tile_rows: int = 512  #: texts of a block of a crowd, on average
+    tile_chars: int = 1 << 23  #: characters of a block, on average
 
 
-def _block_variants(nodes: DataFrame, p: Similar) -> DataFrame:
-    """(key, f0, f1, ..., label): all variants within one bit of every block of every fingerprint."""
-    flips, step, names = masks(p.block_bits, 1), p.block_bits // 8, [f"f{w}" for w in range(p.words)]
+def _block_variants(nodes: DataFrame, p: Similar, own: int = 1) -> DataFrame:
+    """(key, f0, f1, ..., label): all variants within ``own`` bits of every block of every fingerprint."""
+    flips, step, names = masks(p.block_bits, own), p.block_bits // 8, [f"f{w}" for w in range(p.words)]
     blocks = p.words * 8 // step
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -519,9 +523,8 @@ def _similar_pairs(pairs: DataFrame, texts: DataFrame, p: Similar) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _texts_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> tuple[DataFrame, str]:
-    """(node, text) of the nodes in ``pairs`` (a, b), and the path of that table. A bitmap keeps most other texts out of the shuffle."""
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _texts_of(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> tuple[DataFrame, str]:
+    """(node, text) of the different nodes in ``asked`` (node), and the path of that table. A bitmap keeps most other texts out of the shuffle."""
     wanted = asked.join(nodes.select(F.col("fp").alias("__f"), "k"), F.col("node") == F.col("__f"))
     wanted = cut(wanted.select("node", *(v.alias(k) for k, v in _key(F.col("k.doc_id"), F.col("k.text_hash")).items())))
     held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns(_key(F.col("doc_id"), F.xxhash64("text"))).drop("doc_id")
@@ -530,44 +533,117 @@ def _texts_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> tuple[Data
 
 
 def _checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, p: Similar) -> DataFrame:
-    texts, path = _texts_of(docs, nodes, pairs)
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    texts, path = _texts_of(docs, nodes, asked)
     good = cut(_similar_pairs(pairs, texts, p))
     remove(docs.sparkSession, path)
     return good
 
 
-def _missed_links(docs: DataFrame, nodes: DataFrame, linked: DataFrame, found: DataFrame, p: Similar) -> DataFrame:
-    """(a, b): similar pairs that the forest of ``found`` left out: between components that a link of ``found`` that did not hold touches."""
-    names = [f"f{w}" for w in range(p.words)]
-    failed = cut(found.join(linked.select(F.col("a").alias("__a"), F.col("b").alias("__b")), (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")), "left_anti"))
-    if failed.isEmpty():
-        return failed
-    roots = connected_components(linked)
-    placed = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", *names, F.coalesce("root", "fp").alias("label"))
-    ends = failed.select(F.explode(F.array("a", "b")).alias("__end")).distinct()
-    touched = placed.join(ends, F.col("fp") == F.col("__end")).select(unaligned(F.col("label")).alias("__label")).distinct()
-    again = placed.join(touched, F.col("label") == F.col("__label"), "left_semi").select(*names, "label")
-    every = _candidate_links(_block_variants(again, p), p, every=True)
-    missed = cut(every.join(failed.select(F.col("a").alias("__a"), F.col("b").alias("__b")), (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")), "left_anti"))
-    return _checked(docs, nodes, missed, p)
+def alike(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, least: float, columns: int = 4096) -> np.ndarray:
+    """Whether ``sets[x[i]]`` and ``sets[y[j]]``, of different values each, have a Jaccard similarity of ``least``: a matrix of i and j."""
+    n = np.array([len(s) for s in sets], np.int64)
+    _, value, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(often[value] > 1)
+    shared = shared[np.argsort(value[shared], kind="stable")]
+    owner, value = np.repeat(np.arange(len(sets)), n)[shared], np.unique(value[shared], return_inverse=True)[1]
+    both = np.zeros((len(x), len(y)), np.int64)
+    for first in range(0, int(value[-1]) + 1 if len(value) else 0, columns):
+        at, end = np.searchsorted(value, (first, first + columns))
+        has = np.zeros((len(sets), columns), np.float32)  # counts up to ``columns`` are exact
+        has[owner[at:end], value[at:end] - first] = 1
+        both += (has[x] @ has[y].T).astype(np.int64)
+    either = n[x][:, None] + n[y][None, :] - both
+    return np.where(either > 0, both / np.maximum(either, 1), 1.0) >= least
+
+
+def tile_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, least: float) -> tuple[list[int], list[int]]:
+    """(i, j): a spanning forest of the similar pairs of a set of ``left`` and one of ``right`` (rows of ``sets``, in both or in one)."""
+    hit = np.zeros((len(sets), len(sets)), bool)
+    hit[np.ix_(left, right)] = alike(sets, left, right, least)
+    hit |= hit.T
+    rest, a, b = np.ones(len(sets), bool), [], []
+    for root in range(len(sets)):
+        queue = [root] if rest[root] else []
+        rest[root] = False
+        while queue:
+            at = queue.pop()
+            new = np.flatnonzero(hit[at] & rest)
+            rest[new] = False
+            a += [at] * len(new)
+            b += new.tolist()
+            queue += new.tolist()
+    return a, b
+
+
+def _links_in_tiles(rows: DataFrame, p: Similar) -> DataFrame:
+    """(a, b): links among the texts of each tile. ``rows``: crowd, the tile's blocks i and j, the row's block, fp, text."""
+
+    def out(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        t = pa.Table.from_batches(held)
+        fp, block, i, j = (t.column(c).to_numpy() for c in ("fp", "block", "i", "j"))
+        sets = [np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(x.as_py(), p.width)])) for x in t.column("text")]
+        a, b = tile_links(sets, np.flatnonzero(block == i), np.flatnonzero(block == j), p.similarity)
+        return fp[a], fp[b]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held = None, []
+        for b in batches:
+            key = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("crowd", "i", "j")], axis=1)
+            starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1)))) if len(key) else []
+            found = []
+            for at, end in zip(starts, [*starts[1:], len(key)], strict=True) if len(key) else []:
+                if tile != (tile := tuple(key[at].tolist())) and held:
+                    found.append(out(held))
+                    held = []
+                held.append(b.slice(at, end - at))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out(held)], names=["a", "b"])
+
+    tiles = rows.select("crowd", "i", "j", "block", "fp", "text").repartition("crowd", "i", "j").sortWithinPartitions("crowd", "i", "j")
+    return tiles.mapInArrow(run, "a long, b long").distinct()
+
+
+def _tabled(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a table: a checkpoint keeps constraints and estimated sizes, which are products of products after several searches for components."""
+    return put(df)[0]
+
+
+def _crowd_links(docs: DataFrame, nodes: DataFrame, near: DataFrame, linked: DataFrame, p: Similar) -> DataFrame:
+    """(a, b): links that connect all similar texts of each component of ``near`` (a, b) which ``linked`` does not make one component."""
+    crowds, roots = connected_components(near, write=_tabled), connected_components(linked, write=_tabled).withColumnRenamed("node", "__n")
+    members = crowds.join(roots.select("__n", F.col("root").alias("label")), F.col("node") == F.col("__n"), "left").select("node", F.col("root").alias("crowd"), F.coalesce("label", "node").alias("label"))
+    open_ = members.groupBy("crowd").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(unaligned(F.col("crowd")).alias("__c"))
+    members, members_path = put(members.join(open_, F.col("crowd") == F.col("__c"), "left_semi").select("node", "crowd"))
+    if members.isEmpty():
+        return members.select(F.col("node").alias("a"), F.col("crowd").alias("b"))
+    texts, path = _texts_of(docs, nodes, members.select("node"))
+    held = members.join(texts.select(unaligned(F.col("node")).alias("__n"), F.length("text").cast("long").alias("chars")), F.col("node") == F.col("__n")).select("node", "crowd", "chars")
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(p.tile_rows), F.sum("chars") / F.lit(p.tile_chars), F.lit(1.0))).alias("blocks")
+    sizes = held.groupBy("crowd").agg(blocks).select(unaligned(F.col("crowd")).alias("__c"), "blocks")
+    placed = members.join(sizes, F.col("crowd") == F.col("__c")).select("node", "crowd", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+    tiles = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    tiles = tiles.select("node", "crowd", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = tiles.join(texts.select(unaligned(F.col("node")).alias("fp"), "text"), F.col("node") == F.col("fp"))
+    links, _ = put(_links_in_tiles(rows, p))
+    for done in (path, members_path):
+        remove(docs.sparkSession, done)
+    return links
 
 
 def similar_links(docs: DataFrame, prints: DataFrame, p: Similar = Similar()) -> DataFrame:
     """(a, b): links between values of fp of a similarity of at least ``similarity``, by texts of the documents that the values stand for."""
     names = [f"f{w}" for w in range(p.words)]
     nodes = cut(prints.groupBy("fp", *names).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("k")))
-    stars = cut(_star_links(nodes, p))
-    linked = _checked(docs, nodes, stars, p)
-    above = linked
-    for _ in range(3):  # hubs link to hubs of their own; after three rounds a label lies up to eight links away
-        up = above.select(unaligned(F.col("a")).alias("__a"), F.col("b").alias("__b"))
-        above = cut(above.join(up, F.col("b") == F.col("__a"), "left").select("a", F.coalesce("__b", "b").alias("b")))
-    both = above.withColumn("self", F.lit(False)).unionByName(above.select(F.col("b").alias("a"), "b", F.lit(True).alias("self")))
-    named = both.groupBy("a").agg(F.min_by("b", "self").alias("label"))  # a hub without a hub bears its own name
-    labelled = nodes.join(named, F.col("fp") == F.col("a"), "left").select(*names, "label")
-    found = cut(_candidate_links(_block_variants(labelled, p), p))
+    linked = _checked(docs, nodes, cut(_star_links(nodes, p)), p)
+    whole = connected_components(_candidate_links(_block_variants(nodes.withColumn("label", F.lit(None).cast("long")), p, 0), p), write=_tabled)
+    labelled = nodes.join(whole, F.col("fp") == F.col("node"), "left").select(*names, F.col("root").alias("label"))
+    found = _tabled(_candidate_links(_block_variants(labelled, p), p))
     linked = linked.unionByName(_checked(docs, nodes, found, p))
-    return linked.unionByName(_missed_links(docs, nodes, linked, found, p))
+    near = found.unionByName(whole.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return _tabled(linked.unionByName(_crowd_links(docs, nodes, near, linked, p)))
 
 
 def near_dedup_similar(docs: DataFrame, p: Similar = Similar()) -> DataFrame:

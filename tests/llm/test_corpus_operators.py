@@ -1,5 +1,6 @@
 """SimHash, mixing, BPE, media, token counts, search and the pipeline against brute force."""
 
+import functools
 import hashlib
 import io
 import math
@@ -607,3 +608,32 @@ def test_every_near_pair_of_a_key_is_a_candidate(spark):
     rows = [(7, 1 << i, 0, 0, None) for i in range(9)]
     variants = spark.createDataFrame(rows, "key long, f0 long, f1 long, f2 long, label long")
     assert simhash._candidate_links(variants, simhash.Similar(), every=True).count() == 36
+
+
+def test_a_crowd_that_stays_apart_gives_no_row_per_pair(spark, monkeypatch):
+    """300 pairs of similar texts whose fingerprints are all near: every pair is found, and the searches write a few links a text."""
+    rows = [(10 * g + c, " ".join(f"g{g}w{i}" for i in range(60)) + f" end{c}", "s") for g in range(300) for c in range(2)]
+    prints = spark.createDataFrame([(i, 7 + ((i * 0x9E3779 & 0xFFFFFF) << 24), 0, 0) for i, *_ in rows], "doc_id long, f0 long, f1 long, f2 long")
+    texts, counts = docs(spark, rows), []
+    prints = prints.withColumn("fp", F.xxhash64("f0", "f1", "f2")).join(texts.select("doc_id", F.xxhash64("text").alias("text_hash")), "doc_id")
+    search = simhash._candidate_links
+    monkeypatch.setattr(simhash, "_candidate_links", lambda *a, **k: (counts.append((found := search(*a, **k)).count()), found)[1])
+    links = simhash.similar_links(texts, prints, simhash.Similar(near=192))
+    of = {r.fp: r.doc_id for r in prints.collect()}
+    assert {frozenset((of[r.a], of[r.b])) for r in links.collect()} == {frozenset((10 * g, 10 * g + 1)) for g in range(300)}
+    assert sum(counts) <= 10 * len(rows)
+
+
+def test_tiles_link_what_is_similar():
+    """One side and two, with empty sets and few columns at a time: the forest connects just what similar pairs connect."""
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 40, 60)[: rng.integers(20, 60)]).astype(np.uint64) for _ in range(60)] + [np.empty(0, np.uint64)] * 2
+    similar = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y)) >= 0.8 if len(x) + len(y) else True
+    for left, right in ((np.arange(62), np.arange(62)), (np.arange(0, 62, 2), np.arange(1, 62, 2))):
+        for columns in (7, 4096):
+            hit = simhash.alike(sets, left, right, 0.8, columns)
+            assert hit.tolist() == [[similar(sets[x], sets[y]) for y in right] for x in left]
+        roots = lambda pairs: functools.reduce(lambda root, p: [min(root[i] for i in p) if r in {root[i] for i in p} else r for r in root], pairs, list(range(62)))
+        i, j = simhash.tile_links(sets, left, right, 0.8)
+        assert all(similar(sets[x], sets[y]) for x, y in zip(i, j, strict=True)) and len(i) < 62
+        assert roots(list(zip(i, j, strict=True))) == roots([(x, y) for x in left for y in right if similar(sets[x], sets[y])])
