@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -456,6 +457,57 @@ def test_search_skips_blocks_but_stays_exact():
             assert got == [x for x in total if x[0]]
 
 
+def test_search_leaves_out_blocks_whose_words_never_meet():
+    """Eight words that two languages share: the block's largest impacts add up to the bar, but no document holds two of them."""
+    own = [(np.arange(8), np.full(8, 1000.0)), (np.arange(8), np.full(8, 900.0))]
+    q, t = np.repeat(np.arange(20), 8), np.tile(np.arange(8), 20)
+    ours = topk_search.Queries(20, q, t, 9, topk_search.Bm25(k=2))
+    ours.read(topk_search.Block(np.arange(2), np.concatenate([x for x, _ in own]), np.repeat([0, 1], 8), np.concatenate([x for _, x in own])))
+    other = np.repeat(np.arange(8), 32)  # a document holds one of the eight
+    ours.read(topk_search.Block(np.arange(2, 258), other, np.arange(256), np.full(256, 1000.0)))
+    assert ours.skipped == 20 and ours.seen == 40
+    assert ours.best.scores.tolist() == [[8000.0, 7200.0]] * 20 and ours.best.ids.tolist() == [[0, 1]] * 20
+
+
+def test_search_sums_again_what_single_precision_cannot_tell():
+    rng = np.random.default_rng(5)
+    n_terms, n_docs, k = 300, 1500, 10
+    base = rng.integers(1_000_000, 30_000_000, n_terms).astype(float)  # sums of 2 ** 32 and more: steps of single precision are hundreds
+    impacts = base + rng.integers(0, 2, (n_docs, n_terms))
+    impacts[::7] = 0  # some hold nothing
+    doc, term = np.nonzero(impacts)
+    q, t = np.repeat(np.arange(3), 250), np.concatenate([np.sort(rng.choice(n_terms, 250, replace=False)) for _ in range(3)])
+    total = np.stack([impacts[:, t[q == i]].sum(axis=1) for i in range(3)])
+    bars = np.sort(total, axis=1)[:, -k] - 3
+    for plan in (topk_search.Bm25(k=k), topk_search.Bm25(k=k, dense=0.0), topk_search.Bm25(k=k, dense=2.0)):
+        for floors in (None, bars):
+            ours, low = topk_search.Queries(3, q, t, n_terms, plan, floors), topk_search.Queries(3, q, t, n_terms, plan, exact=False)
+            for at in range(0, n_docs, 500):
+                held = (doc >= at) & (doc < at + 500)
+                block = topk_search.Block(np.arange(at, at + 500), term[held], doc[held] - at, impacts[doc[held], term[held]])
+                ours.read(block)
+                low.read(block)
+            for i in range(3):
+                best = sorted((-s, d) for d, s in enumerate(total[i]))[:k]
+                assert [(-s, d) for s, d in zip(ours.best.scores[i], ours.best.ids[i].tolist(), strict=True)] == best
+                assert 0.999 * -best[-1][0] < low.best.scores[i, -1] <= -best[-1][0]
+
+
+def test_search_blocks_hold_one_kind_and_every_posting(spark):
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{int(rng.paretovariate(0.8))}" for _ in range(rng.randint(0, 300))), "ab"[i % 2]) for i in range(150)] + [(500, "w " * 40_000 + "x", "a"), (501, None, "b")]
+    plan = topk_search.Bm25(block=16, shards=3)
+    index = topk_search.term_index(docs(spark, rows), F.col("doc_id") % 20 == 0, F.col("source"), plan)
+    found = {}
+    for part in topk_search._block_rows(index).rdd.glom().collect():
+        for ids, sizes, words, n, own, counts in topk_search._stored([pa.RecordBatch.from_pylist([r.asDict() for r in part], pa.schema([("piece", pa.binary()), ("last", pa.bool_())]))]):
+            assert len(ids) <= 16 and (len(ids) == 1 or sizes.sum() <= 16 * 1024)
+            assert len({rows[i][2] if i < 500 else "ab"[i - 500] for i in ids.tolist()}) == 1
+            for w, d, c in zip(np.repeat(np.array(words, object), n), own.tolist(), counts.tolist(), strict=True):
+                found.setdefault(int(ids[d]), Counter())[w] = c
+    assert found == {i: Counter(topk_search.terms_of(t)) for i, t, _ in rows if topk_search.terms_of(t)}
+
+
 def test_registered_search_asks_with_the_whole_text(spark, tmp_path):
     rng = random.Random(7)
     rows = [(i, " ".join(f"t{rng.randint(0, 60)}" for _ in range(rng.randint(1, 60))), "s") for i in range(160)] + [(180, "held by no other text", "s")]
